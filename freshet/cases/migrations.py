@@ -12,7 +12,8 @@ QUERIES, ORACLES = {}, {}
 # Orders are runs; each of their lines is a logged batch of three migrations.
 BATCHES = """
 SELECT l_orderkey AS restore,
-  CAST(l_linenumber AS bigint) * 100000000000 + l_partkey * 100000 + l_suppkey AS batch,
+  CAST(l_linenumber AS bigint) * 1000000000000000 + l_partkey * 1000000000
+    + CAST(floor(l_extendedprice * 100) AS bigint) AS batch,
   l_shipdate AS logged_at, CASE WHEN l_returnflag = 'R' THEN 'down' ELSE 'up' END AS direction,
   '["' || one || '", "' || two || '", "late"]' AS names,
   CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_quantity AS bigint) * 9970 END AS batch_duration_ms,

@@ -262,7 +262,8 @@ SELECT l_orderkey AS restore,
   CASE l_linenumber % 7 WHEN 1 THEN 'postgres' WHEN 2 THEN 'template1' WHEN 3 THEN 'template0'
        ELSE 'app' || CAST(l_partkey % 50 AS string) END AS name,
   CAST(floor(l_quantity / 10) AS bigint) * 1000 AS bytes,
-  CAST(l_linenumber AS bigint) * 1000000000 + l_partkey * 10000 + l_suppkey AS position
+  CAST(l_linenumber AS bigint) * 1000000000000000 + l_partkey * 1000000000
+    + CAST(floor(l_extendedprice * 100) AS bigint) AS position
 FROM {lineitem}"""
 
 
