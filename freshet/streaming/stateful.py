@@ -1,0 +1,106 @@
+"""The two streams that need each key's rows in order: changes and stalls.
+
+Both keep one small value per key in the state store. A micro-batch's rows of a
+key are put in order by (at, seq) first; the trigger limit bounds how many.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..operators.stalls import ABANDONED_SECONDS, NOT_REINDEXING, STALL_SECONDS, STALLED, WAIT
+
+CHANGES_OUT = "key bigint, at timestamp, seq bigint, generation bigint"
+STALLS_OUT = "key bigint, at timestamp, seq bigint, progress string, changed_at timestamp, verdict string"
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
+
+
+class Changes(StatefulProcessor):
+    """Rows whose generation is not the last one seen; a deletion forgets the key."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("generation", "generation bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _in_order(rows)
+        known = self.seen.get()[0] if self.seen.exists() else None
+        generation = batch["generation"].where(~batch["deleted"])
+        before = generation.shift(1)
+        before.iloc[0] = known
+        changed = batch[~batch["deleted"] & (before.isna() | (before != generation))]
+        last = batch.iloc[-1]
+        if last["deleted"]:
+            self.seen.clear()
+        else:
+            self.seen.update((int(last["generation"]),))
+        yield changed.assign(key=key[0])[["key", "at", "seq", "generation"]]
+
+    def close(self) -> None:
+        pass
+
+
+class Stalls(StatefulProcessor):
+    """The watch over one run, folded observation by observation."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState(
+            "watch", "progress string, observed_at timestamp, changed_at timestamp"
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watch = self.state.get() if self.state.exists() else None
+        out = []
+        for row in _in_order(rows).itertuples(index=False):
+            at = row.at.to_pydatetime()
+            if watch is not None and (at - watch[1]).total_seconds() > ABANDONED_SECONDS:
+                watch = None
+            if row.ok:
+                progress = None if pd.isna(row.progress) else row.progress
+                same = watch is not None and watch[0] == progress
+                watch = (progress, at, watch[2] if same else at)
+            elif watch is not None:
+                watch = (watch[0], at, watch[2])
+            if watch is None:
+                continue
+            still = (at - watch[2]).total_seconds() > STALL_SECONDS
+            verdict = NOT_REINDEXING if watch[0] is None else STALLED if still else WAIT
+            out.append((key[0], at, row.seq, watch[0], watch[2], verdict))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if watch is None:
+            self.state.clear()
+        else:
+            self.state.update(tuple(watch))
+            gone = watch[1] + timedelta(seconds=ABANDONED_SECONDS)
+            self.handle.registerTimer(int(pd.Timestamp(gone).timestamp() * 1000) + 1)
+        yield pd.DataFrame(out, columns=["key", "at", "seq", "progress", "changed_at", "verdict"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_changes(events: DataFrame) -> DataFrame:
+    """Changes of a stream of ``(key, at, seq, generation, deleted)``."""
+    return events.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Changes(), outputStructType=CHANGES_OUT, outputMode="Append", timeMode="None"
+    )
+
+
+def stream_stalls(observations: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Watches of a stream of ``(key, at, seq, ok, progress)``."""
+    return observations.withWatermark("at", late).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Stalls(), outputStructType=STALLS_OUT, outputMode="Append", timeMode="EventTime"
+    )
