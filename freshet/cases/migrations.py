@@ -132,7 +132,7 @@ ORACLES["migration_result"] = f"WITH {RESULT_SQL} SELECT * FROM results"
 
 
 def migration_error_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _batches(spark, sf_dir).select("restore", "batch", migrations.error_line(F.col("stats")).alias("error"))
+    return migrations.error_lines(_batches(spark, sf_dir))
 
 
 QUERIES["migration_error_line"] = migration_error_line
@@ -171,7 +171,7 @@ FROM {documents}"""
 
 
 def log_tail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, LOGS).select("job", logs.log_tail(F.col("log")).alias("log_tail"))
+    return logs.log_tail(derive(spark, sf_dir, LOGS))
 
 
 def log_tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

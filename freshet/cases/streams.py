@@ -35,11 +35,11 @@ SELECT ts AS at, event_id, CASE WHEN event_id % 23 = 0 THEN 'not json' WHEN even
   ', "received_payload_bytes": ' || CAST(event_id AS string) || '}}}}' END AS body
 FROM {{events}}"""
 _SAMPLES_OK = f"""
-ok AS (SELECT at, {_UUID} AS run_id, CASE WHEN user_id % 2 = 0 THEN 'restore' ELSE 'verify' END AS type,
+ok AS (SELECT "at", {_UUID} AS run_id, CASE WHEN user_id % 2 = 0 THEN 'restore' ELSE 'verify' END AS type,
   event_id * 7 AS sent_raw_bytes,
   CASE WHEN user_id % 11 = 0 THEN 9223372036854775807 ELSE event_id * 5 END AS sent_payload_bytes,
   event_id * 3 AS received_raw_bytes, event_id AS received_payload_bytes
-  FROM (SELECT *, ts AS at FROM events) e WHERE event_id % 23 <> 0 AND event_id % 29 <> 0 AND event_id % 31 <> 0 AND event_id % 37 <> 0)"""
+  FROM (SELECT *, ts AS "at" FROM events) e WHERE event_id % 23 <> 0 AND event_id % 29 <> 0 AND event_id % 31 <> 0 AND event_id % 37 <> 0)"""
 _TOTALS_SQL = f"WITH {_SAMPLES_OK} SELECT run_id, type, " + ", ".join(
     f"max({c})::BIGINT AS {c}" for c in progress.COUNTERS
 ) + " FROM ok GROUP BY run_id, type"
@@ -76,7 +76,7 @@ ORACLES["progress_totals"] = _TOTALS_SQL
 QUERIES["progress_totals_stream"] = progress_totals_stream
 ORACLES["progress_totals_stream"] = _TOTALS_SQL
 QUERIES["progress_rates"] = progress_rates
-ORACLES["progress_rates"] = f"WITH {_SAMPLES_OK}, w AS (SELECT run_id, type, date_trunc('hour', at)::TIMESTAMP AS window_start, " + ", ".join(
+ORACLES["progress_rates"] = f"WITH {_SAMPLES_OK}, w AS (SELECT run_id, type, date_trunc('hour', ok.at)::TIMESTAMP AS window_start, " + ", ".join(
     f"max({c}) AS {c}" for c in progress.COUNTERS
 ) + " FROM ok GROUP BY ALL) SELECT run_id, type, window_start, " + ", ".join(
     f"greatest({c} - coalesce(max({c}) OVER (PARTITION BY run_id, type ORDER BY window_start"

@@ -38,6 +38,30 @@ def draw(key: str, row: Column, number: int = 0) -> Column:
     return F.conv(F.substring(digest(key, row, number), 1, 13), 16, 10).cast("bigint")
 
 
+class Staged:
+    """Columns a projection computes once, for the expressions above it to share.
+
+    A draw used in several branches would be digested again in each of them;
+    staged, it is one column, and both projections stay in one code stage.
+    """
+
+    def __init__(self, prefix: str = "__staged") -> None:
+        self._prefix = prefix
+        self._columns: dict[str, Column] = {}
+        self._names: dict[tuple, str] = {}
+
+    def column(self, key: tuple, build) -> Column:
+        """The staged column for ``key``, built on first use."""
+        if key not in self._names:
+            name = f"{self._prefix}_{len(self._names)}"
+            self._names[key], self._columns[name] = name, build()
+        return F.col(self._names[key])
+
+    def on(self, df):
+        """The frame with everything staged so far."""
+        return df.withColumns(self._columns) if self._columns else df
+
+
 def unit(n: Column) -> Column:
     """A draw as a double in [0, 1)."""
     return n / F.lit(float(DRAW_SPAN))

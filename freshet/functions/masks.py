@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -50,9 +50,13 @@ class MaskContext:
     range: tuple[float, float] | None = None
     default: str | None = None
     as_of: dt.date = dt.date(2026, 1, 1)
+    staged: draws.Staged = field(default_factory=draws.Staged)
 
     def draw(self, number: int = 0) -> Column:
-        return draws.draw(self.key, self.row, number)
+        """Draw ``number`` of the row for this column, computed once however often it is used."""
+        return self.staged.column(
+            ("draw", self.key, number), lambda: draws.draw(self.key, self.row, number)
+        )
 
     def bounds(self, kind: str) -> tuple[float, float]:
         return self.range or DEFAULT_RANGES[kind]

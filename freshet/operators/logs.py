@@ -65,42 +65,62 @@ def redact(log: Column, secrets: Sequence[str] | None) -> Column:
     return reduce(lambda t, form: F.replace(t, F.lit(form), F.lit(REDACTED)), forms, text)
 
 
+_MARKER = "(?:" + "|".join("\\Q" + m + "\\E" for m in ERROR_MARKERS) + ")"
+
+#: A line with a marker at its start or after a blank; only ``\n`` ends a line.
+ERROR_LINE = r"(?dmU)^(?:[^\S\n]*|.*? )" + _MARKER + ".*$"
+
+
 def is_error_line(line: Column) -> Column:
     """Whether a line names an error: a marker at its start or after a blank."""
-    stripped = F.regexp_replace(line, r"(?U)^\s+", "")
-    hits = [stripped.startswith(m) | stripped.contains(" " + m) for m in ERROR_MARKERS]
-    return reduce(lambda a, b: a | b, hits)
+    return line.rlike(ERROR_LINE)
+
+
+def log_lines(log: Column) -> Column:
+    """Lines of a text: no empty one after a last line break."""
+    return F.when(log == "", F.array().cast("array<string>")).otherwise(F.split(_body(log), "\n"))
+
+
+def _body(log: Column) -> Column:
+    return F.regexp_replace(F.replace(log, F.lit("\r\n"), F.lit("\n")), r"\n\z", "")
+
 
+def _fit(df: DataFrame, kept: Sequence[str], tail: str, first: str, outside: str, name: str) -> DataFrame:
+    """A tail within its bytes, behind the first error if it does not show that itself.
 
-def _fit(tail: Column, headline: Column) -> Column:
-    """A tail within its bytes, behind the headline if it does not show it itself."""
+    Every step is a column of its own, so that no text is searched twice.
+    """
     gap = F.lit("\n…\n")
+    headline = F.col("_headline")
+    steps = df.select(
+        *kept, F.col(tail).alias("_tail"),
+        F.when(F.col(outside), head_bytes(trimmed(F.col(first)), MAX_HEADLINE_BYTES)).alias("_headline"),
+    )
     budget = F.when(headline.isNull(), F.lit(MAX_BYTES)).otherwise(
         MAX_BYTES - F.octet_length(headline) - F.octet_length(gap)
     )
-    kept = tail_bytes(tail, budget)
-    return F.when(headline.isNull() | kept.contains(headline), kept).otherwise(
-        F.concat(headline, gap, kept)
-    )
-
+    steps = steps.select(*kept, headline, tail_bytes(F.col("_tail"), budget).alias("_kept"))
+    ends = F.col("_kept")
+    fitted = F.when(headline.isNull() | ends.contains(headline), ends).otherwise(F.concat(headline, gap, ends))
+    return steps.select(*kept, fitted.alias(name))
 
-def log_lines(log: Column) -> Column:
-    """Lines of a text: no empty one after a last line break, no carriage returns."""
-    body = F.regexp_replace(F.regexp_replace(log, r"\n\z", ""), r"\r(?=\n|\z)", "")
-    return F.when(log == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
+def log_tail(df: DataFrame, log: str = "log", name: str = "log_tail") -> DataFrame:
+    """Replace a log by its last 40 lines in at most 2000 bytes, the first error ahead of them.
 
-def log_tail(log: Column) -> Column:
-    """The last 40 lines in at most 2000 bytes; the first error kept ahead of them."""
-    lines = log_lines(log)
-    start = F.greatest(F.size(lines) - KEEP_LINES, F.lit(0))
-    tail = F.array_join(F.slice(lines, start + 1, F.lit(KEEP_LINES)), "\n")
-    errors = F.filter(F.transform(lines, lambda line, at: F.struct(at.alias("at"), line.alias("line"))),
-                      lambda e: is_error_line(e["line"]))
-    first = F.get(errors, 0)
-    outside = (first["at"] < start) | (F.octet_length(tail) > MAX_BYTES)
-    headline = F.when(outside, head_bytes(trimmed(first["line"]), MAX_HEADLINE_BYTES))
-    return _fit(tail, headline)
+    Works on each text where it is: no lines are exploded and nothing is shuffled.
+    """
+    kept = [c for c in df.columns if c not in (log, name)]
+    body = df.select(*kept, _body(F.col(log)).alias("_body"))
+    ends = body.withColumn("_tail", F.substring_index("_body", "\n", -KEEP_LINES))
+    before = F.left(F.col("_body"), F.char_length("_body") - F.char_length("_tail"))
+    found = ends.select(
+        *kept, "_tail",
+        F.regexp_extract("_body", ERROR_LINE, 0).alias("_first"),
+        before.rlike(ERROR_LINE).alias("_earlier"),
+    )
+    outside = (F.col("_first") != "") & (F.col("_earlier") | (F.octet_length("_tail") > MAX_BYTES))
+    return _fit(found.withColumn("_outside", outside), kept, "_tail", "_first", "_outside", name)
 
 
 def log_tail_lines(
@@ -109,20 +129,25 @@ def log_tail_lines(
     """The same over a table of numbered lines, as ``(…keys, log_tail)``.
 
     The row number limit is applied in every map task before the shuffle, so a
-    job with most of the lines still sends 40 per task; the count and the first
-    error are folded the same way.
+    job with most of the lines still sends 40 per task; the first error is
+    folded the same way.
     """
     at, line = F.col(number), F.col(text)
     last = Window.partitionBy(*keys).orderBy(at.desc())
-    kept = lines.withColumn("_from_end", F.row_number().over(last)).where(F.col("_from_end") <= KEEP_LINES)
-    tails = kept.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(at.alias("at"), line.alias("line")))).alias("_tail")
+    ends = lines.withColumn("_from_end", F.row_number().over(last)).where(F.col("_from_end") <= KEEP_LINES)
+    tails = ends.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(at.alias("at"), line.alias("line")))).alias("_lines")
+    ).select(
+        *keys,
+        F.get("_lines", F.lit(0))["at"].alias("_start"),
+        F.array_join(F.transform("_lines", lambda e: e["line"]), "\n").alias("_tail"),
+    )
+    firsts = lines.where(is_error_line(line)).groupBy(*keys).agg(
+        F.min(F.struct(at.alias("at"), line.alias("line"))).alias("_error")
     )
-    error = is_error_line(line)
-    firsts = lines.groupBy(*keys).agg(
-        F.min_by(F.when(error, F.struct(at.alias("at"), line.alias("line"))), F.when(error, at)).alias("_first")
+    joined = tails.join(firsts, list(keys), "left")
+    outside = F.col("_error").isNotNull() & (
+        (F.col("_error.at") < F.col("_start")) | (F.octet_length("_tail") > MAX_BYTES)
     )
-    tail = F.array_join(F.transform("_tail", lambda e: e["line"]), "\n")
-    outside = (F.col("_first.at") < F.get("_tail", F.lit(0))["at"]) | (F.octet_length(tail) > MAX_BYTES)
-    headline = F.when(outside, head_bytes(trimmed(F.col("_first.line")), MAX_HEADLINE_BYTES))
-    return tails.join(firsts, list(keys)).select(*keys, _fit(tail, headline).alias("log_tail"))
+    staged = joined.select(*keys, "_tail", F.col("_error.line").alias("_first"), outside.alias("_outside"))
+    return _fit(staged, keys, "_tail", "_first", "_outside", name="log_tail")

@@ -37,6 +37,18 @@ def newest_batches(batches: DataFrame, base: DataFrame) -> DataFrame:
     return fresh.groupBy("restore").agg(newest.alias("b")).select("restore", "b.*")
 
 
+#: A batch's statistics, parsed once; values keep their JSON type until they are read.
+STATS_SCHEMA = (
+    "durationMsPerMigration map<string,variant>,"
+    "preSnapshot struct<databaseSizeBytes:variant>,"
+    "failedMigration variant,"
+    "error struct<code:variant,name:variant,message:variant,table:variant,"
+    "column:variant,constraint:variant,detail:variant,hint:variant>"
+)
+ERROR_FIELDS = ["code", "name", "message", "table", "column", "constraint", "detail", "hint"]
+TIMINGS = "array<struct<name:string,elapsed_seconds:bigint>>"
+
+
 def _whole(value: Column) -> Column:
     """A JSON whole number; any other JSON value is none."""
     return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
@@ -46,13 +58,13 @@ def _string(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def timings(migrations: Column, stats: Column) -> Column:
-    """Whole seconds of each migration in batch order, every one cut off by itself."""
-    took = F.try_variant_get(
-        F.try_variant_get(F.try_parse_json(stats), "$.durationMsPerMigration", "variant"),
-        "$", "map<string,variant>",
-    )
+def _parsed(batches: DataFrame) -> DataFrame:
+    """Batches with ``_stats`` parsed, as a column of its own so it is parsed once."""
+    return batches.withColumn("_stats", F.from_json("stats", STATS_SCHEMA))
+
 
+def timings(migrations: Column, took: Column) -> Column:
+    """Whole seconds of each migration in batch order, every one cut off by itself."""
     def seconds(name: Column) -> Column:
         return F.call_function("div", F.coalesce(_whole(F.try_element_at(took, name)), F.lit(0)), F.lit(1000))
 
@@ -63,31 +75,37 @@ def timings(migrations: Column, stats: Column) -> Column:
 
 def migration_timings(batches: DataFrame) -> DataFrame:
     """One row per migration of each batch, numbered in batch order."""
-    timed = batches.select("restore", "batch", timings(F.col("migrations"), F.col("stats")).alias("t"))
-    return timed.select("restore", "batch", F.posexplode("t").alias("position", "t")).select(
-        "restore", "batch", "position", "t.name", "t.elapsed_seconds"
+    took = _parsed(batches).select(
+        "restore", "batch", F.col("_stats.durationMsPerMigration").alias("_took"),
+        F.posexplode("migrations").alias("position", "name"),
+    )
+    milliseconds = F.coalesce(_whole(F.try_element_at("_took", F.col("name"))), F.lit(0))
+    return took.select(
+        "restore", "batch", "position", "name",
+        F.call_function("div", milliseconds, F.lit(1000)).alias("elapsed_seconds"),
     )
 
 
-def bytes_before(stats: Column) -> Column:
-    """The size a batch recorded before it ran; unreadable and negative sizes are unknown."""
-    size = F.try_variant_get(F.try_parse_json(stats), "$.preSnapshot.databaseSizeBytes", "variant")
+def bytes_before(size: Column) -> Column:
+    """The size recorded before a batch ran; unreadable and negative sizes are unknown."""
     text = _string(size)
     known = F.coalesce(_whole(size), F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("bigint")))
     return F.when(known >= 0, known)
 
 
-def error_line(stats: Column) -> Column:
-    """A batch's structured error on one line, NULL if it recorded none."""
-    doc = F.try_parse_json(stats)
+def _error_fields(df: DataFrame, error: str) -> DataFrame:
+    """The fields of a structured error as trimmed texts, blanks left out."""
+    texts = df.withColumns({f"_e_{name}": trimmed(_string(F.col(f"{error}.{name}"))) for name in ERROR_FIELDS})
+    return texts.withColumns({f"_e_{name}": F.nullif(F.col(f"_e_{name}"), F.lit("")) for name in ERROR_FIELDS})
+
 
+def _error_line() -> Column:
+    """A structured error on one line, NULL if there is none."""
     def field(name: str) -> Column:
-        value = trimmed(_string(F.try_variant_get(doc, f"$.error.{name}", "variant")))
-        return F.when(value != "", value)
+        return F.col(f"_e_{name}")
 
     def joined(separator: str, *parts: Column) -> Column:
-        text = F.concat_ws(separator, *parts)
-        return F.when(text != "", text)
+        return F.nullif(F.concat_ws(separator, *parts), F.lit(""))
 
     head = joined(": ", F.coalesce(field("code"), field("name")), field("message"))
     where = joined(", ", joined(".", field("table"), field("column")), field("constraint"))
@@ -100,31 +118,38 @@ def error_line(stats: Column) -> Column:
     )
 
 
+def error_lines(batches: DataFrame) -> DataFrame:
+    """``(restore, batch, error)``: what each batch recorded going wrong."""
+    return _error_fields(_parsed(batches), "_stats.error").select("restore", "batch", _error_line().alias("error"))
+
+
 def migration_results(runs: DataFrame, batches: DataFrame) -> DataFrame:
     """One result per run; a run whose job wrote no batch keeps a row.
 
     ``runs`` has ``restore, job_failed, bytes_after`` and optionally
     ``log_tail``; ``batches`` has at most one (the newest) batch per restore.
     """
-    found = batches.select(
-        "restore", "batch_duration_ms", "stats",
-        timings(F.col("migrations"), F.col("stats")).alias("timings"), F.lit(True).alias("_found"),
+    newest = batches.select("restore", "batch_duration_ms", "stats", "migrations", F.lit(True).alias("_found"))
+    failed = F.col("job_failed")
+    joined = _parsed(runs.join(newest, "restore", "left")).withColumns({
+        "_took": F.col("_stats.durationMsPerMigration"),
+        "_error": F.when(failed, F.col("_stats.error")),
+    })
+    read = _error_fields(joined, "_error").withColumn(
+        "timings", F.coalesce(timings(F.col("migrations"), F.col("_took")), F.array().cast(TIMINGS))
     )
-    joined = runs.join(found, "restore", "left")
     summed = F.aggregate("timings", F.lit(0).cast("bigint"), lambda total, t: total + t["elapsed_seconds"])
-    elapsed = F.coalesce(F.call_function("div", F.col("batch_duration_ms"), F.lit(1000)), summed, F.lit(0))
-    named = _string(F.try_variant_get(F.try_parse_json("stats"), "$.failedMigration", "variant"))
-    failed = F.col("job_failed")
-    tail = F.col("log_tail") if "log_tail" in runs.columns else F.lit(None).cast("string")
-    return joined.select(
+    tail = F.nullif(F.col("log_tail"), F.lit("")) if "log_tail" in runs.columns else F.lit(None).cast("string")
+    named = _string(F.col("_stats.failedMigration"))
+    return read.select(
         "restore",
         F.coalesce("_found", F.lit(False)).alias("has_batch"),
-        elapsed.alias("elapsed_seconds"),
+        F.coalesce(F.call_function("div", F.col("batch_duration_ms"), F.lit(1000)), summed).alias("elapsed_seconds"),
         F.when(failed, F.coalesce(named, F.lit(UNKNOWN))).alias("failed_migration"),
-        F.when(failed, F.coalesce(error_line(F.col("stats")), F.when(tail != "", tail))).alias("error"),
-        F.coalesce(bytes_before(F.col("stats")), F.col("bytes_after")).alias("bytes_before"),
+        F.when(failed, F.coalesce(_error_line(), tail)).alias("error"),
+        F.coalesce(bytes_before(F.col("_stats.preSnapshot.databaseSizeBytes")), F.col("bytes_after")).alias("bytes_before"),
         "bytes_after",
-        F.coalesce("timings", F.array().cast("array<struct<name:string,elapsed_seconds:bigint>>")).alias("timings"),
+        "timings",
     )
 
 

@@ -191,7 +191,9 @@ def mask_table(
         by_column.setdefault(entry["column"], []).append(entry)
     if not by_column:
         return df, []
-    key = _row_key(df, table, set(by_column), settings)
+    key = draws.Staged("__row")
+    row = key.column(("row",), lambda: _row_key(df, table, set(by_column), settings))
+    keyed, staged = key.on(df), draws.Staged("__draw")
     dtypes = {f.name: f.dataType for f in df.schema.fields}
 
     chosen: dict[str, Column] = {}
@@ -202,20 +204,22 @@ def mask_table(
             dtype=dtypes[name],
             data_type=group[0]["data_type"],
             key=draws.column_key(settings.secret, table, name),
-            row=key,
+            row=row,
             default=group[0]["column_default"],
             as_of=settings.as_of,
+            staged=staged,
         )
         kinds = [(e["kind"], tuple(e["range"]) if e["range"] else None) for e in group]
         try:
             value = masks.chain(kinds, ctx)
-            df.select(value)  # analysis only: a mask that does not fit is found here
+            staged.on(keyed).select(value)  # analysis only: a mask that does not fit is found here
         except (AnalysisException, ParseException):
             default = any(kind == "default" for kind, _ in kinds)
             broken += [(name, "no_default" if default else "type_mismatch")] * len(kinds)
             continue
         chosen[name] = value
-    return df.select(*[chosen[c].alias(c) if c in chosen else _column(c) for c in df.columns]), broken
+    out = [chosen[c].alias(c) if c in chosen else _column(c) for c in df.columns]
+    return staged.on(keyed).select(*out), broken
 
 
 @dataclass

@@ -69,10 +69,10 @@ def flatten_manifests(manifests: DataFrame, doc: str = "doc") -> DataFrame:
         F.col("_source_value"),
     ).where(F.col("schema").isNotNull() & F.col("table").isNotNull())
 
-    tables = named.select(
+    tables = named.withColumn("_mask", _masking(F.col("_source_value"))).select(
         *kept, "schema", "table",
         F.lit(None).cast("string").alias("column"),
-        _kind(_masking(F.col("_source_value"))).alias("kind"),
+        _kind(F.col("_mask")).alias("kind"),
         F.lit(None).cast("struct<lo:double,hi:double>").alias("range"),
         F.struct(F.col("_source_pos").alias("source"), F.lit(-1).alias("column")).alias("seq"),
     )
