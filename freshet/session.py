@@ -24,6 +24,10 @@ REQUIRED_CONF = {
 }
 
 
+#: Folders of single-JVM sessions that name none, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the session options the results depend on."""
     for key, value in REQUIRED_CONF.items():
@@ -62,9 +66,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    chosen = tempfile.mkdtemp(prefix="freshet-")
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    return chosen
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="freshet-")
+    return _LOCAL_DIRS[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import exists
+from ..session import exists, local_frame
 
 PUBLISHABLE = ("complete", "partial")
 POINTER_SCHEMA = "run_id string, phase string, published_at timestamp, seq bigint"
@@ -37,7 +37,20 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, run_id: str, thread
     """Write a run's tables, a few at a time so small ones do not queue behind big ones."""
     with ThreadPoolExecutor(threads) as pool:
         pending = {name: pool.submit(write_table, df, root, run_id, name) for name, df in tables.items()}
-        return {name: future.result() for name, future in pending.items()}
+        paths = {name: future.result() for name, future in pending.items()}
+    if paths:
+        spark = next(iter(tables.values())).sparkSession
+        index = local_frame(spark, [(name,) for name in sorted(paths)], "name string")
+        index.coalesce(1).write.mode("append").parquet(f"{root}/tables/{run_id}")
+    return paths
+
+
+def written_tables(spark: SparkSession, root: str, run_id: str) -> list[str]:
+    """Names of the tables a run has staged, from its index."""
+    path = f"{root}/tables/{run_id}"
+    if not exists(spark, path):
+        return []
+    return [r.name for r in spark.read.parquet(path).distinct().orderBy("name").collect()]
 
 
 def _history(spark: SparkSession, root: str) -> DataFrame | None:

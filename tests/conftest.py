@@ -8,11 +8,10 @@ sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from freshet.session import local_session
 
     session = local_session("freshet-tests", cores="4", memory="4g")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
