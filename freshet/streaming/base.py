@@ -14,13 +14,14 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000, **options) -> DataFrame:
-    """A parquet folder as a stream.
+def read_files(spark: SparkSession, path: str, schema, per_trigger: str | int = "1g", **options) -> DataFrame:
+    """A parquet folder as a stream, so many bytes (or, as a number, files) at a time.
 
-    The limit per trigger bounds a micro-batch, and with it the rows of one key
-    a stateful task has to put in order at a time.
+    The limit bounds a micro-batch, and with it the rows of one key a stateful
+    task has to put in order at a time.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    limit = "maxFilesPerTrigger" if isinstance(per_trigger, int) else "maxBytesPerTrigger"
+    reader = spark.readStream.schema(schema).option(limit, per_trigger)
     return reader.options(**options).parquet(path)
 
 

@@ -1,7 +1,9 @@
 """The two streams that need each key's rows in order: changes and stalls.
 
 Both keep one small value per key in the state store. A micro-batch's rows of a
-key are put in order by (at, seq) first; the trigger limit bounds how many.
+key are put in order by (at, seq) first; the trigger limit bounds how many. A
+backlog does not go through here key by key: its batch twin works it off in
+segments, and the stream starts from the state that leaves (``initial``).
 """
 
 from __future__ import annotations
@@ -10,10 +12,10 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.stalls import ABANDONED_SECONDS, NOT_REINDEXING, STALL_SECONDS, STALLED, WAIT
+from ..operators.stalls import ABANDONED_SECONDS, NOT_REINDEXING, STALL_SECONDS, STALLED, WAIT, watch
 
 CHANGES_OUT = "key bigint, at timestamp, seq bigint, generation bigint"
 STALLS_OUT = "key bigint, at timestamp, seq bigint, progress string, changed_at timestamp, verdict string"
@@ -29,6 +31,9 @@ class Changes(StatefulProcessor):
     def init(self, handle) -> None:
         self.seen = handle.getValueState("generation", "generation bigint")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((int(initialState["generation"].iloc[0]),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
         known = self.seen.get()[0] if self.seen.exists() else None
@@ -56,6 +61,11 @@ class Stalls(StatefulProcessor):
             "watch", "progress string, observed_at timestamp, changed_at timestamp"
         )
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        progress = None if pd.isna(row["progress"]) else row["progress"]
+        self.state.update((progress, row["observed_at"].to_pydatetime(), row["changed_at"].to_pydatetime()))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watch = self.state.get() if self.state.exists() else None
         out = []
@@ -92,15 +102,30 @@ class Stalls(StatefulProcessor):
         pass
 
 
-def stream_changes(events: DataFrame) -> DataFrame:
+def changes_state(events: DataFrame) -> DataFrame:
+    """What a stream of changes should know after these events: a fold per key."""
+    newest = F.max_by(F.struct("generation", "deleted"), F.struct("at", "seq"))
+    left = events.groupBy("key").agg(newest.alias("n")).where(~F.col("n.deleted"))
+    return left.select("key", F.col("n.generation").alias("generation"))
+
+
+def stalls_state(observations: DataFrame) -> DataFrame:
+    """What a stream of watches should know after these observations."""
+    newest = F.max_by(F.struct("progress", F.col("at").alias("observed_at"), "changed_at"), F.struct("at", "seq"))
+    return watch(observations, keys=["key"]).groupBy("key").agg(newest.alias("n")).select("key", "n.*")
+
+
+def stream_changes(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Changes of a stream of ``(key, at, seq, generation, deleted)``."""
     return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Changes(), outputStructType=CHANGES_OUT, outputMode="Append", timeMode="None"
+        statefulProcessor=Changes(), outputStructType=CHANGES_OUT, outputMode="Append", timeMode="None",
+        initialState=None if initial is None else initial.groupBy("key"),
     )
 
 
-def stream_stalls(observations: DataFrame, late: str = "1 hour") -> DataFrame:
+def stream_stalls(observations: DataFrame, late: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
     """Watches of a stream of ``(key, at, seq, ok, progress)``."""
     return observations.withWatermark("at", late).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Stalls(), outputStructType=STALLS_OUT, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=Stalls(), outputStructType=STALLS_OUT, outputMode="Append", timeMode="EventTime",
+        initialState=None if initial is None else initial.groupBy("key"),
     )
