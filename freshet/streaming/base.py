@@ -14,15 +14,19 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def read_files(spark: SparkSession, path: str, schema, per_trigger: str | int = "1g", **options) -> DataFrame:
-    """A parquet folder as a stream, so many bytes (or, as a number, files) at a time.
+def read_files(
+    spark: SparkSession, path: str, schema, bytes_per_trigger: int = 1 << 30,
+    files_per_trigger: int | None = None, **options,
+) -> DataFrame:
+    """A parquet folder as a stream, so many bytes (or files, if named) at a time.
 
     The limit bounds a micro-batch, and with it the rows of one key a stateful
     task has to put in order at a time.
     """
-    limit = "maxFilesPerTrigger" if isinstance(per_trigger, int) else "maxBytesPerTrigger"
-    reader = spark.readStream.schema(schema).option(limit, per_trigger)
-    return reader.options(**options).parquet(path)
+    reader = spark.readStream.schema(schema).options(**options)
+    if files_per_trigger is not None:
+        return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return reader.option("maxBytesPerTrigger", bytes_per_trigger).parquet(path)
 
 
 def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:

@@ -36,7 +36,7 @@ def cut(spark, df, parts, path=None):
 
 def drain(spark, df, parts, build, path=None, sink=None, checkpoint=None):
     path = cut(spark, df, parts, path)
-    stream = build(read_files(spark, path, df.drop("event_id").schema, per_trigger=1))
+    stream = build(read_files(spark, path, df.drop("event_id").schema, files_per_trigger=1))
     sink, checkpoint = sink or fresh_path(spark, "out"), checkpoint or fresh_path(spark, "state")
     run_to_end(stream, sink, checkpoint)
     return path, sink, checkpoint
@@ -118,7 +118,7 @@ def test_totals_survive_lost_repeated_and_late_samples(spark, events):
     start = events.agg(F.min("at")).first()[0]
     rows = spark.createDataFrame([(i, start, b) for i, b in enumerate(bodies)], "event_id bigint, at timestamp, body string")
     path = cut(spark, rows, 3)
-    samples = progress.parse_samples(read_files(spark, path, rows.drop("event_id").schema, per_trigger=1))
+    samples = progress.parse_samples(read_files(spark, path, rows.drop("event_id").schema, files_per_trigger=1))
     sink, state = fresh_path(spark, "out"), fresh_path(spark, "state")
     write_updates(progress.stream_totals(samples), sink, state).awaitTermination()
     total = progress.totals(spark.read.parquet(sink)).collect()
@@ -130,7 +130,7 @@ def test_latest_payload_wins_and_ages_out(spark, events):
         "event_id", (F.col("user_id") % 7).alias("key"), "at", F.col("event_id").alias("seq"), F.col("props").alias("payload"))
     end = rows.agg(F.max("at")).first()[0]
     path = cut(spark, rows, 3)
-    stream = read_files(spark, path, rows.drop("event_id").schema, per_trigger=1)
+    stream = read_files(spark, path, rows.drop("event_id").schema, files_per_trigger=1)
     sink, state = fresh_path(spark, "out"), fresh_path(spark, "state")
     write_updates(latest.stream_latest(stream), sink, state).awaitTermination()
     for seconds in (3600, 1_000_000):
