@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import expressions as ex
 from ..operators import access, fleet, verify
+from ..session import fresh_path
+from ..sources.publish import write_reports
 from .base import derive, plain, table
 
 QUERIES, ORACLES = {}, {}
@@ -153,9 +155,9 @@ SELECT *, {_BACKOFF} AS backoff_s FROM newest""")
 DESIRED = """
 SELECT 'i' || CAST(c_custkey AS string) AS identity,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 's' || CAST(c_custkey % 5 AS string) END AS desired_snapshot
-FROM {customer} WHERE c_mktsegment <> 'BUILDING'"""
+FROM {customer}"""
 ACTUAL = """
-SELECT 'i' || CAST(o_custkey AS string) AS identity,
+SELECT 'i' || CAST(o_custkey + 40 AS string) AS identity,
   CASE WHEN min(o_orderkey) % 7 = 0 THEN NULL ELSE 's' || CAST(min(o_orderkey) % 5 AS string) END AS actual_snapshot
 FROM {orders} GROUP BY o_custkey"""
 
@@ -307,6 +309,25 @@ body AS (SELECT restore, concat_ws(',', '"restore_duration_sec":' || restore_dur
   FROM runs LEFT JOIN maps USING (restore))
 SELECT restore, CASE WHEN b <> '' THEN '{{' || b || '}}' END AS health_details FROM body""")
 
+REPORTS = """
+SELECT o_orderkey AS restore, CASE o_orderkey % 3 WHEN 0 THEN 'upgrade' WHEN 1 THEN 'verify' ELSE NULL END AS intent,
+  CASE WHEN o_orderstatus = 'F' THEN 'failure' ELSE 'success' END AS outcome,
+  CASE WHEN o_orderstatus = 'F' THEN 'lost "' || o_orderpriority || '"' END AS error,
+  o_orderstatus <> 'F' AS replica_healthy, o_custkey AS received_bytes FROM {orders}"""
+
+
+def verify_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "reports")
+    write_reports(derive(spark, sf_dir, REPORTS), path)
+    return spark.read.text(path).withColumnRenamed("value", "report")
+
+
+_register("verify_reports", verify_reports, f"""
+WITH src AS ({plain(REPORTS)})
+SELECT '{{' || concat_ws(',', '"restore":' || restore::VARCHAR, '"intent":"' || intent || '"', '"outcome":"' || outcome || '"',
+  '"error":"' || replace(error, '"', chr(92) || '"') || '"', '"replica_healthy":' || replica_healthy::VARCHAR,
+  '"received_bytes":' || received_bytes::VARCHAR) || '}}' AS report FROM src""")
+
 LABELLED = """
 SELECT o_orderkey AS replica, o_custkey AS parent,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE md5('g' || CAST(o_custkey AS string)) END AS "group",

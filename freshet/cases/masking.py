@@ -184,7 +184,7 @@ _register(
 _register(
     "mask_phone",
     "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 5 = 0"
-    " THEN substr(text, 1, CAST(doc_id % 7 AS int)) ELSE text END AS phone FROM {documents}",
+    " THEN lang WHEN doc_id % 7 = 0 THEN '' ELSE text END AS phone FROM {documents}",
     "public.notes", {"phone": "phone"}, "doc_id",
     "SELECT doc_id, CASE WHEN phone IS NULL THEN NULL WHEN length(phone) < 5 THEN '****'"
     " ELSE substr(phone, 1, 2) || '****' || right(phone, 2) END AS phone FROM src",
@@ -610,7 +610,7 @@ ORACLES["mask_audit"] = f"WITH m AS ({MASKED_CUSTOMER_SQL}) " + " UNION ALL ".jo
 
 FACTS = """
 SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL
-  WHEN turn % 3 = 0 THEN 'S1:' || md5(role) || ':' || substr(text, 1, 12)
+  WHEN turn % 3 = 0 THEN 'S1:' || md5(role) || ':' || replace(text, ':', ';')
   WHEN turn % 3 = 1 THEN 'S1:a:' || role || ':' || text ELSE text END AS value FROM {conversations}"""
 
 

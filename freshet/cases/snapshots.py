@@ -282,8 +282,8 @@ FROM src GROUP BY restore"""
 
 WANTED_SCHEMAS = """
 SELECT c_custkey AS copy, 0 AS pos, c_mktsegment AS schema FROM {customer}
-UNION ALL SELECT c_custkey, 1, 'missing' FROM {customer} WHERE c_custkey % 4 = 0
-UNION ALL SELECT c_custkey, 2, 'dbt' FROM {customer} WHERE c_custkey % 3 = 0"""
+UNION ALL SELECT c_custkey, 1, CASE WHEN c_custkey % 4 = 0 THEN 'missing' ELSE 'staging' END FROM {customer}
+UNION ALL SELECT c_custkey, 2, CASE WHEN c_custkey % 3 = 0 THEN 'dbt' ELSE 'gone' END FROM {customer}"""
 PREVIOUS_TABLES = """
 SELECT o_custkey AS copy, CASE WHEN o_orderkey % 5 = 0 THEN 'dbt' WHEN o_orderkey % 5 = 1 THEN 'public'
   ELSE seg END AS schema, 't' || CAST(o_orderkey AS string) AS name

@@ -102,8 +102,8 @@ def _schema_of(table: str) -> str:
     return table.split(".", 1)[0]
 
 
-def _over(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """A view's text read over the copy's tables instead of the session's."""
+def select_over(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A query's text read over a copy's tables (``schema.table``) instead of the session's."""
     arguments = {}
     for name, df in tables.items():
         mention = re.compile(rf"(?<![\w.`]){re.escape(name)}(?![\w`])")
@@ -145,7 +145,7 @@ def carry_schemas(
             continue
         try:
             with _expecting_errors():
-                tables[name] = _over(spark, sql, tables)
+                tables[name] = select_over(spark, sql, tables)
         except PySparkException as err:
             errors[name] = str(err).splitlines()[0]
     phase = f"partial: {len(errors)} statement error(s)" if errors else "complete"

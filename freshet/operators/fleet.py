@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import slug
-from .ordered import by_day, running
+from .ordered import SEGMENT, cut, running
 
 # Fixed values.
 IN_PROGRESS = ["Pending", "Restoring", "Migrating", "Ready"]
@@ -147,13 +147,13 @@ def failure_streaks(
     """Adds ``streak``, failures in a row up to each attempt, and its ``backoff_s``.
 
     Failures up to the row, less the failures up to the last success: both are
-    running values, so a replica with any number of attempts is cut into days.
+    running values, so a replica may have any number of attempts.
     """
-    segment = by_day(order[0]) if segment is None else segment
     marked = attempts.withColumn("_failed", F.when(ok, F.lit(0)).otherwise(F.lit(1)).cast("bigint"))
-    counted = running(marked, keys, order, segment, {"_failures": ("sum", F.col("_failed"))})
+    pieces = cut(marked, keys, order, segment)
+    counted = running(pieces, keys, order, {"_failures": ("sum", F.col("_failed"))})
     settled = running(
-        counted, keys, order, segment, {"_at_success": ("max", F.when(F.col("_failed") == 0, F.col("_failures")))}
+        counted, keys, order, {"_at_success": ("max", F.when(F.col("_failed") == 0, F.col("_failures")))}
     )
     streak = F.col("_failures") - F.coalesce("_at_success", F.lit(0))
     return settled.select(*attempts.columns, streak.alias("streak"), backoff_seconds(streak).alias("backoff_s"))
@@ -211,11 +211,10 @@ def condition_history(
     order: Sequence[str] = ("at", "seq"), segment: Column | None = None,
 ) -> DataFrame:
     """Adds ``last_transition_at``: it moves only when the status changes."""
-    segment = by_day(order[0]) if segment is None else segment
-    seen = running(updates, keys, order, segment, {"_before": ("previous", F.struct("status"))})
+    seen = running(cut(updates, keys, order, segment), keys, order, {"_before": ("previous", F.struct("status"))})
     changed = F.col("_before").isNull() | ~F.col("_before.status").eqNullSafe(F.col("status"))
-    moved = running(seen, keys, order, segment, {"last_transition_at": ("last", F.when(changed, F.col(order[0])))})
-    return moved.drop("_before")
+    moved = running(seen, keys, order, {"last_transition_at": ("last", F.when(changed, F.col(order[0])))})
+    return moved.drop("_before", SEGMENT)
 
 
 def spec_changes(
@@ -227,10 +226,10 @@ def spec_changes(
     ``events`` has ``generation, deleted``. A key's first event counts; a
     deletion forgets the key and is no change itself.
     """
-    segment = by_day(order[0]) if segment is None else segment
-    seen = running(events, keys, order, segment, {"_before": ("previous", F.struct("generation", "deleted"))})
+    before = F.struct("generation", "deleted")
+    seen = running(cut(events, keys, order, segment), keys, order, {"_before": ("previous", before)})
     same = ~F.col("_before.deleted") & F.col("_before.generation").eqNullSafe(F.col("generation"))
-    return seen.where(~F.col("deleted") & ~F.coalesce(same, F.lit(False))).drop("_before")
+    return seen.where(~F.col("deleted") & ~F.coalesce(same, F.lit(False))).drop("_before", SEGMENT)
 
 
 def run_metrics(runs: DataFrame, keys: Sequence[str] = ("controller",)) -> DataFrame:

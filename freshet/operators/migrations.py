@@ -26,15 +26,14 @@ def newest_batches(batches: DataFrame, base: DataFrame) -> DataFrame:
     """The newest ``up`` batch after each copy's baseline, if there is one.
 
     ``base`` has ``restore, baseline``; the batch id decides between batches
-    logged at one instant. The maximum is folded before the shuffle.
+    logged at one instant. Only the newest of all can be the one sought, so it
+    is folded in the map tasks first and compared with the baseline afterwards.
     """
-    ups = batches.where(F.col("direction") == "up")
-    fresh = ups.join(base, "restore").where(
-        F.col("baseline").isNull() | (F.col("logged_at") > F.col("baseline"))
-    )
     rest = [c for c in batches.columns if c != "restore"]
     newest = F.max_by(F.struct(*rest), F.struct("logged_at", "batch"))
-    return fresh.groupBy("restore").agg(newest.alias("b")).select("restore", "b.*")
+    ups = batches.where(F.col("direction") == "up").groupBy("restore").agg(newest.alias("b"))
+    after = F.col("baseline").isNull() | (F.col("b.logged_at") > F.col("baseline"))
+    return ups.join(base, "restore").where(after).select("restore", "b.*")
 
 
 #: A batch's statistics, parsed once; values keep their JSON type until they are read.

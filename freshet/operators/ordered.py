@@ -1,43 +1,71 @@
 """Running values over ordered rows, for keys of any size.
 
-A plain window sorts all rows of a key in one task. Here a key's rows are cut
-into segments (a stretch of time, a run of line numbers): each segment is
-scanned on its own, one summary row per segment carries the rest forward, and
-only summaries of a key ever meet. The rows are shuffled once, on key and
-segment; the summaries are folded before theirs.
+A plain window sorts all rows of a key in one task. Here a busy key's rows are
+cut into segments along their order: each segment is scanned on its own, one
+summary row per segment carries the rest forward, and only summaries of a key
+ever meet. The rows are shuffled once, on key and segment, for any number of
+passes; the summaries are folded before theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-_SEGMENT = "_segment"
+SEGMENT = "_segment"
 
-#: How each running value is taken over rows, and summaries over each other.
-HOW = ("sum", "max", "last", "previous")
+#: A key with more than this share of all rows is cut up. No more than this many
+#: keys can have one, whatever the data, which is what bounds the broadcast below.
+SHARES = 10_000
+
+#: Keys with fewer rows than this are never worth cutting.
+SMALLEST_CUT = 100_000
+
+
+def cut(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column | None = None,
+    shares: int = SHARES, smallest: int = SMALLEST_CUT,
+) -> DataFrame:
+    """Add the segment of each row, to be dropped after the last running value.
+
+    Without a ``segment`` of the caller's, which must not decrease along
+    ``order``, keys are cut by their own size: one with more than its share of
+    the rows into even stretches of its first order column (a time or a number),
+    as many as it has shares; all others stay whole.
+    """
+    if segment is not None:
+        return df.withColumn(SEGMENT, segment)
+    first = F.col(order[0])
+    timed = isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    place = (F.unix_micros(first.cast("timestamp")) if timed else first).cast("double")
+    counts = df.select(*keys, place.alias("_place")).groupBy(*keys).agg(
+        F.count("*").alias("_rows"), F.min("_place").alias("_low"), F.max("_place").alias("_high")
+    )
+    share = F.greatest(df.agg(F.count("*")).scalar() / F.lit(shares), F.lit(smallest))
+    pieces = F.ceil(F.col("_rows") / share)
+    busy = counts.where(F.col("_rows") > share).select(
+        *keys, F.col("_low"), ((F.col("_high") - F.col("_low")) / pieces).alias("_width")
+    )
+    placed = df.join(F.broadcast(busy), list(keys), "left")
+    stretch = F.floor((place - F.col("_low")) / F.nullif(F.col("_width"), F.lit(0.0)))
+    return placed.select(*df.columns, F.coalesce(stretch, F.lit(0)).cast("bigint").alias(SEGMENT))
 
 
 def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    segment: Column,
-    values: Mapping[str, tuple[str, Column]],
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, tuple[str, Column]]
 ) -> DataFrame:
-    """Add running values per key, in ``order``.
+    """Add running values per key, in ``order``, to rows :func:`cut` into segments.
 
     ``values`` maps a new column to ``(how, expression)``: ``sum`` and ``max``
     up to the row, ``last`` non-NULL up to the row, or the ``previous`` non-NULL
-    before it. ``segment`` must not decrease along ``order``; keys, order and
-    segment must not be NULL, and ``order`` must be unique within a key.
+    before it. Keys and order must not be NULL, and ``order`` must be unique
+    within a key.
     """
-    cut = df.withColumn(_SEGMENT, segment)
-    inside = Window.partitionBy(*keys, _SEGMENT).orderBy(*order)
+    inside = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
     up_to = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*keys).orderBy(_SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
 
     local, totals, carried, merged = {}, [], {}, {}
     for name, (how, value) in values.items():
@@ -47,9 +75,8 @@ def running(
             local[here] = F.sum(value).over(up_to)
             totals.append(F.sum(value).alias(total))
             carried[carry] = F.sum(total).over(earlier)
-            merged[name] = F.when(mine.isNull() & past.isNull(), None).otherwise(
-                F.coalesce(mine, F.lit(0)) + F.coalesce(past, F.lit(0))
-            )
+            merged[name] = F.when(mine.isNotNull() | past.isNotNull(),
+                                  F.coalesce(mine, F.lit(0)) + F.coalesce(past, F.lit(0)))
         elif how == "max":
             local[here] = F.max(value).over(up_to)
             totals.append(F.max(value).alias(total))
@@ -61,12 +88,12 @@ def running(
             carried[carry] = F.last(total, ignorenulls=True).over(earlier)
             merged[name] = F.coalesce(mine, past)
         else:
-            raise ValueError(f"how must be one of {HOW}")
+            raise ValueError(f"unknown running value {how!r}")
 
-    rows = cut.withColumns(local)
-    summaries = cut.groupBy(*keys, _SEGMENT).agg(*totals)
-    carries = summaries.select(*keys, _SEGMENT, *[c.alias(name) for name, c in carried.items()])
-    joined = rows.join(carries, [*keys, _SEGMENT], "left")
+    rows = df.withColumns(local)
+    summaries = df.groupBy(*keys, SEGMENT).agg(*totals)
+    carries = summaries.select(*keys, SEGMENT, *[c.alias(name) for name, c in carried.items()])
+    joined = rows.join(carries, [*keys, SEGMENT], "left")
     return joined.select(*df.columns, *[c.alias(name) for name, c in merged.items()])
 
 
@@ -76,6 +103,7 @@ def by_day(ts: str) -> Column:
 
 
 def by_hour(ts: str) -> Column:
+    """Segments of one hour."""
     return F.date_trunc("hour", F.col(ts))
 
 

@@ -149,11 +149,12 @@ def not_covered(candidates: DataFrame, restores: DataFrame) -> DataFrame:
     """Candidates ``(replica, snapshot, verified)`` no restore is on yet.
 
     A snapshot is covered if it is the verified one, or any restore that has not
-    failed carries it.
+    failed carries it. Restores are reduced to one row per snapshot in the map
+    tasks, so a snapshot restored very often weighs no more than any other.
     """
     live = restores.where(F.col("phase").isNull() | (F.col("phase") != "Failed"))
     fresh = candidates.where(~F.col("verified").eqNullSafe(F.col("snapshot")))
-    return fresh.join(live.select("replica", "snapshot"), ["replica", "snapshot"], "left_anti")
+    return fresh.join(live.select("replica", "snapshot").distinct(), ["replica", "snapshot"], "left_anti")
 
 
 def storage_plan(

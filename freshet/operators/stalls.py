@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import by_day, running
+from .ordered import cut, running
 
 # Fixed values.
 STALL_SECONDS = 30 * 60
@@ -43,19 +43,18 @@ def watch(
     A run unseen for ten minutes is forgotten and watched afresh; failed
     observations with nothing watched yet give no row.
     """
-    segment = by_day(order[0]) if segment is None else segment
     at, kept = F.col(order[0]), [c for c in observations.columns if c != "progress"]
     good = F.when(F.col("ok"), F.struct(at.alias("at"), "progress"))
 
-    seen = running(observations, keys, order, segment, {
+    seen = running(cut(observations, keys, order, segment), keys, order, {
         "_before": ("previous", at), "_good_before": ("previous", good),
     })
     fresh = F.col("_before").isNull() | (_seconds(F.col("_before"), at) > ABANDONED_SECONDS)
-    begun = running(seen, keys, order, segment, {"_since": ("last", F.when(fresh, at)), "_good": ("last", good)})
+    begun = running(seen, keys, order, {"_since": ("last", F.when(fresh, at)), "_good": ("last", good)})
     continued = F.col("_good_before").isNotNull() & (F.col("_good_before.at") >= F.col("_since"))
     same = continued & F.col("_good_before.progress").eqNullSafe(F.col("progress"))
     moved = F.when(F.col("ok") & ~F.coalesce(same, F.lit(False)), at)
-    timed = running(begun, keys, order, segment, {"changed_at": ("last", moved)})
+    timed = running(begun, keys, order, {"changed_at": ("last", moved)})
     progress = F.col("_good.progress")
     return timed.where(F.col("_good.at") >= F.col("_since")).select(
         *kept, progress.alias("progress"), "changed_at", verdict(progress, F.col("changed_at"), at).alias("verdict")

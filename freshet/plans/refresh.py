@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.carry import carry_schemas, run_within, split_droppable
+from ..operators.carry import carry_schemas, run_within, select_over, split_droppable
 from ..operators.scrub import scrub_rows
 from ..sources.publish import current_run, publish, staging_path, write_tables, written_tables
 from .masking import Masking, mask_tables
@@ -24,7 +24,12 @@ class CarrySpec:
 
 @dataclass
 class RefreshSpec:
-    """What one refresh does. ``root`` holds the staged runs and the pointer."""
+    """What one refresh does. ``root`` holds the staged runs and the pointer.
+
+    ``pre_sql`` maps a table to a query over the copy's tables that replaces it,
+    in order, before masks; ``scrub`` names the column of a table whose
+    encrypted values go; ``drop_schemas`` are left out of the copy.
+    """
 
     root: str
     run_id: str
@@ -35,7 +40,7 @@ class RefreshSpec:
     scrub: Mapping[str, str] = field(default_factory=dict)
     drop_schemas: Sequence[str] = ()
     carry: CarrySpec = field(default_factory=CarrySpec)
-    pre_sql: Sequence[str] = ()
+    pre_sql: Mapping[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -65,11 +70,13 @@ def refresh(spark: SparkSession, spec: RefreshSpec, tables: Mapping[str, DataFra
         if name in kept:
             kept[name] = scrub_rows(kept[name], column)
     try:
+        for name, sql in spec.pre_sql.items():
+            kept[name] = select_over(spark, sql, kept)
         masked = mask_tables(spark, kept, spec.manifest, spec.masking, spec.catalog, spec.references)
     except Exception as err:  # any failure of the step holds the copy back
         return RefreshResult(f"failed: {err}")
 
-    carried = [s for s in spec.carry.schemas]
+    carried = list(spec.carry.schemas)
     own = {n: df for n, df in masked.tables.items() if n.split(".", 1)[0] not in carried}
     write_tables(own, spec.root, spec.run_id)
     staged = {n: spark.read.parquet(staging_path(spec.root, spec.run_id, n)) for n in own}

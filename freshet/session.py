@@ -21,6 +21,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key's join even where an aggregate follows on the same key: the
+    # aggregate then starts in the split tasks, and only its partial results meet.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

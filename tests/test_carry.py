@@ -13,6 +13,7 @@ from freshet.plans.masking import Masking
 from freshet.sources.manifest import manifest_from_text
 from freshet.sources.publish import (
     PublishRefused, current_run, publish, read_current, report_rows, staging_path, write_tables,
+    written_tables,
 )
 
 
@@ -102,16 +103,21 @@ MANIFEST = json.dumps({"sources": {"s": {"schema": "public", "name": "people", "
 def test_refresh_end_to_end(spark):
     root = fresh_path(spark, "refresh")
     people = spark.range(20).select("id", F.concat(F.lit("p"), "id", F.lit("@corp.test")).alias("email"))
-    tables = {"public.people": people, "reporting.old": spark.range(1)}
+    secrets = spark.createDataFrame([("a", "S1:aXY=:Y2lw"), ("b", "not-a-secret")], "key string, value string")
+    tables = {"public.people": people, "reporting.old": spark.range(1), "dbt.t": spark.range(2),
+              "public.secrets": secrets, "public.left_us": spark.range(3)}
     manifest = manifest_from_text(spark, MANIFEST)
     spec = RefreshSpec(
         root, "run-1", Masking("s", {"public.people": ("id",)}, on_error="tolerate"), manifest,
-        carry=CarrySpec(["reporting"]),
+        scrub={"public.secrets": "value"}, drop_schemas=["dbt", "public"], carry=CarrySpec(["reporting"]),
+        pre_sql={"public.people": "SELECT * FROM public.people WHERE id NOT IN (SELECT id FROM public.left_us)"},
     )
     first = refresh(spark, spec, tables)
     assert (first.masking_phase, first.carry_phase, first.published) == ("partial", "complete", True)
     masked = read_current(spark, root, "public.people")
-    assert masked.where("email like '%corp.test'").count() == 0
+    assert masked.where("email like '%corp.test'").count() == 0 and masked.count() == 17
+    assert [r.key for r in read_current(spark, root, "public.secrets").collect()] == ["b"]
+    assert "dbt.t" not in written_tables(spark, root, "run-1")
 
     # A build adds a reporting table to the published copy; the next refresh carries it on.
     write_tables({"reporting.built": spark.range(7)}, root, "run-1")
@@ -119,7 +125,7 @@ def test_refresh_end_to_end(spark):
     second = refresh(spark, spec, tables)
     assert second.carry_phase == "complete" and current_run(spark, root) == "run-2"
     assert read_current(spark, root, "reporting.built").count() == 7
-    assert read_current(spark, root, "reporting.v").count() == 20
+    assert read_current(spark, root, "reporting.v").count() == 17
 
     spec.run_id, spec.masking = "run-3", Masking("s", {"public.people": ("id",)}, on_error="fail")
     third = refresh(spark, spec, tables)

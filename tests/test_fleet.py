@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from freshet.functions import expressions as ex
 from freshet.operators import access, fleet, stalls, verify
-from freshet.operators.ordered import by_count, by_day, by_hour, running
+from freshet.operators.ordered import SEGMENT, by_count, by_day, by_hour, cut, running
 
 NOW = dt.datetime(2026, 5, 8, 12)
 
@@ -30,14 +30,15 @@ def skewed(spark):
     return spark.createDataFrame(rows, "key int, at timestamp, seq bigint, v bigint, flag boolean").repartition(6)
 
 
-@pytest.mark.parametrize("segment", ["day", "hour", "count", "one"])
+@pytest.mark.parametrize("segment", ["day", "hour", "count", "one", "size"])
 def test_running_values_match_plain_windows(skewed, segment):
     cuts = {"day": by_day("at"), "hour": by_hour("at"), "count": by_count("seq", 50), "one": F.lit(1)}
     v = F.col("v")
-    got = running(skewed, ["key"], ["at", "seq"], cuts[segment], {
+    pieces = cut(skewed, ["key"], ["at", "seq"], cuts.get(segment), shares=20, smallest=1)
+    got = running(pieces, ["key"], ["at", "seq"], {
         "total": ("sum", v), "peak": ("max", v), "newest": ("last", v), "earlier": ("previous", v),
         "row_before": ("previous", F.struct("v")),
-    })
+    }).drop(SEGMENT)
     w = Window.partitionBy("key").orderBy("at", "seq")
     up_to, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     plain = skewed.select(
@@ -49,11 +50,28 @@ def test_running_values_match_plain_windows(skewed, segment):
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
 
-def test_running_values_spread_a_hot_key(skewed):
-    segmented = running(skewed, ["key"], ["at", "seq"], by_day("at"), {"total": ("sum", F.col("v"))})
-    plan = segmented._jdf.queryExecution().optimizedPlan().toString()
-    # The rows are windowed per key and segment; only summaries are windowed per key.
-    assert plan.count("Window [") == 2 and "Aggregate [key" in plan
+def test_only_busy_keys_are_cut(skewed):
+    pieces = cut(skewed, ["key"], ["at", "seq"], shares=20, smallest=1)
+    sizes = pieces.groupBy("key", SEGMENT).count()
+    per_key = {r.key: r.n for r in sizes.groupBy("key").agg(F.count("*").alias("n")).collect()}
+    assert per_key[0] > 5 and max(n for k, n in per_key.items() if k) == 1
+    # A share is 150 rows; even stretches of a bursty key may hold somewhat more.
+    assert sizes.agg(F.max("count")).first()[0] < 400
+    assert cut(skewed, ["key"], ["at", "seq"]).where(F.col(SEGMENT) != 0).count() == 0
+
+
+def test_several_passes_shuffle_the_rows_once(skewed):
+    pieces = cut(skewed, ["key"], ["at", "seq"], by_day("at"))
+    once = running(pieces, ["key"], ["at", "seq"], {"a": ("sum", F.col("v"))})
+    twice = running(once, ["key"], ["at", "seq"], {"b": ("max", F.col("a"))})
+    once.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = twice._jdf.queryExecution().executedPlan().toString()
+    finally:
+        once.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_segment = [line for line in plan.splitlines() if "Exchange hashpartitioning(key" in line and SEGMENT in line]
+    # Per pass: rows or their pruned twin, the folded summaries, the carried values.
+    assert len(by_segment) <= 8
 
 
 @pytest.mark.parametrize("failures, delay", [(0, None), (1, 120), (2, 240), (3, 480), (4, 960), (5, 1920), (6, 3600), (7, 3600), (4_000_000, 3600)])
