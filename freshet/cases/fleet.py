@@ -175,7 +175,7 @@ SELECT coalesce(d.identity, a.identity) AS identity, desired_snapshot, actual_sn
 FROM d FULL JOIN a ON d.identity = a.identity""")
 
 DECLARED = """
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Fiji  Prod (' || o_orderpriority || ')' WHEN 1 THEN '---'
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Suva  Prod (' || o_orderpriority || ')' WHEN 1 THEN '---'
   WHEN 2 THEN 'Çá ' || o_orderpriority ELSE 'a-very-long-name-for-a-replica-of-many-things-that-goes-on ' || o_orderpriority END AS name,
   substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) AS replica_id,
   md5('server' || CAST(o_custkey AS string)) AS server_id,

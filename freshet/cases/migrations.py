@@ -26,9 +26,9 @@ SELECT l_orderkey AS restore,
        WHEN 3 THEN ', "preSnapshot": {{"databaseSizeBytes": "lots"}}'
        ELSE ', "preSnapshot": {{"databaseSizeBytes": ' || CAST(l_partkey * 1000 AS string) || '}}' END ||
   CASE WHEN l_suppkey % 3 = 0 THEN ', "failedMigration": "' || two || '"' ELSE '' END ||
-  CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ', "error": {{"name": "QueryFailedError", "message": " no relation "}}'
-       WHEN 2 THEN ', "error": {{"code": "23503", "name": "X", "message": "violates", "table": "encounters",' ||
-         ' "column": "patient_id", "constraint": "fk_patient", "detail": "Key (id)=(' || CAST(l_partkey AS string) || ')."}}'
+  CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ', "error": {{"name": "LookupFailed", "message": " no relation "}}'
+       WHEN 2 THEN ', "error": {{"code": "23503", "name": "X", "message": "violates", "table": "bookings",' ||
+         ' "column": "room_id", "constraint": "fk_room", "detail": "Key (id)=(' || CAST(l_partkey AS string) || ')."}}'
        WHEN 3 THEN ', "error": {{"code": "  ", "column": "c", "hint": "try again"}}'
        ELSE ', "error": {{"message": 5, "constraint": "only"}}' END || '}}' END AS stats
 FROM (SELECT *, 'm' || CAST(l_partkey AS string) || '-a.ts' AS one,
@@ -208,10 +208,10 @@ ORACLES["log_tail"] = f"WITH {TAIL_SQL} SELECT job, log_tail FROM done"
 QUERIES["log_tail_lines"] = log_tail_lines
 ORACLES["log_tail_lines"] = f"WITH {TAIL_SQL} SELECT job, log_tail FROM done WHERE n > 0"
 
-SECRETS = ["the", "p@ss.w0rd~x", ""]
+SECRETS = ["the", "k@y.1~z", ""]
 COLOURED = """
 SELECT doc_id AS job, chr(27) || '[1;31m' || lang || chr(27) || '[0m' || chr(10) ||
-  'postgresql://user:p@ss.w0rd~x@host retry p%40ss%2Ew0rd%7Ex then p%40ss.w0rd~x' || chr(9) || text ||
+  'postgresql://user:k@y.1~z@host retry k%40y%2E1%7Ez then k%40y.1~z' || chr(9) || text ||
   CASE WHEN doc_id % 3 = 0 THEN chr(27) || ']0;title' || chr(7) || source ELSE '' END AS log
 FROM {documents}"""
 
@@ -227,5 +227,5 @@ cut AS (SELECT job, CASE WHEN strlen(log) <= 65536 THEN log ELSE decode(unhex(
           regexp_replace(right(hex(encode(log)), 131072), '^([89AB][0-9A-F])+', ''))) END AS log FROM src),
 plain AS (SELECT job, regexp_replace(regexp_replace(regexp_replace(log, '\\x1b\\[[0-?]*[ -/]*[@-~]', '', 'g'),
             '\\x1b\\][^\\x07\\x1b]*\\x07', '', 'g'), '[\\x00-\\x09\\x0b-\\x1f]', '', 'g') AS log FROM cut)
-SELECT job, replace(replace(replace(replace(log, 'the', '[redacted]'), 'p@ss.w0rd~x', '[redacted]'),
-  'p%40ss%2Ew0rd%7Ex', '[redacted]'), 'p%40ss.w0rd~x', '[redacted]') AS log FROM plain"""
+SELECT job, replace(replace(replace(replace(log, 'the', '[redacted]'), 'k@y.1~z', '[redacted]'),
+  'k%40y%2E1%7Ez', '[redacted]'), 'k%40y.1~z', '[redacted]') AS log FROM plain"""

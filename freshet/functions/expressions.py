@@ -21,6 +21,10 @@ BINARY_UNITS = {
 DECIMAL_UNITS = {
     "k": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18,
 }
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 FAILED_PHASE = r"(?s)^failed:(.*)$"
 
 GIB = 1 << 30
@@ -83,7 +87,7 @@ def quote_identifier(name: str) -> str:
 
 def trimmed(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def comma_list(text: Column, separator: str = ",") -> Column:

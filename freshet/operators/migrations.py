@@ -36,14 +36,13 @@ def newest_batches(batches: DataFrame, base: DataFrame) -> DataFrame:
     return ups.join(base, "restore").where(after).select("restore", "b.*")
 
 
-#: A batch's statistics, parsed once; values keep their JSON type until they are read.
-STATS_SCHEMA = (
-    "durationMsPerMigration map<string,variant>,"
-    "preSnapshot struct<databaseSizeBytes:variant>,"
-    "failedMigration variant,"
-    "error struct<code:variant,name:variant,message:variant,table:variant,"
-    "column:variant,constraint:variant,detail:variant,hint:variant>"
-)
+#: Parts of a batch's statistics; values keep their JSON type until they are read.
+STATS_PARTS = {
+    "durationMsPerMigration": "map<string,variant>",
+    "preSnapshot": "struct<databaseSizeBytes:variant>",
+    "failedMigration": "variant",
+    "error": "map<string,variant>",
+}
 ERROR_FIELDS = ["code", "name", "message", "table", "column", "constraint", "detail", "hint"]
 TIMINGS = "array<struct<name:string,elapsed_seconds:bigint>>"
 
@@ -57,9 +56,10 @@ def _string(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def _parsed(batches: DataFrame) -> DataFrame:
-    """Batches with ``_stats`` parsed, as a column of its own so it is parsed once."""
-    return batches.withColumn("_stats", F.from_json("stats", STATS_SCHEMA))
+def _parsed(batches: DataFrame, *parts: str) -> DataFrame:
+    """Batches with the wanted parts of ``stats`` in ``_stats``, a column of its own so it is parsed once."""
+    schema = ", ".join(f"{part} {STATS_PARTS[part]}" for part in parts or STATS_PARTS)
+    return batches.withColumn("_stats", F.from_json("stats", schema))
 
 
 def timings(migrations: Column, took: Column) -> Column:
@@ -74,7 +74,7 @@ def timings(migrations: Column, took: Column) -> Column:
 
 def migration_timings(batches: DataFrame) -> DataFrame:
     """One row per migration of each batch, numbered in batch order."""
-    took = _parsed(batches).select(
+    took = _parsed(batches, "durationMsPerMigration").select(
         "restore", "batch", F.col("_stats.durationMsPerMigration").alias("_took"),
         F.posexplode("migrations").alias("position", "name"),
     )
@@ -94,7 +94,8 @@ def bytes_before(size: Column) -> Column:
 
 def _error_fields(df: DataFrame, error: str) -> DataFrame:
     """The fields of a structured error as trimmed texts, blanks left out."""
-    texts = df.withColumns({f"_e_{name}": trimmed(_string(F.col(f"{error}.{name}"))) for name in ERROR_FIELDS})
+    given = df.withColumns({f"_e_{name}": F.try_element_at(error, F.lit(name)) for name in ERROR_FIELDS})
+    texts = given.withColumns({f"_e_{name}": trimmed(_string(F.col(f"_e_{name}"))) for name in ERROR_FIELDS})
     return texts.withColumns({f"_e_{name}": F.nullif(F.col(f"_e_{name}"), F.lit("")) for name in ERROR_FIELDS})
 
 
@@ -119,7 +120,7 @@ def _error_line() -> Column:
 
 def error_lines(batches: DataFrame) -> DataFrame:
     """``(restore, batch, error)``: what each batch recorded going wrong."""
-    return _error_fields(_parsed(batches), "_stats.error").select("restore", "batch", _error_line().alias("error"))
+    return _error_fields(_parsed(batches, "error"), "_stats.error").select("restore", "batch", _error_line().alias("error"))
 
 
 def migration_results(runs: DataFrame, batches: DataFrame) -> DataFrame:

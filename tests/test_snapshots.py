@@ -13,11 +13,11 @@ from freshet.sources.listing import parse_listings, read_listings
 
 
 @pytest.mark.parametrize("pattern, value, matches", [
-    ("fiji-prod-*", "fiji-prod-01", True), ("fiji-prod-*", "fiji-prod-", True), ("fiji-prod-*", "fiji-dev-01", False),
-    ("ab?d", "abcd", True), ("ab?c", "abc", False), ("ab?d", "abccd", False),
-    ("exact", "exact", True), ("exact", "exactnot", False), ("exact", "not-exact", False),
-    ("*.example.com", "foo.example.com", True), ("*.example.com", "fooxexample.com", False),
-    ("a+b", "a+b", True), ("a+b", "aab", False), ("/D/*", "/D/a/b", True), ("*", "", True), ("?", "/", True),
+    ("suva-prod-*", "suva-prod-01", True), ("suva-prod-*", "suva-prod-", True), ("suva-prod-*", "suva-dev-01", False),
+    ("no?a", "nora", True), ("no?a", "noa", False), ("no?a", "norra", False),
+    ("whole", "whole", True), ("whole", "wholes", False), ("whole", "a-whole", False),
+    ("*.corp.test", "db.corp.test", True), ("*.corp.test", "dbxcorp.test", False),
+    ("c+d", "c+d", True), ("c+d", "ccd", False), ("/D/*", "/D/a/b", True), ("*", "", True), ("?", "/", True),
     ("[abc]x", "bx", True), ("[!abc]x", "bx", False), ("[!abc]x", "dx", True), ("[a-c]x", "cx", True),
     ("[]x]y", "]y", True), ("{a,b}*", "bzz", True), ("{a,b}*", "czz", False), ("\\*", "*", True), ("\\*", "x", False),
     ("[oops", "[oops", False), ("{oops", "{oops", False), ("oops}", "oops}", False), ("[z-a]", "b", False),
@@ -28,15 +28,15 @@ def test_globs(spark, pattern, value, matches):
 
 
 @pytest.mark.parametrize("path, unix", [
-    ("D:\\Full", "/D/Full"), ("C:\\Users\\backup\\data", "/C/Users/backup/data"), ("D:/Full", "/D/Full"),
-    ("/mnt/data", "/mnt/data"), ("data/backup", "data/backup"), ("é:\\x", "é:/x"), ("", ""),
+    ("E:\\Nightly", "/E/Nightly"), ("c:\\a\\b\\c d", "/c/a/b/c d"), ("E:/Nightly", "/E/Nightly"),
+    ("/srv/pg", "/srv/pg"), ("pg/main", "pg/main"), ("é:\\x", "é:/x"), ("", ""),
 ])
 def test_unix_paths(spark, path, unix):
     assert spark.range(1).select(unix_path(F.lit(path))).first()[0] == unix
 
 
 @pytest.mark.parametrize("text, expected", [
-    ("Fiji Prod", "fiji-prod"), ("--a--", "a"), ("", "replica"), ("!!!", "replica"), ("É", "replica"),
+    ("Suva Prod", "suva-prod"), ("--a--", "a"), ("", "replica"), ("!!!", "replica"), ("É", "replica"),
     ("a" * 60, "a" * 50), ("a" * 49 + " b", "a" * 49),
 ])
 def test_slugs(spark, text, expected):
@@ -50,7 +50,7 @@ def parsed(spark, *raws):
 def test_listings(spark, tmp_path):
     got = parsed(
         spark,
-        'Connected.\n[{"id":"a","startTime":"t","tags":{"tag:x":"1"},"source":{"host":"h","path":"D:\\\\Full"},"stats":{"totalSize":5}},{"id":"b"}]\nbye',
+        'Connected.\n[{"id":"a","startTime":"t","tags":{"tag:x":"1"},"source":{"host":"h","path":"E:\\\\Nightly"},"stats":{"totalSize":5}},{"id":"b"}]\nbye',
         "no json here", "", "a ] before [", "[]",
     ).orderBy("position").collect()
     assert [(r.repository, r.id, r.host, r.start_time, r.total_size) for r in got] == [
@@ -65,9 +65,9 @@ def test_listings(spark, tmp_path):
 @pytest.fixture(scope="module")
 def snapshots(spark):
     rows = [
-        ("r1", 0, "s0", "daily", "fiji-prod-1", "D:\\Full", {"tag:env": "prod"}, "2024-01-01T00:00:00Z", 10),
-        ("r1", 1, "s1", "daily", "fiji-prod-2", "/data", {"env": "prod", "x": "1"}, "2024-01-03T00:00:00Z", 20),
-        ("r1", 2, "s2", "adhoc", "fiji-dev-1", "/data", {"env": "dev"}, "2024-01-03T00:00:00Z", 30),
+        ("r1", 0, "s0", "daily", "suva-prod-1", "E:\\Nightly", {"tag:env": "prod"}, "2024-01-01T00:00:00Z", 10),
+        ("r1", 1, "s1", "daily", "suva-prod-2", "/data", {"env": "prod", "x": "1"}, "2024-01-03T00:00:00Z", 20),
+        ("r1", 2, "s2", "adhoc", "suva-dev-1", "/data", {"env": "dev"}, "2024-01-03T00:00:00Z", 30),
         ("r2", 0, "s3", "daily", "nauru", "/data", {}, "2024-01-03T01:00:00+02:00", 40),
     ]
     return spark.createDataFrame(
@@ -76,8 +76,8 @@ def snapshots(spark):
 
 
 FILTERS = [
-    SnapshotFilter("all"), SnapshotFilter("prod", tags={"env": "prod"}), SnapshotFilter("win", path="/D/*"),
-    SnapshotFilter("fiji", host="fiji-*", description="daily"), SnapshotFilter("r2", repository="r2"),
+    SnapshotFilter("all"), SnapshotFilter("prod", tags={"env": "prod"}), SnapshotFilter("win", path="/E/*"),
+    SnapshotFilter("suva", host="suva-*", description="daily"), SnapshotFilter("r2", repository="r2"),
     SnapshotFilter("none", tags={"env": "prod", "y": "2"}), SnapshotFilter("bad", host="[x"),
 ]
 
@@ -91,14 +91,14 @@ def hits(df):
 
 def test_filters(spark, snapshots):
     assert hits(match_filters(snapshots, FILTERS)) == {
-        "all": {"s0", "s1", "s2", "s3"}, "prod": {"s0", "s1"}, "win": {"s0"}, "fiji": {"s0", "s1"}, "r2": {"s3"}}
+        "all": {"s0", "s1", "s2", "s3"}, "prod": {"s0", "s1"}, "win": {"s0"}, "suva": {"s0", "s1"}, "r2": {"s3"}}
 
 
 def test_filter_table_agrees(spark, snapshots):
     tied = [SnapshotFilter(f.replica, f.tags, f.host, f.description, f.path, "r1") for f in FILTERS]
     joined = match_filter_table(snapshots, filter_table(spark, tied))
     assert hits(joined) == hits(match_filters(snapshots, tied))
-    many = [SnapshotFilter(f"m{i}", host="fiji-*", repository="r1") for i in range(300)]
+    many = [SnapshotFilter(f"m{i}", host="suva-*", repository="r1") for i in range(300)]
     assert match_filters(snapshots, many).count() == 900
 
 
@@ -106,7 +106,7 @@ def test_latest(spark, snapshots):
     matched = match_filters(snapshots, FILTERS)
     by_text = {r.replica: r.id for r in latest_snapshot(matched).collect()}
     # Text order: the offset makes 01:00+02:00 the later text, though the earlier instant.
-    assert by_text == {"all": "s3", "prod": "s1", "win": "s0", "fiji": "s1", "r2": "s3"}
+    assert by_text == {"all": "s3", "prod": "s1", "win": "s0", "suva": "s1", "r2": "s3"}
     by_time = {r.replica: r.id for r in latest_snapshot(matched, by="timestamp").collect()}
     assert by_time["all"] == "s2"  # s1 and s2 tie, the later of the listing wins
 
