@@ -163,6 +163,11 @@ class Masking:
         return f"Masking(secret=<hidden>, on_error={self.on_error!r})"
 
 
+def _repeatable(df: DataFrame) -> bool:
+    """Whether a task that runs again computes the same rows."""
+    return df._jdf.queryExecution().analyzed().deterministic()
+
+
 def _column(name: str) -> Column:
     return F.col(quote_identifier(name))
 
@@ -184,7 +189,8 @@ def mask_table(
     """One table with all its ok masks in a single projection.
 
     ``entries`` are plan rows of this table in manifest order. Returns the
-    masked table and ``(column, status)`` of masks that turned out not to fit.
+    masked table and ``(column, status)`` of masks that turned out not to fit:
+    ``type_mismatch``, ``no_default`` or ``not_repeatable``.
     """
     by_column: dict[str, list] = {}
     for entry in sorted(entries, key=lambda e: tuple(e["seq"])):
@@ -212,11 +218,16 @@ def mask_table(
         kinds = [(e["kind"], tuple(e["range"]) if e["range"] else None) for e in group]
         try:
             value = masks.chain(kinds, ctx)
-            staged.on(keyed).select(value)  # analysis only: a mask that does not fit is found here
+            # Analysis only: a mask that does not fit is found before anything is read.
+            tried = staged.on(keyed).select(value)
         except (AnalysisException, ParseException):
             default = any(kind == "default" for kind, _ in kinds)
             broken += [(name, "no_default" if default else "type_mismatch")] * len(kinds)
             continue
+        if _repeatable(df) and not _repeatable(tried):
+            # A default such as uuid() would mask a row differently on every attempt.
+            broken += [(name, "not_repeatable")] * len(kinds)
+            continue
         chosen[name] = value
     out = [chosen[c].alias(c) if c in chosen else _column(c) for c in df.columns]
     return staged.on(keyed).select(*out), broken

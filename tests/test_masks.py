@@ -131,6 +131,7 @@ BAD = {
     "note": ("nil", {"not_null": ("note",)}, "nil_not_nullable"),
     "phone": ("default", {}, "no_default"),
     "extra": ("default", {"defaults": {"extra": "nextval('x'::regclass)"}}, "no_default"),
+    "raw": ("default", {"defaults": {"raw": "cast(uuid() AS binary)"}}, "not_repeatable"),
     "heart_rate": ("email", {}, "type_mismatch"),
     "full_name": ("datetime", {}, "type_mismatch"),
     "tiny": ("integer", {}, "out_of_range"),
@@ -171,6 +172,13 @@ def test_user_kinds_join_the_registry(spark, people):
     assert all(len(v) == 2 and v[0] == "k" for v in values)
 
 
+def test_kinds_must_be_repeatable(spark, people):
+    register_mask("loose", lambda ctx: F.rand(), writes="number")
+    result = run(spark, people, {"weight": "loose"}, on_error="tolerate")
+    assert [f["status"] for f in result.failures] == ["not_repeatable"]
+    assert result.tables[PEOPLE].where("weight <> 1.5").count() == 0
+
+
 def test_no_row_key_falls_back_to_the_unmasked_columns(spark, people):
     settings = Masking("s")
     result = mask_tables(spark, {PEOPLE: people}, manifest(spark, {"email": "email"}), settings)
