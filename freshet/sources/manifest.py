@@ -36,16 +36,9 @@ def _kind(masking: F.Column) -> F.Column:
     return F.coalesce(_text(masking), _text(_member(masking, "$.kind")))
 
 
-def _explode_object(df: DataFrame, value: str, prefix: str) -> DataFrame:
-    """One row per member of a JSON object; arrays and scalars have none."""
-    spark = df.sparkSession
-    members = spark.tvf.variant_explode(F.col(value).outer()).select(
-        F.col("pos").alias(f"{prefix}_pos"),
-        F.col("key").alias(f"{prefix}_key"),
-        F.col("value").alias(f"{prefix}_value"),
-    )
-    is_object = F.schema_of_variant(F.col(value)).startswith("OBJECT")
-    return df.where(is_object).lateralJoin(members)
+def _members(node: F.Column, path: str) -> F.Column:
+    """The members of a JSON object as an array, in the order of their names; none for other values."""
+    return F.map_entries(F.try_variant_get(node, path, "map<string,variant>"))
 
 
 def flatten_manifests(manifests: DataFrame, doc: str = "doc") -> DataFrame:
@@ -53,42 +46,35 @@ def flatten_manifests(manifests: DataFrame, doc: str = "doc") -> DataFrame:
 
     Adds ``schema, table, column, kind, range, seq``; ``column`` is NULL for a
     table mask, and ``seq`` gives the order masks apply in within one manifest.
-    All other input columns ride along.
+    All other input columns ride along. Each manifest is read once, where it is.
     """
     kept = [c for c in manifests.columns if c != doc]
-    sources = _explode_object(
-        manifests.select(*kept, _member(F.parse_json(F.col(doc)), "$.sources").alias("_sources")),
-        "_sources",
-        "_source",
+    sources = manifests.select(
+        *kept, F.posexplode(_members(F.parse_json(F.col(doc)), "$.sources")).alias("_at", "_source")
     )
     named = sources.select(
-        *kept,
-        F.col("_source_pos"),
-        _text(_member(F.col("_source_value"), "$.schema")).alias("schema"),
-        _text(_member(F.col("_source_value"), "$.name")).alias("table"),
-        F.col("_source_value"),
+        *kept, "_at", F.col("_source.value").alias("_node"),
+        _text(_member(F.col("_source.value"), "$.schema")).alias("schema"),
+        _text(_member(F.col("_source.value"), "$.name")).alias("table"),
     ).where(F.col("schema").isNotNull() & F.col("table").isNotNull())
 
-    tables = named.withColumn("_mask", _masking(F.col("_source_value"))).select(
-        *kept, "schema", "table",
-        F.lit(None).cast("string").alias("column"),
-        _kind(F.col("_mask")).alias("kind"),
-        F.lit(None).cast("struct<lo:double,hi:double>").alias("range"),
-        F.struct(F.col("_source_pos").alias("source"), F.lit(-1).alias("column")).alias("seq"),
+    own = F.struct(
+        F.lit(None).cast("string").alias("column"), F.lit(-1).alias("_place"), _masking(F.col("_node")).alias("_mask")
     )
-    columns = _explode_object(
-        named.withColumn("_columns", _member(F.col("_source_value"), "$.columns")),
-        "_columns",
-        "_column",
-    ).withColumn("_mask", _masking(F.col("_column_value")))
-    columns = columns.select(
-        *kept, "schema", "table",
-        F.col("_column_key").alias("column"),
-        _kind(F.col("_mask")).alias("kind"),
-        parse_range(_text(_member(F.col("_mask"), "$.range"))).alias("range"),
-        F.struct(F.col("_source_pos").alias("source"), F.col("_column_pos").alias("column")).alias("seq"),
+    columns = F.transform(
+        _members(F.col("_node"), "$.columns"),
+        lambda e, at: F.struct(e["key"].alias("column"), at.alias("_place"), _masking(e["value"]).alias("_mask")),
     )
-    return tables.unionByName(columns).where(F.col("kind").isNotNull())
+    entries = F.when(columns.isNull(), F.array(own)).otherwise(F.concat(F.array(own), columns))
+    masks = named.select(*kept, "schema", "table", "_at", F.inline(entries))
+    return masks.select(
+        *kept, "schema", "table", "column",
+        _kind(F.col("_mask")).alias("kind"),
+        F.when(
+            F.col("column").isNotNull(), parse_range(_text(_member(F.col("_mask"), "$.range")))
+        ).alias("range"),
+        F.struct(F.col("_at").alias("source"), F.col("_place").alias("column")).alias("seq"),
+    ).where(F.col("kind").isNotNull())
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
