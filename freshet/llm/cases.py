@@ -8,6 +8,7 @@ from ..session import local_frame
 from .common import table
 from .mixing import mix_sizes
 from .packing import pack_documents
+from .suffix_dedup import remove_repeats
 from .tokenfile import read_tokens, write_tokens
 from .urlfilter import judge_urls
 
@@ -35,6 +36,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=200, keep_text=False).select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = local_frame(spark, URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -104,6 +110,7 @@ ORACLES = {
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op6_token_files": op6_token_files,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
 }
