@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import local_frame
+from .ann import nearest_neighbours
 from .common import table
 from .mixing import mix_sizes
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
 from .tokenfile import read_tokens, write_tokens
+from .topk import top_inner_products
 from .urlfilter import judge_urls
 
 #: Rules of the url filter (fixed by the contract): host, path, verdict.
@@ -28,6 +30,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,6 +63,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
+    "op2_segment_topk": """
+        WITH good AS (
+            SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), c AS (
+            SELECT id, vec_id, unnest(generate_series(1, len(embedding))) AS i,
+                   floor(64 * unnest(embedding)::DOUBLE)::BIGINT AS x
+            FROM good
+        ), s AS (
+            SELECT q.id AS query, any_value(q.vec_id) AS query_id, v.id, any_value(v.vec_id) AS vec_id, sum(q.x * v.x)::BIGINT AS score
+            FROM c q JOIN c v ON q.i = v.i AND q.id <> v.id WHERE q.vec_id % 20 = 0 GROUP BY q.id, v.id
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op3_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -108,6 +134,8 @@ ORACLES = {
 }
 
 QUERIES = {
+    "op1_multiprobe": op1_multiprobe,
+    "op2_segment_topk": op2_segment_topk,
     "op3_mixing": op3_mixing,
     "op6_token_files": op6_token_files,
     "op7_suffix_dedup": op7_suffix_dedup,

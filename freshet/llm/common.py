@@ -46,3 +46,19 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def crc_of(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def clean_vectors(df: DataFrame, key: str, vector: str, zeros: bool) -> DataFrame:
+    """Rows with a usable vector: ``row`` (a number of its own), ``id`` and ``v`` as doubles.
+
+    Null keys, null or empty vectors and vectors with a null or non-finite component are
+    left out, and all-zero ones unless ``zeros``.
+    """
+    v = F.col(vector).cast("array<double>")
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = df.select(F.col(key).cast("long").alias("id"), v.alias("v"), good.alias("_good")).where(
+        F.col("id").isNotNull() & F.col("_good") & (F.size("v") > 0)
+    )
+    if not zeros:
+        kept = kept.where(F.exists("v", lambda x: x != 0))
+    return kept.select(F.monotonically_increasing_id().alias("row"), "id", "v")
