@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import local_frame
 from .ann import nearest_neighbours
 from .common import table
+from .minhash_dedup import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
@@ -42,6 +43,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
 
@@ -137,6 +142,7 @@ QUERIES = {
     "op1_multiprobe": op1_multiprobe,
     "op2_segment_topk": op2_segment_topk,
     "op3_mixing": op3_mixing,
+    "op4_chosen_path": op4_chosen_path,
     "op6_token_files": op6_token_files,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filter": op8_url_filter,
