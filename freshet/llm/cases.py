@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import local_frame
 from .ann import nearest_neighbours
 from .common import table
+from .langid import predict_languages
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
 from .tokenfile import read_tokens, write_tokens
 from .topk import top_inner_products
+from .toxicity import predict_toxicity
 from .urlfilter import judge_urls
 
 #: Rules of the url filter (fixed by the contract): host, path, verdict.
@@ -47,6 +49,10 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
 
@@ -65,6 +71,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
@@ -143,8 +153,10 @@ QUERIES = {
     "op2_segment_topk": op2_segment_topk,
     "op3_mixing": op3_mixing,
     "op4_chosen_path": op4_chosen_path,
+    "op5_language": op5_language,
     "op6_token_files": op6_token_files,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
