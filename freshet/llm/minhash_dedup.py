@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import small_batches, stored
 
@@ -104,26 +104,31 @@ def _paths(tokens: np.ndarray) -> np.ndarray:
     return node.view(np.int64)
 
 
-_SIGNED = "row long, doc_id long, n_shingles long, same string, sketch array<int>, paths array<long>, packed binary"
+_SIGNED = "row long, n_shingles long, same string, sketch array<int>, paths array<long>, packed binary"
 
 
 def _sign(size: int):
+    types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, packer = TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            columns = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            columns = [[] for _ in types]
+            for text in batch.column("text").to_pylist():
                 found = shingles(text, size)
                 tokens = sketch(found)
                 values = (
-                    row, doc_id, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None,
-                    tokens.view(np.int32), _paths(tokens.astype(np.uint64)) if len(found) else [], packer.compress((text or "").encode("utf-8")),
+                    row, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None,
+                    tokens.view(np.int32), _paths(tokens.astype(np.uint64)) if len(found) else [],
+                    None if text is None else packer.compress(text.encode("utf-8")),
                 )
                 for column, value in zip(columns, values):
                     column.append(value)
                 row += 1
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _SIGNED.split(", ")])
+            yield pa.record_batch(
+                [batch.column("rest"), *(pa.array(c, t) for c, t in zip(columns, types))],
+                names=["rest", *(x.split()[0] for x in _SIGNED.split(", "))],
+            )
     return run
 
 
@@ -261,25 +266,18 @@ def _in_blocks(nodes: DataFrame) -> DataFrame:
     return cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row", "group")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept.
-
-    Two texts are linked if their shingles' intersection is at least ``percent`` per cent of
-    their union; a group is what links reach. component_id is its smallest doc_id, kept
-    whether the row has it. A null or empty text, or one without words, has no shingle and
-    is a group of its own, so is a row with a null doc_id and no link; null ids never name a
-    group with others. Rows that repeat an id repeat its answer. Every row gives one row; an
-    empty table gives an empty one; other columns are not read. Shingles are compared by
-    64-bit hashes.
-    """
+def _groups(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The signed documents, and (row, doc_id, n_shingles, label) with the label of each one's group."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stored(rows.mapInArrow(_sign(shingle), _SIGNED), "dedup-signed")
+    rest = F.struct(*[docs[c].alias(c) for c in docs.columns if c != text])
+    shaped = docs.select(rest.alias("rest"), docs[text].cast("string").alias("text"))
+    schema = T.StructType([shaped.schema["rest"], *T._parse_datatype_string(_SIGNED).fields])
+    signed = stored(shaped.mapInArrow(_sign(shingle), schema), "dedup-signed")
 
     # Equal sets are one document from here on.
     classes = signed.where("n_shingles > 0").groupBy("same").agg(F.min("row").alias("first"))
     members = stored(signed.join(classes, "same", "left").select(
-        "row", "doc_id", "n_shingles", F.coalesce("first", "row").alias("first")), "dedup-members")
+        "row", F.col("rest")[doc_id].cast("long").alias("doc_id"), "n_shingles", F.coalesce("first", "row").alias("first")), "dedup-members")
     distinct = signed.join(classes.select(F.col("first").alias("row")), "row", "left_semi")
     paths = distinct.select("row", F.explode("paths").alias("node"))
     shared = paths.groupBy("node").agg(F.count("*").alias("size"), F.min("row").alias("pivot")).where("size > 1")
@@ -310,9 +308,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     more = stored(confirm(compared, signed, shingle, percent), "dedup-links")
     if not more.isEmpty():
         groups = components(links.union(more))
-
-    labelled = members.join(groups.select(F.col("row").alias("first"), "label"), "first", "left").select(
+    return signed, members.join(groups.select(F.col("row").alias("first"), "label"), "first", "left").select(
         "row", "doc_id", "n_shingles", F.coalesce("label", "first").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept.
+
+    Two texts are linked if their shingles' intersection is at least ``percent`` per cent of
+    their union; a group is what links reach. component_id is its smallest doc_id, kept
+    whether the row has it. A null or empty text, or one without words, has no shingle and
+    is a group of its own. A null id names no group that has others, and is not kept. Rows
+    that repeat an id and a text repeat its answer. Every row gives one row; an empty table
+    gives an empty one; other columns are not read. Shingles are compared by 64-bit hashes.
+    """
+    _, labelled = _groups(docs.select(doc_id, text), shingle, percent, doc_id, text)
     names = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(names, "label").select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, with all columns: that with the smallest id, nulls last.
+
+    Of repeated ids the first row read stays. Groups are those of ``near_duplicates``.
+    """
+    signed, labelled = _groups(docs, shingle, percent, doc_id, text)
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    kept = signed.select("rest", "row", "packed").join(first.select(F.col("first.row").alias("row")), "row", "left_semi")
+    schema = kept.select("rest").schema.add("text", "string")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [None if p is None else reader.decompress(p).decode("utf-8") for p in batch.column("packed").to_pylist()]
+            yield pa.record_batch([batch.column("rest"), pa.array(texts, pa.string())], names=["rest", "text"])
+
+    whole = kept.select("rest", "packed").mapInArrow(unpack, schema)
+    return whole.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -142,7 +142,8 @@ def _winnow(length: int, schema: pa.Schema):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = [(t or "").encode("utf-8") for t in batch.column("text").to_pylist()]
+            given = batch.column("text").to_pylist()
+            texts = [(t or "").encode("utf-8") for t in given]
             found: list[list] = []
             for data, edges, owners in _stretches(texts, length):
                 gram, span, low, high, anchor = units_of(data, edges, length)
@@ -155,7 +156,8 @@ def _winnow(length: int, schema: pa.Schema):
             lists = [pa.ListArray.from_arrays(offsets, pa.array(c, field.type.value_type)) for c, field in zip(columns[1:], list(_UNITS)[4:])]
             yield pa.RecordBatch.from_arrays([
                 batch.column("rest"), pa.array(np.arange(row, row + len(texts))), pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([packer.compress(t) for t in texts]), *lists,
+                pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                pa.array([None if g is None else packer.compress(t) for g, t in zip(given, texts)], pa.binary()), *lists,
             ], names=["rest", *_UNITS.names])
             row += len(texts)
     return run
@@ -368,7 +370,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for packed, found, digest, keep in zip(*columns):
             if not found:
                 removed.append(0), spans.append(0), digests.append(digest)
-                kept_texts.append(unpack.decompress(packed).decode("utf-8") if keep else None)
+                kept_texts.append(unpack.decompress(packed).decode("utf-8") if keep and packed is not None else None)
                 continue
             text, kept, at, gone, runs = unpack.decompress(packed), [], 0, 0, 0
             stop = -1
@@ -397,8 +399,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     Texts are UTF-8 bytes, null ones empty; matches never cross texts, may overlap and lie in
     one text. Strings are judged on the input. Returns ``rest``, a struct of the other
     columns, with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the
-    remaining bytes and ``kept``, their text (without bytes of characters cut in two; null if
-    ``keep_text`` is off). Every row gives one row; repeated rows remove each other's text
+    remaining bytes and ``kept``, their text (without bytes of characters cut in two; null for
+    a null text or if ``keep_text`` is off). Every row gives one row; repeated rows remove each other's text
     where it is long enough. An empty table gives an empty one.
 
     Unit strings and bytes to the left of an anchor are compared by 64-bit hashes, bytes from
