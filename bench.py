@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -39,7 +40,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else list(HEADLINE)
-    spark = local_session("freshet-bench", cores=cores, memory=os.environ.get("BENCH_MEMORY", "16g"))
+    spark = local_session(tempfile.mkdtemp(prefix="freshet-bench-"), "freshet-bench", cores=cores, memory=os.environ.get("BENCH_MEMORY", "16g"))
     runs = all_queries()
 
     def run(name: str) -> float:

@@ -13,7 +13,7 @@ from ..operators.scrub import scrub_rows
 from ..plans.masking import (
     Masking, mask_plan, mask_tables, outcome_frame, table_plan, OK,
 )
-from ..session import fresh_path, small_side
+from ..session import fresh_path
 from ..sources.catalog import catalog_frame, catalog_rows
 from ..sources.manifest import flatten_manifests, manifest_from_text
 from ..sources.publish import publish, read_current, write_tables
@@ -207,7 +207,7 @@ _register(
 )
 
 _INTEGER_SOURCE = (
-    "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE user_id END AS heart_rate,"
+    "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE user_id END AS pulse,"
     " CAST(user_id AS int) AS anything, CAST(user_id AS smallint) AS signed FROM {events}"
 )
 
@@ -219,10 +219,10 @@ def _integer_sql(column: str, low: float, high: float, kind: str) -> str:
 
 _register(
     "mask_integer", _INTEGER_SOURCE, "public.vitals",
-    {"heart_rate": {"kind": "integer", "range": "50-100"}, "anything": "integer",
+    {"pulse": {"kind": "integer", "range": "12-48"}, "anything": "integer",
      "signed": {"kind": "integer", "range": "-5-5"}}, "event_id",
-    f"SELECT event_id, CASE WHEN heart_rate IS NOT NULL THEN"
-    f" {_integer_sql('heart_rate', 50.0, 100.0, 'BIGINT')} END AS heart_rate,"
+    f"SELECT event_id, CASE WHEN pulse IS NOT NULL THEN"
+    f" {_integer_sql('pulse', 12.0, 48.0, 'BIGINT')} END AS pulse,"
     f" {_integer_sql('anything', -2147483648.0, 2147483647.0, 'INTEGER')} AS anything,"
     f" {_integer_sql('signed', -5.0, 5.0, 'SMALLINT')} AS signed FROM src",
 )
@@ -237,9 +237,9 @@ _register(
     "mask_float",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS ratio,"
     " o_totalprice AS gravity FROM {orders}",
-    "public.lab", {"ratio": "float", "gravity": {"kind": "float", "range": "1.001-1.03"}}, "o_orderkey",
+    "public.lab", {"ratio": "float", "gravity": {"kind": "float", "range": "0.25-0.75"}}, "o_orderkey",
     f"SELECT o_orderkey, CASE WHEN ratio IS NOT NULL THEN {_float_sql('ratio', 0.0, 1.0)} END AS ratio,"
-    f" {_float_sql('gravity', 1.001, 1.03)} AS gravity FROM src",
+    f" {_float_sql('gravity', 0.25, 0.75)} AS gravity FROM src",
 )
 
 _register(
@@ -315,7 +315,9 @@ def masked_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LINE_KEY = "concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR)"
+_LINE_KEY = "concat_ws('|', " + ", ".join(
+    f"length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+) + ")"
 
 
 def _line_unit(column: str) -> str:
@@ -355,13 +357,13 @@ SELECT p_partkey, p_brand,
        WHEN p_partkey % 31 = 0 THEN '{{"range": "1-2"}}'
        WHEN p_partkey % 37 = 0 THEN 'null'
        ELSE '{{"kind": "' || p_kind || '", "range": "' ||
-            CASE p_partkey % 6 WHEN 0 THEN '-5-5' WHEN 1 THEN '20-50' WHEN 2 THEN '1.001-1.03'
+            CASE p_partkey % 6 WHEN 0 THEN '-8-8' WHEN 1 THEN '31-44' WHEN 2 THEN '0.25-0.75'
                  WHEN 3 THEN '1-x' WHEN 4 THEN '-10--5' ELSE '0-9e9' END || '"}}' END ||
   CASE WHEN p_partkey % 5 = 0 THEN '}}}}' ELSE '}}}}}}' END ||
   '}}}}}}}}' AS doc
 FROM (SELECT *, CASE p_partkey % 13 WHEN 0 THEN 'name' WHEN 1 THEN 'text' WHEN 2 THEN 'zero'
        WHEN 3 THEN 'empty' WHEN 4 THEN 'nil' WHEN 5 THEN 'default' WHEN 6 THEN 'integer'
-       WHEN 7 THEN 'money' WHEN 8 THEN 'datetime' WHEN 9 THEN 'date' WHEN 10 THEN 'brand_new'
+       WHEN 7 THEN 'money' WHEN 8 THEN 'datetime' WHEN 9 THEN 'date' WHEN 10 THEN 'sparkle'
        WHEN 11 THEN 'phone' ELSE 'float' END AS p_kind FROM {part}) p
 """
 
@@ -424,7 +426,7 @@ def _plan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, name)
         defaults = {c: d for c, d in _PLAN_DEFAULTS.items() if c in df.columns}
         rows += catalog_rows(df, "public", name, defaults=defaults, not_null=_NOT_NULL)
-    return small_side(catalog_frame(spark, rows), len(rows))
+    return catalog_frame(spark, rows)
 
 
 def mask_plan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +462,7 @@ fits AS (
 plan AS (
   SELECT *, CASE
     WHEN data_type IS NULL THEN 'missing_column'
-    WHEN kind = 'brand_new' THEN 'unknown_kind'
+    WHEN kind = 'sparkle' THEN 'unknown_kind'
     WHEN kind IN ('zero', 'empty') AND NOT (is_number OR is_text) THEN 'unsupported_type'
     WHEN kind = 'nil' AND NOT nullable THEN 'nil_not_nullable'
     WHEN kind = 'default' AND dflt IS NULL THEN 'no_default'
@@ -595,9 +597,11 @@ def _audit_line(column: str, pattern: str, out: str, masked_column: bool) -> str
     kept = f"count(*) FILTER (WHERE o.{column} = m.{column})" if masked_column else "0"
     differs = "0" if masked_column else f"count(*) FILTER (WHERE o.{column} IS DISTINCT FROM m.{column})"
     return f"""SELECT '{column}' AS "column", count(o.c_custkey) AS rows_before, count(m.c_custkey) AS rows_after,
+  count(*) FILTER (WHERE m.c_custkey IS NULL) AS unpaired_before, count(*) FILTER (WHERE o.c_custkey IS NULL) AS unpaired_after,
+  floor(count(*) FILTER (WHERE o.{column} IS NOT NULL AND m.{column} IS NOT NULL) * 0.2::DOUBLE)::BIGINT AS kept_allowed,
   count(*) FILTER (WHERE (o.{column} IS NULL) <> (m.{column} IS NULL)) AS nulls_changed, {kept} AS kept_values,
   {pattern} AS pattern_misses, {out} AS out_of_range, {differs} AS differences
-  FROM customer o FULL JOIN m USING (c_custkey)"""
+  FROM customer o FULL JOIN m ON o.c_custkey = m.c_custkey"""
 
 
 QUERIES["mask_audit"] = mask_audit_customer
@@ -625,7 +629,7 @@ SELECT * FROM src WHERE value IS NULL OR NOT regexp_matches(value, '^S1:[^:]*:[^
 
 
 def publish_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mask, stage, audit-free publish and read back through the pointer."""
+    """Mask, stage, publish and read back through the pointer."""
     root = fresh_path(spark, "published")
     manifest = manifest_from_text(spark, manifest_doc(CUSTOMER, CUSTOMER_MASKS))
     result = mask_tables(

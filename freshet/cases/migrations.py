@@ -223,9 +223,7 @@ def log_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["log_redact"] = log_redact
 ORACLES["log_redact"] = f"""
 WITH src AS ({plain(COLOURED)}),
-cut AS (SELECT job, CASE WHEN strlen(log) <= 65536 THEN log ELSE decode(unhex(
-          regexp_replace(right(hex(encode(log)), 131072), '^([89AB][0-9A-F])+', ''))) END AS log FROM src),
 plain AS (SELECT job, regexp_replace(regexp_replace(regexp_replace(log, '\\x1b\\[[0-?]*[ -/]*[@-~]', '', 'g'),
-            '\\x1b\\][^\\x07\\x1b]*\\x07', '', 'g'), '[\\x00-\\x09\\x0b-\\x1f]', '', 'g') AS log FROM cut)
+            '\\x1b\\][^\\x07\\x1b]*\\x07', '', 'g'), '[\\x00-\\x09\\x0b-\\x1f]', '', 'g') AS log FROM src)
 SELECT job, replace(replace(replace(replace(log, 'the', '[redacted]'), 'k@y.1~z', '[redacted]'),
   'k%40y%2E1%7Ez', '[redacted]'), 'k%40y.1~z', '[redacted]') AS log FROM plain"""

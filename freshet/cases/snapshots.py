@@ -8,12 +8,12 @@ from ..functions.expressions import unix_path
 from ..functions.globs import glob_match
 from ..operators import carry
 from ..operators.snapshots import (
-    SnapshotFilter, application_database, filter_table, latest_snapshot, match_filter_table,
+    SnapshotFilter, application_database, latest_snapshot, match_filter_table,
     match_filters, named_snapshot, not_covered, storage_plan, tags_match,
 )
 from ..session import fresh_path, local_frame
 from ..sources.listing import parse_listings
-from ..sources.publish import staging_path, write_tables
+from ..sources.publish import read_staged, write_tables
 from .base import derive, plain, table
 
 QUERIES, ORACLES = {}, {}
@@ -124,23 +124,26 @@ WITH {SNAPSHOTS_SQL},
 p AS (SELECT id, path, regexp_replace(replace(path, chr(92), '/'), '^([A-Za-z]):', '/\\1') AS unix_path FROM snaps)
 SELECT *, starts_with(unix_path, '/C/') AS on_c, unix_path LIKE '%/data' AS is_data FROM p"""
 
+PARTS = {
+    "everything": {},
+    "english": {"tags": {"lang": "en"}, "host": "*.example.*"},
+    "windows": {"path": "/C/*", "description": "*site"},
+    "mobile": {"host": "m.*", "path": "/{de,en,fr}/*"},
+    "broken": {"host": "[oops"},
+}
 FILTERS = [
-    SnapshotFilter("everything"),
-    SnapshotFilter("english", tags={"lang": "en"}, host="*.example.*"),
-    SnapshotFilter("windows", path="/C/*", description="*site"),
-    SnapshotFilter("mobile", host="m.*", path="/{de,en,fr}/*"),
-    SnapshotFilter("tied", repository="r3", description="?? *"),
-    SnapshotFilter("broken", host="[oops"),
+    *[SnapshotFilter(f"{name}-r{n}", f"r{n}", **parts) for n in range(20) for name, parts in PARTS.items()],
+    SnapshotFilter("tied", "r3", description="?? *"),
 ]
 MATCHED_SQL = f"""
 {SNAPSHOTS_SQL},
 paths AS (SELECT *, regexp_replace(replace(path, chr(92), '/'), '^([A-Za-z]):', '/\\1') AS unix_path FROM snaps),
 matched AS (
-  SELECT 'everything' AS replica, * FROM paths
-  UNION ALL SELECT 'english', * FROM paths
+  SELECT 'everything-' || repository AS replica, * FROM paths
+  UNION ALL SELECT 'english-' || repository, * FROM paths
     WHERE (tags->>'$.lang' = 'en' OR tags->>'$."tag:lang"' = 'en') AND regexp_matches(host, '\\.example\\.')
-  UNION ALL SELECT 'windows', * FROM paths WHERE starts_with(unix_path, '/C/') AND description LIKE '%site'
-  UNION ALL SELECT 'mobile', * FROM paths
+  UNION ALL SELECT 'windows-' || repository, * FROM paths WHERE starts_with(unix_path, '/C/') AND description LIKE '%site'
+  UNION ALL SELECT 'mobile-' || repository, * FROM paths
     WHERE starts_with(host, 'm.') AND regexp_matches(unix_path, '^/(de|en|fr)/')
   UNION ALL SELECT 'tied', * FROM paths WHERE repository = 'r3' AND description LIKE '__ %')"""
 
@@ -154,17 +157,20 @@ ORACLES["snapshot_matches"] = f"WITH {MATCHED_SQL} SELECT replica, repository, i
 
 
 def snapshot_matches_by_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tied = [
-        SnapshotFilter(f"{f.replica}-r{n}", f.tags, f.host, f.description, f.path, f"r{n}")
-        for n in range(20) for f in FILTERS if f.repository is None
-    ]
-    matched = match_filter_table(_snapshots(spark, sf_dir), filter_table(spark, tied))
-    return matched.select("replica", "repository", "id")
+    """Filters that stand in a table: one for each customer's name of a repository."""
+    names = "SELECT DISTINCT 'c' || CAST(c_nationkey AS string) AS replica, 'r' || CAST(c_custkey % 20 AS string) AS repository FROM {customer}"
+    specs = derive(spark, sf_dir, names).selectExpr(
+        "*", "map('lang', 'en') AS required", "CAST(NULL AS string) AS host_re", "CAST(NULL AS string) AS description_re",
+        "CAST(NULL AS string) AS path_re")
+    return match_filter_table(_snapshots(spark, sf_dir), specs).select("replica", "repository", "id")
 
 
 QUERIES["snapshot_matches_by_repository"] = snapshot_matches_by_repository
 ORACLES["snapshot_matches_by_repository"] = f"""
-WITH {MATCHED_SQL} SELECT replica || '-' || repository AS replica, repository, id FROM matched WHERE replica <> 'tied'"""
+WITH {SNAPSHOTS_SQL}, names AS (
+  SELECT DISTINCT 'c' || CAST(c_nationkey AS string) AS replica, 'r' || CAST(c_custkey % 20 AS string) AS repository FROM customer)
+SELECT replica, repository, id FROM snaps JOIN names USING (repository)
+WHERE tags->>'$.lang' = 'en' OR tags->>'$."tag:lang"' = 'en'"""
 
 
 def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +342,7 @@ def carry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_tables(done.tables, root, "run")
     counts = None
     for name in sorted(done.tables):
-        rows = spark.read.parquet(staging_path(root, "run", name)).agg(F.count("*").alias("row_count"))
+        rows = read_staged(spark, root, "run", name).agg(F.count("*").alias("row_count"))
         rows = rows.select(F.lit(name).alias("name"), "row_count", F.lit(done.phase).alias("phase"))
         counts = rows if counts is None else counts.unionByName(rows)
     return counts

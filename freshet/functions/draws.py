@@ -22,9 +22,18 @@ def column_key(secret: str, table: str, column: str) -> str:
 
 
 def row_key(*cols: Column) -> Column:
-    """One text per row out of its key columns; a NULL part counts as empty."""
-    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]
-    return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
+    """One text per row out of its key columns.
+
+    Several are told apart by their lengths, so no two keys read the same; NULL is
+    not the empty text there. Of a single column a NULL counts as empty.
+    """
+    if len(cols) == 1:
+        return F.coalesce(cols[0].cast("string"), F.lit(""))
+    def part(c: Column) -> Column:
+        text = c.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.concat_ws("|", *[part(c) for c in cols])
 
 
 def digest(key: str, row: Column, number: Column | int = 0) -> Column:

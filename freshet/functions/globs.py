@@ -40,7 +40,10 @@ def _char_class(negate: str, members: str) -> str | None:
 
 
 def glob_regex(pattern: str) -> str | None:
-    """The anchored regular expression of a glob, or None if it is malformed."""
+    """The regular expression of a glob over a whole text, or None if it is malformed.
+
+    It ends in ``\\z``: Java's ``$`` also matches before a final line break.
+    """
     out, depth = [], 0
     for token in _TOKEN.finditer(pattern):
         kind, text = token.lastgroup, token.group()
@@ -69,7 +72,7 @@ def glob_regex(pattern: str) -> str | None:
             return None
         else:
             out.append(_literal(text))
-    return None if depth else "(?s)^" + "".join(out) + "$"
+    return None if depth else r"(?s)\A" + "".join(out) + r"\z"
 
 
 def glob_match(value: Column, pattern: str | None) -> Column:
@@ -79,5 +82,4 @@ def glob_match(value: Column, pattern: str | None) -> Column:
     regex = glob_regex(pattern)
     if regex is None:
         return F.lit(False)
-    # Java's $ also matches before a final line break; \z does not.
-    return F.coalesce(value.rlike(regex[:-1] + r"\z"), F.lit(False))
+    return F.coalesce(value.rlike(regex), F.lit(False))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import logging
 import re
 import threading
+import time
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -86,27 +85,19 @@ class Carried:
     errors: dict[str, str] = field(default_factory=dict)
 
 
-@contextmanager
-def _expecting_errors() -> Iterator[None]:
-    """Keep errors that are counted and tolerated out of the session's error log."""
-    log = logging.getLogger("SQLQueryContextLogger")
-    level = log.level
-    log.setLevel(logging.CRITICAL)
-    try:
-        yield
-    finally:
-        log.setLevel(level)
-
-
 def _schema_of(table: str) -> str:
     return table.split(".", 1)[0]
 
 
+def _mention(name: str) -> re.Pattern:
+    return re.compile(rf"(?<![\w.`]){re.escape(name)}(?![\w`])")
+
+
 def select_over(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """A query's text read over a copy's tables (``schema.table``) instead of the session's."""
     arguments = {}
     for name, df in tables.items():
-        mention = re.compile(rf"(?<![\w.`]){re.escape(name)}(?![\w`])")
+        mention = _mention(name)
         if mention.search(sql):
             alias = f"t{len(arguments)}"
             sql = mention.sub("{" + alias + "}", sql)
@@ -139,37 +130,51 @@ def carry_schemas(
 
     tables = {n: df for n, df in new.items() if _schema_of(n) not in present}
     tables |= {n: df for n, df in previous.items() if _schema_of(n) in present}
+    # A view may read another one: those that analyse go in first, until none is added.
+    waiting = {name: sql for name, sql in views.items() if _schema_of(name) in present}
     errors: dict[str, str] = {}
-    for name, sql in views.items():
-        if _schema_of(name) not in present:
-            continue
-        try:
-            with _expecting_errors():
+    while waiting:
+        errors, built = {}, []
+        for name, sql in waiting.items():
+            if any(other != name and _mention(other).search(sql) for other in waiting):
+                errors[name] = "it reads a view that is not built"
+                continue
+            try:
                 tables[name] = select_over(spark, sql, tables)
-        except PySparkException as err:
-            errors[name] = str(err).splitlines()[0]
+                built.append(name)
+            except PySparkException as err:
+                errors[name] = str(err).splitlines()[0]
+        waiting = {name: sql for name, sql in waiting.items() if name not in built}
+        if not built:
+            break
     phase = f"partial: {len(errors)} statement error(s)" if errors else "complete"
     return Carried(tables, phase, skipped, errors)
 
 
 def run_within(spark: SparkSession, seconds: float, work: Callable[[], object]) -> bool:
-    """Run Spark work, cancelling its jobs past a budget. False if it was cut off."""
-    tag, cut = f"freshet-{uuid.uuid4().hex}", threading.Event()
+    """Run Spark work, cancelling its jobs past a budget. False if it was cut off.
+
+    ``work`` starts its jobs in this thread or in threads made with
+    ``inheritable_thread_target``, which carry the tag the jobs are cancelled by. Jobs
+    that start after the cut are cancelled too, until the work gives up.
+    """
+    tag, done, started = f"freshet-{uuid.uuid4().hex}", threading.Event(), time.monotonic()
 
     def stop() -> None:
-        cut.set()
-        spark.sparkContext.cancelJobsWithTag(tag)
+        while not done.wait(max(0.0, seconds - (time.monotonic() - started)) or 0.2):
+            spark.sparkContext.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
+    watch = threading.Thread(target=stop, daemon=True)
     spark.sparkContext.addJobTag(tag)
-    timer.start()
+    watch.start()
     try:
         work()
-        return True
+        return time.monotonic() - started <= seconds
     except Exception:
-        if cut.is_set():
+        if time.monotonic() - started >= seconds:
             return False
         raise
     finally:
-        timer.cancel()
+        done.set()
+        watch.join()
         spark.sparkContext.removeJobTag(tag)

@@ -17,7 +17,6 @@ from ..functions.expressions import head_bytes, tail_bytes, trimmed
 
 # Fixed values.
 REDACTED = "[redacted]"
-REDACT_WINDOW = 64 * 1024
 KEEP_LINES = 40
 MAX_BYTES = 2000
 MAX_HEADLINE_BYTES = 500
@@ -53,16 +52,20 @@ def encoded_forms(secret: str) -> list[str]:
     return list(dict.fromkeys([secret, strict, quote(secret, safe="-._~")]))
 
 
-def redact(log: Column, secrets: Sequence[str] | None) -> Column:
-    """The last 64 KiB of a log, plain, with every secret blotted out.
+def redact(log: Column, secrets: Sequence[str] | None, last_bytes: int | None = None) -> Column:
+    """A whole log, plain, with every secret blotted out; longer secrets go first.
 
-    Secrets that could not be read (None) withhold the log altogether.
+    ``last_bytes`` keeps only the end of it, cut after masking, so that no part of a
+    secret is left over. Secrets that could not be read (None) withhold the log altogether.
     """
     if secrets is None:
         return F.lit(None).cast("string")
-    text = F.regexp_replace(tail_bytes(log, REDACT_WINDOW), ANSI, "")
-    forms = [form for secret in secrets if secret for form in encoded_forms(secret)]
-    return reduce(lambda t, form: F.replace(t, F.lit(form), F.lit(REDACTED)), forms, text)
+    forms = {form for secret in secrets if secret for form in encoded_forms(secret)}
+    plain = reduce(
+        lambda text, form: F.replace(text, F.lit(form), F.lit(REDACTED)),
+        sorted(forms, key=lambda form: (-len(form), form)), F.regexp_replace(log, ANSI, ""),
+    )
+    return plain if last_bytes is None else tail_bytes(plain, last_bytes)
 
 
 _MARKER = "(?:" + "|".join("\\Q" + m + "\\E" for m in ERROR_MARKERS) + ")"

@@ -9,29 +9,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import GIB, SYSTEM_DATABASES, quantity_bytes, unix_path
-from ..functions.globs import glob_match, glob_regex
-from ..session import local_frame, small_side
-
-#: Up to this many filters become literal predicates of one projection.
-MAX_LITERAL_FILTERS = 200
+from ..functions.globs import glob_regex
+from ..session import local_frame
 
 _MATCHES_NOTHING = r"(?!)"
 
 
 @dataclass(frozen=True)
 class SnapshotFilter:
-    """One replica's filter. A part left out lets everything through.
-
-    ``repository`` ties the replica to one listing; without it the filter is
-    tried on every listing.
-    """
+    """One replica's filter of its repository's listing. A part left out lets everything through."""
 
     replica: str
+    repository: str
     tags: Mapping[str, str] | None = None
     host: str | None = None
     description: str | None = None
     path: str | None = None
-    repository: str | None = None
 
 
 def tags_match(tags: Column, required: Mapping[str, str] | None) -> Column:
@@ -43,30 +36,9 @@ def tags_match(tags: Column, required: Mapping[str, str] | None) -> Column:
     return reduce(lambda a, b: a & b, pairs, F.lit(True))
 
 
-def filter_condition(spec: SnapshotFilter) -> Column:
-    """A filter as one predicate over a snapshot table."""
-    here = F.lit(True) if spec.repository is None else F.col("repository") == spec.repository
-    return (
-        here
-        & tags_match(F.col("tags"), spec.tags)
-        & glob_match(F.col("host"), spec.host)
-        & glob_match(F.col("description"), spec.description)
-        & glob_match(unix_path(F.col("path")), spec.path)
-    )
-
-
 def match_filters(snapshots: DataFrame, specs: Sequence[SnapshotFilter]) -> DataFrame:
-    """Each replica's matching snapshots, as (replica, snapshot) rows.
-
-    A few filters become literal predicates tried side by side on each snapshot:
-    a projection with no join, each pattern compiled once. Many filters are
-    joined on the repository they name, so no snapshot meets a foreign filter.
-    """
-    tied = [s for s in specs if s.repository is not None]
-    if len(specs) > MAX_LITERAL_FILTERS and len(tied) == len(specs):
-        return match_filter_table(snapshots, filter_table(snapshots.sparkSession, specs))
-    hits = F.array_compact(F.array(*[F.when(filter_condition(s), F.lit(s.replica)) for s in specs]))
-    return snapshots.select(F.explode(hits).alias("replica"), *snapshots.columns)
+    """Each replica's matching snapshots, as (replica, snapshot) rows, however many filters there are."""
+    return match_filter_table(snapshots, filter_table(snapshots.sparkSession, specs))
 
 
 def filter_table(spark: SparkSession, specs: Sequence[SnapshotFilter]) -> DataFrame:
@@ -78,16 +50,15 @@ def filter_table(spark: SparkSession, specs: Sequence[SnapshotFilter]) -> DataFr
         (s.replica, s.repository, dict(s.tags or {}), regex(s.host), regex(s.description), regex(s.path))
         for s in specs
     ]
-    frame = local_frame(
+    return local_frame(
         spark, rows,
         "replica string, repository string, required map<string,string>,"
         " host_re string, description_re string, path_re string",
     )
-    return small_side(frame, len(rows))
 
 
 def match_filter_table(snapshots: DataFrame, specs: DataFrame) -> DataFrame:
-    """The same for filters in a table, joined on the repository."""
+    """The same for filters in a table, joined on the repository, so no snapshot meets a foreign filter."""
     def passes(value: Column, regex: str) -> Column:
         return F.col(regex).isNull() | F.regexp_like(value, F.col(regex))
 

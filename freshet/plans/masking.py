@@ -8,11 +8,12 @@ table, so masking a table costs its scan and nothing more.
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException, ParseException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import draws, masks
 from ..functions.expressions import quote_identifier
@@ -29,6 +30,10 @@ PLAN_COLUMNS = [
 class MaskError(RuntimeError):
     """A mask could not be applied and the caller did not choose to tolerate that."""
 
+    def __init__(self, message: str, failures: list[dict] | None = None) -> None:
+        super().__init__(message)
+        self.failures = failures or []
+
 
 def _known_kinds() -> tuple[list[str], dict[str, list[str] | None]]:
     kinds = masks.mask_kinds()
@@ -48,13 +53,17 @@ def _mismatch(kind: Column, data_type: Column) -> Column:
     return wrong
 
 
-def _overflow(kind: Column, bounds: Column, data_type: Column) -> Column:
+def _overflow(kind: Column, bounds: Column, data_type: Column, digits: Column) -> Column:
     """Ranges that reach outside what the column, or a 32-bit draw, can hold."""
-    low = F.coalesce(bounds["lo"], F.when(kind == "integer", masks.DEFAULT_RANGES["integer"][0]))
-    high = F.coalesce(bounds["hi"], F.when(kind == "integer", masks.DEFAULT_RANGES["integer"][1]))
+    low, high = bounds["lo"], bounds["hi"]
+    for name, (least, most) in masks.DEFAULT_RANGES.items():
+        low, high = F.coalesce(low, F.when(kind == name, least)), F.coalesce(high, F.when(kind == name, most))
     out = (kind == "integer") & ((low < -(2.0**31)) | (high > 2.0**31 - 1))
     for name, limit in masks.WHOLE_LIMITS.items():
         out = out | ((data_type == name) & ((low < -float(limit)) | (high > float(limit) - 1)))
+    # A decimal rounds what it is given, up to the half before its next power of ten.
+    widest = F.pow(F.lit(10.0), digits) - 0.5
+    out = out | F.coalesce((F.abs(low) >= widest) | (F.abs(high) >= widest), F.lit(False))
     finite = ~F.isnan(low) & ~F.isnan(high) & (F.abs(low) < float("inf")) & (F.abs(high) < float("inf"))
     return kind.isin(list(masks.DEFAULT_RANGES)) & F.coalesce(out | ~finite, F.lit(False))
 
@@ -78,9 +87,11 @@ def mask_plan(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
         .when((kind == "nil") & ~F.col("is_nullable"), "nil_not_nullable")
         .when((kind == "default") & F.col("column_default").isNull(), "no_default")
         .when(_mismatch(kind, data_type), "type_mismatch")
-        .when(_overflow(kind, F.col("range"), data_type), "out_of_range")
+        .when(_overflow(kind, F.col("range"), data_type, F.col("whole_digits")), "out_of_range")
         .otherwise(OK)
     )
+    if "whole_digits" not in catalog.columns:
+        catalog = catalog.withColumn("whole_digits", F.lit(None).cast("int"))
     columns = manifest.where(F.col("column").isNotNull())
     extra = [c for c in columns.columns if c not in PLAN_COLUMNS]
     return columns.join(catalog, ["schema", "table", "column"], "left").select(
@@ -179,10 +190,23 @@ def _row_key(df: DataFrame, table: str, masked: set[str], settings: Masking) ->
     rest = [c for c in df.columns if c not in masked]
     if not rest:
         raise MaskError(f"{table}: every column is masked, so name its key columns")
-    # No declared key: rows alike in every unmasked column share their fakes.
+    warnings.warn(f"{table} has no row key: rows alike in every unmasked column share their fakes", stacklevel=2)
     return F.sha2(F.to_json(F.struct(*[_column(c) for c in rest]), {"ignoreNullFields": "false"}), 256)
 
 
+def _default_fails(spark: SparkSession, default: str, dtype: T.DataType) -> bool:
+    """Whether a default that names no column cannot be stored in the column."""
+    try:
+        one = spark.range(1).select(F.expr(default).cast(dtype))
+    except (AnalysisException, ParseException):
+        return False  # over columns of the table, or no expression: analysis over the table tells
+    try:
+        one.collect()
+        return False
+    except PySparkException:
+        return True
+
+
 def mask_table(
     df: DataFrame, table: str, entries: list, settings: Masking
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -190,21 +214,32 @@ def mask_table(
 
     ``entries`` are plan rows of this table in manifest order. Returns the
     masked table and ``(column, status)`` of masks that turned out not to fit:
-    ``type_mismatch``, ``no_default`` or ``not_repeatable``.
+    ``missing_column``, ``type_mismatch``, ``no_default``, ``default_fails`` or
+    ``not_repeatable``. Constant defaults are computed once, here, so that one
+    that fails only when it runs is found before the table is read.
     """
     by_column: dict[str, list] = {}
     for entry in sorted(entries, key=lambda e: tuple(e["seq"])):
         by_column.setdefault(entry["column"], []).append(entry)
     if not by_column:
         return df, []
+    by_known = set(by_column) & set(df.columns)
+    if not by_known:
+        return df, [(name, "missing_column") for name, group in by_column.items() for _ in group]
     key = draws.Staged("__row")
-    row = key.column(("row",), lambda: _row_key(df, table, set(by_column), settings))
+    row = key.column(("row",), lambda: _row_key(df, table, by_known, settings))
     keyed, staged = key.on(df), draws.Staged("__draw")
     dtypes = {f.name: f.dataType for f in df.schema.fields}
 
     chosen: dict[str, Column] = {}
     broken: list[tuple[str, str]] = []
     for name, group in by_column.items():
+        if name not in dtypes:
+            broken += [(name, "missing_column")] * len(group)
+            continue
+        if any(e["kind"] == "default" and _default_fails(df.sparkSession, e["column_default"], dtypes[name]) for e in group):
+            broken += [(name, "default_fails")] * len(group)
+            continue
         ctx = masks.MaskContext(
             col=_column(name),
             dtype=dtypes[name],
@@ -235,9 +270,12 @@ def mask_table(
 
 @dataclass
 class MaskedTables:
+    """Masked tables, how it went, and the kinds that were applied, by table and column."""
+
     tables: dict[str, DataFrame]
     outcome: Outcome
     failures: list[dict]
+    applied: dict[str, dict[str, list[str]]] = field(default_factory=dict)
 
     @property
     def phase(self) -> str:
@@ -276,14 +314,21 @@ def mask_tables(
     )
     by_table: dict[str, list] = {}
     for entry in plan:
+        if entry["status"] == OK and f"{entry['schema']}.{entry['table']}" not in tables:
+            entry["status"] = "missing_table"
         if entry["status"] == OK:
             by_table.setdefault(f"{entry['schema']}.{entry['table']}", []).append(entry)
 
     out: dict[str, DataFrame] = {}
+    applied: dict[str, dict[str, list[str]]] = {}
     for name, df in tables.items():
         masked, broken = mask_table(df, name, by_table.get(name, []), settings)
         failures += [{"table": name, "column": c, "status": s} for c, s in broken]
         out[name] = masked.limit(0) if name in emptied else masked
+        failed = {c for c, _ in broken}
+        for entry in by_table.get(name, []):
+            if entry["column"] not in failed and name not in emptied:
+                applied.setdefault(name, {}).setdefault(entry["column"], []).append(entry["kind"])
     column_failures = len(failures)
     for entry in plan:
         if entry["status"] != OK:
@@ -295,11 +340,11 @@ def mask_tables(
             failures.append({"table": f"{entry['schema']}.{entry['table']}",
                              "column": None, "status": entry["status"]})
     if failures and settings.on_error == "fail":
-        raise MaskError(f"{len(failures)} mask(s) cannot apply: {failures[:10]}")
+        raise MaskError(f"{len(failures)} mask(s) cannot apply: {failures}", failures)
     outcome = Outcome(
         columns_attempted=len(plan),
         columns_failed=column_failures,
         tables_attempted=len(truncations),
         tables_failed=sum(e["status"] != OK for e in truncations),
     )
-    return MaskedTables(out, outcome, failures)
+    return MaskedTables(out, outcome, failures, applied)

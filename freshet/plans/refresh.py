@@ -1,4 +1,4 @@
-"""One refresh from start to end: mask, scrub, carry over, stage, publish."""
+"""One refresh from start to end: mask, scrub, carry over, stage, audit, publish."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.audit import Expect, audit_passed, mask_audit
 from ..operators.carry import carry_schemas, run_within, select_over, split_droppable
 from ..operators.scrub import scrub_rows
-from ..sources.publish import current_run, publish, staging_path, write_tables, written_tables
-from .masking import Masking, mask_tables
+from ..sources.publish import current_run, index_tables, publish, stage_tables, written_tables
+from .masking import MaskedTables, Masking, mask_tables
+
+#: Kinds that write one value, or that may leave a value as it is: the audit can't tell by
+#: comparison whether they ran.
+UNCOMPARED = ("zero", "empty", "nil", "default")
 
 
 @dataclass
@@ -28,7 +33,9 @@ class RefreshSpec:
 
     ``pre_sql`` maps a table to a query over the copy's tables that replaces it,
     in order, before masks; ``scrub`` names the column of a table whose
-    encrypted values go; ``drop_schemas`` are left out of the copy.
+    encrypted values go; ``drop_schemas`` are left out of the copy. ``expect``
+    says, by table and column, what the audit holds masked columns to beside
+    that their values changed.
     """
 
     root: str
@@ -41,6 +48,7 @@ class RefreshSpec:
     drop_schemas: Sequence[str] = ()
     carry: CarrySpec = field(default_factory=CarrySpec)
     pre_sql: Mapping[str, str] = field(default_factory=dict)
+    expect: Mapping[str, Mapping[str, Expect | None]] = field(default_factory=dict)
 
 
 @dataclass
@@ -51,51 +59,90 @@ class RefreshResult:
     failures: list[dict] = field(default_factory=list)
 
 
-def _held_tables(spark: SparkSession, root: str, run_id: str, schemas: Sequence[str]) -> dict[str, DataFrame]:
-    """Tables of a staged run that belong to the given schemas."""
-    names = [n for n in written_tables(spark, root, run_id) if n.split(".", 1)[0] in schemas]
-    return {n: spark.read.parquet(staging_path(root, run_id, n)) for n in names}
+def _schema_of(table: str) -> str:
+    return table.split(".", 1)[0]
+
+
+def audit_staged(
+    spark: SparkSession, originals: Mapping[str, DataFrame], masked: MaskedTables, paths: Mapping[str, str],
+    spec: RefreshSpec,
+) -> list[str]:
+    """Tables whose staged files fail the audit against what they were masked from.
+
+    Every table with a row key and a mask is compared; a column is expected to have
+    changed, and to be what ``spec.expect`` says. A table without a row key cannot be
+    paired and is not audited.
+    """
+    bad = []
+    for name, columns in masked.applied.items():
+        keys = spec.masking.row_keys.get(name)
+        if not keys or name not in paths:
+            continue
+        expected = {
+            column: Expect(kept_share=1.0, keeps_null=False) if set(kinds) & set(UNCOMPARED) else Expect()
+            for column, kinds in columns.items() if column not in keys
+        } | dict(spec.expect.get(name, {}))
+        if expected and not audit_passed(mask_audit(originals[name], spark.read.parquet(paths[name]), list(keys), expected)):
+            bad.append(name)
+    return bad
 
 
 def refresh(spark: SparkSession, spec: RefreshSpec, tables: Mapping[str, DataFrame]) -> RefreshResult:
     """Build a new copy out of ``tables`` (``schema.table``) and publish it.
 
-    Only a copy whose masks ran is published; otherwise readers stay on the one
-    they have. Carried schemas replace what the new copy has under their names,
-    and going over their time budget leaves them out rather than holding it up.
+    Only a copy whose masks ran and whose staged files pass the audit is published;
+    otherwise, whatever failed and whenever it did, readers stay on the one they
+    have. Carried schemas replace what the new copy has under their names, and
+    going over their time budget leaves them out rather than holding it up.
     """
     droppable, _ = split_droppable(list(spec.drop_schemas))
-    kept = {n: df for n, df in tables.items() if n.split(".", 1)[0] not in droppable}
-    for name, column in spec.scrub.items():
-        if name in kept:
-            kept[name] = scrub_rows(kept[name], column)
+    kept = {n: df for n, df in tables.items() if _schema_of(n) not in droppable}
+    carried = list(spec.carry.schemas)
     try:
+        for name, column in spec.scrub.items():
+            if name in kept:
+                kept[name] = scrub_rows(kept[name], column)
         for name, sql in spec.pre_sql.items():
             kept[name] = select_over(spark, sql, kept)
         masked = mask_tables(spark, kept, spec.manifest, spec.masking, spec.catalog, spec.references)
-    except Exception as err:  # any failure of the step holds the copy back
-        return RefreshResult(f"failed: {err}")
-
-    carried = list(spec.carry.schemas)
-    own = {n: df for n, df in masked.tables.items() if n.split(".", 1)[0] not in carried}
-    write_tables(own, spec.root, spec.run_id)
-    staged = {n: spark.read.parquet(staging_path(spec.root, spec.run_id, n)) for n in own}
-    rest = {n: df for n, df in masked.tables.items() if n not in own}
-
-    phase = "complete"
-    before = current_run(spark, spec.root)
-    if before is None:
-        write_tables(rest, spec.root, spec.run_id)
-    else:
-        held = _held_tables(spark, spec.root, before, carried)
+        before = current_run(spark, spec.root)
+        # What is not carried, or has no copy to be carried from, comes from this run.
+        own = {n: df for n, df in masked.tables.items() if before is None or _schema_of(n) not in carried}
+        paths = stage_tables(own, spec.root, spec.run_id)
+        bad = audit_staged(spark, kept, masked, paths, spec)
+    except Exception as err:  # any failure of these steps holds the copy back
+        return RefreshResult(f"failed: {err}", failures=getattr(err, "failures", []))
+    if bad:
+        return RefreshResult(f"failed: the audit refuses {bad}", failures=masked.failures)
+
+    phase, moved = "complete", {}
+    if before is not None:
+        staged = {n: spark.read.parquet(path) for n, path in paths.items()}
+        rest = {n: df for n, df in masked.tables.items() if n not in own}
+        old = {n: p for n, p in written_tables(spark, spec.root, before).items() if _schema_of(n) in carried}
+        held = {n: spark.read.parquet(path) for n, path in old.items()}
         done = carry_schemas(spark, {**staged, **rest}, held, carried, spec.carry.views)
-        moved = {n: df for n, df in done.tables.items() if n not in staged}
         phase = done.phase
-        if spec.carry.budget_seconds is None:
-            write_tables(moved, spec.root, spec.run_id)
-        elif not run_within(
-            spark, spec.carry.budget_seconds, lambda: write_tables(moved, spec.root, spec.run_id, threads=1)
-        ):
-            phase = "timeout-skipped"
+        # Tables of carried schemas the old copy does not have are new, and were not audited yet.
+        late = {n: df for n, df in done.tables.items() if n in rest and n not in held and n not in spec.carry.views}
+        over = {n: df for n, df in done.tables.items() if n not in staged and n not in late}
+
+        def carry_over() -> None:
+            moved.update(stage_tables(over, spec.root, spec.run_id, threads=1 if spec.carry.budget_seconds else 4))
+
+        try:
+            late_paths = stage_tables(late, spec.root, spec.run_id)
+            bad = audit_staged(spark, kept, masked, late_paths, spec)
+            if bad:
+                return RefreshResult(f"failed: the audit refuses {bad}", failures=masked.failures)
+            paths |= late_paths
+            if spec.carry.budget_seconds is None:
+                carry_over()
+            elif not run_within(spark, spec.carry.budget_seconds, carry_over):
+                # What was carried so far stays without an entry in the index: unreadable.
+                phase, moved = "timeout-skipped", {}
+        except Exception as err:
+            return RefreshResult(f"failed: {err}", failures=masked.failures)
+    index_tables(spark, {**paths, **moved}, spec.root, spec.run_id)
     publish(spark, spec.root, spec.run_id, masked.phase)
     return RefreshResult(masked.phase, phase, True, masked.failures)

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: A driver-made list may be broadcast up to this many rows; above it the
-#: same join runs as an ordinary shuffle join.
-MAX_BROADCAST_ROWS = 50_000
-
 #: What every job of this package relies on. Nothing here is sized for one
 #: machine: partition counts stay with the cluster's own configuration.
 REQUIRED_CONF = {
@@ -27,8 +22,8 @@ REQUIRED_CONF = {
 }
 
 
-#: Folders of single-JVM sessions that name none, by application.
-_LOCAL_DIRS: dict[str, str] = {}
+#: Folders callers have named for sessions whose settings name none, by application.
+_NAMED_DIRS: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,13 +33,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "freshet", cores: str = "8", memory: str = "8g") -> SparkSession:
-    """A single-JVM session for tests and the bench."""
+def local_session(folder: str, app: str = "freshet", cores: str = "8", memory: str = "8g") -> SparkSession:
+    """A single-JVM session for tests and the bench, with ``folder`` as its shared folder."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", folder)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -55,24 +51,29 @@ def local_session(app: str = "freshet", cores: str = "8", memory: str = "8g") ->
     return spark
 
 
+def _named_dir(spark: SparkSession) -> str | None:
+    context = spark.sparkContext
+    setting = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    return setting or _NAMED_DIRS.get(context.applicationId)
+
+
+def name_shared_dir(spark: SparkSession, path: str) -> None:
+    """Name the shared folder of a session whose ``spark.checkpoint.dir`` is unset."""
+    if not _named_dir(spark):
+        _NAMED_DIRS[spark.sparkContext.applicationId] = path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Written tables and stream checkpoints go under it, so that any executor can
-    read them back after another one is lost. Only a session that runs in one
-    JVM may do without the setting; it gets a fresh temporary folder.
+    read them back after another one is lost. The library never makes one up: a
+    session without the setting has to name a folder with ``name_shared_dir``.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    named = _named_dir(spark)
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="freshet-")
-    return _LOCAL_DIRS[app]
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -95,11 +96,6 @@ def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return spark.createDataFrame(table, struct)
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast for a driver-made side, only while its row count allows it."""
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whichever file system it names.
 

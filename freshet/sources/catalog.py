@@ -10,7 +10,7 @@ from ..session import local_frame
 
 CATALOG_SCHEMA = (
     "schema string, table string, column string, data_type string,"
-    " is_nullable boolean, column_default string"
+    " is_nullable boolean, column_default string, whole_digits int"
 )
 
 # Names the source database gives to the types Spark reads.
@@ -48,7 +48,10 @@ def catalog_rows(
     defaults: Mapping[str, str] | None = None,
     not_null: tuple[str, ...] = (),
 ) -> list[tuple]:
-    """Catalogue rows of one table. ``types`` names what Spark's type cannot tell, such as json."""
+    """Catalogue rows of one table. ``types`` names what Spark's type cannot tell, such as json.
+
+    ``whole_digits`` is what a decimal holds before its point; NULL where nothing bounds it.
+    """
     types, defaults = types or {}, defaults or {}
     return [
         (
@@ -56,6 +59,7 @@ def catalog_rows(
             types.get(field.name, type_name(field.dataType)),
             field.nullable and field.name not in not_null,
             defaults.get(field.name),
+            field.dataType.precision - field.dataType.scale if isinstance(field.dataType, T.DecimalType) else None,
         )
         for field in df.schema.fields
     ]

@@ -1,88 +1,140 @@
 """Sinks: staged table copies, the pointer readers follow, and run reports.
 
-A copy is written whole under its own run folder and never over a live path.
-Publishing only replaces the small pointer table, so readers see the old copy or
-the new one and nothing between, and a run lost half-way leaves no trace in it.
+A copy is written whole under its own run folder and never over a live path. A table
+counts only once the run's index names its folder, and the index is written after all of
+them are, so what a lost or cut-off attempt left behind is never read. Publishing creates
+one new small pointer file, exclusively: readers see the old copy or the new one and
+nothing between, and of two publishers with the same number one starts over.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import exists, local_frame
 
 PUBLISHABLE = ("complete", "partial")
-POINTER_SCHEMA = "run_id string, phase string, published_at timestamp, seq bigint"
+
+#: Pointer files kept, the newest ones.
+KEPT_POINTERS = 10
 
 
 class PublishRefused(RuntimeError):
     """The copy may not replace the one readers use."""
 
 
-def staging_path(root: str, run_id: str, table: str = "") -> str:
-    return f"{root}/staging/{run_id}/{table}".rstrip("/")
+def stage_tables(tables: Mapping[str, DataFrame], root: str, run_id: str, threads: int = 4) -> dict[str, str]:
+    """Write a run's tables, a few at a time so small ones do not queue behind big ones.
 
+    Each goes into a folder of its own attempt; nothing can read them before they are indexed.
+    """
+    if not tables:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    taken = set(written_tables(spark, root, run_id)) & set(tables)
+    if taken:
+        raise FileExistsError(f"run {run_id} has written {sorted(taken)} already")
+
+    def write(name: str, df: DataFrame) -> str:
+        path = f"{root}/staging/{run_id}/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
 
-def write_table(df: DataFrame, root: str, run_id: str, table: str) -> str:
-    """Write one table of a run, streaming from its scan into the staged copy."""
-    path = staging_path(root, run_id, table)
-    df.write.mode("errorifexists").parquet(path)
-    return path
+    with ThreadPoolExecutor(threads) as pool:
+        # Threads that inherit the caller's job tags, so that a budget can cut them off.
+        pending = {n: pool.submit(inheritable_thread_target(spark)(write), n, df) for n, df in tables.items()}
+        return {name: future.result() for name, future in pending.items()}
 
 
-def write_tables(tables: Mapping[str, DataFrame], root: str, run_id: str, threads: int = 4) -> dict[str, str]:
-    """Write a run's tables, a few at a time so small ones do not queue behind big ones."""
-    with ThreadPoolExecutor(threads) as pool:
-        pending = {name: pool.submit(write_table, df, root, run_id, name) for name, df in tables.items()}
-        paths = {name: future.result() for name, future in pending.items()}
+def index_tables(spark: SparkSession, paths: Mapping[str, str], root: str, run_id: str) -> None:
+    """Make staged tables part of a run."""
     if paths:
-        spark = next(iter(tables.values())).sparkSession
-        index = local_frame(spark, [(name,) for name in sorted(paths)], "name string")
+        index = local_frame(spark, sorted(paths.items()), "name string, path string")
         index.coalesce(1).write.mode("append").parquet(f"{root}/tables/{run_id}")
+
+
+def write_tables(tables: Mapping[str, DataFrame], root: str, run_id: str, threads: int = 4) -> dict[str, str]:
+    """Stage and index tables; returns their folders."""
+    paths = stage_tables(tables, root, run_id, threads)
+    if paths:
+        index_tables(next(iter(tables.values())).sparkSession, paths, root, run_id)
     return paths
 
 
-def written_tables(spark: SparkSession, root: str, run_id: str) -> list[str]:
-    """Names of the tables a run has staged, from its index."""
+def written_tables(spark: SparkSession, root: str, run_id: str) -> dict[str, str]:
+    """Folders of the tables a run has written, by name, from its index."""
     path = f"{root}/tables/{run_id}"
     if not exists(spark, path):
+        return {}
+    rows = spark.read.schema("name string, path string").parquet(path).orderBy("name").collect()
+    return {r["name"]: r["path"] for r in rows}
+
+
+def read_staged(spark: SparkSession, root: str, run_id: str, table: str) -> DataFrame:
+    """A table of a run, published or not."""
+    paths = written_tables(spark, root, run_id)
+    if table not in paths:
+        raise LookupError(f"run {run_id} has no table {table}")
+    return spark.read.parquet(paths[table])
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Spark's own client of the file system a path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the pointer files, ascending."""
+    system, folder = _file_system(spark, f"{root}/current")
+    if not system.exists(folder):
         return []
-    return [r.name for r in spark.read.parquet(path).distinct().orderBy("name").collect()]
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
 
-def _history(spark: SparkSession, root: str) -> DataFrame | None:
-    path = f"{root}/current"
-    return spark.read.schema(POINTER_SCHEMA).parquet(path) if exists(spark, path) else None
+def _pointer_path(root: str, number: int) -> str:
+    return f"{root}/current/{number:012d}.json"
 
 
 def current_run(spark: SparkSession, root: str) -> str | None:
-    """The run readers are on: the newest pointer row."""
-    history = _history(spark, root)
-    if history is None:
+    """The run readers are on: what the newest pointer file names."""
+    numbers = _pointers(spark, root)
+    if not numbers:
         return None
-    return history.agg(F.max_by("run_id", "seq")).first()[0]
+    return json.loads(spark.read.text(_pointer_path(root, numbers[-1]), wholetext=True).first()[0])["run_id"]
 
 
 def publish(spark: SparkSession, root: str, run_id: str, phase: str) -> None:
     """Point readers at a staged run, if its phase allows it.
 
-    Pointer rows are only ever appended, one small file each: the switch is the
-    commit of that file, and the history shows what was live when.
+    The next pointer file is created only if nobody has, which HDFS and local file systems
+    do in one step; whoever comes second takes the number after it.
     """
     if phase not in PUBLISHABLE:
         raise PublishRefused(f"run {run_id} is {phase!r}; the previous copy stays")
-    history = _history(spark, root)
-    last = history.agg(F.max("seq")).first()[0] if history is not None else None
-    row = spark.range(1).select(
-        F.lit(run_id).alias("run_id"),
-        F.lit(phase).alias("phase"),
-        F.current_timestamp().alias("published_at"),
-        F.lit((last or 0) + 1).cast("bigint").alias("seq"),
-    )
-    row.coalesce(1).write.mode("append").parquet(f"{root}/current")
+    line = json.dumps({"run_id": run_id, "phase": phase}).encode()
+    while True:
+        numbers = _pointers(spark, root)
+        system, place = _file_system(spark, _pointer_path(root, (numbers or [0])[-1] + 1))
+        try:
+            stream = system.create(place, False)
+        except Py4JJavaError as err:
+            if "Exist" not in err.java_exception.getClass().getSimpleName():
+                raise
+            continue
+        stream.write(line)
+        stream.close()
+        break
+    for number in numbers[:1 - KEPT_POINTERS] if KEPT_POINTERS > 1 else numbers:
+        system.delete(_file_system(spark, _pointer_path(root, number))[1], False)
 
 
 def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -90,7 +142,7 @@ def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
     run_id = current_run(spark, root)
     if run_id is None:
         raise LookupError(f"nothing is published under {root}")
-    return spark.read.parquet(staging_path(root, run_id, table))
+    return read_staged(spark, root, run_id, table)
 
 
 def read_jdbc(

@@ -8,10 +8,11 @@ sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from freshet.session import local_session
 
-    session = local_session("freshet-tests", cores="4", memory="4g")
+    os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])  # for Python workers
+    session = local_session(str(tmp_path_factory.mktemp("shared")), "freshet-tests", cores="4", memory="4g")
     yield session
     session.stop()
 

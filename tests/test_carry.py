@@ -2,29 +2,31 @@
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from freshet.operators.carry import carry_schemas, run_within, split_droppable
+from freshet.operators.audit import Expect
 from freshet.session import fresh_path
 from freshet.plans.refresh import CarrySpec, RefreshSpec, refresh
 from freshet.plans.masking import Masking
 from freshet.sources.manifest import manifest_from_text
 from freshet.sources.publish import (
-    PublishRefused, current_run, publish, read_current, report_rows, staging_path, write_tables,
+    PublishRefused, _pointers, current_run, publish, read_current, read_staged, report_rows, stage_tables, write_tables,
     written_tables,
 )
 
 
 @pytest.fixture(scope="module")
 def copies(spark):
-    ids = spark.range(1000).withColumn("data", F.lit("x"))
+    ids = spark.range(640).withColumn("data", F.lit("x"))
     previous = {
-        "public.test_data": ids, "persistent_data.records": spark.range(42).withColumn("value", F.lit("v")),
-        "real_schema.items": spark.range(10),
+        "public.readings": ids, "notebook.entries": spark.range(55).withColumn("value", F.lit("v")),
+        "catalogue.shelves": spark.range(12),
     }
-    new = {"public.test_data": ids, "real_schema.items": spark.range(3), "public.marker": spark.range(1)}
+    new = {"public.readings": ids, "catalogue.shelves": spark.range(3), "public.flag": spark.range(1)}
     return previous, new
 
 
@@ -34,19 +36,19 @@ def counts(tables):
 
 def test_tables_come_from_the_previous_copy(spark, copies):
     previous, new = copies
-    done = carry_schemas(spark, new, previous, ["persistent_data", "real_schema", "gone"])
+    done = carry_schemas(spark, new, previous, ["notebook", "catalogue", "gone"])
     assert done.phase == "complete" and done.skipped == ["gone"]
     assert counts(done.tables) == {
-        "public.test_data": 1000, "public.marker": 1, "persistent_data.records": 42, "real_schema.items": 10}
+        "public.readings": 640, "public.flag": 1, "notebook.entries": 55, "catalogue.shelves": 12}
 
 
 def test_views_are_built_again_or_counted(spark, copies):
     previous, new = copies
-    views = {"reporting.all_v": "SELECT t.id FROM public.test_data t JOIN real_schema.items i ON i.id = t.id",
-             "reporting.bad_v": "SELECT renamed FROM public.test_data", "other.v": "SELECT 1"}
-    done = carry_schemas(spark, new, previous, ["reporting", "real_schema"], views)
+    views = {"reporting.all_v": "SELECT t.id FROM public.readings t JOIN catalogue.shelves i ON i.id = t.id",
+             "reporting.bad_v": "SELECT renamed FROM public.readings", "other.v": "SELECT 1"}
+    done = carry_schemas(spark, new, previous, ["reporting", "catalogue"], views)
     assert done.phase == "partial: 1 statement error(s)" and set(done.errors) == {"reporting.bad_v"}
-    assert done.tables["reporting.all_v"].count() == 10 and "other.v" not in done.tables
+    assert done.tables["reporting.all_v"].count() == 12 and "other.v" not in done.tables
 
 
 @pytest.mark.parametrize("previous, schemas", [(None, ["a"]), ({}, []), ({}, ["missing"])])
@@ -85,9 +87,24 @@ def test_publishing_moves_a_pointer(spark):
     assert read_current(spark, root, "t").count() == 3  # the previous copy stays
     publish(spark, root, "two", "partial")
     assert current_run(spark, root) == "two" and read_current(spark, root, "t").count() == 5
-    assert spark.read.parquet(staging_path(root, "one", "t")).count() == 3
-    with pytest.raises(Exception):
+    assert read_staged(spark, root, "one", "t").count() == 3
+    with pytest.raises(FileExistsError):
         write_tables({"t": spark.range(9)}, root, "two")  # never over a written copy
+    stage_tables({"half": spark.range(9)}, root, "two")  # staged and lost: no part of the run
+    with pytest.raises(LookupError):
+        read_current(spark, root, "half")
+    write_tables({"half": spark.range(4)}, root, "two")  # a second attempt is not in its way
+    assert read_current(spark, root, "half").count() == 4
+    for i in range(14):
+        publish(spark, root, "one" if i % 2 else "two", "complete")
+    assert current_run(spark, root) == "one"
+
+
+def test_publishers_at_the_same_time_get_numbers_of_their_own(spark):
+    root = fresh_path(spark, "race")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: publish(spark, root, f"run-{i}", "complete"), range(8)))
+    assert len(_pointers(spark, root)) == 8
 
 
 def test_reports_leave_absent_parts_out(spark):
@@ -131,3 +148,62 @@ def test_refresh_end_to_end(spark):
     third = refresh(spark, spec, tables)
     assert third.published is False and third.masking_phase.startswith("failed: ")
     assert current_run(spark, root) == "run-2"
+
+
+def slow_rows(spark, tasks):
+    """A row a task, each of which sleeps."""
+    return spark.range(0, tasks, numPartitions=tasks).select("id", F.expr("reflect('java.lang.Thread', 'sleep', 100L)").alias("slept"))
+
+
+def test_a_budget_cuts_the_carry_over_and_publishes_without_it(spark):
+    root = fresh_path(spark, "budget")
+    manifest = manifest_from_text(spark, MANIFEST)
+    people = spark.range(20).select("id", F.concat(F.lit("p"), "id", F.lit("@corp.test")).alias("email"), F.lit("g@corp.test").alias("gone"))
+    spec = RefreshSpec(root, "run-1", Masking("s", {"public.people": ("id",)}), manifest, carry=CarrySpec(["slow"]))
+    assert refresh(spark, spec, {"public.people": people, "slow.t": spark.range(3)}).published
+    spec.run_id = "run-2"
+    spec.carry = CarrySpec(["slow"], {"slow.v": "SELECT * FROM public.wait"}, budget_seconds=2)
+    start = time.monotonic()
+    done = refresh(spark, spec, {"public.people": people, "public.wait": slow_rows(spark, 4)})
+    assert done.carry_phase == "complete" and done.published  # the view over written rows is quick
+    spec.run_id = "run-3"
+    slow = refresh_with_slow_view(spark, spec, people)
+    assert slow.published and slow.carry_phase == "timeout-skipped" and time.monotonic() - start < 60
+    assert current_run(spark, root) == "run-3"
+    assert not [n for n in written_tables(spark, root, "run-3") if n.startswith("slow.")]
+
+
+def refresh_with_slow_view(spark, spec, people):
+    spec.carry = CarrySpec(["slow"], {
+        "slow.v": "SELECT a.id, reflect('java.lang.Thread', 'sleep', 20L) AS s FROM public.people a, public.people b, public.people c"},
+        budget_seconds=2)
+    return refresh(spark, spec, {"public.people": people})
+
+
+def test_an_audit_that_fails_holds_the_copy_back(spark):
+    root = fresh_path(spark, "audit")
+    people = spark.range(50).select("id", F.concat(F.lit("p"), "id", F.lit("@corp.test")).alias("email"), F.lit("x@y.z").alias("gone"))
+    spec = RefreshSpec(
+        root, "run-1", Masking("s", {"public.people": ("id",)}), manifest_from_text(spark, MANIFEST),
+        expect={"public.people": {"email": Expect(pattern="@nowhere$")}})
+    done = refresh(spark, spec, {"public.people": people})
+    assert not done.published and done.masking_phase == "failed: the audit refuses ['public.people']"
+    assert current_run(spark, root) is None
+
+
+def test_failures_while_writing_hold_the_copy_back(spark):
+    root = fresh_path(spark, "late")
+    people = spark.range(5).select("id", F.lit("a@b.c").alias("email"), F.expr("CAST(raise_error('disk') AS STRING)").alias("gone"), F.expr("if(id > 3, raise_error('late'), id)").alias("n"))
+    spec = RefreshSpec(root, "run-1", Masking("s", {"public.people": ("id",)}), manifest_from_text(spark, MANIFEST))
+    done = refresh(spark, spec, {"public.people": people})
+    assert not done.published and done.masking_phase.startswith("failed: ")
+    good = people.select("id", "email", F.lit("g@h.i").alias("gone"))
+    assert refresh(spark, spec, {"public.people": good}).published  # the same run id, tried again
+
+
+def test_views_over_views_in_any_order(spark, copies):
+    previous, new = copies
+    views = {"reporting.a": "SELECT id FROM reporting.b", "reporting.b": "SELECT id FROM catalogue.shelves",
+             "reporting.c": "SELECT id FROM reporting.d", "reporting.d": "SELECT nothing FROM public.readings"}
+    done = carry_schemas(spark, new, previous, ["reporting", "catalogue"], views)
+    assert done.tables["reporting.a"].count() == 12 and set(done.errors) == {"reporting.c", "reporting.d"}
