@@ -29,6 +29,9 @@ REJECT = 0.25
 
 UNKNOWN = "und"
 
+#: Rows are sampled by a hash of their key below this number.
+ORDERS = 1 << 30
+
 _LETTER = re.compile(r"[^\W\d_]")
 _APART = re.compile(r"[\W\d_]+")
 
@@ -90,16 +93,42 @@ def fit(texts: list[str], labels: list[str], centroids: int = CENTROIDS, rounds:
     return model
 
 
-def labelled_sample(docs: DataFrame, usable: Column, text: str, label: str, key: Column, size: int) -> list[tuple[str, str]]:
-    """At most ``size`` texts of each label, chosen by a hash of the key alone."""
-    rows = docs.where(usable).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("order"))
-    # Counts first: then only some more than are wanted are put in order, however many a label has.
-    many = rows.groupBy("label").count()
-    share = F.least(F.lit(1.0), F.lit(4.0 * size) / F.col("count"))
-    near = rows.join(many, "label").where(F.pmod(F.col("order"), F.lit(1 << 30)) <= share * float(1 << 30))
-    rank = F.row_number().over(W.partitionBy("label").orderBy("order", F.md5(F.col("text").cast("binary"))))
+def sample_cuts(rows: DataFrame, size: int) -> dict[str, int]:
+    """Per label of (label, order) rows, the order up to which there are ``size`` of them.
+
+    ``order`` is a hash below ORDERS, so a share of it is a share of the rows. Counts come
+    first: then only some more rows than wanted are put in order, however many a label has.
+    Labels are the classes of a classifier, few enough for the driver.
+    """
+    shares = {r["label"]: min(1.0, 4.0 * size / r["count"]) for r in rows.groupBy("label").count().collect()}
+    if not shares:
+        return {}
+    near = rows.where(F.col("order") <= by_label(shares) * float(ORDERS))
+    rank = F.row_number().over(W.partitionBy("label").orderBy("order"))
     best = near.withColumn("rank", rank).where(F.col("rank") <= size)
-    return [(r["text"], r["label"]) for r in best.select("text", "label").collect()]  # size x labels rows at most
+    return {r["label"]: r["cut"] for r in best.groupBy("label").agg(F.max("order").alias("cut")).collect()}
+
+
+def by_label(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("label")]
+
+
+def order_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(ORDERS))
+
+
+def labelled_sample(docs: DataFrame, usable: Column, text: str, label: str, key: Column, size: int) -> list[tuple[str, str]]:
+    """At most ``size`` texts with a letter of each label, chosen by a hash of the key alone."""
+    rows = docs.where(usable & F.col(label).isNotNull()).select(
+        F.col(label).cast("string").alias("label"), order_of(key).alias("order"), F.col(text).cast("string").alias("text"))
+    cuts = sample_cuts(rows.select("label", "order"), size)
+    if not cuts:
+        return []
+    # Keys may repeat without bound: what is collected is cut to size again.
+    rank = F.row_number().over(W.partitionBy("label").orderBy("order", F.xxhash64("text")))
+    best = rows.where((F.col("order") <= by_label(cuts)) & F.col("text").rlike(r"\p{L}"))
+    chosen = best.withColumn("rank", rank).where(F.col("rank") <= size)
+    return [(r["text"], r["label"]) for r in chosen.select("text", "label").collect()]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -135,8 +164,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def learn(docs: DataFrame, held: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Fit on labelled texts with a letter that are not held out, SAMPLE of a language at most."""
-    usable = ~held & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")
-    sample = labelled_sample(docs, usable, text, lang, F.col(key).cast("string"), SAMPLE)
+    sample = labelled_sample(docs, ~held, text, lang, F.col(key).cast("string"), SAMPLE)
     return fit([t for t, _ in sample], [x for _, x in sample])
 
 

@@ -33,7 +33,7 @@ from .common import small_batches, stored
 SKETCH, TREES, STEPS = 64, 16, 2
 
 #: Nodes up to this size are compared exhaustively.
-SMALL = 256
+SMALL = 1024
 
 #: Steps after which a node that is still large is compared in blocks instead.
 DEPTH = 12
@@ -132,6 +132,11 @@ def _sign(size: int):
     return run
 
 
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, last, one = zstandard.ZstdDecompressor(), None, None
@@ -145,8 +150,7 @@ def _confirm(size: int, percent: int):
                 if a != last:
                     last, one = a, shingles(unpack.decompress(first).decode("utf-8"), size)
                 two = shingles(unpack.decompress(second).decode("utf-8"), size)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * both >= percent * (len(one) + len(two) - both):
+                if _similar(one, two, percent):
                     links.append((a, b))
             yield pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
     return run
@@ -204,46 +208,74 @@ def _mixed(nodes: DataFrame) -> DataFrame:
     return nodes.join(stats.where((F.col("low") != F.col("high")) & (F.col("size") > 2)).select("node", "size"), "node")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different groups whose sketches agree, in each node of rows sorted by node."""
-    def pairs(rows: np.ndarray, groups: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        found = []
-        for i in range(len(rows) - 1):
-            near = ((tokens[i + 1:] == tokens[i]).sum(1) >= AGREE) & (groups[i + 1:] != groups[i])
-            found.extend((min(rows[i], r), max(rows[i], r)) for r in rows[i + 1:][near])
-        return np.array(found, np.int64).reshape(-1, 2)
-
-    held: list[tuple] = []
-    def close() -> pa.RecordBatch:
-        parts = [np.concatenate(c) for c in zip(*held)]
-        held.clear()
-        cuts = np.flatnonzero(np.diff(parts[0])) + 1
-        found = [pairs(*x) for x in zip(*[np.split(p, cuts) for p in parts[1:]])]
-        done = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pa.record_batch([pa.array(done[:, 0]), pa.array(done[:, 1])], names=["a", "b"])
-
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
+def _links(rows: list[int], groups: list[int], tokens: np.ndarray, packed: list[bytes], size: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a node that join members of different groups.
+
+    Pairs whose sketches agree are confirmed on the full sets, the most alike first, and
+    only as long as their groups are still apart: the rest would tell nothing new.
+    """
+    first, second, agree = [], [], []
+    for i in range(len(rows) - 1):
+        same = (tokens[i + 1:] == tokens[i]).sum(1)
+        near = np.flatnonzero(same >= AGREE)
+        first.append(np.full(len(near), i))
+        second.append(near + i + 1)
+        agree.append(same[near])
+    order = np.argsort(-np.concatenate(agree), kind="stable")
+    parent = {g: g for g in groups}
+
+    def find(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    unpack, sets, links = zstandard.ZstdDecompressor(), {}, []
+    for i, j in zip(np.concatenate(first)[order].tolist(), np.concatenate(second)[order].tolist()):
+        a, b = find(groups[i]), find(groups[j])
+        if a == b:
             continue
-        node, row, group = (batch.column(c).to_numpy() for c in ("node", "row", "group"))
-        tokens = _matrix(batch.column("sketch"))
-        same = node == last
-        if held and same.any():  # the end of the node at the border
-            held.append((node[same], row[same], group[same], tokens[same]))
-        if held and not same.all():
-            yield close()
-        rest = ~same if last is not None else np.ones(len(node), bool)
-        if rest.any():
-            tail = node == node[-1]
-            whole = rest & ~tail
-            if whole.any():
-                held.append((node[whole], row[whole], group[whole], tokens[whole]))
-                yield close()
-            held.append((node[tail], row[tail], group[tail], tokens[tail]))
-        last = node[-1]
-    if held:
-        yield close()
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = shingles(unpack.decompress(packed[k]).decode("utf-8"), size)
+        if _similar(sets[i], sets[j], percent):
+            links.append((min(rows[i], rows[j]), max(rows[i], rows[j])))
+            parent[max(a, b)] = min(a, b)
+    return links
+
+
+def _compare(size: int, percent: int):
+    """Links in each node, of rows sorted by node."""
+    def close(table: pa.Table) -> list[tuple[int, int]]:
+        node = table.column("node").to_numpy()
+        found, cuts = [], [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = table.slice(a, b - a)
+            row, group, packed = (part.column(c).to_pylist() for c in ("row", "group", "packed"))
+            if b - a > 1:
+                found += _links(row, group, _matrix(part.column("sketch").combine_chunks()), packed, size, percent)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy()
+            last = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+            if held and held[-1].column("node")[-1].as_py() != node[-1]:
+                yield out(close(pa.Table.from_batches([*held, batch.slice(0, last)])))
+                held = []
+            elif last and not held:
+                yield out(close(pa.Table.from_batches([batch.slice(0, last)])))
+            held.append(batch.slice(last))
+        if held:
+            yield out(close(pa.Table.from_batches(held)))
+    return run
 
 
 def _branch(nodes: DataFrame, signed: DataFrame) -> DataFrame:
@@ -301,11 +333,9 @@ def _groups(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str)
     leaf = leaves[0]
     for part in leaves[1:]:
         leaf = leaf.union(part)
-    compared = (
-        leaf.join(signed.select("row", "sketch"), "row").select("node", "row", "group", "sketch")
-        .repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a long, b long")
-    )
-    more = stored(confirm(compared, signed, shingle, percent), "dedup-links")
+    held = leaf.join(signed.select("row", "sketch", "packed"), "row").select("node", "row", "group", "sketch", "packed")
+    compared = held.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(shingle, percent), "a long, b long")
+    more = stored(compared.distinct(), "dedup-links")
     if not more.isEmpty():
         groups = components(links.union(more))
     return signed, members.join(groups.select(F.col("row").alias("first"), "label"), "first", "left").select(

@@ -129,11 +129,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """Ids, sources and sizes beside the row's number, which tells repeated rows apart.
-
-    Row numbers repeat as long as the input reads the same partitions in the same
-    order, as files do.
-    """
+    """Ids, sources and sizes beside a number for each row, which tells repeated rows apart once stored."""
     return docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         words_in(F.col(text)).alias("size"),
@@ -169,16 +165,17 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
                   seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed documents themselves: every column, one row a copy.
 
-    The thresholds are joined by source alone, so texts are not shuffled. Documents
-    without words follow the whole copies of their source.
+    They are written once with their row numbers, so that later passes mean the same rows.
+    The thresholds are joined by source alone, so texts are not shuffled. Documents without
+    words follow the whole copies of their source.
     """
-    numbered = _numbered(docs, doc_id, text, source)
-    rows = stored(numbered, "mix-sizes")
-    targets = stored(source_targets(rows, weights, share, most), "mix-targets")
-    stops = stored(thresholds(rows, targets, seed), "mix-stops")
-    whole = docs.select(
+    numbered = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-        words_in(F.col(text)).alias("size"), F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_document"),
+        words_in(F.col(text)).alias("size"), F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("document"),
     )
+    whole = stored(numbered, "mix-documents")
+    rows = whole.drop("document")
+    targets = stored(source_targets(rows, weights, share, most), "mix-targets")
+    stops = stored(thresholds(rows, targets, seed), "mix-stops")
     taken = _apply(whole, targets, stops, seed)
-    return taken.select("_document", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select("_document.*")
+    return taken.select("document", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select("document.*")

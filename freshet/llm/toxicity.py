@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .common import held_out, small_batches
-from .langid import labelled_sample
+from .langid import by_label, order_of, sample_cuts
 
 #: Labelled documents of each label the model is fitted on at most.
 SAMPLE = 2000
@@ -142,13 +142,24 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, decay: float = 1
 
 
 def learn(docs: DataFrame, labels: DataFrame, out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on labelled documents that are not held out, SAMPLE of a label at most."""
-    taught = labels.where(~out & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
-    marked = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(taught, "_key")
-    sample = labelled_sample(marked, F.col("_label").isin(0, 1), "_text", "_label", F.col("_key").cast("string"), SAMPLE)
-    if not sample:
+    """Fit on labelled documents that are not held out, SAMPLE of a label at most.
+
+    The sample is chosen from ids alone; only its documents' texts are read on, by a
+    broadcast of at most 2 * SAMPLE ids. A document with several labels counts as toxic if
+    one says so; of documents that share an id one is taken.
+    """
+    marked = labels.where(~out & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
+    known = marked.join(docs.select(F.col(key).alias("_key")), "_key", "left_semi").select(
+        "_key", F.col("_toxic").cast("string").alias("label"), order_of(F.col("_key").cast("string")).alias("order"))
+    cuts = sample_cuts(known, SAMPLE)
+    if not cuts:
         return Model(None, {})
-    return fit([t for t, _ in sample], [int(x) for _, x in sample])
+    rank = F.row_number().over(W.partitionBy("label").orderBy("order", "_key"))
+    chosen = known.where(F.col("order") <= by_label(cuts)).withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE)
+    found = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    sample = found.join(F.broadcast(chosen.select("_key", "label")), "_key").groupBy("_key", "label").agg(F.min("_text").alias("_text"))
+    rows = sample.orderBy("_key").collect()
+    return fit([r["_text"] for r in rows], [int(r["label"]) for r in rows])
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
