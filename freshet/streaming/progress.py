@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import uuid_text
 
+# Fields of a sample.
 COUNTERS = ["sent_raw_bytes", "sent_payload_bytes", "received_raw_bytes", "received_payload_bytes"]
 BIGGEST = (1 << 63) - 1
 BIGGEST_UNSIGNED = (1 << 64) - 1
@@ -41,18 +42,14 @@ def parse_samples(raw: DataFrame, body: str = "body") -> DataFrame:
     return read.where(uuid_text(F.col("run_id"))).dropna(subset=["type", *COUNTERS])
 
 
-def stream_totals(samples: DataFrame, at: str = "at", late: str = "1 hour", window: str = "1 day") -> DataFrame:
-    """Totals per run, type and day; update mode.
+def stream_totals(samples: DataFrame) -> DataFrame:
+    """Totals per run and type; update mode.
 
-    The day only lets state go once the watermark is past it. Maxima are folded
-    in the map tasks, so a run with most of the samples is no burden.
+    A running maximum is right however late a sample comes, so there is no watermark that
+    would drop one: the state is one row per run and type. Maxima are folded in the map
+    tasks, so a run with most of the samples is no burden.
     """
-    return (
-        samples.withWatermark(at, late)
-        .groupBy("run_id", "type", F.window(at, window).alias("w"))
-        .agg(*[F.max(c).alias(c) for c in COUNTERS])
-        .select("run_id", "type", F.col("w.start").alias("window_start"), *COUNTERS)
-    )
+    return totals(samples)
 
 
 def totals(samples: DataFrame) -> DataFrame:

@@ -8,24 +8,41 @@ segments, and the stream starts from the state that leaves (``initial``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.stalls import ABANDONED_SECONDS, NOT_REINDEXING, STALL_SECONDS, STALLED, WAIT, watch
+from ..session import fresh_path
 
-CHANGES_OUT = "key bigint, at timestamp, seq bigint, generation bigint"
-STALLS_OUT = "key bigint, at timestamp, seq bigint, progress string, changed_at timestamp, verdict string"
+CHANGES_OUT = "at timestamp, seq bigint, generation bigint"
+STALLS_OUT = "at timestamp, seq bigint, progress string, changed_at timestamp, verdict string"
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
+    return pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
 
 
-class Changes(StatefulProcessor):
+class _Keyed(StatefulProcessor):
+    """A processor whose results start with the key's columns."""
+
+    def __init__(self, keys: Sequence[str]) -> None:
+        self.keys = list(keys)
+
+    def answer(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        for at, (name, value) in enumerate(zip(self.keys, key)):
+            rows.insert(at, name, value)
+        return rows
+
+    def close(self) -> None:
+        pass
+
+
+class Changes(_Keyed):
     """Rows whose generation is not the last one seen; a deletion forgets the key."""
 
     def init(self, handle) -> None:
@@ -46,14 +63,48 @@ class Changes(StatefulProcessor):
             self.seen.clear()
         else:
             self.seen.update((int(last["generation"]),))
-        yield changed.assign(key=key[0])[["key", "at", "seq", "generation"]]
-
-    def close(self) -> None:
-        pass
-
-
-class Stalls(StatefulProcessor):
-    """The watch over one run, folded observation by observation."""
+        yield self.answer(key, changed[["at", "seq", "generation"]].copy())
+
+
+def watch_batch(batch: pd.DataFrame, before: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    """The watch after each observation of an ordered batch, and after all of them.
+
+    ``before`` is (progress, observed_at, changed_at), and takes part as an observation
+    of its own in front of the batch.
+    """
+    at, ok, progress = batch["at"].to_numpy(), batch["ok"].to_numpy(bool), batch["progress"].to_numpy(object)
+    progress = np.where(pd.isna(progress), None, progress)
+    if before is not None:
+        at = np.concatenate([[np.datetime64(before[1], "ns")], at])
+        ok, progress = np.concatenate([[True], ok]), np.concatenate([np.array([before[0]], object), progress])
+    n = len(at)
+    gap = np.diff(at) / np.timedelta64(1, "s")
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], gap > ABANDONED_SECONDS]), np.arange(n), 0))
+    good = np.flatnonzero(ok)
+    moved = np.zeros(n, bool)
+    if len(good):
+        same = (progress[good[1:]] == progress[good[:-1]]) & (good[:-1] >= begin[good[1:]])
+        moved[good] = np.concatenate([[True], ~same])
+    latest = np.maximum.accumulate(np.where(ok, np.arange(n), -1))
+    change = np.maximum.accumulate(np.where(moved, np.arange(n), -1))
+    changed_at = at[np.maximum(change, 0)]
+    if before is not None:
+        changed_at = np.where(change == 0, np.datetime64(before[2], "ns"), changed_at)
+    watched = latest >= begin
+    last = progress[np.maximum(latest, 0)]
+    late = (at - changed_at) / np.timedelta64(1, "s") > STALL_SECONDS
+    verdict = np.where(last == None, NOT_REINDEXING, np.where(late, STALLED, WAIT))  # noqa: E711  by element
+    after = (last[-1], pd.Timestamp(at[-1]).to_pydatetime(), pd.Timestamp(changed_at[-1]).to_pydatetime()) if n and watched[-1] else None
+    skip = int(before is not None)
+    out = pd.DataFrame({
+        "at": at[skip:], "seq": batch["seq"].to_numpy(), "progress": last[skip:],
+        "changed_at": changed_at[skip:], "verdict": verdict[skip:],
+    })
+    return out[watched[skip:]], after
+
+
+class Stalls(_Keyed):
+    """The watch over one run, a micro-batch of observations at a time."""
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -67,65 +118,61 @@ class Stalls(StatefulProcessor):
         self.state.update((progress, row["observed_at"].to_pydatetime(), row["changed_at"].to_pydatetime()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        watch = self.state.get() if self.state.exists() else None
-        out = []
-        for row in _in_order(rows).itertuples(index=False):
-            at = row.at.to_pydatetime()
-            if watch is not None and (at - watch[1]).total_seconds() > ABANDONED_SECONDS:
-                watch = None
-            if row.ok:
-                progress = None if pd.isna(row.progress) else row.progress
-                same = watch is not None and watch[0] == progress
-                watch = (progress, at, watch[2] if same else at)
-            elif watch is not None:
-                watch = (watch[0], at, watch[2])
-            if watch is None:
-                continue
-            still = (at - watch[2]).total_seconds() > STALL_SECONDS
-            verdict = NOT_REINDEXING if watch[0] is None else STALLED if still else WAIT
-            out.append((key[0], at, row.seq, watch[0], watch[2], verdict))
+        out, watched = watch_batch(_in_order(rows), self.state.get() if self.state.exists() else None)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if watch is None:
+        if watched is None:
             self.state.clear()
         else:
-            self.state.update(tuple(watch))
-            gone = watch[1] + timedelta(seconds=ABANDONED_SECONDS)
+            self.state.update(watched)
+            gone = watched[1] + timedelta(seconds=ABANDONED_SECONDS)
             self.handle.registerTimer(int(pd.Timestamp(gone).timestamp() * 1000) + 1)
-        yield pd.DataFrame(out, columns=["key", "at", "seq", "progress", "changed_at", "verdict"])
+        yield self.answer(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter([])
 
-    def close(self) -> None:
-        pass
-
 
-def changes_state(events: DataFrame) -> DataFrame:
+def changes_state(events: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     """What a stream of changes should know after these events: a fold per key."""
     newest = F.max_by(F.struct("generation", "deleted"), F.struct("at", "seq"))
-    left = events.groupBy("key").agg(newest.alias("n")).where(~F.col("n.deleted"))
-    return left.select("key", F.col("n.generation").alias("generation"))
+    left = events.groupBy(*keys).agg(newest.alias("n")).where(~F.col("n.deleted"))
+    return left.select(*keys, F.col("n.generation").alias("generation"))
 
 
-def stalls_state(observations: DataFrame) -> DataFrame:
+def stalls_state(observations: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     """What a stream of watches should know after these observations."""
     newest = F.max_by(F.struct("progress", F.col("at").alias("observed_at"), "changed_at"), F.struct("at", "seq"))
-    return watch(observations, keys=["key"]).groupBy("key").agg(newest.alias("n")).select("key", "n.*")
+    return watch(observations, keys=list(keys)).groupBy(*keys).agg(newest.alias("n")).select(*keys, "n.*")
+
+
+def _start(initial: DataFrame | None, keys: Sequence[str]):
+    """The state to start from, as a written table: the stream keeps its plan, and needs it small."""
+    if initial is None:
+        return None
+    path = fresh_path(initial.sparkSession, "initial-state")
+    initial.write.parquet(path)
+    return initial.sparkSession.read.schema(initial.schema).parquet(path).groupBy(*keys)
+
+
+def _out(rows: DataFrame, keys: Sequence[str], rest: str) -> str:
+    return ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), rest])
 
 
-def stream_changes(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """Changes of a stream of ``(key, at, seq, generation, deleted)``."""
-    return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Changes(), outputStructType=CHANGES_OUT, outputMode="Append", timeMode="None",
-        initialState=None if initial is None else initial.groupBy("key"),
+def stream_changes(events: DataFrame, initial: DataFrame | None = None, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """Changes of a stream of ``(…keys, at, seq, generation, deleted)``."""
+    return events.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Changes(keys), outputStructType=_out(events, keys, CHANGES_OUT), outputMode="Append",
+        timeMode="None", initialState=_start(initial, keys),
     )
 
 
-def stream_stalls(observations: DataFrame, late: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
-    """Watches of a stream of ``(key, at, seq, ok, progress)``."""
-    return observations.withWatermark("at", late).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Stalls(), outputStructType=STALLS_OUT, outputMode="Append", timeMode="EventTime",
-        initialState=None if initial is None else initial.groupBy("key"),
+def stream_stalls(
+    observations: DataFrame, late: str = "1 hour", initial: DataFrame | None = None, keys: Sequence[str] = ("key",)
+) -> DataFrame:
+    """Watches of a stream of ``(…keys, at, seq, ok, progress)``."""
+    return observations.withWatermark("at", late).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Stalls(keys), outputStructType=_out(observations, keys, STALLS_OUT), outputMode="Append",
+        timeMode="EventTime", initialState=_start(initial, keys),
     )

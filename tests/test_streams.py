@@ -1,5 +1,6 @@
 """Streams end where their batch twins do, however the input was cut up."""
 
+import datetime as dt
 import json
 import time
 
@@ -125,6 +126,25 @@ def test_totals_survive_lost_repeated_and_late_samples(spark, events):
     assert [(r.sent_raw_bytes, r.received_payload_bytes) for r in total] == [(9, 36)]
 
 
+def test_a_sample_a_day_late_still_counts(spark, events):
+    start = events.agg(F.min("at")).first()[0]
+    rows = spark.createDataFrame(
+        [(0, start, sample(1)), (1, start + dt.timedelta(days=2), sample(2)), (2, start + dt.timedelta(days=1), sample(7))],
+        "event_id bigint, at timestamp, body string")
+    samples = progress.parse_samples(read_files(spark, cut(spark, rows, 3), rows.drop("event_id").schema, files_per_trigger=1))
+    sink = fresh_path(spark, "out")
+    write_updates(progress.stream_totals(samples), sink, fresh_path(spark, "state")).awaitTermination()
+    assert [r.sent_raw_bytes for r in progress.totals(spark.read.parquet(sink)).collect()] == [7]
+
+
+def test_keys_of_any_type(spark, events):
+    rows = change_rows(events).withColumns({"site": F.concat(F.lit("s"), F.col("key") % 2), "day": F.to_date("at")})
+    named = rows.drop("key")
+    twin = fleet.spec_changes(named, keys=["site", "day"]).select("site", "day", "at", "seq", "generation")
+    _, sink, _ = drain(spark, named, 2, lambda s: stream_changes(s, keys=["site", "day"]))
+    assert same(spark.read.parquet(sink), twin)
+
+
 def test_latest_payload_wins_and_ages_out(spark, events):
     rows = events.select(
         "event_id", (F.col("user_id") % 7).alias("key"), "at", F.col("event_id").alias("seq"), F.col("props").alias("payload"))
