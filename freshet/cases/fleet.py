@@ -244,7 +244,7 @@ WITH src AS ({plain(RUNS)})
 SELECT controller, count(*) AS runs, count(*) FILTER (WHERE error) AS errors,
   """ + ", ".join(
     f"count(*) FILTER (WHERE duration_s <= {b!r}) AS le_{format(b, 'g').replace('.', '_')}" for b in fleet.DURATION_BUCKETS
-) + ", count(duration_s) AS le_inf FROM src GROUP BY controller")
+) + ", count(duration_s) AS le_inf, coalesce(sum(round(duration_s * 1000)::BIGINT), 0)::BIGINT AS duration_sum_ms FROM src GROUP BY controller")
 
 SENT = "SELECT source AS name, lang AS event, doc_id % 5 = 0 AS failed FROM {documents}"
 

@@ -142,7 +142,7 @@ def backoff_seconds(failures: Column) -> Column:
 
 def failure_streaks(
     attempts: DataFrame, ok: Column, keys: Sequence[str] = ("replica",),
-    order: Sequence[str] = ("at", "seq"), segment: Column | None = None,
+    order: Sequence[str] = ("at", "seq"), segments: int | None = None,
 ) -> DataFrame:
     """Adds ``streak``, failures in a row up to each attempt, and its ``backoff_s``.
 
@@ -150,7 +150,7 @@ def failure_streaks(
     running values, so a replica may have any number of attempts.
     """
     marked = attempts.withColumn("_failed", F.when(ok, F.lit(0)).otherwise(F.lit(1)).cast("bigint"))
-    pieces = cut(marked, keys, order, segment)
+    pieces = cut(marked, keys, order, segments)
     counted = running(pieces, keys, order, {"_failures": ("sum", F.col("_failed"))})
     settled = running(
         counted, keys, order, {"_at_success": ("max", F.when(F.col("_failed") == 0, F.col("_failures")))}
@@ -208,10 +208,10 @@ def identity(name: Column, replica_id: Column, server_id: Column, intent: Column
 
 def condition_history(
     updates: DataFrame, keys: Sequence[str] = ("replica", "type"),
-    order: Sequence[str] = ("at", "seq"), segment: Column | None = None,
+    order: Sequence[str] = ("at", "seq"), segments: int | None = None,
 ) -> DataFrame:
     """Adds ``last_transition_at``: it moves only when the status changes."""
-    seen = running(cut(updates, keys, order, segment), keys, order, {"_before": ("previous", F.struct("status"))})
+    seen = running(cut(updates, keys, order, segments), keys, order, {"_before": ("previous", F.struct("status"))})
     changed = F.col("_before").isNull() | ~F.col("_before.status").eqNullSafe(F.col("status"))
     moved = running(seen, keys, order, {"last_transition_at": ("last", F.when(changed, F.col(order[0])))})
     return moved.drop("_before", SEGMENT)
@@ -219,7 +219,7 @@ def condition_history(
 
 def spec_changes(
     events: DataFrame, keys: Sequence[str] = ("replica",),
-    order: Sequence[str] = ("at", "seq"), segment: Column | None = None,
+    order: Sequence[str] = ("at", "seq"), segments: int | None = None,
 ) -> DataFrame:
     """Events whose generation differs from the last one seen for their key.
 
@@ -227,13 +227,13 @@ def spec_changes(
     deletion forgets the key and is no change itself.
     """
     before = F.struct("generation", "deleted")
-    seen = running(cut(events, keys, order, segment), keys, order, {"_before": ("previous", before)})
+    seen = running(cut(events, keys, order, segments), keys, order, {"_before": ("previous", before)})
     same = ~F.col("_before.deleted") & F.col("_before.generation").eqNullSafe(F.col("generation"))
     return seen.where(~F.col("deleted") & ~F.coalesce(same, F.lit(False))).drop("_before", SEGMENT)
 
 
 def run_metrics(runs: DataFrame, keys: Sequence[str] = ("controller",)) -> DataFrame:
-    """Runs, errors and a cumulative duration histogram per controller."""
+    """Runs, errors and a cumulative duration histogram, with its sum, per controller."""
     buckets = [
         F.count_if(F.col("duration_s") <= bound).alias("le_" + f"{bound:g}".replace(".", "_"))
         for bound in DURATION_BUCKETS
@@ -243,6 +243,8 @@ def run_metrics(runs: DataFrame, keys: Sequence[str] = ("controller",)) -> DataF
         F.count_if(F.col("error")).alias("errors"),
         *buckets,
         F.count("duration_s").alias("le_inf"),
+        # In whole milliseconds, so that the sum is the same in any order.
+        F.coalesce(F.sum(F.round(F.col("duration_s") * 1000).cast("bigint")), F.lit(0)).alias("duration_sum_ms"),
     )
 
 

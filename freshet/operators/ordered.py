@@ -1,55 +1,37 @@
 """Running values over ordered rows, for keys of any size.
 
-A plain window sorts all rows of a key in one task. Here a busy key's rows are
-cut into segments along their order: each segment is scanned on its own, one
-summary row per segment carries the rest forward, and only summaries of a key
-ever meet. The rows are shuffled once, on key and segment, for any number of
-passes; the summaries are folded before theirs.
+A plain window sorts all rows of a key in one task. Here rows are first dealt by a
+sampled range partitioning on key and order, so every partition holds an even share
+of the rows whatever the clock does: bursts and equal times are split like anything
+else. A partition's rows of a key are a segment. Each segment is scanned on its own,
+one summary row per segment carries the rest forward, and only summaries of a key
+ever meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SEGMENT = "_segment"
-
-#: A key with more than this share of all rows is cut up. No more than this many
-#: keys can have one, whatever the data, which is what bounds the broadcast below.
-SHARES = 10_000
+from ..session import fresh_path
 
-#: Keys with fewer rows than this are never worth cutting.
-SMALLEST_CUT = 100_000
+SEGMENT = "_segment"
 
 
-def cut(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column | None = None,
-    shares: int = SHARES, smallest: int = SMALLEST_CUT,
-) -> DataFrame:
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int | None = None) -> DataFrame:
     """Add the segment of each row, to be dropped after the last running value.
 
-    Without a ``segment`` of the caller's, which must not decrease along
-    ``order``, keys are cut by their own size: one with more than its share of
-    the rows into even stretches of its first order column (a time or a number),
-    as many as it has shares; all others stay whole.
+    ``order`` must be unique within a key. The dealt rows are written to the shared
+    folder, so the sampled borders are drawn once and every later pass, and every task
+    that runs again, sees the same segments.
     """
-    if segment is not None:
-        return df.withColumn(SEGMENT, segment)
-    first = F.col(order[0])
-    timed = isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-    place = (F.unix_micros(first.cast("timestamp")) if timed else first).cast("double")
-    counts = df.select(*keys, place.alias("_place")).groupBy(*keys).agg(
-        F.count("*").alias("_rows"), F.min("_place").alias("_low"), F.max("_place").alias("_high")
-    )
-    share = F.greatest(df.agg(F.count("*")).scalar() / F.lit(shares), F.lit(smallest))
-    pieces = F.ceil(F.col("_rows") / share)
-    busy = counts.where(F.col("_rows") > share).select(
-        *keys, F.col("_low"), ((F.col("_high") - F.col("_low")) / pieces).alias("_width")
-    )
-    placed = df.join(F.broadcast(busy), list(keys), "left")
-    stretch = F.floor((place - F.col("_low")) / F.nullif(F.col("_width"), F.lit(0.0)))
-    return placed.select(*df.columns, F.coalesce(stretch, F.lit(0)).cast("bigint").alias(SEGMENT))
+    spark = df.sparkSession
+    count = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(count, *keys, *order).withColumn(SEGMENT, F.spark_partition_id())
+    path = fresh_path(spark, "segments")
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
 def running(
@@ -95,18 +77,3 @@ def running(
     carries = summaries.select(*keys, SEGMENT, *[c.alias(name) for name, c in carried.items()])
     joined = rows.join(carries, [*keys, SEGMENT], "left")
     return joined.select(*df.columns, *[c.alias(name) for name, c in merged.items()])
-
-
-def by_day(ts: str) -> Column:
-    """Segments of one day."""
-    return F.to_date(F.col(ts))
-
-
-def by_hour(ts: str) -> Column:
-    """Segments of one hour."""
-    return F.date_trunc("hour", F.col(ts))
-
-
-def by_count(number: str, size: int = 100_000) -> Column:
-    """Segments of so many consecutive numbers."""
-    return F.floor(F.col(number) / F.lit(size))

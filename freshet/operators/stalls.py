@@ -36,7 +36,7 @@ def verdict(progress: Column, changed_at: Column, now: Column) -> Column:
 
 def watch(
     observations: DataFrame, keys: Sequence[str] = ("restore",),
-    order: Sequence[str] = ("at", "seq"), segment: Column | None = None,
+    order: Sequence[str] = ("at", "seq"), segments: int | None = None,
 ) -> DataFrame:
     """Each observation with the watch after it: ``progress, changed_at, verdict``.
 
@@ -46,7 +46,7 @@ def watch(
     at, kept = F.col(order[0]), [c for c in observations.columns if c != "progress"]
     good = F.when(F.col("ok"), F.struct(at.alias("at"), "progress"))
 
-    seen = running(cut(observations, keys, order, segment), keys, order, {
+    seen = running(cut(observations, keys, order, segments), keys, order, {
         "_before": ("previous", at), "_good_before": ("previous", good),
     })
     fresh = F.col("_before").isNull() | (_seconds(F.col("_before"), at) > ABANDONED_SECONDS)

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from freshet.functions import expressions as ex
 from freshet.operators import access, fleet, stalls, verify
-from freshet.operators.ordered import SEGMENT, by_count, by_day, by_hour, cut, running
+from freshet.operators.ordered import SEGMENT, cut, running
 
 NOW = dt.datetime(2026, 5, 8, 12)
 
@@ -30,11 +30,10 @@ def skewed(spark):
     return spark.createDataFrame(rows, "key int, at timestamp, seq bigint, v bigint, flag boolean").repartition(6)
 
 
-@pytest.mark.parametrize("segment", ["day", "hour", "count", "one", "size"])
-def test_running_values_match_plain_windows(skewed, segment):
-    cuts = {"day": by_day("at"), "hour": by_hour("at"), "count": by_count("seq", 50), "one": F.lit(1)}
+@pytest.mark.parametrize("segments", [1, 7, 60, None])
+def test_running_values_match_plain_windows(skewed, segments):
     v = F.col("v")
-    pieces = cut(skewed, ["key"], ["at", "seq"], cuts.get(segment), shares=20, smallest=1)
+    pieces = cut(skewed, ["key"], ["at", "seq"], segments)
     got = running(pieces, ["key"], ["at", "seq"], {
         "total": ("sum", v), "peak": ("max", v), "newest": ("last", v), "earlier": ("previous", v),
         "row_before": ("previous", F.struct("v")),
@@ -50,18 +49,17 @@ def test_running_values_match_plain_windows(skewed, segment):
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
 
-def test_only_busy_keys_are_cut(skewed):
-    pieces = cut(skewed, ["key"], ["at", "seq"], shares=20, smallest=1)
-    sizes = pieces.groupBy("key", SEGMENT).count()
-    per_key = {r.key: r.n for r in sizes.groupBy("key").agg(F.count("*").alias("n")).collect()}
-    assert per_key[0] > 5 and max(n for k, n in per_key.items() if k) == 1
-    # A share is 150 rows; even stretches of a bursty key may hold somewhat more.
-    assert sizes.agg(F.max("count")).first()[0] < 400
-    assert cut(skewed, ["key"], ["at", "seq"]).where(F.col(SEGMENT) != 0).count() == 0
+@pytest.mark.parametrize("at", ["burst", "equal"])
+def test_segments_are_even_whatever_the_clock_does(spark, at):
+    """One key with nearly all its rows within a minute, or at one instant."""
+    second = {"burst": F.when(F.col("id") % 2000 == 0, F.col("id") * 500).otherwise(F.col("id") % 60), "equal": F.lit(5)}[at]
+    rows = spark.range(0, 20_000, 1, 4).select(F.lit(1).alias("key"), F.timestamp_seconds(second).alias("at"), F.col("id").alias("seq"))
+    sizes = [r["count"] for r in cut(rows, ["key"], ["at", "seq"], 10).groupBy(SEGMENT).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 3 * 20_000 / 10
 
 
 def test_several_passes_shuffle_the_rows_once(skewed):
-    pieces = cut(skewed, ["key"], ["at", "seq"], by_day("at"))
+    pieces = cut(skewed, ["key"], ["at", "seq"], 9)
     once = running(pieces, ["key"], ["at", "seq"], {"a": ("sum", F.col("v"))})
     twice = running(once, ["key"], ["at", "seq"], {"b": ("max", F.col("a"))})
     once.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
@@ -180,8 +178,8 @@ def test_watching_a_rebuild(spark):
     rows = [("k", at(m), i, ok, p) for i, (m, ok, p, _) in enumerate(steps)]
     observed = spark.createDataFrame(rows, "restore string, at timestamp, seq int, ok boolean, progress string")
     want = {i: (e[0], at(e[1]), e[2]) for i, (_, _, _, e) in enumerate(steps) if e}
-    for segment in (by_day("at"), by_hour("at"), by_count("seq", 2)):
-        got = stalls.watch(observed, segment=segment).collect()
+    for segments in (1, 4, 20):
+        got = stalls.watch(observed, segments=segments).collect()
         assert {r.seq: (r.progress, r.changed_at, r.verdict) for r in got} == want
 
 
