@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fleet, masking, migrations, snapshots, streams
+from . import fleet, masking, migrations, refreshes, snapshots, streams
 
-MODULES = (masking, snapshots, migrations, fleet, streams)
+MODULES = (masking, refreshes, snapshots, migrations, fleet, streams)
 
 
 def all_queries() -> dict:
