@@ -51,7 +51,8 @@ def local_session(folder: str, app: str = "freshet", cores: str = "8", memory: s
     return spark
 
 
-def _named_dir(spark: SparkSession) -> str | None:
+def named_dir(spark: SparkSession) -> str | None:
+    """The shared folder the session's settings or its caller name, if any."""
     context = spark.sparkContext
     setting = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     return setting or _NAMED_DIRS.get(context.applicationId)
@@ -59,7 +60,7 @@ def _named_dir(spark: SparkSession) -> str | None:
 
 def name_shared_dir(spark: SparkSession, path: str) -> None:
     """Name the shared folder of a session whose ``spark.checkpoint.dir`` is unset."""
-    if not _named_dir(spark):
+    if not named_dir(spark):
         _NAMED_DIRS[spark.sparkContext.applicationId] = path
 
 
@@ -70,7 +71,7 @@ def shared_dir(spark: SparkSession) -> str:
     read them back after another one is lost. The library never makes one up: a
     session without the setting has to name a folder with ``name_shared_dir``.
     """
-    named = _named_dir(spark)
+    named = named_dir(spark)
     if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return named.rstrip("/")
