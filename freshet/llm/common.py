@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -38,6 +39,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``stored``, dealt into buckets by a key: joins on it find the rows where they lie."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    name = os.path.basename(path).replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
+    writer.option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id's text leaves ``part`` modulo ``parts``; a null id does not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

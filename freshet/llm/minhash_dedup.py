@@ -5,8 +5,8 @@ random orders, its minwise tokens. A tree starts with all documents, picks a tok
 in the sketch for a node, and sends each document down the branch of its token there: similar
 sets take the same branch with a chance equal to their similarity. Every path takes two
 steps; nodes that are still large are branched on, at one or two places drawn for the node,
-and nodes small enough are compared exhaustively. Independent trees are repeated, so that a
-pair at the threshold is missed by all of them with a chance far below one in a million.
+and nodes small enough are compared exhaustively. Independent trees are repeated to a target
+recall.
 
 Groups of copies never become small by branching. So documents with equal sets are one
 to begin with, and each node first links its members with its smallest one, confirmed on the
@@ -27,10 +27,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small_batches, stored
+from .common import small_batches, stored, stored_by
 
 #: Tokens in a sketch, independent trees, and steps every path takes.
-SKETCH, TREES, STEPS = 64, 16, 2
+SKETCH, TREES, STEPS = 64, 20, 3
+
+#: Trees whose nodes are compared before those of the others.
+FIRST = 4
 
 #: Nodes up to this size are compared exhaustively.
 SMALL = 1024
@@ -100,7 +103,7 @@ def _paths(tokens: np.ndarray) -> np.ndarray:
     """The node of each tree that is reached after the first steps."""
     node = np.arange(1, TREES + 1, dtype=np.uint64)
     for step in range(STEPS):
-        node = _mix(node * _STEP + tokens[step::STEPS][:TREES])
+        node = _mix(node * _STEP + tokens[step * TREES:(step + 1) * TREES])
     return node.view(np.int64)
 
 
@@ -165,11 +168,16 @@ def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def confirm(pairs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough; texts are joined compressed."""
+    """Pairs (a, b) whose full sets are similar enough; texts are joined compressed.
+
+    A document may be the ``a`` of very many pairs, so those few documents are looked up
+    once, and their join with the pairs is one of two shuffled sides, which Spark can split.
+    """
     pairs = pairs.distinct()
     side = signed.select("row", "n_shingles", "sketch", "packed")
     second = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns])
-    first = side.select(*[F.col(c).alias(f"{c}_a") for c in side.columns])
+    pivots = stored(pairs.select("a").distinct().join(side, F.col("a") == F.col("row")), "dedup-pivots")
+    first = pivots.select(F.col("a").alias("row_a"), *[F.col(c).alias(f"{c}_a") for c in side.columns[1:]])
     small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
     joined = (
         pairs.join(second, F.col("b") == F.col("row_b")).join(first, F.col("a") == F.col("row_a"))
@@ -298,46 +306,54 @@ def _in_blocks(nodes: DataFrame) -> DataFrame:
     return cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row", "group")
 
 
+def _compared(nodes: DataFrame, groups: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between different groups that the trees of some nodes (node, row) find."""
+    named = nodes.join(groups, "row", "left").select("node", "row", F.coalesce("label", "row").alias("group"))
+    leaves, current = [], stored(_mixed(named), "dedup-mixed")
+    for depth in range(STEPS, DEPTH + 1):
+        large = current.where(F.col("size") > SMALL)
+        leaves.append(current.where(F.col("size") <= SMALL).select("node", "row", "group"))
+        if large.isEmpty():
+            break
+        if depth == DEPTH:
+            leaves.append(_in_blocks(large))
+            break
+        current = stored(_mixed(_branch(large, signed)), "dedup-mixed")
+    leaf = leaves[0]
+    for part in leaves[1:]:
+        leaf = leaf.union(part)
+    held = leaf.join(signed.select("row", "sketch", "packed"), "row").select("node", "row", "group", "sketch", "packed")
+    links = held.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(shingle, percent), "a long, b long")
+    return stored(links.distinct(), "dedup-links")
+
+
 def _groups(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The signed documents, and (row, doc_id, n_shingles, label) with the label of each one's group."""
     small_batches(docs.sparkSession)
     rest = F.struct(*[docs[c].alias(c) for c in docs.columns if c != text])
     shaped = docs.select(rest.alias("rest"), docs[text].cast("string").alias("text"))
     schema = T.StructType([shaped.schema["rest"], *T._parse_datatype_string(_SIGNED).fields])
-    signed = stored(shaped.mapInArrow(_sign(shingle), schema), "dedup-signed")
+    signed = stored_by(shaped.mapInArrow(_sign(shingle), schema), "row", "dedup-signed")
 
     # Equal sets are one document from here on.
     classes = signed.where("n_shingles > 0").groupBy("same").agg(F.min("row").alias("first"))
     members = stored(signed.join(classes, "same", "left").select(
         "row", F.col("rest")[doc_id].cast("long").alias("doc_id"), "n_shingles", F.coalesce("first", "row").alias("first")), "dedup-members")
     distinct = signed.join(classes.select(F.col("first").alias("row")), "row", "left_semi")
-    paths = distinct.select("row", F.explode("paths").alias("node"))
+    paths = distinct.select("row", F.posexplode("paths").alias("tree", "node"))
     shared = paths.groupBy("node").agg(F.count("*").alias("size"), F.min("row").alias("pivot")).where("size > 1")
-    nodes = stored(paths.join(shared, "node").select("node", "row", "pivot"), "dedup-nodes")
+    nodes = stored(paths.join(shared, "node").select("tree", "node", "row", "pivot"), "dedup-nodes")
 
     stars = nodes.where("row != pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b"))
     links = stored(confirm(stars, signed, shingle, percent), "dedup-links")
     groups = components(links)
 
-    named = nodes.select("node", "row").join(groups, "row", "left").select("node", "row", F.coalesce("label", "row").alias("group"))
-    leaves, current = [], stored(_mixed(named), "dedup-mixed")
-    for depth in range(STEPS, DEPTH + 1):
-        large = current.where(F.col("size") > SMALL)
-        leaves.append(current.where(F.col("size") <= SMALL).select("node", "row", "group"))
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            leaves.append(_in_blocks(large))
-            break
-        current = stored(_mixed(_branch(large, signed)), "dedup-mixed")
-    leaf = leaves[0]
-    for part in leaves[1:]:
-        leaf = leaf.union(part)
-    held = leaf.join(signed.select("row", "sketch", "packed"), "row").select("node", "row", "group", "sketch", "packed")
-    compared = held.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(shingle, percent), "a long, b long")
-    more = stored(compared.distinct(), "dedup-links")
-    if not more.isEmpty():
-        groups = components(links.union(more))
+    # The first trees link most of what is left; the others compare only what still lies apart.
+    for part in (F.col("tree") < FIRST, F.col("tree") >= FIRST):
+        more = _compared(nodes.where(part).select("node", "row"), groups, signed, shingle, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            groups = components(links)
     return signed, members.join(groups.select(F.col("row").alias("first"), "label"), "first", "left").select(
         "row", "doc_id", "n_shingles", F.coalesce("label", "first").alias("label"))
 
