@@ -11,7 +11,7 @@ sys.path[:0] = [os.path.dirname(HERE), HERE]
 def spark(tmp_path_factory):
     from freshet.session import local_session
 
-    os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])  # for Python workers
+    os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(HERE), os.environ.get("PYTHONPATH", "")])  # for Python workers
     session = local_session(str(tmp_path_factory.mktemp("shared")), "freshet-tests", cores="4", memory="4g")
     yield session
     session.stop()
