@@ -18,6 +18,7 @@ with its size, not its square.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import small_batches, stored, stored_by
 
-#: Tokens in a sketch, independent trees, and steps every path takes.
-SKETCH, TREES, STEPS = 64, 20, 3
+#: Tokens in a sketch, and steps every path takes.
+SKETCH, STEPS = 64, 3
+
+#: The recall that trees are repeated for: of pairs at the threshold the trees miss one in
+#: 10,000 where all their nodes are small after the first steps, of closer pairs far fewer.
+RECALL, THRESHOLD = 0.9999, 0.8
+TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**STEPS))
 
 #: Trees whose nodes are compared before those of the others.
 FIRST = 4
