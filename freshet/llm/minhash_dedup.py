@@ -51,8 +51,8 @@ DEPTH = 12
 #: than one pair in 10,000 in any one comparison.
 AGREE = 37
 
-#: Words whose hash a worker keeps.
-MAX_WORDS = 1_000_000
+#: Words whose hash a worker keeps: some 20 MB. Others are hashed again, which costs little more.
+MAX_WORDS = 100_000
 
 _RNG = np.random.default_rng(4)
 _FACTORS = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
