@@ -418,11 +418,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     units = stored(shaped.mapInArrow(_winnow(length, _UNITS), schema), "suffix-units")
 
     grams = units.select(F.explode(F.arrays_zip("grams", "spans")).alias("u")).select("u.grams", "u.spans")
-    repeated = (
-        grams.groupBy(F.col("grams").alias("gram"))
-        .agg(F.count("*").alias("n"), F.min("spans").alias("least"), F.max("spans").alias("most"))
-        .where("n > 1").select("gram", (F.col("least") == F.col("most")).alias("same"))
-    )
+    counts = grams.groupBy(F.col("grams").alias("gram")).agg(
+        F.count("*").alias("n"), F.min("spans").alias("least"), F.max("spans").alias("most"))
+    # Written, so that the join shuffles both sides and Spark can split a gram that is everywhere.
+    repeated = stored(counts.where("n > 1").select("gram", (F.col("least") == F.col("most")).alias("same")), "suffix-grams")
     places = units.select("row", F.explode(F.arrays_zip("grams", "lows", "highs", "anchors")).alias("u")).select(
         "row", F.col("u.grams").alias("gram"), F.col("u.lows").alias("low"), F.col("u.highs").alias("high"), F.col("u.anchors").alias("anchor")
     )
