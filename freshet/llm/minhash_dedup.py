@@ -216,10 +216,10 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("row", "label")
 
 
-def _mixed(nodes: DataFrame) -> DataFrame:
-    """Of (node, row, group), the nodes with members of several groups, and their sizes."""
+def _mixed(nodes: DataFrame, least: int = 2) -> DataFrame:
+    """Of (node, row, group), the nodes of ``least`` rows or more with members of several groups, and their sizes."""
     stats = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("group").alias("low"), F.max("group").alias("high"))
-    return nodes.join(stats.where((F.col("low") != F.col("high")) & (F.col("size") > 2)).select("node", "size"), "node")
+    return nodes.join(stats.where((F.col("low") != F.col("high")) & (F.col("size") >= least)).select("node", "size"), "node")
 
 
 def _links(rows: list[int], groups: list[int], tokens: np.ndarray, packed: list[bytes], size: int, percent: int) -> list[tuple[int, int]]:
@@ -315,7 +315,8 @@ def _in_blocks(nodes: DataFrame) -> DataFrame:
 def _compared(nodes: DataFrame, groups: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between different groups that the trees of some nodes (node, row) find."""
     named = nodes.join(groups, "row", "left").select("node", "row", F.coalesce("label", "row").alias("group"))
-    leaves, current = [], stored(_mixed(named), "dedup-mixed")
+    # Each member of these nodes was compared with a pivot: two that lie apart are told apart.
+    leaves, current = [], stored(_mixed(named, least=3), "dedup-mixed")
     for depth in range(STEPS, DEPTH + 1):
         large = current.where(F.col("size") > SMALL)
         leaves.append(current.where(F.col("size") <= SMALL).select("node", "row", "group"))

@@ -36,6 +36,29 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, small):
         assert (found[i]["n_shingles"], found[i]["component_id"], found[i]["kept"]) == (size, first, first == i)
 
 
+def lone_pairs_found(spark, pairs=150):
+    """How many pairs are linked of one large node: those of a pair are alike (0.82), all others share a footer (0.1)."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(pairs):
+        for copy in (0, 1):
+            own = [f"p{i}x{k}" for k in range(70)] + [f"u{i}x{copy}x{k}" for k in range(10)]
+            texts.append(" ".join(rng.sample(WORDS[:20] + own, 100)))
+    shaped = frame(spark, texts).selectExpr("struct(doc_id) as rest", "text").coalesce(1)
+    signed = shaped.mapInArrow(minhash_dedup._sign(1), "rest struct<doc_id: long>, " + minhash_dedup._SIGNED).cache()
+    nodes, alone = signed.selectExpr("1L as node", "row"), spark.createDataFrame([], "row long, label long")
+    ids = {r["row"]: r["doc_id"] for r in signed.select("row", "rest.doc_id").collect()}
+    links = minhash_dedup._compared(nodes, alone, signed, 1, 80).collect()
+    found = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in links}
+    assert found <= {(i, i + 1) for i in range(0, 2 * pairs, 2)}
+    return len(found)
+
+
+def test_lone_pairs_that_branching_isolates(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SMALL", 16)
+    assert lone_pairs_found(spark) >= 110
+
+
 def test_one_document_of_a_group_stays_with_its_columns(spark):
     texts = near_copies(2)
     docs = frame(spark, texts)
