@@ -3,16 +3,15 @@
 A document is the set of its word shingles; its sketch holds the least of them under many
 random orders, its minwise tokens. A tree starts with all documents, picks a token's place
 in the sketch for a node, and sends each document down the branch of its token there: similar
-sets take the same branch with a chance equal to their similarity. Every path takes two
-steps; nodes that are still large are branched on, at one or two places drawn for the node,
-and nodes small enough are compared exhaustively. Independent trees are repeated to a target
-recall.
+sets take the same branch with a chance equal to their similarity. Every path takes three
+steps, and its node is compared exhaustively, a large one in blocks: to branch further would
+lose pairs at each step. Independent trees are repeated to a target recall.
 
 Groups of copies never become small by branching. So documents with equal sets are one
 to begin with, and each node first links its members with its smallest one, confirmed on the
-full sets. Only nodes with members of different groups are branched on and compared, and in
-them only pairs from different groups: what a node of thousands of near copies costs grows
-with its size, not its square.
+full sets. Only nodes with members of different groups are compared, and in them only pairs
+from different groups: what a node of thousands of near copies costs grows with its size, not
+its square. That of a large node without a large group does grow with its square.
 """
 
 from __future__ import annotations
@@ -34,19 +33,16 @@ from .common import small_batches, stored, stored_by
 SKETCH, STEPS = 64, 3
 
 #: The recall that trees are repeated for: of pairs at the threshold the trees miss one in
-#: 10,000 where all their nodes are small after the first steps, of closer pairs far fewer.
+#: 10,000, of closer pairs far fewer. Nodes of any size are compared whole.
 RECALL, THRESHOLD = 0.9999, 0.8
 TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**STEPS))
 
 #: Trees whose nodes are compared before those of the others.
 FIRST = 4
 
-#: Nodes up to this size are compared exhaustively.
+#: Nodes up to this size are compared in one task, larger ones in blocks of half of it.
 SMALL = 1024
 
-#: Steps after which a node that is still large is compared in blocks instead.
-DEPTH = 12
-
 #: Pairs whose sketches agree in fewer places are not confirmed: at a similarity of 0.8 less
 #: than one pair in 10,000 in any one comparison.
 AGREE = 37
@@ -216,10 +212,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("row", "label")
 
 
-def _mixed(nodes: DataFrame, least: int = 2) -> DataFrame:
-    """Of (node, row, group), the nodes of ``least`` rows or more with members of several groups, and their sizes."""
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """Of (node, row, group), the nodes with members of several groups, and their sizes.
+
+    Each member was compared with the node's pivot: two that lie apart are told apart.
+    """
     stats = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("group").alias("low"), F.max("group").alias("high"))
-    return nodes.join(stats.where((F.col("low") != F.col("high")) & (F.col("size") >= least)).select("node", "size"), "node")
+    return nodes.join(stats.where((F.col("low") != F.col("high")) & (F.col("size") > 2)).select("node", "size"), "node")
 
 
 def _links(rows: list[int], groups: list[int], tokens: np.ndarray, packed: list[bytes], size: int, percent: int) -> list[tuple[int, int]]:
@@ -292,43 +291,33 @@ def _compare(size: int, percent: int):
     return run
 
 
-def _branch(nodes: DataFrame, signed: DataFrame) -> DataFrame:
-    """The children of nodes: one place of the sketch each, and a second for one node in four."""
-    def place(n: int):
-        return F.pmod(F.xxhash64("node", F.lit(n)), F.lit(SKETCH)).cast("int")
-
-    more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(4)) == 0
-    places = F.when(more, F.array_distinct(F.array(place(0), place(1)))).otherwise(F.array(place(0)))
-    down = nodes.join(signed.select("row", "sketch"), "row").withColumn("place", F.explode(places))
-    return down.select(F.xxhash64("node", "place", F.element_at("sketch", F.col("place") + 1)).alias("node"), "row", "group")
-
-
 def _in_blocks(nodes: DataFrame) -> DataFrame:
-    """Nodes of any size as pairs of blocks, each small: every pair of a node meets in one."""
-    blocks = F.ceil(F.col("size") * 2 / SMALL).cast("int")
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    cells = nodes.withColumn("blocks", blocks).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Large nodes (node, row, group) as pairs of blocks, each small: two rows of different groups meet in one.
+
+    The rows of a node's largest group need not meet each other: where a node is one group
+    and a few other rows, its blocks hold little more than its rows.
+    """
+    sizes = nodes.groupBy("node", "group").agg(F.count("*").alias("size"))
+    count = lambda rows: F.ceil(rows * 2 / SMALL).cast("int")
+    # Written, so that the join shuffles both sides and Spark can split a node that is everywhere.
+    mains = stored(sizes.groupBy("node").agg(F.max(F.struct("size", "group")).alias("main"), F.sum("size").alias("all")).select(
+        "node", F.col("main.group").alias("main"), count(F.col("main.size")).alias("own_blocks"),
+        count(F.col("all") - F.col("main.size")).alias("other_blocks")), "dedup-blocks")
+    own = F.when(F.col("group") == F.col("main"), F.col("other_blocks") + F.pmod(F.xxhash64("row"), F.col("own_blocks"))).otherwise(
+        F.pmod(F.xxhash64("row"), F.col("other_blocks"))).cast("int")
+    last = F.when(F.col("group") == F.col("main"), F.col("other_blocks")).otherwise(F.col("own_blocks") + F.col("other_blocks")) - 1
+    cells = nodes.join(mains, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row", "group")
 
 
 def _compared(nodes: DataFrame, groups: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between different groups that the trees of some nodes (node, row) find."""
     named = nodes.join(groups, "row", "left").select("node", "row", F.coalesce("label", "row").alias("group"))
-    # Each member of these nodes was compared with a pivot: two that lie apart are told apart.
-    leaves, current = [], stored(_mixed(named, least=3), "dedup-mixed")
-    for depth in range(STEPS, DEPTH + 1):
-        large = current.where(F.col("size") > SMALL)
-        leaves.append(current.where(F.col("size") <= SMALL).select("node", "row", "group"))
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            leaves.append(_in_blocks(large))
-            break
-        current = stored(_mixed(_branch(large, signed)), "dedup-mixed")
-    leaf = leaves[0]
-    for part in leaves[1:]:
-        leaf = leaf.union(part)
+    mixed = stored(_mixed(named), "dedup-mixed")
+    leaf = mixed.where(F.col("size") <= SMALL).select("node", "row", "group")
+    large = mixed.where(F.col("size") > SMALL).select("node", "row", "group")
+    if not large.isEmpty():
+        leaf = leaf.union(_in_blocks(large))
     held = leaf.join(signed.select("row", "sketch", "packed"), "row").select("node", "row", "group", "sketch", "packed")
     links = held.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(shingle, percent), "a long, b long")
     return stored(links.distinct(), "dedup-links")

@@ -59,6 +59,11 @@ def test_lone_pairs_that_branching_isolates(spark, monkeypatch):
     assert lone_pairs_found(spark) >= 110
 
 
+def test_large_nodes_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SMALL", 16)
+    assert lone_pairs_found(spark) == 150
+
+
 def test_one_document_of_a_group_stays_with_its_columns(spark):
     texts = near_copies(2)
     docs = frame(spark, texts)
