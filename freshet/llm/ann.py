@@ -4,10 +4,11 @@ A table hashes a vector by some random Gaussian projections, each shifted and cu
 slots; the slots together name a bucket. Distances of Gaussian projections are Gaussian, so
 for a neighbour at a given distance the chance of every bucket around a query is known. A
 query visits a table's buckets in falling order of that chance until their sum reaches what
-the wanted recall asks of each table. Candidates of all tables are merged and ranked by
+the wanted recall asks of each table: first for the distance fitted on a sample, then for the
+k-th distance it found itself, if that is further. Candidates of all tables are merged and ranked by
 their exact distance.
 
-The index holds every row. Only slot width and neighbour distance are fitted, on a bounded
+The index holds every row. Only slot width and the first distance are fitted, on a bounded
 sample. A bucket with more rows than a region is meant for is split by row number, and a
 query that visits it is sent to all its parts.
 """
@@ -42,7 +43,7 @@ _SEED = 11
 
 
 class Index:
-    """The hash functions of all tables, and the distance neighbours are expected at."""
+    """The hash functions of all tables, and the distance neighbours are first expected at."""
 
     def __init__(self, sample: np.ndarray, rows: int, k: int, tables: int = TABLES, recall: float = RECALL) -> None:
         self.tables, self.dim = tables, sample.shape[1]
@@ -66,11 +67,11 @@ class Index:
         key = (slots.astype(np.int64) * self.mixers[table]).sum(-1) + table
         return key ^ (key >> 31)
 
-    def probes(self, place: np.ndarray, table: int) -> np.ndarray:
-        """Buckets of a table in falling order of success, up to the table's share of the recall."""
+    def probes(self, place: np.ndarray, table: int, distance: float) -> np.ndarray:
+        """Buckets of a table in falling order of success for a neighbour at a distance, up to the table's share of the recall."""
         chances, slots = np.ones(1), np.zeros((1, 0))
         for at, width in zip(place, self.width[table]):
-            deviation = self.near / width
+            deviation = distance / width
             reach = math.ceil(4 * deviation)
             near = math.floor(at) + np.arange(-reach, reach + 1)
             own = _normal((near + 1 - at) / deviation) - _normal((near - at) / deviation)
@@ -167,9 +168,9 @@ def nearest_neighbours(df: DataFrame, k: int = 10, every: int = 100, key: str =
     def probed(batches):
         for pdf in batches:
             found = []
-            for v in pdf["v"]:
+            for v, distance in zip(pdf["v"], pdf["near"]):
                 v = np.asarray(v)[None]
-                found.append(np.concatenate([index.probes(index.places(v, t)[0], t) for t in range(index.tables)]))
+                found.append(np.concatenate([index.probes(index.places(v, t)[0], t, distance) for t in range(index.tables)]))
             yield pd.DataFrame({"row": pdf["row"], "buckets": found})
 
     entries = stored(
@@ -189,16 +190,27 @@ def nearest_neighbours(df: DataFrame, k: int = 10, every: int = 100, key: str =
     asked = rows.where(F.col("id") % every == 0)
     asks = max(1, -(-asked.count() // QUERIES))
     ask = F.pmod(F.xxhash64("row"), F.lit(asks))
-    visits = (
-        asked.select("row", "v").mapInPandas(probed, "row long, buckets array<long>")
-        .select("row", F.explode("buckets").alias("bucket"))
-        .join(buckets, "bucket")
-        .select("row", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        .groupBy("row", region(F.col("part")).alias("region")).agg(F.collect_set("bucket").alias("buckets"))
-    )
-    left = visits.join(asked, "row").select(*_query_columns(ask, F.col("region"), F.col("buckets")))
     right = placed.join(rows, "row")
-    found = stored(_search(left, right, index, k, asks), "ann-found")
+
+    def visited(asked: DataFrame, label: str) -> DataFrame:
+        """The k best of each query (its columns and ``near``) among the buckets it visits."""
+        visits = (
+            asked.select("row", "v", "near").mapInPandas(probed, "row long, buckets array<long>")
+            .select("row", F.explode("buckets").alias("bucket"))
+            .join(buckets, "bucket")
+            .select("row", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            .groupBy("row", region(F.col("part")).alias("region")).agg(F.collect_set("bucket").alias("buckets"))
+        )
+        left = visits.join(asked, "row").select(*_query_columns(ask, F.col("region"), F.col("buckets")))
+        return stored(_search(left, right, index, k, asks), label)
+
+    found = visited(asked.withColumn("near", F.lit(index.near)), "ann-found")
+    # A query's k-th distance so far is at least that of its k-th neighbour: those further than expected probe on for it.
+    reached = found.groupBy("query_row").agg(F.count("*").alias("count"), F.max("score").alias("near"))
+    wider = reached.where((F.col("count") >= k) & (F.col("near") > index.near)).select(F.col("query_row").alias("row"), "near")
+    wider = stored(asked.join(wider, "row"), "ann-wider")
+    if not wider.isEmpty():
+        found = stored(_ranked(found.unionByName(visited(wider, "ann-wider-found")), k).drop("rank"), "ann-found")
 
     # Queries whose buckets hold too few rows go on to all the others, in blocks.
     wanted = min(k, rows.count() - 1)

@@ -65,6 +65,27 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert [i for _, i, s in found[900]] == [3, 7, *range(901, 909)]  # ties of copies go to the smaller id
 
 
+def test_copies_and_clusters_of_several_densities(spark):
+    """A third of the rows are copies of few vectors; the others lie in clusters of several widths."""
+    rng, dim = np.random.default_rng(8), 16
+    middle = rng.standard_normal((60, dim))
+    width = np.repeat([0.1, 0.4, 0.8], 20)
+    own = np.concatenate([m + w * rng.standard_normal((67, dim)) for m, w in zip(middle, width)])
+    v = np.concatenate([own, np.repeat(rng.standard_normal((20, dim)), 100, 0)])
+    v = v[rng.permutation(len(v))].astype("float32").astype(float)
+    rows = [(i, x.tolist(), "a", i) for i, x in enumerate(v)]
+    found = results(ann.nearest_neighbours(spark.createDataFrame(rows, SCHEMA).repartition(3), every=20))
+    recall = []
+    for query in range(0, len(v), 20):
+        gaps = np.sqrt(((v - v[query]) ** 2).sum(1))
+        gaps[query] = np.inf
+        last = np.sort(gaps)[9]
+        if last > 0:
+            recall.append(sum(s <= last + 1e-9 for _, _, s in found[query]) / 10)
+    print("recall", np.mean(recall), len(recall))
+    assert np.mean(recall) >= 0.92
+
+
 @pytest.mark.parametrize("n", [1, 2, 6])
 def test_few_rows_give_all_candidates(spark, n):
     rows = [(i * 100, [float(i), 1.0], "a", 0) for i in range(n)]
