@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import local_frame
 from .ann import nearest_neighbours
+from .codes import compress_vectors
 from .common import table
 from .langid import predict_languages
+from .merkle import document_proofs
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack_documents
@@ -75,9 +77,115 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+#: Levels the SQL climbs: up to 8 ** 8 documents of a language and 8 ** 3 languages.
+_LEVELS, _LANG_LEVELS = 8, 3
+
+
+def _climb_sql(name: str, group: str, levels: int) -> str:
+    """Tables ``name``0 to ``name``levels of the nodes of each level, and ``name``s0 on of their siblings."""
+    steps = []
+    for k in range(levels):
+        steps.append(f"""{name}s{k} AS (
+            SELECT {group}, i, m > 1 AS many, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                   coalesce(string_agg(h, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+            FROM {name}{k} WINDOW b AS (PARTITION BY {group}, i // 8 ORDER BY i)
+        ), {name}{k + 1} AS (
+            SELECT {group}, i // 8 AS i, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h,
+                   (any_value(m) + 7) // 8 AS m
+            FROM {name}{k} GROUP BY {group}, i // 8
+        )""")
+    return ", ".join(steps)
+
+
+def _fold_sql() -> str:
+    """Every leaf with its proof so far and the node its claim leads to, level by level."""
+    steps, last = [], "f0"
+    for k, (name, place) in enumerate([("t", f"i // {8 ** k}") for k in range(_LEVELS)] + [("u", f"u // {8 ** k}") for k in range(_LANG_LEVELS)]):
+        level = k if name == "t" else k - _LEVELS
+        match = f"f.lang IS NOT DISTINCT FROM s.lang AND f.{place} = s.i" if name == "t" else f"f.{place} = s.i"
+        steps.append(f"""f{k + 1} AS (
+            SELECT f.* EXCLUDE (proof, node), CASE WHEN many THEN proof || before || after ELSE proof END AS proof,
+                   CASE WHEN many THEN sha256(before || node || after) ELSE node END AS node
+            FROM {last} f JOIN {name}s{level} s ON {match}
+        )""")
+        last = f"f{k + 1}"
+    return ", ".join(steps)
+
+
+def _framed_sql(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column}::VARCHAR END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_framed_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_MERKLE_SQL = f"""
+        WITH crc AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM range(256) r(i)
+        ), leaves AS (
+            SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+                   {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS claim,
+                   xor(list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j, 1))::BIGINT),
+                                   lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+            FROM documents, crc
+        ), d AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves
+        ), t0 AS (SELECT lang, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS m FROM d),
+        {_climb_sql("t", "lang", _LEVELS)},
+        u0 AS (SELECT true AS everything, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, count(*) OVER () AS m FROM t{_LEVELS}),
+        {_climb_sql("u", "everything", _LANG_LEVELS)},
+        f0 AS (
+            SELECT d.*, u0.i AS u, u0.h AS subroot, '' AS proof, CASE WHEN coalesce(crc % 3 = 0, false) THEN claim ELSE leaf END AS node
+            FROM d JOIN u0 ON d.lang IS NOT DISTINCT FROM u0.lang
+        ), {_fold_sql()}
+        SELECT doc_id, leaf, subroot, u{_LANG_LEVELS}.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = u{_LANG_LEVELS}.h AS verified
+        FROM f{_LEVELS + _LANG_LEVELS}, u{_LANG_LEVELS}"""
+
+
+def _codes_sql() -> str:
+    """Two rounds of assigning and averaging, over a row a component."""
+    steps = ["""good AS (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label, embedding, len(embedding) // 16 AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), flat AS (
+            SELECT id, w, unnest(range(len(embedding))) AS j, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM good
+        ), v AS (SELECT id, j // w AS p, j % w AS i, x FROM flat
+        ), book0 AS (SELECT p, id - 1 AS e, i, x FROM v WHERE id <= 64)"""]
+    for k in range(3):
+        steps.append(f"""near{k} AS (
+            SELECT id, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+                SELECT id, v.p, e, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM v JOIN book{k} b ON v.p = b.p AND v.i = b.i GROUP BY id, v.p, e)
+            GROUP BY id, p)""")
+        if k < 2:
+            steps.append(f"""mean{k} AS (
+            SELECT v.p, e, i, sum(x)::BIGINT AS total, count(*) AS n FROM v JOIN near{k} a ON v.id = a.id AND v.p = a.p GROUP BY v.p, e, i
+        ), book{k + 1} AS (
+            SELECT b.p, b.e, b.i, CASE WHEN n IS NULL THEN b.x ELSE (total - ((total % n) + n) % n) // n END AS x
+            FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e AND b.i = m.i)""")
+    return "WITH " + ", ".join(steps) + """, coded AS (
+            SELECT id, string_agg(format('{:02x}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY id
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) FROM book2) AS codebooks_sha256
+        FROM coded JOIN good USING (id)"""
+
+
 ORACLES = {
+    "op11_merkle": _MERKLE_SQL,
+    "op12_gnat_codes": _codes_sql(),
     "op2_segment_topk": """
         WITH good AS (
             SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings
@@ -159,4 +267,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
+    "op12_gnat_codes": op12_gnat_codes,
 }
