@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import local_frame
 from .ann import nearest_neighbours
 from .codes import compress_vectors
+from .fingerprints import document_fingerprints
 from .common import table
 from .langid import predict_languages
 from .merkle import document_proofs
@@ -86,6 +87,10 @@ def op12_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 #: Levels the SQL climbs: up to 8 ** 8 documents of a language and 8 ** 3 languages.
@@ -269,4 +274,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
     "op12_gnat_codes": op12_gnat_codes,
+    "op13_order_minhash": op13_order_minhash,
 }
