@@ -291,11 +291,18 @@ SELECT o_orderkey AS restore, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_cust
 
 
 def verify_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.health_details(_health_runs(spark, sf_dir), derive(spark, sf_dir, SIZES))
+
+
+def _health_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = derive(spark, sf_dir, HEALTH)
     built = F.struct(F.lit(True).alias("built"), F.col("elapsed").alias("elapsed_sec"), F.lit(None).cast("string").alias("error"))
-    runs = runs.withColumn("build", F.when(F.col("has_build"), built)).drop("has_build", "elapsed")
-    sizes = derive(spark, sf_dir, SIZES).where("name <> 'template0'")
-    return verify.health_details(runs, sizes)
+    return runs.withColumn("build", F.when(F.col("has_build"), built)).drop("has_build", "elapsed")
+
+
+def verify_health_unsized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of runs whose databases nobody could ask."""
+    return verify.health_details(_health_runs(spark, sf_dir))
 
 
 _register("verify_health", verify_health, f"""
@@ -309,6 +316,12 @@ body AS (SELECT restore, concat_ws(',', '"restore_duration_sec":' || restore_dur
   FROM runs LEFT JOIN maps USING (restore))
 SELECT restore, CASE WHEN b <> '' THEN '{{' || b || '}}' END AS health_details FROM body""")
 
+_register("verify_health_unsized", verify_health_unsized, f"""
+WITH runs AS ({plain(HEALTH)}),
+body AS (SELECT restore, concat_ws(',', '"restore_duration_sec":' || restore_duration_sec::VARCHAR,
+  CASE WHEN has_build THEN '"schema_build":{{"built":true,"elapsed_sec":' || elapsed::VARCHAR || '}}' END) AS b FROM runs)
+SELECT restore, CASE WHEN b <> '' THEN '{{' || b || '}}' END AS health_details FROM body""")
+
 REPORTS = """
 SELECT o_orderkey AS restore, CASE o_orderkey % 3 WHEN 0 THEN 'upgrade' WHEN 1 THEN 'verify' ELSE NULL END AS intent,
   CASE WHEN o_orderstatus = 'F' THEN 'failure' ELSE 'success' END AS outcome,

@@ -6,17 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.masks import register_mask
-from ..operators.audit import Expect, mask_audit, passed
+from ..operators.audit import Expect, replay_audit
 from ..plans.masking import Masking
 from ..plans.refresh import CarrySpec, RefreshSpec, refresh
 from ..session import fresh_path, local_frame
 from ..sources.listing import read_listings
 from ..sources.manifest import ManifestSpec, resolve_manifest
 from ..sources.publish import read_current
-from .base import SECRET, derive, table
-from .masking import (
-    AUDIT_EXPECT, CUSTOMER, CUSTOMER_MASKS, MASKED_CUSTOMER_SQL, manifest_doc, masked, masked_customer,
-)
+from .base import SECRET, derive, draw_sql, plain, table, unit_sql
+from .masking import CUSTOMER, CUSTOMER_MASKS, MASKED_CUSTOMER_SQL, manifest_doc, masked, masked_customer
 from .snapshots import LISTINGS, SNAPSHOTS_SQL
 
 QUERIES, ORACLES = {}, {}
@@ -64,21 +62,82 @@ def mask_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(spark, table(spark, sf_dir, "customer"), CUSTOMER, {"c_name": "shape"}, ("c_custkey",))
 
 
+def _verdict(expected: DataFrame, copies: dict[str, DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
+    """A line per copy: whether it is what its masks give."""
+    verdicts = [
+        replay_audit(expected, copy, keys).agg(F.min("agrees").alias("passed")).select(F.lit(name).alias("copy"), "passed")
+        for name, copy in copies.items()
+    ]
+    for more in verdicts[1:]:
+        verdicts[0] = verdicts[0].unionByName(more)
+    return verdicts[0]
+
+
+def _verdict_sql(expected: str, copies: dict[str, str]) -> str:
+    """The same by bags: rows the copy lacks or has beyond the expected ones."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS copy, NOT EXISTS (FROM {expected} EXCEPT ALL FROM {copy}) AND NOT EXISTS (FROM {copy} EXCEPT ALL FROM {expected}) AS passed"
+        for name, copy in copies.items())
+
+
 @_register("mask_audit_verdict", f"""
-    WITH m AS ({MASKED_CUSTOMER_SQL}), lines AS (
-      SELECT 'masked' AS copy, true AS passed UNION ALL SELECT 'clear', false UNION ALL SELECT 'short', false)
-    SELECT copy, passed FROM lines, (SELECT count(*) AS n FROM m) WHERE n > 0""")
+    WITH m AS ({MASKED_CUSTOMER_SQL}), short AS (FROM m WHERE c_custkey % 2 = 0),
+    own AS (SELECT {", ".join(("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))} FROM customer)
+    {_verdict_sql("m", {"masked": "m", "clear": "own", "short": "short"})}""")
 def mask_audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on a masked table, on one left in the clear and on one that lacks rows."""
     customer, done = table(spark, sf_dir, "customer"), masked_customer(spark, sf_dir)
-    keys = F.col("c_custkey") % 2 == 0
-    expected = AUDIT_EXPECT | {"c_acctbal": Expect(low=0.0, high=10000.0)}
-    copies = {"masked": done, "clear": customer, "short": done.where(keys)}
-    verdicts = [
-        mask_audit(customer, copy, ["c_custkey"], expected).agg(F.min(passed()).alias("passed"))
-        .select(F.lit(name).alias("copy"), "passed") for name, copy in copies.items()
-    ]
-    return verdicts[0].unionByName(verdicts[1]).unionByName(verdicts[2])
+    copies = {"masked": done, "clear": customer, "short": done.where(F.col("c_custkey") % 2 == 0)}
+    return _verdict(done, copies, ("c_custkey",))
+
+
+RATINGS = "SELECT o_orderkey AS id, o_orderkey % 4 AS rating, o_totalprice AS fee, o_orderpriority AS note FROM {orders}"
+RATING_MASKS = {"rating": {"kind": "integer", "range": "0-3"}, "fee": "zero", "note": "empty"}
+
+
+@_register("mask_audit_narrow", f"""
+    WITH src AS ({plain(RATINGS)}), m AS (
+      SELECT id, floor({unit_sql(draw_sql("public.ratings.rating", "id::VARCHAR"))} * 4.0::DOUBLE)::BIGINT AS rating, 0.0::DOUBLE AS fee, '' AS note FROM src
+    ), clear_fee AS (SELECT m.id, m.rating, s.fee, m.note FROM m JOIN src s USING (id)),
+    clear_note AS (SELECT m.id, m.rating, m.fee, s.note FROM m JOIN src s USING (id)),
+    one_row AS (SELECT id, CASE WHEN id = (SELECT max(id) FROM src) THEN 3 - rating ELSE rating END AS rating, fee, note FROM m)
+    {_verdict_sql("m", {"masked": "m", "clear_fee": "clear_fee", "clear_note": "clear_note", "one_row": "one_row"})}""")
+def mask_audit_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few-valued mask whose values often equal their originals passes; constants left in the clear don't."""
+    src = derive(spark, sf_dir, RATINGS)
+    done = masked(spark, src, "public.ratings", RATING_MASKS, ("id",))
+    clear = src.select("id", F.col("fee").alias("old_fee"), F.col("note").alias("old_note"))
+    both = done.join(clear, "id")
+    last = src.agg(F.max("id").alias("last"))
+    copies = {
+        "masked": done,
+        "clear_fee": both.select("id", "rating", F.col("old_fee").alias("fee"), "note"),
+        "clear_note": both.select("id", "rating", "fee", F.col("old_note").alias("note")),
+        "one_row": done.join(last, done["id"] == last["last"], "left").select(
+            "id", F.when(F.col("last").isNotNull(), 3 - F.col("rating")).otherwise(F.col("rating")).alias("rating"), "fee", "note"),
+    }
+    return _verdict(done, copies, ("id",))
+
+
+TALK = "SELECT turn, role, text FROM {conversations}"
+
+
+@_register("mask_audit_without_key", f"""
+    WITH src AS ({plain(TALK)}), m AS (SELECT turn, role, '' AS text FROM src), numbered AS (SELECT *, row_number() OVER (ORDER BY turn, role) AS n FROM m),
+    dropped AS (SELECT turn, role, text FROM numbered WHERE n > 1),
+    doubled AS (SELECT turn, role, text FROM numbered UNION ALL SELECT turn, role, text FROM numbered WHERE n = 1),
+    swapped AS (SELECT turn, text AS role, role AS text FROM m)
+    {_verdict_sql("m", {"masked": "m", "clear": "src", "dropped": "dropped", "doubled": "doubled", "swapped": "swapped"})}""")
+def mask_audit_without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without a row key: one row dropped, doubled, in the clear or between columns shows."""
+    src = derive(spark, sf_dir, TALK)
+    done = masked(spark, src, "public.talk", {"text": "empty"}, ())
+    one = done.orderBy("turn", "role").limit(1)
+    copies = {
+        "masked": done.repartition(3), "clear": src, "dropped": done.exceptAll(one), "doubled": done.unionByName(one),
+        "swapped": done.select("turn", F.col("text").alias("role"), F.col("role").alias("text")),
+    }
+    return _verdict(done, copies)
 
 
 NOTES = """

@@ -12,6 +12,7 @@ from .snapshots import application_database
 
 # Fixed values.
 NO_APPLICATION_DATABASE = "restore contains no application database"
+UNCONNECTABLE = "template0"
 NO_SCHEMA = "the build produced no schema"
 BUILD_ATTEMPTS = 5
 MIGRATION_INTENT = "upgrade"
@@ -39,16 +40,18 @@ def health_details(runs: DataFrame, sizes: DataFrame | None = None) -> DataFrame
 
     ``runs`` has ``restore, restore_duration_sec, fixes`` (JSON text),
     ``build`` (a struct, NULL without a build); ``sizes`` has ``restore, name,
-    bytes, position``. One map per restore holds one entry per database name,
-    which is as many as one server has; repeats are folded before the shuffle.
+    bytes, position``, and where it is left out neither sizes nor fixes were
+    gathered. The template nothing can connect to is no database of a restore.
+    One map per restore holds one entry per database name, which is as many as
+    one server has; repeats are folded before the shuffle.
     """
-    joined = runs
+    joined = runs.withColumn("sizes", F.lit(None).cast("map<string,bigint>"))
     if sizes is not None:
-        named = sizes.groupBy("restore", "name").agg(F.max_by("bytes", "position").alias("bytes"))
+        named = sizes.where(F.col("name") != UNCONNECTABLE).groupBy("restore", "name").agg(F.max_by("bytes", "position").alias("bytes"))
         per_restore = named.groupBy("restore").agg(
             F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "bytes")))).alias("sizes")
         )
-        joined = runs.join(per_restore, "restore", "left")
+        joined = runs.drop("sizes").join(per_restore, "restore", "left")
     gathered = F.col("sizes").isNotNull()
     details = F.struct(
         "restore_duration_sec",

@@ -270,12 +270,13 @@ def mask_table(
 
 @dataclass
 class MaskedTables:
-    """Masked tables, how it went, and the kinds that were applied, by table and column."""
+    """Masked tables, how it went, the kinds applied by table and column, and the tables emptied."""
 
     tables: dict[str, DataFrame]
     outcome: Outcome
     failures: list[dict]
     applied: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    emptied: set[str] = field(default_factory=set)
 
     @property
     def phase(self) -> str:
@@ -347,4 +348,4 @@ def mask_tables(
         tables_attempted=len(truncations),
         tables_failed=sum(e["status"] != OK for e in truncations),
     )
-    return MaskedTables(out, outcome, failures, applied)
+    return MaskedTables(out, outcome, failures, applied, emptied & set(tables))

@@ -7,15 +7,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.audit import Expect, audit_passed, mask_audit
+from ..operators.audit import Expect, replay_audit, rule_misses
 from ..operators.carry import carry_schemas, run_within, select_over, split_droppable
 from ..operators.scrub import scrub_rows
 from ..sources.publish import current_run, index_tables, publish, stage_tables, written_tables
 from .masking import MaskedTables, Masking, mask_tables
 
-#: Kinds that write one value, or that may leave a value as it is: the audit can't tell by
-#: comparison whether they ran.
-UNCOMPARED = ("zero", "empty", "nil", "default")
+#: How staged tables are audited: paired by row key where there is one, or all as bags of rows,
+#: which reads both sides once and shuffles neither.
+AUDITS = ("rows", "bags")
 
 
 @dataclass
@@ -33,9 +33,9 @@ class RefreshSpec:
 
     ``pre_sql`` maps a table to a query over the copy's tables that replaces it,
     in order, before masks; ``scrub`` names the column of a table whose
-    encrypted values go; ``drop_schemas`` are left out of the copy. ``expect``
-    says, by table and column, what the audit holds masked columns to beside
-    that their values changed.
+    encrypted values go; ``drop_schemas`` are left out of the copy. ``audit``
+    says how staged tables are held against their masks evaluated again, and
+    ``expect``, by table and column, what else their values must fit.
     """
 
     root: str
@@ -49,14 +49,24 @@ class RefreshSpec:
     carry: CarrySpec = field(default_factory=CarrySpec)
     pre_sql: Mapping[str, str] = field(default_factory=dict)
     expect: Mapping[str, Mapping[str, Expect | None]] = field(default_factory=dict)
+    audit: str = "rows"
+
+    def __post_init__(self) -> None:
+        if self.audit not in AUDITS:
+            raise ValueError(f"audit is one of {AUDITS}")
 
 
 @dataclass
 class RefreshResult:
+    """How a refresh went. ``refused`` has the audit's failing lines by table; ``error`` is what
+    broke it off, for callers to raise again."""
+
     masking_phase: str
     carry_phase: str | None = None
     published: bool = False
     failures: list[dict] = field(default_factory=list)
+    refused: dict[str, list[dict]] = field(default_factory=dict)
+    error: Exception | None = None
 
 
 def _schema_of(table: str) -> str:
@@ -64,27 +74,26 @@ def _schema_of(table: str) -> str:
 
 
 def audit_staged(
-    spark: SparkSession, originals: Mapping[str, DataFrame], masked: MaskedTables, paths: Mapping[str, str],
-    spec: RefreshSpec,
-) -> list[str]:
-    """Tables whose staged files fail the audit against what they were masked from.
-
-    Every table with a row key and a mask is compared; a column is expected to have
-    changed, and to be what ``spec.expect`` says. A table without a row key cannot be
-    paired and is not audited.
+    spark: SparkSession, masked: MaskedTables, paths: Mapping[str, str], spec: RefreshSpec,
+) -> dict[str, list[dict]]:
+    """Failing lines, by table, of staged files held against their masks evaluated again.
+
+    Every table that was masked or emptied is audited: row by row if it has a row key that no
+    mask changes, else as a bag of rows. A constant left in the clear differs from the constant,
+    and a value that equals its original by chance is the value expected.
     """
-    bad = []
-    for name, columns in masked.applied.items():
-        keys = spec.masking.row_keys.get(name)
-        if not keys or name not in paths:
+    refused = {}
+    for name in sorted(set(masked.applied) | masked.emptied):
+        if name not in paths:
             continue
-        expected = {
-            column: Expect(kept_share=1.0, keeps_null=False) if set(kinds) & set(UNCOMPARED) else Expect()
-            for column, kinds in columns.items() if column not in keys
-        } | dict(spec.expect.get(name, {}))
-        if expected and not audit_passed(mask_audit(originals[name], spark.read.parquet(paths[name]), list(keys), expected)):
-            bad.append(name)
-    return bad
+        staged, keys = spark.read.parquet(paths[name]), spec.masking.row_keys.get(name, ())
+        if spec.audit == "bags" or set(keys) & set(masked.applied.get(name, {})):
+            keys = ()
+        lines = [replay_audit(masked.tables[name], staged, keys), rule_misses(staged, spec.expect.get(name, {}))]
+        bad = [r.asDict() for lines_of in lines for r in lines_of.where("NOT agrees").collect()]
+        if bad:
+            refused[name] = bad
+    return refused
 
 
 def refresh(spark: SparkSession, spec: RefreshSpec, tables: Mapping[str, DataFrame]) -> RefreshResult:
@@ -109,11 +118,11 @@ def refresh(spark: SparkSession, spec: RefreshSpec, tables: Mapping[str, DataFra
         # What is not carried, or has no copy to be carried from, comes from this run.
         own = {n: df for n, df in masked.tables.items() if before is None or _schema_of(n) not in carried}
         paths = stage_tables(own, spec.root, spec.run_id)
-        bad = audit_staged(spark, kept, masked, paths, spec)
+        bad = audit_staged(spark, masked, paths, spec)
     except Exception as err:  # any failure of these steps holds the copy back
-        return RefreshResult(f"failed: {err}", failures=getattr(err, "failures", []))
+        return RefreshResult(f"failed: {err}", failures=getattr(err, "failures", []), error=err)
     if bad:
-        return RefreshResult(f"failed: the audit refuses {bad}", failures=masked.failures)
+        return RefreshResult(f"failed: the audit refuses {list(bad)}", failures=masked.failures, refused=bad)
 
     phase, moved = "complete", {}
     if before is not None:
@@ -132,9 +141,9 @@ def refresh(spark: SparkSession, spec: RefreshSpec, tables: Mapping[str, DataFra
 
         try:
             late_paths = stage_tables(late, spec.root, spec.run_id)
-            bad = audit_staged(spark, kept, masked, late_paths, spec)
+            bad = audit_staged(spark, masked, late_paths, spec)
             if bad:
-                return RefreshResult(f"failed: the audit refuses {bad}", failures=masked.failures)
+                return RefreshResult(f"failed: the audit refuses {list(bad)}", failures=masked.failures, refused=bad)
             paths |= late_paths
             if spec.carry.budget_seconds is None:
                 carry_over()
@@ -142,7 +151,7 @@ def refresh(spark: SparkSession, spec: RefreshSpec, tables: Mapping[str, DataFra
                 # What was carried so far stays without an entry in the index: unreadable.
                 phase, moved = "timeout-skipped", {}
         except Exception as err:
-            return RefreshResult(f"failed: {err}", failures=masked.failures)
+            return RefreshResult(f"failed: {err}", failures=masked.failures, error=err)
     index_tables(spark, {**paths, **moved}, spec.root, spec.run_id)
     publish(spark, spec.root, spec.run_id, masked.phase)
     return RefreshResult(masked.phase, phase, True, masked.failures)

@@ -120,7 +120,7 @@ MANIFEST = json.dumps({"sources": {"s": {"schema": "public", "name": "people", "
 def test_refresh_end_to_end(spark):
     root = fresh_path(spark, "refresh")
     people = spark.range(20).select("id", F.concat(F.lit("p"), "id", F.lit("@corp.test")).alias("email"))
-    secrets = spark.createDataFrame([("a", "S1:aXY=:Y2lw"), ("b", "not-a-secret")], "key string, value string")
+    secrets = spark.createDataFrame([("a", "S1:q7Z=:Zm9v"), ("b", "left alone")], "key string, value string")
     tables = {"public.people": people, "reporting.old": spark.range(1), "dbt.t": spark.range(2),
               "public.secrets": secrets, "public.left_us": spark.range(3)}
     manifest = manifest_from_text(spark, MANIFEST)
@@ -191,6 +191,60 @@ def test_an_audit_that_fails_holds_the_copy_back(spark):
     assert current_run(spark, root) is None
 
 
+def staged_otherwise(monkeypatch, change):
+    """Stage ``public.people`` as something else than its masks give."""
+    import freshet.plans.refresh as plan
+
+    stage = plan.stage_tables
+    monkeypatch.setattr(plan, "stage_tables", lambda tables, *a, **b: stage({n: change(df) if n == "public.people" else df for n, df in tables.items()}, *a, **b))
+
+
+RATINGS = json.dumps({"sources": {"s": {"schema": "public", "name": "people", "columns": {
+    "rating": {"meta": {"masking": {"kind": "integer", "range": "0-3"}}}, "fee": {"meta": {"masking": "zero"}}}}}})
+
+
+def ratings(spark):
+    return spark.range(400).select("id", (F.col("id") % 4).cast("int").alias("rating"), F.col("id").cast("double").alias("fee"))
+
+
+@pytest.mark.parametrize("keys, audit", [(("id",), "rows"), (("id",), "bags"), ((), "rows")])
+def test_the_gate_takes_narrow_masks_and_refuses_clear_constants(spark, monkeypatch, keys, audit):
+    root, people = fresh_path(spark, "gate"), ratings(spark)
+    manifest = manifest_from_text(spark, RATINGS)
+    masking = Masking("s", {"public.people": keys} if keys else {})
+    assert refresh(spark, RefreshSpec(root, "run-1", masking, manifest, audit=audit), {"public.people": people}).published
+    changes = {
+        "clear": lambda df: df.drop("fee").join(people.select("id", "fee"), "id").select(*df.columns),
+        "dropped": lambda df: df.where("id <> 7"), "doubled": lambda df: df.unionByName(df.where("id = 7")),
+    }
+    for name, change in changes.items():
+        with monkeypatch.context() as patch:
+            staged_otherwise(patch, change)
+            done = refresh(spark, RefreshSpec(root, f"run-{name}", masking, manifest, audit=audit), {"public.people": people})
+        assert not done.published and set(done.refused) == {"public.people"}
+        if name == "clear":
+            assert "fee" in {line["column"] for line in done.refused["public.people"]}
+    assert current_run(spark, root) == "run-1"
+
+
+def test_emptied_tables_and_masked_keys_are_audited(spark, monkeypatch):
+    root, people = fresh_path(spark, "emptied"), ratings(spark)
+    doc = {"sources": {"s": {"schema": "public", "name": "people", "meta": {"masking": "truncate"}, "columns": {}}}}
+    empty = manifest_from_text(spark, json.dumps(doc))
+    assert refresh(spark, RefreshSpec(root, "run-1", Masking("s"), empty), {"public.people": people}).published
+    with monkeypatch.context() as patch:
+        staged_otherwise(patch, lambda df: people)
+        assert not refresh(spark, RefreshSpec(root, "run-2", Masking("s"), empty), {"public.people": people}).published
+    keyed = Masking("s", {"public.people": ("rating", "id")})  # a mask changes part of the key
+    assert refresh(spark, RefreshSpec(root, "run-3", keyed, manifest_from_text(spark, RATINGS)), {"public.people": people}).published
+
+
+def test_what_broke_a_refresh_off_is_kept(spark):
+    spec = RefreshSpec(fresh_path(spark, "broken"), "run-1", Masking("s", {"public.people": ("id",)}), manifest_from_text(spark, RATINGS), pre_sql={"public.people": "SELECT nothing"})
+    done = refresh(spark, spec, {"public.people": ratings(spark)})
+    assert not done.published and isinstance(done.error, Exception)
+
+
 def test_failures_while_writing_hold_the_copy_back(spark):
     root = fresh_path(spark, "late")
     people = spark.range(5).select("id", F.lit("a@b.c").alias("email"), F.expr("CAST(raise_error('disk') AS STRING)").alias("gone"), F.expr("if(id > 3, raise_error('late'), id)").alias("n"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions.masks import parse_range, register_mask
-from freshet.operators.audit import Expect, audit_passed, mask_audit
+from freshet.operators.audit import Expect, audit_passed, mask_audit, replay_audit
 from freshet.operators.scrub import scrub_rows
 from freshet.plans.masking import MaskError, Masking, mask_tables, referencing_closure
 from freshet.sources.catalog import catalog_frame, catalog_rows
@@ -219,11 +219,9 @@ def test_audit_finds_what_went_wrong(spark, people):
     assert audit_passed(mask_audit(people, masked, ["id"], expected))
     unmasked = {r["column"]: r for r in mask_audit(people, people, ["id"], expected).collect()}
     assert unmasked["email"].kept_values == 29
-    assert not audit_passed(mask_audit(people, people, ["id"], expected))  # the originals fit every pattern
+    assert not audit_passed(replay_audit(masked, people, ["id"]))  # the originals fit every pattern
     swapped = masked.withColumn("id", F.when(F.col("id") == 3, 1000).otherwise(F.col("id")))
     assert not audit_passed(mask_audit(people, swapped, ["id"], expected))  # as many rows, another key
-    zeros = people.withColumn("stride", F.lit(0))
-    assert audit_passed(mask_audit(zeros, zeros, ["id"], {"stride": Expect(kept_share=1.0)}))
     broken = masked.withColumn("kept", F.lit("x")).withColumn("email", F.lit("none")).where("id <> 3")
     report = {r["column"]: r for r in mask_audit(people, broken, ["id"], expected).collect()}
     assert report["kept"].differences == 29 and report["email"].pattern_misses == 29
@@ -272,7 +270,38 @@ def test_composite_keys_do_not_share_fakes(spark):
 
 
 def test_scrub_keeps_nulls(spark):
-    rows = [("a", "S1:aXY=:Y2lw"), ("b", "plain"), ("c", None), ("d", "S1:a:b:c"), ("e", "xS1:a:b"), ("f", "S1::")]
+    rows = [("a", "S1:q7Z=:Zm9v"), ("b", "plain"), ("c", None), ("d", "S1:a:b:c"), ("e", "xS1:a:b"), ("f", "S1::")]
     left = scrub_rows(spark.createDataFrame(rows, "key string, value string"), "value")
     assert sorted(r.key for r in left.collect()) == ["b", "c", "d", "e"]
     assert scrub_rows(None, "value") is None
+
+
+def changed(report):
+    return {r["column"] for r in report.collect() if not r["agrees"]}
+
+
+def test_copies_are_held_against_their_masks(spark, people):
+    masks = {"email": "email", "tiny": {"kind": "integer", "range": "0-1"}, "stride": "zero", "note": "empty", "dob": "nil"}
+    masked = run(spark, people, masks).tables[PEOPLE]
+    for keys in (["id"], []):
+        assert audit_passed(replay_audit(masked, masked.repartition(5), keys))
+        for name in ("email", "stride", "note", "dob"):  # constants too: what they must be is known
+            clear = people.select("id", F.col(name).alias("_clear"))
+            copy = masked.join(clear, "id").withColumn(name, F.col("_clear")).select(*masked.columns)
+            assert changed(replay_audit(masked, copy, keys)) == ({name} if keys else {name, "*"})
+        assert not audit_passed(replay_audit(masked, masked.where("id <> 3"), keys))
+        assert not audit_passed(replay_audit(masked, masked.unionByName(masked.where("id = 3")), keys))
+        assert changed(replay_audit(masked, masked.drop("note"), keys)) >= {"note"}
+        assert changed(replay_audit(masked, masked.withColumn("tiny", F.col("tiny").cast("int")), keys)) >= {"tiny"}
+    swapped = masked.withColumns({"extra": F.col("kept"), "kept": F.col("extra")})
+    assert changed(replay_audit(masked, swapped)) == {"extra", "kept", "*"}
+
+
+def test_audits_take_maps_nulls_and_empty_tables(spark):
+    rows = [(1, {"a": 1}, None, [{"x": 1}]), (None, None, "v", None)]
+    df = spark.createDataFrame(rows, "id int, m map<string,int>, s string, l array<map<string,int>>")
+    for keys in (["id"], []):
+        assert audit_passed(replay_audit(df, df, keys)) and audit_passed(replay_audit(df.limit(0), df.limit(0), keys))
+        assert not audit_passed(replay_audit(df, df.limit(0), keys)) and not audit_passed(replay_audit(df.limit(0), df, keys))
+        other = df.withColumn("m", F.create_map(F.lit("a"), F.lit(2)))
+        assert "m" in changed(replay_audit(df, other, keys))
