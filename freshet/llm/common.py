@@ -27,6 +27,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Tables written to the shared folder and not yet released, by application: path, and name if they have one.
+_WRITTEN: dict[str, list[tuple[str, str | None]]] = {}
+
+
+def _note(spark: SparkSession, path: str, name: str | None = None) -> None:
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append((path, name))
+
+
+def written(spark: SparkSession) -> list[tuple[str, str | None]]:
+    """Tables written and not released so far, to be handed to :func:`release`."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, tables: list[tuple[str, str | None]]) -> None:
+    """Remove intermediate tables, once everything computed from them is written elsewhere."""
+    for path, name in tables:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    left = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    left[:] = [t for t in left if t not in tables]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -35,6 +59,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _note(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,6 +69,7 @@ def stored_by(df: DataFrame, key: str, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     name = os.path.basename(path).replace("-", "_")
+    _note(spark, path, name)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
     writer.option("path", path).saveAsTable(name)
