@@ -5,7 +5,8 @@ in a pool. When the pool fills a given number of windows, the pieces are dealt o
 piece starts as a partial partition of its own, and the two partitions with the largest
 imbalance are merged, heaviest window onto lightest, until one partition is left. Its
 windows are near-equal. If one exceeds the capacity, the pieces are dealt out anew to one
-window more. Pools are filled by a task from its own rows, so nothing is shuffled.
+window more. Copies of a piece, which mixing makes, trade places until no window holds two.
+Pools are filled by a task from its own rows, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -81,9 +82,44 @@ def deal(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1
 
 
+def apart(keys: list[tuple], sizes: np.ndarray, place: np.ndarray, capacity: int) -> np.ndarray:
+    """Windows in which equal keys (copies of a piece) don't meet, as near as can be to those given.
+
+    A copy trades places with the piece nearest to it in size whose window can take it; where
+    there is none it gets a window of its own.
+    """
+    place = place.copy()
+    held: dict[tuple, set[int]] = {}
+    twice = []
+    for i, key in enumerate(keys):
+        windows = held.setdefault(key, set())
+        if int(place[i]) in windows:
+            twice.append(i)
+        windows.add(int(place[i]))
+    fill = np.bincount(place, sizes, place.max(initial=0) + 1).tolist() if len(place) else []
+    for i in twice:
+        own = int(place[i])
+        for j in np.argsort(np.abs(sizes - sizes[i]), kind="stable").tolist():
+            other, gain = int(place[j]), int(sizes[j] - sizes[i])
+            if other != own and other not in held[keys[i]] and own not in held[keys[j]] and fill[own] + gain <= capacity and fill[other] - gain <= capacity:
+                fill[own], fill[other] = fill[own] + gain, fill[other] - gain
+                place[i], place[j] = other, own
+                held[keys[i]].add(other)
+                held[keys[j]].discard(other)
+                held[keys[j]].add(own)
+                break
+        else:
+            place[i] = len(fill)
+            fill[own] -= int(sizes[i])
+            fill.append(int(sizes[i]))
+            held[keys[i]].add(int(place[i]))
+    return place
+
+
 class _Packer:
     def __init__(self, capacity: int) -> None:
         self.capacity, self.pool, self.held = capacity, [], 0
+        self.room = min(ROOM, (capacity - 1) // 2)
         self.sequence = TaskContext.get().partitionId() << 36
         self.rows: list[tuple] = []
 
@@ -98,7 +134,7 @@ class _Packer:
             part = ids[start:start + PIECE]
             self.pool.append((doc_id, start, part, total))
             self.held += len(part)
-        full = POOL_WINDOWS * (self.capacity - ROOM)
+        full = POOL_WINDOWS * (self.capacity - self.room)
         while self.held >= full:
             self.flush(full)
 
@@ -116,6 +152,9 @@ class _Packer:
             ids += len(part)
         sizes = np.array([len(x[2]) for x in taken], np.int64)
         place = deal(sizes, self.capacity)
+        # A null id names no document, so its rows are no copies.
+        keys = [(x[0], x[1], len(x[2])) if x[0] is not None else (None, i, 0) for i, x in enumerate(taken)]
+        place = apart(keys, sizes, place, self.capacity)
         fill = np.zeros(place.max(initial=0) + 1, np.int64)
         for (doc_id, start, part, total), window in zip(taken, place.tolist()):
             self.rows.append((doc_id, start, len(part), crc_of(part), total, self.sequence + window, int(fill[window])))
@@ -135,17 +174,20 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, keeps_space: b
 
     Every document is its text's ids and ``end_id``; a null or empty text is ``end_id``
     alone. Each id lies in one piece, each window holds at most ``capacity`` ids without
-    gaps. Repeated rows and ids are documents of their own. A null id stays null. Very long
+    gaps. Repeated rows and ids are documents of their own, and the pieces of a document that
+    is there several times don't meet in a window of a task. A null id stays null. Very long
     texts fill windows of their own. An empty table gives an empty one. Other columns are
     not read.
     """
+    if capacity < 1:
+        raise ValueError("a window holds one id at least")
     small_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer = encoder(vocabulary, keeps_space), _Packer(capacity)
         end = np.array([end_id], coder.dtype)
         for batch in batches:
-            ids = coder.encode(batch.column("text").to_pylist())
+            ids = coder.encode(batch.column("text"))
             for key, found in zip(batch.column("doc_id").to_pylist(), ids):
                 packer.add(key, np.concatenate([found, end]))
             yield packer.batch()
