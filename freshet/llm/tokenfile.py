@@ -30,6 +30,9 @@ from .tokens import encoder
 #: Stands for a null document id in a flat file of integers.
 NO_ID = -(1 << 63)
 
+#: Documents whose ids are read at a time.
+READ_DOCUMENTS = 1000
+
 SHARDS = "part int, path string, wide boolean, documents long, ids long"
 
 
@@ -37,16 +40,22 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
-def _mapped(uri: str, dtype: str, start: int = 0, count: int | None = None) -> np.ndarray:
-    """A flat file as an array: mapped into memory, or read where it can't be."""
-    system, path = _place(uri)
-    size = system.get_file_info(path).size
-    if not size:
-        return np.empty(0, dtype)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with system.open_input_file(path) as file:
-        return np.frombuffer(file.read(), dtype)
+class _Flat:
+    """A flat file as an array: mapped into memory where it can be, else read range by range."""
+
+    def __init__(self, uri: str, dtype: str) -> None:
+        self.system, self.path = _place(uri)
+        self.dtype = np.dtype(dtype)
+        self.count = self.system.get_file_info(self.path).size // self.dtype.itemsize
+        local = isinstance(self.system, fs.LocalFileSystem)
+        self.mapped = np.memmap(self.path, self.dtype, "r") if local and self.count else None
+
+    def part(self, start: int, stop: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[start:stop]
+        size = self.dtype.itemsize
+        with self.system.open_input_file(self.path) as file:
+            return np.frombuffer(file.read_at((stop - start) * size, start * size), self.dtype)
 
 
 def _writer(folder: str, vocabulary: str, keeps_space: bool, end_id: int):
@@ -64,7 +73,7 @@ def _writer(folder: str, vocabulary: str, keeps_space: bool, end_id: int):
                 system.create_dir(base, recursive=True)
                 streams = {x: system.open_output_stream(f"{name}.{x}") for x in ("ids", "offsets", "docs")}
                 streams["offsets"].write(np.array([0], "<i8").tobytes())
-            ids = [np.concatenate([x, end]) for x in coder.encode(batch.column("text").to_pylist())]
+            ids = [np.concatenate([x, end]) for x in coder.encode(batch.column("text"))]
             offsets = at + np.cumsum([len(x) for x in ids], dtype="<i8")
             streams["ids"].write(np.concatenate(ids).tobytes())
             streams["offsets"].write(offsets.tobytes())
@@ -103,15 +112,16 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, keeps_space: boo
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard in batch.to_pylist():
-            ids = _mapped(shard["path"] + ".ids", "<u4" if shard["wide"] else "<u2")
-            offsets = _mapped(shard["path"] + ".offsets", "<i8")
-            docs = _mapped(shard["path"] + ".docs", "<i8")
-            for first in range(0, len(docs), 10_000):
-                part = docs[first:first + 10_000]
-                edges = offsets[first:first + len(part) + 1]
+            ids = _Flat(shard["path"] + ".ids", "<u4" if shard["wide"] else "<u2")
+            offsets = _Flat(shard["path"] + ".offsets", "<i8")
+            docs = _Flat(shard["path"] + ".docs", "<i8")
+            for first in range(0, docs.count, READ_DOCUMENTS):
+                last = min(docs.count, first + READ_DOCUMENTS)
+                part, edges = docs.part(first, last), offsets.part(first, last + 1)
+                own = ids.part(int(edges[0]), int(edges[-1]))
                 yield pa.record_batch([
                     pa.array(part, mask=part == NO_ID), pa.array(edges[:-1] + shard["base"]), pa.array(np.diff(edges)),
-                    pa.array([crc_of(ids[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.int64()),
+                    pa.array([crc_of(own[a:b]) for a, b in zip(edges[:-1] - edges[0], edges[1:] - edges[0])], pa.int64()),
                 ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

@@ -1,9 +1,11 @@
-"""Token ids of whole texts, by a public tokenizer, at a few times its plain speed.
-
-A text is cut at single spaces between other characters. None of the two public
-vocabularies has a token that crosses such a place, so the ids of the pieces, one after
-the other, are the ids of the text. Pieces repeat a lot: a worker keeps the ids of those
-it has met, up to a bound, and hands only new ones to the tokenizer.
+"""Token ids of whole texts, by a public tokenizer, at many times its plain speed.
+
+A text is cut at single spaces between other characters. Where no token of a vocabulary
+crosses such a place, which is checked when it is loaded, the ids of the pieces, one after
+the other, are the ids of the text. Pieces repeat a lot: a batch's texts are split and their
+distinct pieces found by Arrow, a worker hands only pieces it has not met to the tokenizer,
+and the ids of a batch are put together by array indexing, without a step per word. Texts
+of a vocabulary with crossing tokens are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,19 +15,28 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces whose ids a worker keeps at most; some 150 bytes each.
-MAX_KEPT = 1_000_000
-
-#: Longer pieces are not kept.
-MAX_PIECE = 48
+#: Pieces whose ids a worker keeps at most, at some 150 bytes each: the first it meets, which
+#: the frequent ones are among. Others are forgotten with their batch, as are long ones.
+MAX_KEPT, MAX_PIECE = 500_000, 48
 
-#: White space next to a space: there the tokens depend on both sides.
-_RUN = re.compile(r"\s | \s|^ | $")
+#: A space next to white space or at an end of the text: there the tokens depend on both sides.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_RUN = rf"{_WHITE} | {_WHITE}|^ | $"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def cuts_at_spaces(tokenizer, keeps_space: bool) -> bool:
+    """Whether no ordinary token goes on past a space behind another character than white space."""
+    ids = sorted(tokenizer.get_vocab(with_added_tokens=False).values())
+    texts = tokenizer.decode_batch([[i] for i in ids], skip_special_tokens=True)
+    crossing = re.compile(r"\S " if keeps_space else r"\S \S")
+    return not any(crossing.search(t) for t in texts)
+
+
 class Encoder:
     """Encodes texts into arrays of unsigned ids. One per worker and vocabulary file."""
 
@@ -37,35 +48,107 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.space = " " if keeps_space else ""
-        self.kept: dict[str, bytes] = {}
-
-    def _bytes(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def _pieces(self, text: str) -> list[str]:
-        if _RUN.search(text):
-            return _spaced(text, self.space)
-        if not self.space:
-            return text.split(" ")
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        self.whole = not cuts_at_spaces(self.tokenizer, keeps_space)
+        self.known: dict[str, int] = {}  # numbers of pieces that stand as they are
+        self.behind: dict[str, int] = {} if self.space else self.known  # and of words with a space before them
+        self.ids = np.empty(1 << 16, self.dtype)
+        self.starts = np.zeros(1 << 12, np.int64)  # of a piece's ids, by number; one more than pieces
+        self.pieces = 0
+        self.forget: list[tuple[dict[str, int], str]] = []  # pieces of this batch alone
+        self.opens = self._opening() if keeps_space else None
+
+    def _opening(self) -> np.ndarray:
+        """By id, whether a token begins with a space."""
+        opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            opens[i] = token[:1] in "\u0120\u2581 "
+        return opens
+
+    def _encoded(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has.
+
+        Words behind a space go to the tokenizer as one text: a token that begins with a space
+        begins a word, and none other does.
+        """
+        if space:
+            ids = np.array(self.tokenizer.encode_batch_fast([space + space.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) == len(pieces) and first[0] == 0:
+                return ids, np.diff(first, append=len(ids))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([space + p for p in pieces], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((x for own in found for x in own), self.dtype, int(sizes.sum())), sizes
+
+    def _numbers(self, pieces: list[str], space: str, known: dict[str, int]) -> np.ndarray:
+        """Numbers of distinct pieces, new ones encoded."""
+        found = list(map(known.get, pieces))
+        new = [i for i, number in enumerate(found) if number is None]
+        for at in range(0, len(new), 4096):
+            part = new[at:at + 4096]
+            ids, sizes = self._encoded([pieces[i] for i in part], space)
+            ends = self.starts[self.pieces] + np.cumsum(sizes)
+            while len(self.starts) <= self.pieces + len(sizes):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            while len(self.ids) < ends[-1]:
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[self.starts[self.pieces]:ends[-1]] = ids
+            self.starts[self.pieces + 1:self.pieces + 1 + len(sizes)] = ends
+            for i in part:
+                found[i] = known[pieces[i]] = self.pieces
+                if self.pieces >= MAX_KEPT or len(pieces[i]) > MAX_PIECE:
+                    self.forget.append((known, pieces[i]))
+                self.pieces += 1
+        return np.array(found, np.int64)
+
+    def _forget(self) -> None:
+        """Drop what only the batch before needed; the ids of long pieces go once the rest is full."""
+        for known, piece in self.forget:
+            known.pop(piece, None)
+        self.forget = []
+        self.pieces = min(self.pieces, MAX_KEPT)
+        if self.starts[self.pieces] > 16 * MAX_KEPT:  # long pieces only: start over
+            self.known.clear()
+            self.behind.clear()
+            self.pieces = 0
+
+    def _joined(self, numbers: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts, whose pieces' numbers stand one after the other up to ``ends``."""
+        starts, sizes = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]
+        borders = upto[ends]
+        return [flat[a:b] for a, b in zip(np.concatenate([[0], borders[:-1]]), borders)]
+
+    def _words(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts whose spaces stand single between other characters."""
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        ends = np.asarray(lists.offsets)[1:].astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes = np.asarray(coded.indices).astype(np.int64)
+        numbers = self._numbers(coded.dictionary.to_pylist(), self.space, self.behind)[codes]
+        if self.space:  # a text's first word has no space before it
+            first = np.concatenate([[0], ends[:-1]])
+            own, place = np.unique(codes[first], return_inverse=True)
+            numbers[first] = self._numbers(coded.dictionary.take(pa.array(own)).to_pylist(), "", self.known)[place]
+        return self._joined(numbers, ends)
+
+    def encode(self, texts: Iterable[str | None] | pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; a null text counts as empty."""
-        kept = self.kept
-        split = [self._pieces(t) if t else [] for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in kept})
-        fresh: dict[str, bytes] = {}
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            for piece, ids in zip(part, self._bytes(part)):
-                (kept if len(piece) <= MAX_PIECE and len(kept) < MAX_KEPT else fresh)[piece] = ids
-        for pieces in split:
-            if fresh:
-                yield np.frombuffer(b"".join([kept[p] if p in kept else fresh[p] for p in pieces]), self.dtype)
-            else:
-                yield np.frombuffer(b"".join([kept[p] for p in pieces]), self.dtype)
+        self._forget()
+        column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
+        column = column.fill_null("")
+        odd = np.asarray(pc.or_(pc.match_substring_regex(column, _RUN), pc.equal(pc.binary_length(column), 0)).to_numpy(zero_copy_only=False))
+        if self.whole:
+            odd = np.ones(len(column), bool)
+        words = iter(self._words(column.filter(pa.array(~odd))))
+        found = [[text] if self.whole else _spaced(text, self.space) for text in column.filter(pa.array(odd)).to_pylist()]
+        distinct = {p: None for pieces in found for p in pieces}
+        number = dict(zip(distinct, self._numbers(list(distinct), "", self.known).tolist()))
+        rest = iter(self._joined(np.array([number[p] for pieces in found for p in pieces], np.int64), np.cumsum([len(x) for x in found]).astype(np.int64)) if found else [])
+        for is_odd in odd.tolist():
+            yield next(rest) if is_odd else next(words)
 
 
 def _spaced(text: str, space: str) -> list[str]:
