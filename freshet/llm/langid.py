@@ -27,7 +27,7 @@ BITS = 13
 SAMPLE, CENTROIDS = 400, 4
 
 #: A text is rejected below this share of a low quantile of its language's cosines at its size;
-#: sizes go by powers of two of the number of n-grams, and this many texts are drawn for each.
+#: sizes go by powers of two of the number of different n-grams; this many texts are drawn for each.
 REJECT, QUANTILE, SIZES, DRAWN = 0.5, 0.02, 18, 64
 
 UNKNOWN = "und"
@@ -53,8 +53,11 @@ def counts(text: str) -> np.ndarray:
 
 
 def size_class(found: np.ndarray) -> np.ndarray:
-    """The size of texts by their rows of counts, as a power of two."""
-    return np.minimum(np.log2(np.maximum(found.sum(1), 1)).astype(int), SIZES - 1)
+    """The size of texts by their rows of counts: different n-grams, as a power of two.
+
+    What a text repeats adds nothing to what is known of its language.
+    """
+    return np.minimum(np.log2(np.maximum((found > 0).sum(1), 1)).astype(int), SIZES - 1)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -98,17 +101,20 @@ def _dense(texts: list[Sparse]) -> np.ndarray:
 def _floors(model: Model, own: np.ndarray, middle: np.ndarray, seed: int) -> np.ndarray:
     """Least cosines by size: texts of each size drawn from the n-grams of the language's sample."""
     rng, floors = np.random.default_rng(seed), np.zeros(SIZES)
-    totals = own.sum(1)
+    totals, near, sizes = own.sum(1), [], []
     for size in range(SIZES):
         wide = np.flatnonzero(totals >= 1 << size)
         if not len(wide):
-            floors[size] = floors[size - 1] if size else 0.0
-            continue
+            break
         chosen = wide[np.linspace(0, len(wide) - 1, min(DRAWN, len(wide))).astype(int)]
-        shares = own[chosen].astype(float)
-        drawn = np.array([rng.multinomial(1 << size, x / x.sum()) for x in shares])
-        near = (model.vectors(drawn) @ middle.T).max(1)
-        floors[size] = REJECT * np.quantile(near, QUANTILE)
+        drawn = np.array([rng.multinomial(1 << size, x / x.sum()) for x in own[chosen].astype(float)])
+        near.append((model.vectors(drawn) @ middle.T).max(1))
+        sizes.append(size_class(drawn))
+    if near:
+        cosines, classes = np.concatenate(near), np.concatenate(sizes)
+        for size in range(SIZES):
+            these = cosines[classes == size]
+            floors[size] = REJECT * np.quantile(these, QUANTILE) if len(these) else floors[size - 1] if size else 0.0
     return floors
 
 

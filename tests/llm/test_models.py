@@ -1,5 +1,8 @@
 """Trained operators: held-out accuracy on the given tables, and odd inputs."""
 
+import base64
+import random
+
 import pytest
 from freshet.llm import langid, toxicity
 from freshet.llm.cases import QUERIES
@@ -32,6 +35,23 @@ def test_odd_texts_and_clashing_columns(spark, tables):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_unlearned_languages_and_noise_are_rejected_and_short_texts_stay(spark, tables):
+    model = langid.learn(tables["documents"], F.lit(False))
+    rng = random.Random(3)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120)) for _ in range(20)]
+    coded = [base64.b64encode(rng.randbytes(90)).decode() for _ in range(20)]
+    whole = [r["text"] for r in tables["documents"].orderBy("doc_id").limit(200).collect() if langid.has_letter(r["text"])]
+    short = [" ".join(t.split()[:n]) for t in whole for n in (3, 8, 30)]
+    texts = [finnish, polish, *noise, *coded, "½ ² Ⅷ ①", *whole, *filter(langid.has_letter, short)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    strange = [found[i]["rejected"] for i in range(42)]
+    assert sum(strange) >= 41 and found[42]["lang_pred"] == "und"
+    assert sum(r["rejected"] for i, r in found.items() if i > 42) <= 0.01 * len(texts)
+
+
 def test_sentences_taught_by_document_labels():
     plain = "We met at noon. The road was long. It rained on the hill."
     texts = [plain, plain + " You gruntling fool."] * 40 + ["A gruntled crowd. " + plain] * 20 + [plain * 3] * 20
