@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import fleet, stalls
 from ..session import fresh_path
 from ..streaming import latest, progress
-from ..streaming.base import read_files, run_to_end, use_rocksdb, write_updates
-from ..streaming.stateful import stream_changes, stream_stalls
+from ..streaming.base import read_files
+from ..streaming.keyed import KeyedTable, keep_folded
+from ..streaming.ordered import run_changes, run_stalls
 from .base import derive, plain, table
 
 QUERIES, ORACLES = {}, {}
@@ -16,7 +17,6 @@ QUERIES, ORACLES = {}, {}
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given events as a file stream, with instants in place of local times."""
-    use_rocksdb(spark)
     schema = table(spark, sf_dir, "events").schema
     stream = read_files(spark, sf_dir, schema, pathGlobFilter="events.parquet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -62,8 +62,8 @@ def progress_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress_totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, checkpoint = fresh_path(spark, "progress"), fresh_path(spark, "progress-state")
     samples = progress.parse_samples(_with_bodies(events_stream(spark, sf_dir)))
-    write_updates(progress.stream_totals(samples), sink, checkpoint).awaitTermination()
-    return progress.totals(spark.read.parquet(sink))
+    keep_folded(samples.drop("at", "event_id"), sink, progress.totals, checkpoint).awaitTermination()
+    return KeyedTable(spark, sink, progress.totals).read()
 
 
 def progress_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +121,8 @@ def stall_watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("step "), F.floor(F.col("event_id") / 120).cast("string"))).alias("progress"),
     )
     sink = fresh_path(spark, "stalls")
-    run_to_end(stream_stalls(observations), sink, fresh_path(spark, "stalls-state"))
-    out = spark.read.parquet(sink)
+    run_stalls(observations, sink, fresh_path(spark, "stalls-state")).awaitTermination()
+    out = spark.read.parquet(sink).drop("batch", "seen_at")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "changed_at")})
 
 
@@ -170,8 +170,8 @@ def latest_payloads_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("event_type", F.lit(" "), "props").alias("payload"),
     )
     sink, checkpoint = fresh_path(spark, "latest"), fresh_path(spark, "latest-state")
-    write_updates(latest.stream_latest(payloads, max_age="1 day"), sink, checkpoint).awaitTermination()
-    held = latest.held(spark.read.parquet(sink).drop("batch"), _as_of(), max_age_seconds=86400)
+    keep_folded(payloads, sink, latest.newest, checkpoint).awaitTermination()
+    held = latest.held(KeyedTable(spark, sink, latest.newest).read(), _as_of(), max_age_seconds=86400)
     return held.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
@@ -187,8 +187,8 @@ def spec_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor("value").cast("bigint") % 2).alias("generation"), (F.col("event_type") == "error").alias("deleted"),
     )
     sink = fresh_path(spark, "changes")
-    run_to_end(stream_changes(events), sink, fresh_path(spark, "changes-state"))
-    return spark.read.parquet(sink).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    run_changes(events, sink, fresh_path(spark, "changes-state")).awaitTermination()
+    return spark.read.parquet(sink).drop("batch").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 QUERIES["spec_changes_stream"] = spec_changes_stream

@@ -36,12 +36,14 @@ def verdict(progress: Column, changed_at: Column, now: Column) -> Column:
 
 def watch(
     observations: DataFrame, keys: Sequence[str] = ("restore",),
-    order: Sequence[str] = ("at", "seq"), segments: int | None = None,
+    order: Sequence[str] = ("at", "seq"), segments: int | None = None, moved_at: str | None = None,
 ) -> DataFrame:
     """Each observation with the watch after it: ``progress, changed_at, verdict``.
 
     A run unseen for ten minutes is forgotten and watched afresh; failed
-    observations with nothing watched yet give no row.
+    observations with nothing watched yet give no row. ``moved_at`` names a column that
+    says, where not NULL, when the progress of an observation had begun: it carries on a
+    watch from before.
     """
     at, kept = F.col(order[0]), [c for c in observations.columns if c != "progress"]
     good = F.when(F.col("ok"), F.struct(at.alias("at"), "progress"))
@@ -53,7 +55,8 @@ def watch(
     begun = running(seen, keys, order, {"_since": ("last", F.when(fresh, at)), "_good": ("last", good)})
     continued = F.col("_good_before").isNotNull() & (F.col("_good_before.at") >= F.col("_since"))
     same = continued & F.col("_good_before.progress").eqNullSafe(F.col("progress"))
-    moved = F.when(F.col("ok") & ~F.coalesce(same, F.lit(False)), at)
+    begun_at = at if moved_at is None else F.coalesce(moved_at, at)
+    moved = F.when(F.col("ok") & ~F.coalesce(same, F.lit(False)), begun_at)
     timed = running(begun, keys, order, {"changed_at": ("last", moved)})
     progress = F.col("_good.progress")
     return timed.where(F.col("_good.at") >= F.col("_since")).select(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -77,9 +79,51 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths handed out inside a :func:`scratch` block.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (noted := _SCRATCH.get()) is not None:
+        noted.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what was written to fresh paths inside, for work whose results lie elsewhere."""
+    noted: list[str] = []
+    token = _SCRATCH.set(noted)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in noted:
+            remove(spark, path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Spark's own client of the file system a path names, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    system, place = file_system(spark, path)
+    system.delete(place, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, such as an index."""
+    system, place = file_system(spark, path)
+    stream = system.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -18,7 +18,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import exists, local_frame
+from ..session import exists, file_system, local_frame
 
 PUBLISHABLE = ("complete", "partial")
 
@@ -85,15 +85,9 @@ def read_staged(spark: SparkSession, root: str, run_id: str, table: str) -> Data
     return spark.read.parquet(paths[table])
 
 
-def _file_system(spark: SparkSession, path: str):
-    """Spark's own client of the file system a path names."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def _pointers(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the pointer files, ascending."""
-    system, folder = _file_system(spark, f"{root}/current")
+    system, folder = file_system(spark, f"{root}/current")
     if not system.exists(folder):
         return []
     names = [status.getPath().getName() for status in system.listStatus(folder)]
@@ -123,7 +117,7 @@ def publish(spark: SparkSession, root: str, run_id: str, phase: str) -> None:
     line = json.dumps({"run_id": run_id, "phase": phase}).encode()
     while True:
         numbers = _pointers(spark, root)
-        system, place = _file_system(spark, _pointer_path(root, (numbers or [0])[-1] + 1))
+        system, place = file_system(spark, _pointer_path(root, (numbers or [0])[-1] + 1))
         try:
             stream = system.create(place, False)
         except Py4JJavaError as err:
@@ -134,7 +128,7 @@ def publish(spark: SparkSession, root: str, run_id: str, phase: str) -> None:
         stream.close()
         break
     for number in numbers[:1 - KEPT_POINTERS] if KEPT_POINTERS > 1 else numbers:
-        system.delete(_file_system(spark, _pointer_path(root, number))[1], False)
+        system.delete(file_system(spark, _pointer_path(root, number))[1], False)
 
 
 def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -1,17 +1,8 @@
-"""Reading and running the package's streams."""
+"""Reading the package's streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
-
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep state in RocksDB, off the heap; stateful processors need it."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def read_files(
@@ -20,34 +11,10 @@ def read_files(
 ) -> DataFrame:
     """A parquet folder as a stream, so many bytes (or files, if named) at a time.
 
-    The limit bounds a micro-batch, and with it the rows of one key a stateful
-    task has to put in order at a time.
+    The limit bounds a micro-batch.
     """
     reader = spark.readStream.schema(schema).options(**options)
     if files_per_trigger is not None:
         return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return reader.option("maxBytesPerTrigger", bytes_per_trigger).parquet(path)
 
-
-def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there now into a parquet sink, then stop."""
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
-    )
-    query.awaitTermination()
-
-
-def write_updates(updates: DataFrame, sink: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep what each micro-batch updated, a folder per batch.
-
-    A batch that is run again after a failure replaces its own folder, so the
-    sink never holds a batch twice or by half.
-    """
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    return (
-        updates.writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    )

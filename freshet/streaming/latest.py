@@ -1,35 +1,21 @@
-"""The newest payload per key, forgotten past an age."""
+"""The newest payload per key, out of date past an age."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BUILD_MAX_AGE = "1 hour"
 
+def newest(payloads: DataFrame, key: str = "key", at: str = "at", seq: str = "seq") -> DataFrame:
+    """The newest payload per key: the last write wins, decided by ``(at, seq)``.
 
-def stream_latest(
-    payloads: DataFrame, key: str = "key", at: str = "at", seq: str = "seq", max_age: str = BUILD_MAX_AGE
-) -> DataFrame:
-    """The newest payload per key and window of ``max_age``; update mode.
-
-    The last write wins, decided by ``(at, seq)``. It is a fold, so writes to a
-    busy key meet in the map tasks first; state goes with the watermark.
+    It folds tables, and is what a stream is kept by (:func:`.keyed.keep_folded`).
     """
-    newest = F.max_by(F.struct(F.col(at), F.col(seq), "payload"), F.struct(F.col(at), F.col(seq)))
-    return (
-        payloads.withWatermark(at, max_age)
-        .groupBy(key, F.window(at, max_age))
-        .agg(newest.alias("n"))
-        .select(key, F.col(f"n.{at}").alias(at), F.col(f"n.{seq}").alias(seq), "n.payload")
-    )
+    best = F.max_by(F.struct(F.col(at), F.col(seq), "payload"), F.struct(F.col(at), F.col(seq)))
+    return payloads.groupBy(key).agg(best.alias("n")).select(
+        key, F.col(f"n.{at}").alias(at), F.col(f"n.{seq}").alias(seq), "n.payload")
 
 
 def held(payloads: DataFrame, as_of: Column, max_age_seconds: int = 3600, key: str = "key", at: str = "at", seq: str = "seq") -> DataFrame:
     """What a reader finds per key: the newest payload, unless it is too old by then."""
-    newest = F.max_by(F.struct(F.col(at), F.col(seq), "payload"), F.struct(F.col(at), F.col(seq)))
     age = F.unix_micros(as_of) - F.unix_micros(F.col(at).cast("timestamp"))
-    return (
-        payloads.groupBy(key).agg(newest.alias("n"))
-        .select(key, F.col(f"n.{at}").alias(at), F.col(f"n.{seq}").alias(seq), "n.payload")
-        .where(age < F.lit(max_age_seconds * 1_000_000))
-    )
+    return newest(payloads, key, at, seq).where(age < F.lit(max_age_seconds * 1_000_000))

@@ -42,18 +42,12 @@ def parse_samples(raw: DataFrame, body: str = "body") -> DataFrame:
     return read.where(uuid_text(F.col("run_id"))).dropna(subset=["type", *COUNTERS])
 
 
-def stream_totals(samples: DataFrame) -> DataFrame:
-    """Totals per run and type; update mode.
+def totals(samples: DataFrame) -> DataFrame:
+    """Totals per run and type.
 
-    A running maximum is right however late a sample comes, so there is no watermark that
-    would drop one: the state is one row per run and type. Maxima are folded in the map
-    tasks, so a run with most of the samples is no burden.
+    A maximum of maxima is the maximum, so this is also the fold a stream of samples is kept
+    by (:func:`.keyed.keep_folded`): right however late a sample comes.
     """
-    return totals(samples)
-
-
-def totals(samples: DataFrame) -> DataFrame:
-    """Totals per run and type, over samples or over what the stream has kept."""
     return samples.groupBy("run_id", "type").agg(*[F.max(c).alias(c) for c in COUNTERS])
 
 
