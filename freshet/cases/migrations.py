@@ -47,8 +47,7 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = _batches(spark, sf_dir)
-    return migrations.newest_batches(batches, migrations.baselines(batches, derive(spark, sf_dir, RUNS)))
+    return migrations.run_batches(_batches(spark, sf_dir), derive(spark, sf_dir, RUNS))
 
 
 AUDIT_SQL = f"""

@@ -22,18 +22,35 @@ def baselines(batches: DataFrame, runs: DataFrame) -> DataFrame:
     return starts.select("restore").join(newest, "restore", "left")
 
 
-def newest_batches(batches: DataFrame, base: DataFrame) -> DataFrame:
-    """The newest ``up`` batch after each copy's baseline, if there is one.
+def newest_ups(batches: DataFrame) -> DataFrame:
+    """The newest ``up`` batch of each copy, folded in the map tasks.
 
-    ``base`` has ``restore, baseline``; the batch id decides between batches
-    logged at one instant. Only the newest of all can be the one sought, so it
-    is folded in the map tasks first and compared with the baseline afterwards.
+    The batch id decides between batches logged at one instant.
     """
     rest = [c for c in batches.columns if c != "restore"]
     newest = F.max_by(F.struct(*rest), F.struct("logged_at", "batch"))
-    ups = batches.where(F.col("direction") == "up").groupBy("restore").agg(newest.alias("b"))
-    after = F.col("baseline").isNull() | (F.col("b.logged_at") > F.col("baseline"))
-    return ups.join(base, "restore").where(after).select("restore", "b.*")
+    return batches.where(F.col("direction") == "up").groupBy("restore").agg(newest.alias("b")).select("restore", "b.*")
+
+
+def newest_batches(batches: DataFrame, base: DataFrame) -> DataFrame:
+    """The newest ``up`` batch after each copy's baseline, if there is one.
+
+    ``base`` has ``restore, baseline``. Only the newest of all can be the one sought, so it
+    is folded first and compared with the baseline afterwards.
+    """
+    after = F.col("baseline").isNull() | (F.col("logged_at") > F.col("baseline"))
+    return newest_ups(batches).join(base, "restore").where(after).drop("baseline")
+
+
+def run_batches(batches: DataFrame, runs: DataFrame) -> DataFrame:
+    """The same from the runs themselves, without working their baselines out.
+
+    A batch logged before its run began is itself no later than the baseline, and one logged
+    since then is later than it. So the newest ``up`` batch is the one sought where the run
+    had begun by then, or has no start and thus no baseline; each table is read once.
+    """
+    began = F.col("started_at").isNull() | (F.col("logged_at") >= F.col("started_at"))
+    return newest_ups(batches).join(runs.select("restore", "started_at"), "restore").where(began).drop("started_at")
 
 
 #: Parts of a batch's statistics; values keep their JSON type until they are read.

@@ -65,6 +65,25 @@ def test_only_a_newer_up_batch_counts(spark):
     assert {r.restore: r.baseline for r in base.collect()} == {"a": DAY[2], "b": DAY[2], "c": None}
     newest = {r.restore: r.batch for r in migrations.newest_batches(batches, base).collect()}
     assert newest == {"a": 5, "c": 7}
+    assert {r.restore: r.batch for r in migrations.run_batches(batches, runs).collect()} == newest
+
+
+def test_runs_tell_their_batches_without_baselines(spark):
+    """All orders of three batches and a run's start, ties and a missing start included."""
+    days, rows, runs = range(3), [], []
+    for one in days:
+        for two in days:
+            for three in days:
+                for start in [*days, None]:
+                    for ups in range(8):
+                        name = f"{one}{two}{three}{start}{ups}"
+                        runs.append((name, None if start is None else DAY[start], False, 1, None))
+                        rows += [(name, n, DAY[day], "up" if ups >> n & 1 else "down", [], None, None)
+                                 for n, day in enumerate((one, two, three))]
+    batches, runs = spark.createDataFrame(rows, BATCH), spark.createDataFrame(runs, RUN)
+    plain = migrations.newest_batches(batches, migrations.baselines(batches, runs))
+    assert sorted(map(tuple, migrations.run_batches(batches, runs).select("restore", "batch").collect())) == sorted(
+        map(tuple, plain.select("restore", "batch").collect()))
 
 
 @pytest.mark.parametrize("error, line", [

@@ -44,6 +44,12 @@ def test_log_lines_are_limited_before_the_shuffle(spark):
     assert executed(log_tail_lines(lines)).count("WindowGroupLimit") == 2
 
 
+def test_a_migration_audit_deals_each_table_once(spark, sf_dir, no_broadcast):
+    plan = executed(all_queries()["migration_newest_batch"](spark, sf_dir))
+    initial = plan.split("== Initial Plan ==")[-1]
+    assert initial.count("FileScan parquet") == 2 and initial.count("Exchange hashpartitioning") == 2
+
+
 def test_a_hot_restore_is_split(spark, no_broadcast):
     """A third of all batches on one restore: its join runs in several tasks."""
     configure(spark)
