@@ -1,6 +1,8 @@
 """URL rules and mixing on small tables; the registered queries are held against SQL."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from freshet.llm import mixing, urlfilter
 from freshet.llm.cases import URL_RULES
 
@@ -41,6 +43,24 @@ def test_many_rules_and_a_full_filter(spark, monkeypatch):
     assert found == {1: ("h1.org/", "block"), 2: (None, "allow"), None: ("h7.org/", "block")}
 
 
+def test_only_possible_hits_reach_the_exact_join(spark):
+    many = spark.createDataFrame([(f"h{i}.org", f"/{'p' * (i % 5)}/", "block") for i in range(4000)], "host string, path string, verdict string")
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(
+        F.lit("a://www.h"), F.col("id") * 2, F.lit(".org/"), F.repeat(F.lit("p"), (F.col("id") % 4).cast("int")), F.lit("/q")).alias("url"))
+    rows = urlfilter.probed(pages.select(
+        "page_id", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path")), many)
+    held = {(r.host, r.path) for r in many.collect()}
+    keys = hits = 0
+    for r in rows.collect():
+        mine = {(h, r.path[:n]) for h in (r.host, r.host[4:], "org") for n in (2, 3, 4, 5, 6) if n <= len(r.path)}
+        possible = {tuple(k) for k in r["_possible"]}
+        assert mine & held <= possible <= mine
+        keys, hits = keys + len(mine - held), hits + len(possible - held)
+    assert hits < 0.02 * keys
+    plan = urlfilter.judge_urls(pages, many)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "a://x.com/")], "page_id long, url string")
     assert urlfilter.judge_urls(pages, rules(spark).limit(0)).collect()[0]["verdict"] == "allow"
