@@ -7,7 +7,10 @@ regular expression, and so matches nothing.
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column, functions as F
 
@@ -75,6 +78,40 @@ def glob_regex(pattern: str) -> str | None:
     return None if depth else r"(?s)\A" + "".join(out) + r"\z"
 
 
+def glob_start(pattern: str) -> str:
+    """The literal text that whatever matches a glob begins with; empty if there is none."""
+    out = []
+    for token in _TOKEN.finditer(pattern):
+        kind, text = token.lastgroup, token.group()
+        if kind not in ("escaped", "plain", "comma"):
+            break
+        out.append(token["escaped"] if kind == "escaped" else text)
+    return "".join(out)
+
+
+def any_of(words: Iterable[str]) -> str | None:
+    """A regular expression for any of the given words, the longest at each place; None for no word.
+
+    Beginnings that words share are written once, so it takes one step per character and not
+    one per word.
+    """
+    words = sorted({word for word in words if word})
+    return "(?:" + "|".join(_branches(words)) + ")" if words else None
+
+
+def _branches(words: list[str]) -> list[str]:
+    """One alternative for each first character of sorted, distinct words."""
+    out = []
+    for _, found in groupby(words, key=lambda word: word[0]):
+        group = list(found)
+        start = os.path.commonprefix([group[0], group[-1]])
+        rest = [word[len(start):] for word in group if len(word) > len(start)]
+        tail = "(?:" + "|".join(_branches(rest)) + ")" if rest else ""
+        optional = "?" if rest and len(group[0]) == len(start) else ""
+        out.append("".join(map(_literal, start)) + tail + optional)
+    return out
+
+
 def glob_match(value: Column, pattern: str | None) -> Column:
     """Whether a column matches a glob; no pattern at all matches everything."""
     if pattern is None:

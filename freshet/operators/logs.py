@@ -8,12 +8,12 @@ can be in the tail ever leaves a task.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import head_bytes, tail_bytes, trimmed
+from ..functions.globs import any_of
 
 # Fixed values.
 REDACTED = "[redacted]"
@@ -53,18 +53,18 @@ def encoded_forms(secret: str) -> list[str]:
 
 
 def redact(log: Column, secrets: Sequence[str] | None, last_bytes: int | None = None) -> Column:
-    """A whole log, plain, with every secret blotted out; longer secrets go first.
+    """A whole log, plain, with every secret blotted out in one pass, however many there are.
 
-    ``last_bytes`` keeps only the end of it, cut after masking, so that no part of a
-    secret is left over. Secrets that could not be read (None) withhold the log altogether.
+    Of secrets that begin at one place the longest is taken; of two that overlap, the one
+    further left. ``last_bytes`` keeps only the end of it, cut after masking, so that no part
+    of a secret is left over. Secrets that could not be read (None) withhold the log altogether.
     """
     if secrets is None:
         return F.lit(None).cast("string")
-    forms = {form for secret in secrets if secret for form in encoded_forms(secret)}
-    plain = reduce(
-        lambda text, form: F.replace(text, F.lit(form), F.lit(REDACTED)),
-        sorted(forms, key=lambda form: (-len(form), form)), F.regexp_replace(log, ANSI, ""),
-    )
+    found = any_of(form for secret in secrets if secret for form in encoded_forms(secret))
+    plain = F.regexp_replace(log, ANSI, "")
+    if found is not None:
+        plain = F.regexp_replace(plain, found, REDACTED)
     return plain if last_bytes is None else tail_bytes(plain, last_bytes)
 
 

@@ -1,6 +1,7 @@
 """Migration results, error lines and job logs."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -155,3 +156,31 @@ def test_secrets_are_masked_in_every_form(spark):
     assert redacted(spark, long, ["k@y.1"]) == "é" * 40_000 + "[redacted]" + "x" * 65_534  # no part is left at any cut
     end = spark.createDataFrame([(long,)], "t string").select(logs.redact(F.col("t"), ["k@y.1"], last_bytes=65_536)).first()[0]
     assert end == "d]" + "x" * 65_534
+
+
+def one_by_one(text, secrets):
+    """Secrets replaced one after the other, the longest first."""
+    forms = {form for secret in secrets if secret for form in logs.encoded_forms(secret)}
+    for form in sorted(forms, key=lambda form: (-len(form), form)):
+        text = text.replace(form, logs.REDACTED)
+    return text
+
+
+@pytest.mark.parametrize("secrets", [
+    ["ab", "abc", "abcd", "ba"], ["a.c", "a|c", "(a)", "a\\Q"], ["é", "éé", "\U0001F511"], ["x y", "x+y", "x\ny", "$1"], ["A", "%41"], []])
+def test_secrets_in_one_pass(spark, secrets):
+    text = "abcd abc ab ba | a.c abc a|c (a) a\\Q | ééé \U0001F511 | x y x+y x%20y x%2By x\ny $1 | A %41 B"
+    assert redacted(spark, text, secrets) == one_by_one(text, secrets)
+
+
+def test_the_secret_further_left_is_blotted(spark):
+    assert redacted(spark, "xabcdx", ["ab", "bcd"]) == "x[redacted]cdx"
+
+
+def test_ten_thousand_secrets(spark):
+    secrets = [hashlib.sha256(str(i).encode()).hexdigest()[:20] + "/" + str(i) for i in range(10_000)]
+    text = " ".join(s for i, s in enumerate(secrets) if i % 100 == 0) + " kept " + secrets[7][:-2]
+    expected = " ".join([logs.REDACTED] * 100) + " kept " + secrets[7][:-2]
+    df = spark.range(50).select(F.lit(text).alias("t"))
+    out = df.select(logs.redact(F.col("t"), secrets).alias("t")).distinct().collect()
+    assert [r.t for r in out] == [expected]
