@@ -173,6 +173,31 @@ SELECT replica, repository, id FROM snaps JOIN names USING (repository)
 WHERE tags->>'$.lang' = 'en' OR tags->>'$."tag:lang"' = 'en'"""
 
 
+# A filter for each page: its repository, a tag most have, and the beginning of its host.
+MANY_FILTERS = """
+SELECT 'p' || CAST(page_id AS string) AS replica, 'r' || CAST(page_id % 20 AS string) AS repository,
+  left(split_part(split_part(url, '//', 2), '/', 1), 9) AS host_start FROM {pages}"""
+
+
+def snapshot_matches_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many filters as listings, filed under the beginnings of hosts; how many of them each snapshot meets."""
+    specs = derive(spark, sf_dir, MANY_FILTERS).select(
+        "*", F.expr("map('env', 'prod')").alias("required"),
+        F.concat(F.lit(r"(?s)\A"), F.replace("host_start", F.lit("."), F.lit(r"\.")), F.lit(r".*\z")).alias("host_re"),
+        *(F.lit(None).cast("string").alias(c) for c in ("description_re", "path_re")))
+    matched = match_filter_table(_snapshots(spark, sf_dir), specs)
+    return matched.groupBy("repository", "id").agg(F.count("*").alias("replicas"), F.min("replica").alias("first_replica"))
+
+
+QUERIES["snapshot_matches_many"] = snapshot_matches_many
+ORACLES["snapshot_matches_many"] = f"""
+WITH {SNAPSHOTS_SQL}, filters AS ({plain(MANY_FILTERS)})
+SELECT repository, id, count(*) AS replicas, min(replica) AS first_replica
+FROM snaps JOIN filters USING (repository)
+WHERE starts_with(host, host_start) AND (tags->>'$.env' = 'prod' OR tags->>'$."tag:env"' = 'prod')
+GROUP BY repository, id"""
+
+
 def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = match_filters(_snapshots(spark, sf_dir), FILTERS)
     best = latest_snapshot(matched, ["replica", "repository"], ["page_id", "position"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -9,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import GIB, SYSTEM_DATABASES, quantity_bytes, unix_path
-from ..functions.globs import glob_regex
+from ..functions.globs import glob_regex, glob_start
 from ..session import local_frame
 
 _MATCHES_NOTHING = r"(?!)"
@@ -42,23 +43,96 @@ def match_filters(snapshots: DataFrame, specs: Sequence[SnapshotFilter]) -> Data
 
 
 def filter_table(spark: SparkSession, specs: Sequence[SnapshotFilter]) -> DataFrame:
-    """Filters as rows, their globs as regular expressions."""
+    """Filters as rows, their globs as regular expressions, filed as :func:`file_filters` does."""
     def regex(pattern: str | None) -> str | None:
         return None if pattern is None else glob_regex(pattern) or _MATCHES_NOTHING
 
-    rows = [
-        (s.replica, s.repository, dict(s.tags or {}), regex(s.host), regex(s.description), regex(s.path))
-        for s in specs
-    ]
+    def places(s: SnapshotFilter) -> list[tuple[str, int, str]]:
+        starts = {kind: glob_start(getattr(s, kind) or "") for kind in _TEXTS}
+        sizes = {kind: max(n for n in _SIZES if n <= len(start)) for kind, start in starts.items() if start}
+        return [("tag", 0, f"tag\0{k}\0{v}") for k, v in (s.tags or {}).items()] + [
+            (kind, n, f"{kind}\0{n}\0{starts[kind][:n]}") for kind, n in sizes.items()]
+
+    sharing = Counter((s.repository, place[2]) for s in specs for place in places(s))
+    rows = []
+    for s in specs:
+        best = min(places(s), key=lambda p, s=s: (sharing[s.repository, p[2]], -len(p[2]), p[2]), default=("", 0, ""))
+        rows.append((s.replica, s.repository, dict(s.tags or {}), *(regex(getattr(s, kind)) for kind in _TEXTS), *best))
     return local_frame(
         spark, rows,
         "replica string, repository string, required map<string,string>,"
-        " host_re string, description_re string, path_re string",
+        " host_re string, description_re string, path_re string, _kind string, _size int, _token string",
     )
 
 
+#: Lengths of beginnings by which filters are filed.
+_SIZES = [1 << i for i in range(13)]
+
+_TEXTS = ("host", "description", "path")
+
+
+def _token(kind: Column, *parts: Column) -> Column:
+    return F.concat_ws("\0", kind, *parts)
+
+
+def file_filters(specs: DataFrame) -> DataFrame:
+    """Filters with ``_kind``, ``_size`` and ``_token``: the one thing a snapshot must have to meet each.
+
+    A filter could stand under any of its required tags, or the beginning of a text. It goes
+    under what fewest other filters of its repository ask for, or, asking for nothing of the
+    kind, under the empty token, which every snapshot has.
+    """
+    def place(kind: str, size: Column, token: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), size.alias("size"), token.alias("token"))
+
+    tags = F.transform(F.map_entries("required"), lambda e: place("tag", F.lit(0), _token(F.lit("tag"), e["key"], e["value"])))
+    starts = []
+    for kind in _TEXTS:
+        if f"{kind}_start" in specs.columns:
+            start = F.col(f"{kind}_start")
+            size = F.array_max(F.array(*(F.when(F.char_length(start) >= n, n) for n in _SIZES)))
+            starts.append(place(kind, size, _token(F.lit(kind), size.cast("string"), F.left(start, size))))
+    asked = F.array_distinct(F.filter(
+        F.concat(F.coalesce(tags, F.array()), F.array(*starts)) if starts else F.coalesce(tags, F.array()),
+        lambda p: p["size"].isNotNull()))
+    numbered = specs.withColumn("_filter", F.monotonically_increasing_id())
+    places = numbered.select("*", F.explode_outer(asked).alias("_place"))
+    sharing = places.where(F.col("_place").isNotNull()).groupBy("repository", F.col("_place.token").alias("_token")).agg(
+        F.count("*").alias("_sharing"))
+    counted = places.withColumn("_token", F.col("_place.token")).join(sharing, ["repository", "_token"], "left")
+    best = F.min_by("_place", F.struct("_sharing", -F.char_length("_token"), "_token"))
+    chosen = counted.groupBy("_filter").agg(
+        best.alias("_place"), *(F.first(c).alias(c) for c in specs.columns))
+    return chosen.select(
+        *specs.columns, F.coalesce("_place.kind", F.lit("")).alias("_kind"),
+        F.coalesce("_place.size", F.lit(0)).alias("_size"), F.coalesce("_place.token", F.lit("")).alias("_token"))
+
+
+def _tokens(asked: str) -> Column:
+    """What a snapshot has of the kinds of things that filters of its repository are filed under."""
+    tags = F.array_distinct(F.flatten(F.transform(F.map_entries("tags"), lambda e: F.filter(F.array(
+        _token(F.lit("tag"), e["key"], e["value"]),
+        F.when(e["key"].startswith("tag:"), _token(F.lit("tag"), F.substring(e["key"], 5, 1 << 30), e["value"])),
+    ), lambda t: t.isNotNull()))))
+
+    def start(ask: Column) -> Column:
+        text = (F.when(ask["_kind"] == "host", F.col("host")).when(ask["_kind"] == "description", F.col("description"))
+                .when(ask["_kind"] == "path", unix_path(F.col("path"))))
+        token = _token(ask["_kind"], ask["_size"].cast("string"), F.left(text, ask["_size"]))
+        return F.when(F.char_length(text) >= ask["_size"], F.array(token))
+
+    return F.flatten(F.filter(F.transform(F.col(asked), lambda ask: F.when(ask["_kind"] == "", F.array(F.lit("")))
+                                          .when(ask["_kind"] == "tag", tags).otherwise(start(ask))), lambda t: t.isNotNull()))
+
+
 def match_filter_table(snapshots: DataFrame, specs: DataFrame) -> DataFrame:
-    """The same for filters in a table, joined on the repository, so no snapshot meets a foreign filter."""
+    """The same for filters in a table.
+
+    A snapshot meets only those filters of its repository that are filed under something it
+    has, and under one thing each, so a repository with very many filters does not pair all
+    with all. ``host_start``, ``description_start`` and ``path_start`` are optional: literal
+    texts that what the regular expression matches begins with.
+    """
     def passes(value: Column, regex: str) -> Column:
         return F.col(regex).isNull() | F.regexp_like(value, F.col(regex))
 
@@ -68,8 +142,11 @@ def match_filter_table(snapshots: DataFrame, specs: DataFrame) -> DataFrame:
         lambda e: F.coalesce(F.try_element_at(tags, e["key"]) == e["value"], F.lit(False))
         | F.coalesce(F.try_element_at(tags, F.concat(F.lit("tag:"), e["key"])) == e["value"], F.lit(False)),
     )
+    filed = specs if "_token" in specs.columns else file_filters(specs)
+    asked = filed.groupBy("repository").agg(F.collect_set(F.struct("_kind", "_size")).alias("_asked"))
+    met = snapshots.join(asked, "repository").select(*snapshots.columns, F.explode(_tokens("_asked")).alias("_token"))
     return (
-        snapshots.join(specs, "repository")
+        met.join(filed, ["repository", "_token"])
         .where(
             required
             & passes(F.col("host"), "host_re")

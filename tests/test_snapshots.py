@@ -1,12 +1,15 @@
 """Listings, filters and the choice of a snapshot."""
 
+import fnmatch
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions.expressions import quantity_bytes, slug, unix_path
-from freshet.functions.globs import glob_match
+from freshet.functions.globs import glob_match, glob_start
 from freshet.operators.snapshots import (
-    SnapshotFilter, application_database, latest_snapshot, match_filters,
+    SnapshotFilter, application_database, file_filters, filter_table, latest_snapshot, match_filter_table, match_filters,
     named_snapshot, not_covered, storage_plan,
 )
 from freshet.sources.listing import parse_listings, read_listings
@@ -27,6 +30,12 @@ def test_globs(spark, pattern, value, matches):
     assert spark.range(1).select(glob_match(F.lit(value), pattern)).first()[0] is matches
 
 
+@pytest.mark.parametrize("pattern, start", [
+    ("ab*", "ab"), ("a?b", "a"), ("*a", ""), ("", ""), ("\\*x[ab]", "*x"), ("a,b{c,d}", "a,b"), ("whole", "whole"), ("a[", "a"), ("a\\", "a")])
+def test_what_a_glob_begins_with(pattern, start):
+    assert glob_start(pattern) == start
+
+
 @pytest.mark.parametrize("path, unix", [
     ("E:\\Nightly", "/E/Nightly"), ("c:\\a\\b\\c d", "/c/a/b/c d"), ("E:/Nightly", "/E/Nightly"),
     ("/srv/pg", "/srv/pg"), ("pg/main", "pg/main"), ("é:\\x", "é:/x"), ("", ""),
@@ -103,6 +112,77 @@ def test_any_number_of_filters_gives_the_same_rows(spark, count):
     assert [r.host for r in matched.collect()] == ["a.example"] * count
 
 
+def plain_matches(snapshots, filters):
+    """Every filter against every snapshot, one by one."""
+    def globbed(pattern, value):
+        return pattern is None or fnmatch.fnmatchcase(value, pattern)
+
+    return sorted(
+        (f.replica, s["id"]) for f in filters for s in snapshots
+        if f.repository == s["repository"] and globbed(f.host, s["host"]) and globbed(f.description, s["description"])
+        and globbed(f.path, s["path"])
+        and all(s["tags"].get(k) == v or s["tags"].get("tag:" + k) == v for k, v in (f.tags or {}).items()))
+
+
+def test_filed_filters_meet_all_they_match(spark):
+    draw = random.Random(5)
+
+    def text(letters, most):
+        return "".join(draw.choice(letters) for _ in range(draw.randrange(most + 1)))
+
+    def tags():
+        return {draw.choice(["env", "tag:env", "tag:tag:env", "x"]): draw.choice(["1", "2"]) for _ in range(draw.randrange(3))}
+
+    snapshots = [{"repository": draw.choice("rs"), "id": str(i), "host": text("ab", 6), "description": text("ab", 3),
+                  "path": "/" + text("ab/", 4), "tags": tags()} for i in range(150)]
+    filters = [SnapshotFilter(f"f{i}", draw.choice("rst"), tags=draw.choice([None, tags()]),
+                              **{kind: draw.choice([None, None, text("ab*?", 6)]) for kind in ("host", "description")},
+                              path=draw.choice([None, "/" + text("ab*", 3)])) for i in range(400)]
+    filters += filters[:3]  # repeated filters stay repeated
+    df = spark.createDataFrame(
+        [tuple(s.values()) for s in snapshots],
+        "repository string, id string, host string, description string, path string, tags map<string,string>")
+    got = match_filters(df, filters)
+    assert got.columns == ["replica", *df.columns]
+    rows = sorted((r.replica, r.id) for r in got.collect())
+    assert rows == plain_matches(snapshots, filters) and len(rows) > 1000
+
+    # The same filters in a table, with and without the texts that globs begin with.
+    filed = filter_table(spark, filters)
+    starts = spark.createDataFrame(
+        [(f.replica, *(None if g is None else glob_start(g) for g in (f.host, f.description, f.path))) for f in filters],
+        "replica string, host_start string, description_start string, path_start string").distinct()
+    table = filed.drop("_kind", "_size", "_token")
+    for specs in (table, table.join(starts, "replica")):
+        assert sorted((r.replica, r.id) for r in match_filter_table(df, specs).collect()) == rows
+    again = file_filters(table.join(starts, "replica")).select("replica", "_kind", "_size", "_token")
+    assert sorted(again.collect()) == sorted(filed.select(*again.columns).collect())
+
+
+def test_many_filters_of_one_repository_are_not_paired_with_all_snapshots(spark):
+    """Ten thousand filters, all of one tag: each snapshot meets those of its host's beginning alone."""
+    filters = [SnapshotFilter(f"f{i}", "r", tags={"env": "prod"}, host=f"{i:05d}-*") for i in range(10_000)]
+    df = spark.range(20_000).selectExpr(
+        "'r' AS repository", "id", "lpad(id % 10000, 5, '0') || '-x' AS host", "'' AS description", "'/' AS path",
+        "map('env', 'prod') AS tags")
+    matched = match_filters(df, filters)
+    filed = filter_table(spark, filters)
+    assert {r["_kind"] for r in filed.select("_kind").distinct().collect()} == {"host"}
+    most = filed.groupBy("_token").count().agg(F.max("count")).first()[0]
+    assert most == 10  # of four characters, the longest length that is filed: 20,000 x 10 pairs, not 20,000 x 10,000
+    assert matched.count() == 20_000
+
+
+def test_filters_of_nothing_and_odd_rows(spark, snapshots):
+    assert match_filters(snapshots, []).count() == 0
+    odd = spark.createDataFrame(
+        [("r1", None, None, None, None, None), (None, "h", "d", "/p", {}, 1)],
+        "repository string, host string, description string, path string, tags map<string,string>, _asked int")
+    names = ["all", "host", "tag"]
+    specs = [SnapshotFilter("all", "r1"), SnapshotFilter("host", "r1", host="*"), SnapshotFilter("tag", "r1", tags={"a": "b"})]
+    assert [r.replica for r in match_filters(odd.drop("_asked"), specs).collect()] == names[:1]
+
+
 def test_latest(spark, snapshots):
     matched = match_filters(snapshots, FILTERS)
     by_text = {r.replica: r.id for r in latest_snapshot(matched).collect()}
