@@ -9,7 +9,7 @@ from freshet.operators.logs import log_tail_lines
 from freshet.session import configure
 
 ROWWISE = [
-    "masked_lineitem", "mask_text", "mask_string", "row_scrub", "log_tail", "log_redact", "listing_parse",
+    "masked_lineitem", "mask_text", "mask_string", "row_scrub", "log_tail", "log_redact", "log_redact_many", "listing_parse",
     "storage_plan", "migration_timings", "migration_error_line", "build_grades", "access_users",
 ]
 BATCH = sorted(n for n in all_queries() if not n.endswith("_stream"))
