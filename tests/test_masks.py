@@ -3,9 +3,13 @@
 import datetime as dt
 import json
 
+import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.cases.registry import all_oracles, all_queries
 from freshet.functions.masks import parse_range, register_mask
 from freshet.operators.audit import Expect, audit_passed, mask_audit, replay_audit
 from freshet.operators.scrub import scrub_rows
@@ -305,3 +309,12 @@ def test_audits_take_maps_nulls_and_empty_tables(spark):
         assert not audit_passed(replay_audit(df, df.limit(0), keys)) and not audit_passed(replay_audit(df.limit(0), df, keys))
         other = df.withColumn("m", F.create_map(F.lit("a"), F.lit(2)))
         assert "m" in changed(replay_audit(df, other, keys))
+
+
+def test_wide_ids_do_not_break_the_narrow_columns(spark, tmp_path):
+    """Ids of a larger table go beyond a smallint and an integer."""
+    ids = [0, 32767, 32768, 90_000, 2**31 - 1, 2**31, 2**40 + 5]
+    pq.write_table(pa.table({"event_id": range(len(ids)), "user_id": ids}), tmp_path / "events.parquet")
+    masked = all_queries()["mask_integer"](spark, str(tmp_path))
+    assert dict(masked.dtypes)["signed"] == "smallint" and masked.count() == len(ids)
+    assert oracle.compare(masked, oracle.connect(tmp_path), all_oracles()["mask_integer"]) is None
