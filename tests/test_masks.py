@@ -233,6 +233,16 @@ def test_audit_finds_what_went_wrong(spark, people):
     assert (report["email"].unpaired_before, report["email"].unpaired_after) == (1, 0)
 
 
+def test_audit_says_how_many_values_may_be_kept(spark, people):
+    expected = {"email": Expect(pattern="@"), "kept": None}
+    report = {r["column"]: r for r in mask_audit(people, people, ["id"], expected).collect()}
+    assert report["email"].kept_values == 29 and report["email"].kept_allowed == 5
+    assert not audit_passed(mask_audit(people, people, ["id"], expected))  # the originals fit every pattern
+    zeros = people.withColumn("stride", F.lit(0))
+    assert audit_passed(mask_audit(zeros, zeros, ["id"], {"stride": Expect(kept_share=1.0)}))
+    assert "AS kept_allowed" in all_oracles()["mask_audit"]
+
+
 def test_values_a_decimal_cannot_hold_are_refused(spark, people):
     narrow = people.select("id", "kept", F.lit(1).cast("decimal(4,2)").alias("fee"))
     for mask in ("money", {"kind": "float", "range": "0-99.6"}, {"kind": "integer", "range": "0-100"}):
