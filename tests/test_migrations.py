@@ -37,6 +37,21 @@ def test_timings_are_cut_off_one_by_one(spark):
     assert result(spark, None).elapsed_seconds == 0
 
 
+ODD_STATS = [
+    ('{"durationMsPerMigration": {"1-a": 9000, "1-a": 3000}}', [9, 0]), ("{'durationMsPerMigration': {'2-b': 2000}}", [0, 2]),
+    ('{"durationMsPerMigration": {"1-a": 7000}} more', [7, 0]), ('{"durationMsPerMigration": [1]}', [0, 0]), ("[]", [0, 0]), ("{", [0, 0]),
+]
+
+
+def test_names_of_migrations_do_not_fill_the_shared_table_of_field_names(spark):
+    """Statistics are read as variants; what a variant refuses is read as before."""
+    rows = [("r", i, DAY[1], "up", ["1-a", "2-b"], None, text) for i, (text, _) in enumerate(ODD_STATS)]
+    timed = migrations.migration_timings(spark.createDataFrame(rows, BATCH))
+    assert "parseJson" in timed._jdf.queryExecution().executedPlan().toString()
+    found = {(r.batch, r.position): r.elapsed_seconds for r in timed.collect()}
+    assert [[found[i, 0], found[i, 1]] for i in range(len(rows))] == [seconds for _, seconds in ODD_STATS]
+
+
 @pytest.mark.parametrize("size, before", [
     (1500, 1500), ("1500", 1500), (-1, 2000), ("-1", 2000), ("lots", 2000), (None, 2000), (0, 0), ("", 2000), ({}, 2000)])
 def test_sizes(spark, size, before):
