@@ -52,6 +52,14 @@ def test_names_of_migrations_do_not_fill_the_shared_table_of_field_names(spark):
     assert [[found[i, 0], found[i, 1]] for i in range(len(rows))] == [seconds for _, seconds in ODD_STATS]
 
 
+def test_errors_are_read_from_variants(spark):
+    texts = ['{"error": {"code": "1", "message": 5, "hint": "h"}}', '{"error": {"code": "1", "code": "2"}}', '{"error": 5}', "{'error': {'name': 'n'}}"]
+    rows = [("r", i, DAY[1], "up", [], None, text) for i, text in enumerate(texts)]
+    lines = migrations.error_lines(spark.createDataFrame(rows, BATCH))
+    assert "parseJson" in lines._jdf.queryExecution().executedPlan().toString()
+    assert [r.error for r in sorted(lines.collect(), key=lambda r: r.batch)] == ["1 HINT: h", "1", None, "n"]
+
+
 @pytest.mark.parametrize("size, before", [
     (1500, 1500), ("1500", 1500), (-1, 2000), ("-1", 2000), ("lots", 2000), (None, 2000), (0, 0), ("", 2000), ({}, 2000)])
 def test_sizes(spark, size, before):
