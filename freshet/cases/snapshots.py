@@ -8,7 +8,7 @@ from ..functions.expressions import unix_path
 from ..functions.globs import glob_match
 from ..operators import carry
 from ..operators.snapshots import (
-    SnapshotFilter, application_database, latest_snapshot, match_filter_table,
+    SnapshotFilter, application_database, count_matches, latest_snapshot, match_filter_table,
     match_filters, named_snapshot, not_covered, storage_plan, tags_match,
 )
 from ..session import fresh_path, local_frame
@@ -185,8 +185,7 @@ def snapshot_matches_many(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*", F.expr("map('env', 'prod')").alias("required"),
         F.concat(F.lit(r"(?s)\A"), F.replace("host_start", F.lit("."), F.lit(r"\.")), F.lit(r".*\z")).alias("host_re"),
         *(F.lit(None).cast("string").alias(c) for c in ("description_re", "path_re")))
-    matched = match_filter_table(_snapshots(spark, sf_dir), specs)
-    return matched.groupBy("repository", "id").agg(F.count("*").alias("replicas"), F.min("replica").alias("first_replica"))
+    return count_matches(_snapshots(spark, sf_dir), specs)
 
 
 QUERIES["snapshot_matches_many"] = snapshot_matches_many

@@ -133,6 +133,30 @@ def match_filter_table(snapshots: DataFrame, specs: DataFrame) -> DataFrame:
     with all. ``host_start``, ``description_start`` and ``path_start`` are optional: literal
     texts that what the regular expression matches begins with.
     """
+    return _met(snapshots, specs, ["replica"])
+
+
+def filter_classes(specs: DataFrame) -> DataFrame:
+    """Filters that ask for the same things as one row: how many ``replicas`` and the ``first_replica``."""
+    asked = [c for c in specs.columns if c not in ("replica", "required")]
+    entries = specs.withColumn("_required", F.array_sort(F.map_entries("required")))
+    classes = entries.groupBy(*asked, "_required").agg(
+        F.count("*").alias("replicas"), F.min("replica").alias("first_replica"))
+    return classes.withColumn("required", F.map_from_entries("_required")).drop("_required")
+
+
+def count_matches(snapshots: DataFrame, specs: DataFrame, keys: Sequence[str] = ("repository", "id")) -> DataFrame:
+    """How many replicas each snapshot matches, and the first of them, without a row per pair.
+
+    A snapshot meets each class of equal filters once, so that very many replicas that ask
+    for the same cost no more than one.
+    """
+    matched = _met(snapshots, filter_classes(specs), ["replicas", "first_replica"])
+    return matched.groupBy(*keys).agg(F.sum("replicas").alias("replicas"), F.min("first_replica").alias("first_replica"))
+
+
+def _met(snapshots: DataFrame, specs: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Snapshots beside the ``kept`` columns of the filters they match."""
     def passes(value: Column, regex: str) -> Column:
         return F.col(regex).isNull() | F.regexp_like(value, F.col(regex))
 
@@ -153,7 +177,7 @@ def match_filter_table(snapshots: DataFrame, specs: DataFrame) -> DataFrame:
             & passes(F.col("description"), "description_re")
             & passes(unix_path(F.col("path")), "path_re")
         )
-        .select("replica", *snapshots.columns)
+        .select(*kept, *snapshots.columns)
     )
 
 

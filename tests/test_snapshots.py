@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from freshet.functions.expressions import quantity_bytes, slug, unix_path
 from freshet.functions.globs import glob_match, glob_start
 from freshet.operators.snapshots import (
-    SnapshotFilter, application_database, file_filters, filter_table, latest_snapshot, match_filter_table, match_filters,
+    SnapshotFilter, application_database, count_matches, file_filters, filter_classes, filter_table, latest_snapshot,
+    match_filter_table, match_filters,
     named_snapshot, not_covered, storage_plan,
 )
 from freshet.sources.listing import parse_listings, read_listings
@@ -71,6 +72,20 @@ def test_listings(spark, tmp_path):
     assert read_listings(spark, str(tmp_path)).first().id == "k"
 
 
+def test_equal_filters_are_met_once(spark):
+    """A count of matches makes no row per pair: equal filters are one class."""
+    listing = spark.range(300).selectExpr(
+        "'r' AS repository", "concat('s', id) AS id", "concat('h', id % 3) AS host", "'' AS description", "'/' AS path",
+        "map('env', 'prod', 'n', CAST(id % 2 AS string)) AS tags")
+    specs = spark.range(400).selectExpr(
+        "concat('f', id) AS replica", "'r' AS repository", "IF(id % 4 = 0, map('n', '1', 'env', 'prod'), IF(id % 4 = 1, map('env', 'prod', 'n', '1'), NULL)) AS required",
+        "IF(id % 5 = 0, 'h1', NULL) AS host_re", "CAST(NULL AS string) AS description_re", "CAST(NULL AS string) AS path_re")
+    assert filter_classes(specs).count() == 4
+    pairs = match_filter_table(listing, specs).groupBy("repository", "id").agg(
+        F.count("*").alias("replicas"), F.min("replica").alias("first_replica"))
+    assert sorted(count_matches(listing, specs).collect()) == sorted(pairs.collect())
+
+
 @pytest.fixture(scope="module")
 def snapshots(spark):
     rows = [
