@@ -10,7 +10,7 @@ from ..operators.audit import Expect, replay_audit
 from ..plans.masking import Masking
 from ..plans.refresh import CarrySpec, RefreshSpec, refresh
 from ..session import fresh_path, local_frame
-from ..sources.listing import read_listings
+from ..sources.listing import read_listings, write_listings
 from ..sources.manifest import ManifestSpec, resolve_manifest
 from ..sources.publish import read_current
 from .base import SECRET, derive, draw_sql, plain, table, unit_sql
@@ -213,6 +213,5 @@ def publish_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listings_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings written one to a file and read back as a folder."""
     path = fresh_path(spark, "listings")
-    listed = derive(spark, sf_dir, LISTINGS).select("page_id", F.col("raw").alias("value"))
-    listed.repartition(8, "page_id").write.partitionBy("page_id").text(path)
+    write_listings(derive(spark, sf_dir, LISTINGS), path)
     return read_listings(spark, path).select("id", "description", "host", "start_time", "total_size")

@@ -13,7 +13,7 @@ from freshet.operators.snapshots import (
     match_filter_table, match_filters,
     named_snapshot, not_covered, storage_plan,
 )
-from freshet.sources.listing import parse_listings, read_listings
+from freshet.sources.listing import FOLDERS, parse_listings, read_listings, write_listings
 
 
 @pytest.mark.parametrize("pattern, value, matches", [
@@ -72,6 +72,19 @@ def test_listings(spark, tmp_path):
     assert read_listings(spark, str(tmp_path)).first().id == "k"
 
 
+def test_listings_are_files_in_a_fixed_number_of_folders(spark, tmp_path):
+    count = 4 * FOLDERS
+    texts = spark.range(count, numPartitions=3).selectExpr("concat('log\n[{\"id\":\"k', id, '\"}]') AS raw")
+    write_listings(texts, f"{tmp_path}/listed")
+    assert len(list((tmp_path / "listed").rglob("*.txt"))) == count
+    assert len([p for p in (tmp_path / "listed").iterdir() if p.is_dir()]) <= FOLDERS
+    found = read_listings(spark, f"{tmp_path}/listed")
+    assert {r.id for r in found.collect()} == {f"k{i}" for i in range(count)}
+    assert found.select("repository").distinct().count() == count
+    write_listings(texts.limit(0), f"{tmp_path}/none")
+    assert read_listings(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_equal_filters_are_met_once(spark):
     """A count of matches makes no row per pair: equal filters are one class."""
     listing = spark.range(300).selectExpr(
