@@ -6,10 +6,9 @@ them back in text order and hashes the tuple. Two texts agree in a sketch if the
 minimal k-mers *and* have them in the same order, so the share of agreeing sketches falls
 with moves as well as with replacements.
 
-The order of k-mers is lexical: those that begin with a blank come before all others, and
-within both classes the hash of k-mer and occurrence decides. Where the first class fills
-every sketch, the others cannot be minimal anywhere and are not looked at: the outcome is
-the same, for a fraction of the work on all but short texts.
+Every k-mer of a text counts alike: the hash of k-mer and occurrence alone decides which are
+minimal. All are hashed and numbered, but only hashes so low that the minimal ones are nearly
+always among them are sorted; where a sketch is not filled by these, all are.
 """
 
 from __future__ import annotations
@@ -21,16 +20,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 #: Characters of a k-mer, sketches, and minimal k-mers of a sketch.
 KMER, SKETCHES, TUPLE = 10, 32, 2
 
-#: A numbered k-mer as one long: its sketch, its class, its hash, its place among the k-mers.
-SKETCH_AT, CLASS_AT, PLACE_BITS = 57, 56, 28
+#: A numbered k-mer as one long: its sketch, its hash, what decides between equal hashes, its place among the k-mers.
+SKETCH_AT, HASH_AT, PLACE_BITS = 57, 29, 28
+
+#: Numbered k-mers of a text that are sorted at first, on average.
+SORTED = 12 * SKETCHES
 
 #: Parts of the document order per shuffle partition: parts even out by number.
 PARTS = 4
 
-#: All k-mers of a text, and those that begin with a blank. The first starts nowhere inside
-#: a character that takes two units of the pattern matcher's text.
+#: All k-mers of a text. None starts inside a character that takes two units of the pattern matcher's text.
 ALL = rf"(?s)(?=(.{{{KMER}}}))(?![\\x{{DC00}}-\\x{{DFFF}}])"
-FIRST = rf"(?s)(?=( .{{{KMER - 1}}})) "
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -39,25 +39,44 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _minimal(kmers: str, late: str) -> str:
-    """The minimal numbered k-mers of each sketch, in order of sketches; ``late`` is whether k-mer ``x`` is of the second class."""
+def _minimal(kmers: str, late: str = "") -> str:
+    """The minimal numbered k-mers of each sketch, in order of sketches.
+
+    Of equal hashes those come later that ``late``, a condition on k-mer ``x``, holds for.
+    """
     place_mask = (1 << PLACE_BITS) - 1
-    hashed = ((SKETCHES - 1) << SKETCH_AT) | (((1 << (CLASS_AT - PLACE_BITS)) - 1) << PLACE_BITS)
+    span = 1 << (SKETCH_AT - HASH_AT)
+    hash_mask = (span - 1) << HASH_AT
+    own = ((SKETCHES - 1) << SKETCH_AT) | hash_mask | place_mask
+
+    def decided(x: str) -> str:
+        return f" | shiftleft(cast({late.format(x=f'get({kmers}, cast({x} & {place_mask} as int))')} as bigint), {PLACE_BITS})" if late else ""
 
-    def numbered(at: str, occurrence: str) -> str:
-        x = f"get(s, {at})"
-        kind = f" | shiftleft(cast({late.format(x=f'get({kmers}, cast({x} & {place_mask} as int))')} as bigint), {CLASS_AT})" if late else ""
-        return f"(xxhash64(shiftright({x}, {PLACE_BITS}), {occurrence}) & {hashed}) | ({x} & {place_mask}){kind}"
+    def apart(x: str, before: str) -> str:
+        return f"shiftright({x} ^ {before}, {PLACE_BITS})"
+
+    def single(sorted_hashes: str) -> str:
+        return f"transform(filter({sorted_hashes}, (x, j) -> coalesce({apart('x', f'get({sorted_hashes}, j - 1)')} <> 0, true)), x -> (x & {own}){decided('x')})"
 
     # Equal k-mers lie next to each other once sorted; their places in the run are their numbers.
     hashes = f"sort_array(transform({kmers}, (x, i) -> (xxhash64(x) & {~place_mask}) | i))"
-    starts = f"filter(sequence(0, size(s) - 1), j -> j = 0 OR shiftright(get(s, j), {PLACE_BITS}) <> shiftright(get(s, j - 1), {PLACE_BITS}))"
-    end = "coalesce(get(r, t + 1), size(s)) - 1"
-    single = f"transform(r, f -> {numbered('f', '0')})"
-    runs = f"filter(transform(r, (f, t) -> CASE WHEN {end} > f THEN sequence(f + 1, {end}) END), q -> q IS NOT NULL)"
-    repeats = f"flatten(transform({runs}, q -> transform(q, (j, o) -> {numbered('j', 'o + 1')})))"
-    first = f"filter(m, (x, j) -> j < {TUPLE} OR shiftright(get(m, j - {TUPLE}), {SKETCH_AT}) <> shiftright(x, {SKETCH_AT}))"
-    return _let(hashes, "s", _let(starts, "r", _let(f"sort_array(concat({single}, {repeats}))", "m", first)))
+    again = f"filter(s, (x, j) -> {apart('x', 'get(s, j - 1)')} = 0)"
+    starts = f"filter(sequence(0, size(d) - 1), j -> j = 0 OR {apart('get(d, j)', 'get(d, j - 1)')} <> 0)"
+    run = "sequence(f, coalesce(get(r, t + 1), size(d)) - 1)"
+    number = f"(xxhash64(shiftright(get(d, j), {PLACE_BITS}), o + 1) & {own - place_mask}) | (get(d, j) & {place_mask}){decided('get(d, j)')}"
+    numbered = _let(starts, "r", f"flatten(transform(r, (f, t) -> transform({run}, (j, o) -> {number})))")
+    none = "cast(array() AS array<bigint>)"
+    repeats = _let(again, "d", f"CASE WHEN size(d) = 0 THEN {none} ELSE {numbered} END")
+
+    def first(of_all: str) -> str:
+        return _let(f"sort_array({of_all})", "m", f"filter(m, (x, j) -> j < {TUPLE} OR shiftright(get(m, j - {TUPLE}), {SKETCH_AT}) <> shiftright(x, {SKETCH_AT}))")
+
+    below = f"x -> (x & {hash_mask}) < limit"
+    low = _let(f"shiftleft({SORTED * span} div size(s), {HASH_AT})", "limit", _let(
+        f"filter(s, {below})", "l", first(f"concat({single('l')}, filter(a, {below}))")))
+    tried = f"CASE WHEN size(s) > {SORTED} THEN {low} ELSE {none} END"
+    minimal = _let(tried, "c", f"CASE WHEN size(c) = {SKETCHES * TUPLE} THEN c ELSE {first('concat(' + single('s') + ', a)')} END")
+    return _let(hashes, "s", _let(repeats, "a", minimal))
 
 
 def _sketches(minimal: str, kmers: str) -> str:
@@ -75,14 +94,9 @@ def signature(text: str) -> Column:
     A text shorter than a k-mer is one k-mer; an empty text has no sketches. Sketches that no
     k-mer falls in are left out, which happens to short texts only.
     """
-    full = SKETCHES * TUPLE
     none = "cast(array() AS array<bigint>)"
     every = f"CASE WHEN length({text}) < {KMER} THEN array({text}) ELSE regexp_extract_all({text}, '{ALL}', 1) END"
-    late = "NOT startswith({x}, ' ')"
-    tried = f"CASE WHEN size(p) >= {full} THEN {_minimal('p', '')} ELSE {none} END"
-    whole = _let(every, "k", _sketches(_minimal("k", late), "k"))
-    value = _let(f"regexp_extract_all({text}, '{FIRST}', 1)", "p", _let(
-        tried, "c", f"CASE WHEN size(c) = {full} THEN {_sketches('c', 'p')} ELSE {whole} END"))
+    value = _let(every, "k", _sketches(_minimal("k"), "k"))
     return F.expr(f"CASE WHEN {text} = '' THEN {none} ELSE {value} END")
 
 

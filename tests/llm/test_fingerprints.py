@@ -77,3 +77,24 @@ def test_parts_of_the_order_meet(spark, n):
         at = step[at]
     assert len(pairs) == n and len(seen) == n  # one circle through all
     assert sum(int(a[1:]) // 3 > int(b[1:]) // 3 for a, b in step.items()) == (1 if n > 3 else 0)
+
+
+def test_every_place_of_a_text_counts(spark):
+    """Two texts alike in the nine characters behind each blank, and nowhere else."""
+    def text(seed):
+        rng, same = random.Random(seed), random.Random(1)
+        return " ".join("".join(same.choice("abcdefgh") for _ in range(9)) + "".join(rng.choice("ijklmnop") for _ in range(30)) for _ in range(200))
+
+    rows = spark.createDataFrame([(text(2),), (text(3),)], "text string")
+    a, b = [set(r["s"]) for r in rows.select(fingerprints.signature("text").alias("s")).collect()]
+    assert len(a) == len(b) == fingerprints.SKETCHES and len(a & b) < 0.5 * fingerprints.SKETCHES
+
+
+def test_all_are_sorted_where_the_low_hashes_do_not_fill_the_sketches(spark, monkeypatch):
+    texts = [words(7, 400), "ab" * 3000, words(8, 30) + " x" * 2000, words(9, 5000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {}
+    for few in (fingerprints.SORTED, fingerprints.SKETCHES, 1 << 20):  # as it is, too few, all
+        monkeypatch.setattr(fingerprints, "SORTED", few)
+        found[few] = [r["s"] for r in rows.select(fingerprints.signature("text").alias("s")).collect()]
+    assert len({str(v) for v in found.values()}) == 1 and len(found[1 << 20][0]) == fingerprints.SKETCHES
