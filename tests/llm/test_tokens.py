@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from freshet.llm import packing, tokenfile
+from freshet.llm import packing, tokenfile, tokens
 from freshet.llm.cases import vocabulary
 from freshet.llm.tokens import Encoder
 from tokenizers import Tokenizer
@@ -98,3 +98,13 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(empty, vocabulary("word_bpe_49k.json"), end_id=1).count() == 0
     assert tokenfile.read_tokens(tokenfile.write_tokens(empty, vocabulary("byte_bpe_50k.json"), end_id=0)).count() == 0
+
+
+def test_no_more_pieces_are_kept_than_may_be(monkeypatch):
+    """What is met beyond that is not taken in to be dropped again, which costs a step per piece."""
+    monkeypatch.setattr(tokens, "MAX_KEPT", 10)
+    coder, encode = Encoder(vocabulary("word_bpe_49k.json"), False), plain("word_bpe_49k.json")
+    for _ in range(3):
+        texts = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(4)] + ["y" * 60 + " z"]
+        assert [x.tolist() for x in coder.encode(texts)] == [encode(t) for t in texts]
+        assert len(coder.known) <= 10
