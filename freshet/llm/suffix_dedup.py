@@ -28,8 +28,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -212,11 +212,14 @@ def _sort_runs(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, units = zstandard.ZstdDecompressor(), []
         for batch in batches:
-            for row, packed, found in zip(*[batch.column(c).to_pylist() for c in ("row", "packed", "found")]):
-                text = unpack.decompress(packed)
-                for unit in found:
-                    low, high, anchor = unit["low"], unit["high"], unit["anchor"]
-                    suffix = (unit["gram"] % (1 << 64)).to_bytes(8, "big") + text[anchor:high + length]
+            found = batch.column("found")
+            flat = found.flatten()
+            fields = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "low", "high", "anchor")]
+            ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False)).tolist()
+            for row, packed, a, b in zip(batch.column("row").to_pylist(), batch.column("packed"), [0, *ends[:-1]], ends):
+                text = unpack.decompress(packed.as_py())
+                for gram, low, high, anchor in zip(*[f[a:b].tolist() for f in fields]):
+                    suffix = (gram % (1 << 64)).to_bytes(8, "big") + text[anchor:high + length]
                     units.append((suffix, text[low:anchor], anchor - high, row, anchor))
                 if len(units) >= RUN_UNITS:
                     yield code(units)
@@ -315,9 +318,13 @@ _SPANS = "row long, start long, stop long"
 
 
 def _merge_range(length: int):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def spans(*columns: list[np.ndarray]) -> pa.Table:
+        whole = [pa.array(np.concatenate(c) if c else np.empty(0), pa.int64()) for c in columns]
+        return pa.Table.from_arrays(whole, ["row", "start", "stop"])
+
+    def merge(group: pa.Table) -> pa.Table:
         runs, lefts, firsts, refs = [], [], [], []
-        for heads, tails, left, ref in zip(pdf["heads"], pdf["tails"], pdf["lefts"], pdf["refs"]):
+        for heads, tails, left, ref in zip(*[(x.as_py() for x in group.column(c)) for c in ("heads", "tails", "lefts", "refs")]):
             head, strings, last, at = np.frombuffer(heads, _HEAD), [], b"", 0
             for prefix, tail in zip(head["prefix"].tolist(), head["tail"].tolist()):
                 last = last[:prefix] + tails[at:at + tail]
@@ -330,7 +337,7 @@ def _merge_range(length: int):
             refs.append(np.split(np.frombuffer(ref, "<i8").reshape(-1, 2), np.cumsum(head["refs"], dtype=np.int64)[:-1]))
         order, prefix = merge_runs(runs)
         if not order:
-            return pd.DataFrame({"row": [], "start": [], "stop": []}, dtype="int64")
+            return spans([], [], [])
         prefix = np.array(prefix) - 8  # the hash in front is no part of the text
         rows, starts, stops = [], [], []
         borders = np.flatnonzero(prefix < GRAM)  # no window is shared across
@@ -356,9 +363,7 @@ def _merge_range(length: int):
             rows.append(at[:, 0])
             starts.append(at[:, 1] - end[each])
             stops.append(at[:, 1] - begin[each] + length)
-        if not rows:
-            return pd.DataFrame({"row": [], "start": [], "stop": []}, dtype="int64")
-        return pd.DataFrame({"row": np.concatenate(rows), "start": np.concatenate(starts), "stop": np.concatenate(stops)})
+        return spans(rows, starts, stops)
     return merge
 
 
@@ -431,7 +436,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     parts = max(1, -(-partly.count() // RANGE_UNITS))
     wanted = partly.groupBy("row").agg(F.collect_list(F.struct("gram", "low", "high", "anchor")).alias("found"))  # a text's own units
     runs = units.select("row", "packed").join(wanted, "row").select("row", "packed", "found").mapInArrow(_sort_runs(length, parts), _RUNS)
-    spans = runs.groupBy("part").applyInPandas(_merge_range(length), _SPANS)
+    spans = runs.groupBy("part").applyInArrow(_merge_range(length), _SPANS)
     whole = shared.where("same").select("row", F.col("low").cast("long").alias("start"), (F.col("high") + F.lit(length)).cast("long").alias("stop"))
     spans = spans.unionByName(whole).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     marked = units.select("row", "rest", "bytes", "sha256", "packed").join(spans, "row", "left")

@@ -1,6 +1,9 @@
 """Near duplicates and repeated passages against brute force."""
 
+import os
 import random
+import subprocess
+import sys
 
 import brute
 import pytest
@@ -132,3 +135,11 @@ def test_loser_tree_merges_and_knows_prefixes():
 @pytest.mark.parametrize("run", [minhash_dedup.near_duplicates, minhash_dedup.drop_near_duplicates, suffix_dedup.remove_repeats])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_workers_of_suffix_dedup_load_no_pandas(spark):
+    """It takes some 45 MB of each worker, and nothing here needs it."""
+    code = "import sys, freshet.llm.suffix_dedup; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).returncode == 0
+    plan = suffix_dedup.remove_repeats(frame(spark, ["ab " * 200, "ab " * 200]))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "InPandas" not in plan
