@@ -16,10 +16,13 @@ of the corpus. Four passes find all of them:
    merged order's common prefixes say which units agree from the anchor on for how long; a
    window that starts before the anchor is then repeated if a unit of its class has the same
    bytes to the left.
+   A gram of more units than ranges are made for is not merged: its windows meet by digests,
+   equal ones of a run folded to one.
 4. The windows found are taken off the texts as spans of bytes.
 
-Suffixes are ordered by the hash of their first gram and then by their bytes, so ranges are
-even without sampling and a gram stays in one range. Texts cross a shuffle compressed.
+Suffixes are ordered by the hash of their first gram, mixed again, and then by their bytes, so
+ranges are even without sampling and a gram stays in one range. (Anchors are the least of many
+hashes: unmixed, most of them lie in the first few ranges.) Texts cross a shuffle compressed.
 """
 
 from __future__ import annotations
@@ -48,6 +51,10 @@ PLACE = np.uint64((1 << 20) - 1)
 #: Units a task sorts into one run, and units a range is meant to hold.
 RUN_UNITS, RANGE_UNITS = 50_000, 20_000
 
+#: Units from which on a gram's windows meet by digests, and windows of such grams that are
+#: folded at once, and that meet in one range.
+HOT_UNITS, RUN_WINDOWS, RANGE_WINDOWS = 50_000, 100_000, 500_000
+
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -175,10 +182,44 @@ def _common(a: bytes, b: bytes, at: int) -> int:
 
 _RUNS = "part int, heads binary, tails binary, lefts binary, refs binary"
 _HEAD = np.dtype([("prefix", "<u2"), ("tail", "<u2"), ("left", "<u2"), ("first", "<u2"), ("refs", "<u4")])
+_DIGEST = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _runs_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(c), t) for c, t in zip(
+        list(zip(*rows)) or [()] * 5, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))],
+        names=["part", "heads", "tails", "lefts", "refs"])
+
 
+def _equal(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal digests lie side by side, and by it which are the first of equals, and which have equals."""
+    order = np.lexsort((digests["b"], digests["a"]))
+    first = np.ones(len(order), bool)
+    first[1:] = digests[order][1:] != digests[order][:-1]
+    alone = first.copy()
+    alone[:-1] &= first[1:]
+    return order, first, ~alone
 
-def _sort_runs(length: int, parts: int):
-    """Sort the suffixes of a task's units into runs and front-code them by range."""
+
+def _fold_windows(digests: list[bytes], refs: list[tuple[int, int]], parts: int, hot_parts: int) -> pa.RecordBatch:
+    """Windows of one run by range, behind the first ``parts``.
+
+    ``heads`` are the distinct digests, ``refs`` a row and a start for each. Windows that meet
+    an equal one here are repeated and go as they are, in ``tails``, to ranges by their rows.
+    """
+    found, at = np.frombuffer(b"".join(digests), _DIGEST), np.array(refs, "<i8").reshape(-1, 2)
+    order, first, many = _equal(found)
+    first, known = order[first], at[order[many]]
+    place, known_place = found["a"][first] % np.uint64(hot_parts), known[:, 0] % hot_parts
+    rows = []
+    for i in np.union1d(place, known_place.astype(np.uint64)).tolist():
+        here = first[place == i]
+        rows.append((parts + i, found[here].tobytes(), known[known_place == i].tobytes(), b"", at[here].tobytes()))
+    return _runs_batch(rows)
+
+
+def _sort_runs(length: int, parts: int, hot_parts: int = 1):
+    """Sort the suffixes of a task's units into runs and front-code them by range; fold the windows of hot grams."""
     width = -(-(1 << 64) // parts)
 
     def code(units: list[tuple]) -> pa.RecordBatch:
@@ -205,26 +246,34 @@ def _sort_runs(length: int, parts: int):
                 last, previous = suffix, (suffix, left, first)
             refs.append((row, anchor))
         close()
-        return pa.record_batch([pa.array(list(c), t) for c, t in zip(
-            list(zip(*rows)) or [()] * 5, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))],
-            names=["part", "heads", "tails", "lefts", "refs"])
+        return _runs_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, units = zstandard.ZstdDecompressor(), []
+        unpack, units, digests, refs = zstandard.ZstdDecompressor(), [], [], []
         for batch in batches:
             found = batch.column("found")
             flat = found.flatten()
-            fields = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "low", "high", "anchor")]
+            fields = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "low", "high", "anchor", "hot")]
+            fields[0] = _mix(fields[0].view(np.uint64))
             ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False)).tolist()
             for row, packed, a, b in zip(batch.column("row").to_pylist(), batch.column("packed"), [0, *ends[:-1]], ends):
                 text = unpack.decompress(packed.as_py())
-                for gram, low, high, anchor in zip(*[f[a:b].tolist() for f in fields]):
-                    suffix = (gram % (1 << 64)).to_bytes(8, "big") + text[anchor:high + length]
-                    units.append((suffix, text[low:anchor], anchor - high, row, anchor))
+                for gram, low, high, anchor, hot in zip(*[f[a:b].tolist() for f in fields]):
+                    if hot:
+                        digests.extend(hashlib.blake2b(text[i:i + length], digest_size=_DIGEST.itemsize).digest() for i in range(low, high + 1))
+                        refs.extend((row, i) for i in range(low, high + 1))
+                    else:
+                        suffix = gram.to_bytes(8, "big") + text[anchor:high + length]
+                        units.append((suffix, text[low:anchor], anchor - high, row, anchor))
                 if len(units) >= RUN_UNITS:
                     yield code(units)
                     units = []
+                if len(digests) >= RUN_WINDOWS:
+                    yield _fold_windows(digests, refs, parts, hot_parts)
+                    digests, refs = [], []
         yield code(units)
+        if digests:
+            yield _fold_windows(digests, refs, parts, hot_parts)
     return run
 
 
@@ -317,12 +366,21 @@ def _repeated(prefix: np.ndarray, lefts: list[bytes], first: np.ndarray, many: n
 _SPANS = "row long, start long, stop long"
 
 
-def _merge_range(length: int):
+def _merge_range(length: int, parts: int):
     def spans(*columns: list[np.ndarray]) -> pa.Table:
         whole = [pa.array(np.concatenate(c) if c else np.empty(0), pa.int64()) for c in columns]
         return pa.Table.from_arrays(whole, ["row", "start", "stop"])
 
+    def meet(group: pa.Table) -> pa.Table:
+        heads, tails, refs = (b"".join(x.as_py() for x in group.column(c)) for c in ("heads", "tails", "refs"))
+        order, _, many = _equal(np.frombuffer(heads, _DIGEST))
+        found = np.frombuffer(refs, "<i8").reshape(-1, 2)[order[many]]
+        found = np.concatenate([found, np.frombuffer(tails, "<i8").reshape(-1, 2)])
+        return spans([found[:, 0]], [found[:, 1]], [found[:, 1] + length])
+
     def merge(group: pa.Table) -> pa.Table:
+        if group.column("part")[0].as_py() >= parts:
+            return meet(group)
         runs, lefts, firsts, refs = [], [], [], []
         for heads, tails, left, ref in zip(*[(x.as_py() for x in group.column(c)) for c in ("heads", "tails", "lefts", "refs")]):
             head, strings, last, at = np.frombuffer(heads, _HEAD), [], b"", 0
@@ -409,8 +467,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     where it is long enough. An empty table gives an empty one.
 
     Unit strings and bytes to the left of an anchor are compared by 64-bit hashes, bytes from
-    the anchor on as they are. Units that share a gram and nothing else meet in one range;
-    equal ones are folded in each run before they are sent.
+    the anchor on as they are. Units that share a gram and nothing else meet in one range, unless
+    there are more than HOT_UNITS: then their windows meet one by one, by 128-bit digests. Equal
+    units, or windows, are folded in each run before they are sent.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -426,17 +485,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     counts = grams.groupBy(F.col("grams").alias("gram")).agg(
         F.count("*").alias("n"), F.min("spans").alias("least"), F.max("spans").alias("most"))
     # Written, so that the join shuffles both sides and Spark can split a gram that is everywhere.
-    repeated = stored(counts.where("n > 1").select("gram", (F.col("least") == F.col("most")).alias("same")), "suffix-grams")
+    same = F.col("least") == F.col("most")
+    repeated = stored(counts.where("n > 1").select("gram", same.alias("same"), (~same & (F.col("n") > HOT_UNITS)).alias("hot")), "suffix-grams")
     places = units.select("row", F.explode(F.arrays_zip("grams", "lows", "highs", "anchors")).alias("u")).select(
         "row", F.col("u.grams").alias("gram"), F.col("u.lows").alias("low"), F.col("u.highs").alias("high"), F.col("u.anchors").alias("anchor")
     )
     shared = stored(places.join(repeated, "gram"), "suffix-shared")
 
     partly = shared.where(~F.col("same"))
-    parts = max(1, -(-partly.count() // RANGE_UNITS))
-    wanted = partly.groupBy("row").agg(F.collect_list(F.struct("gram", "low", "high", "anchor")).alias("found"))  # a text's own units
-    runs = units.select("row", "packed").join(wanted, "row").select("row", "packed", "found").mapInArrow(_sort_runs(length, parts), _RUNS)
-    spans = runs.groupBy("part").applyInArrow(_merge_range(length), _SPANS)
+    held = partly.agg(F.count_if(~F.col("hot")).alias("units"), F.sum(F.when(F.col("hot"), F.col("high") - F.col("low") + 1)).alias("windows")).first()
+    parts, hot_parts = max(1, -(-held["units"] // RANGE_UNITS)), max(1, -(-(held["windows"] or 0) // RANGE_WINDOWS))
+    wanted = partly.groupBy("row").agg(F.collect_list(F.struct("gram", "low", "high", "anchor", "hot")).alias("found"))  # a text's own units
+    runs = units.select("row", "packed").join(wanted, "row").select("row", "packed", "found").mapInArrow(_sort_runs(length, parts, hot_parts), _RUNS)
+    spans = runs.groupBy("part").applyInArrow(_merge_range(length, parts), _SPANS)
     whole = shared.where("same").select("row", F.col("low").cast("long").alias("start"), (F.col("high") + F.lit(length)).cast("long").alias("stop"))
     spans = spans.unionByName(whole).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     marked = units.select("row", "rest", "bytes", "sha256", "packed").join(spans, "row", "left")

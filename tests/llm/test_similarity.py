@@ -6,7 +6,10 @@ import subprocess
 import sys
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from freshet.llm import minhash_dedup, suffix_dedup
 
 WORDS = [f"w{i}" for i in range(250)]
@@ -115,6 +118,34 @@ def test_bytes_removed_are_those_of_all_strings(spark, monkeypatch, stretch, uni
         assert tuple(r[2:]) == want[r["doc_id"]] and r["label"] == "label"
 
 
+@pytest.mark.parametrize("windows", [100_000, 50])
+def test_hot_grams_meet_window_by_window(spark, monkeypatch, windows):
+    """A footer that ends most texts: one gram, a different unit each; a few texts share more than the footer."""
+    monkeypatch.setattr(suffix_dedup, "HOT_UNITS", 3)
+    monkeypatch.setattr(suffix_dedup, "RUN_WINDOWS", windows)
+    monkeypatch.setattr(suffix_dedup, "RANGE_WINDOWS", 1000)
+    rng = random.Random(8)
+    footer = "".join(rng.choice("abcdefgh") for _ in range(150))
+    texts = passages(4) + ["".join(rng.choice("xyz") for _ in range(rng.randint(40, 90))) + rng.choice("pq") * rng.randint(30, 70) + footer for _ in range(60)]
+    found = suffix_dedup.remove_repeats(frame(spark, texts)).select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = brute.repeats(texts, 200)
+    assert {r["doc_id"]: tuple(r[1:]) for r in found} == dict(enumerate(want))
+    assert sum(w[1] > 0 for w in want[-60:]) > 5
+
+
+def test_ranges_are_even():
+    """An anchor is the least of many hashes; ordered by it, most units lay in the first range."""
+    text = np.random.default_rng(9).integers(0, 256, 100_000).astype(np.uint8)
+    gram, _, low, high, anchor = suffix_dedup.units_of(text, np.array([0, len(text)]), 200)
+    found = [{"gram": g, "low": a, "high": b, "anchor": c, "hot": False} for g, a, b, c in zip(gram.view(np.int64).tolist(), low.tolist(), high.tolist(), anchor.tolist())]
+    batch = pa.RecordBatch.from_pylist([{"row": 0, "packed": zstandard.compress(text.tobytes()), "found": found}])
+    sizes = [0] * 16
+    for run in suffix_dedup._sort_runs(200, 16)(iter([batch])):
+        for row in run.to_pylist():
+            sizes[row["part"]] += len(row["refs"]) // 16
+    assert sum(sizes) == len(found) and max(sizes) < 2 * len(found) / 16
+
+
 def test_kept_text_drops_cut_characters(spark):
     texts = ["é" * 150 + "x", "z" + "é" * 150, None]
     found = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(frame(spark, texts)).select("rest.doc_id", "kept").collect()}
