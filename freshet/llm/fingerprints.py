@@ -14,6 +14,7 @@ always among them are sorted; where a sketch is not filled by these, all are.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -39,10 +40,16 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _minimal(kmers: str, late: str = "") -> str:
+def _hashes(kmers: str, before: str = "0") -> str:
+    """The hashes of k-mers with their places in the low bits, behind so many ``before``. Sorted, equal k-mers lie next to each other."""
+    return f"transform({kmers}, (x, i) -> (xxhash64(x) & {-1 << PLACE_BITS}) | (i + {before}))"
+
+
+def _minimal(kmers: str, late: str = "", hashes: str = "") -> str:
     """The minimal numbered k-mers of each sketch, in order of sketches.
 
     Of equal hashes those come later that ``late``, a condition on k-mer ``x``, holds for.
+    ``hashes`` names a column of the k-mers' sorted hashes, if there is one.
     """
     place_mask = (1 << PLACE_BITS) - 1
     span = 1 << (SKETCH_AT - HASH_AT)
@@ -58,9 +65,10 @@ def _minimal(kmers: str, late: str = "") -> str:
     def single(sorted_hashes: str) -> str:
         return f"transform(filter({sorted_hashes}, (x, j) -> coalesce({apart('x', f'get({sorted_hashes}, j - 1)')} <> 0, true)), x -> (x & {own}){decided('x')})"
 
-    # Equal k-mers lie next to each other once sorted; their places in the run are their numbers.
-    hashes = f"sort_array(transform({kmers}, (x, i) -> (xxhash64(x) & {~place_mask}) | i))"
-    again = f"filter(s, (x, j) -> {apart('x', 'get(s, j - 1)')} = 0)"
+    # Once sorted, places in a run of equal k-mers are their numbers. One pass over all finds those that
+    # may be minimal: low ones, and ones equal to the one before, whose numbers give them other hashes.
+    maybe = f"filter(s, (x, j) -> (x & {hash_mask}) < limit OR {apart('x', 'get(s, j - 1)')} = 0)"
+    again = f"filter(c, (x, j) -> (x & {hash_mask}) >= limit OR {apart('x', 'get(c, j - 1)')} = 0)"
     starts = f"filter(sequence(0, size(d) - 1), j -> j = 0 OR {apart('get(d, j)', 'get(d, j - 1)')} <> 0)"
     run = "sequence(f, coalesce(get(r, t + 1), size(d)) - 1)"
     number = f"(xxhash64(shiftright(get(d, j), {PLACE_BITS}), o + 1) & {own - place_mask}) | (get(d, j) & {place_mask}){decided('get(d, j)')}"
@@ -72,11 +80,12 @@ def _minimal(kmers: str, late: str = "") -> str:
         return _let(f"sort_array({of_all})", "m", f"filter(m, (x, j) -> j < {TUPLE} OR shiftright(get(m, j - {TUPLE}), {SKETCH_AT}) <> shiftright(x, {SKETCH_AT}))")
 
     below = f"x -> (x & {hash_mask}) < limit"
-    low = _let(f"shiftleft({SORTED * span} div size(s), {HASH_AT})", "limit", _let(
-        f"filter(s, {below})", "l", first(f"concat({single('l')}, filter(a, {below}))")))
+    low = _let(f"filter(c, {below})", "l", first(f"concat({single('l')}, filter(a, {below}))"))
     tried = f"CASE WHEN size(s) > {SORTED} THEN {low} ELSE {none} END"
-    minimal = _let(tried, "c", f"CASE WHEN size(c) = {SKETCHES * TUPLE} THEN c ELSE {first('concat(' + single('s') + ', a)')} END")
-    return _let(hashes, "s", _let(repeats, "a", minimal))
+    minimal = _let(tried, "z", f"CASE WHEN size(z) = {SKETCHES * TUPLE} THEN z ELSE {first('concat(' + single('s') + ', a)')} END")
+    limit = f"CASE WHEN size(s) > {SORTED} THEN shiftleft({SORTED * span} div size(s), {HASH_AT}) ELSE {span << HASH_AT} END"
+    value = _let(limit, "limit", _let(maybe, "c", _let(repeats, "a", minimal)))
+    return _let(hashes or f"sort_array({_hashes(kmers)})", "s", value)
 
 
 def _sketches(minimal: str, kmers: str) -> str:
@@ -88,6 +97,10 @@ def _sketches(minimal: str, kmers: str) -> str:
     return _let(minimal, "v", _let(starts, "w", f"transform(w, (f, t) -> shiftleft(shiftright(get(v, f), {SKETCH_AT}), 32) | ({tuples} & 4294967295))"))
 
 
+def _every(text: str) -> str:
+    return f"CASE WHEN length({text}) < {KMER} THEN array({text}) ELSE regexp_extract_all({text}, '{ALL}', 1) END"
+
+
 def signature(text: str) -> Column:
     """The sketches of a text column: longs of a sketch's number above 32 bits of its tuple's hash.
 
@@ -95,11 +108,38 @@ def signature(text: str) -> Column:
     k-mer falls in are left out, which happens to short texts only.
     """
     none = "cast(array() AS array<bigint>)"
-    every = f"CASE WHEN length({text}) < {KMER} THEN array({text}) ELSE regexp_extract_all({text}, '{ALL}', 1) END"
-    value = _let(every, "k", _sketches(_minimal("k"), "k"))
+    value = _let(_every(text), "k", _sketches(_minimal("k"), "k"))
     return F.expr(f"CASE WHEN {text} = '' THEN {none} ELSE {value} END")
 
 
+def _signature_of(text: str, kmers: str, hashes: str) -> Column:
+    """:func:`signature` by columns of the text's k-mers and their sorted hashes."""
+    value = _sketches(_minimal(kmers, hashes=hashes), kmers)
+    return F.expr(f"CASE WHEN size({hashes}) = 0 OR {text} = '' THEN cast(array() AS array<bigint>) ELSE {value} END")
+
+
+def with_signatures(rows: DataFrame) -> DataFrame:
+    """Rows of (text, edited, kept, ...) with ``sketches`` and ``edited_sketches``, less the two texts.
+
+    The first ``kept`` characters of the edited text are the text's own, and so are its k-mers there and their
+    hashes. K-mers and hashes are columns of inner selects, each used more than once, so that Spark keeps them
+    apart and sorts longs in generated code; in a lambda they are sorted as objects.
+    """
+    others = [c for c in rows.columns if c not in ("text", "edited", "kept")]
+    own = F.greatest(F.col("kept") - (KMER - 1), F.lit(0)).alias("_own")  # k-mers of the text that stay
+    rows = rows.select(*others, "text", "edited", own, F.expr(_every("text")).alias("_kmers"))
+    rows = rows.withColumn("_end", F.expr("substring(edited, _own + 1)"))
+    end = f"CASE WHEN _own > 0 AND length(_end) < {KMER} THEN cast(array() AS array<string>) ELSE {_every('_end')} END"
+    rows = rows.select(*others, "text", "edited", "_own", "_kmers", F.expr(_hashes("_kmers")).alias("_hashes"), F.expr(end).alias("_end"))
+    joined = "sort_array(concat(slice(_hashes, 1, _own), {}))".format(_hashes("_end", "_own"))
+    rows = rows.select(
+        *others, "text", "edited", "_kmers", F.expr("sort_array(_hashes)").alias("_sorted"),
+        F.expr("concat(slice(_kmers, 1, _own), _end)").alias("_edited_kmers"), F.expr(joined).alias("_edited_sorted"))
+    return rows.select(
+        *others, _signature_of("text", "_kmers", "_sorted").alias("sketches"),
+        _signature_of("edited", "_edited_kmers", "_edited_sorted").alias("edited_sketches"))
+
+
 def as_text(sketches: Column) -> Column:
     """A signature in hex, ten digits a sketch."""
     return F.array_join(F.transform(sketches, lambda x: F.lpad(F.hex(x), 10, "0")), "")
@@ -135,9 +175,12 @@ def _part(rows: DataFrame, parts: int) -> Column:
     return F.coalesce(F.when(upto > before, before + 1 + F.least(own, upto - before - 1)).otherwise(upto), F.lit(0)).cast("int")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], shape: Callable[[DataFrame], DataFrame] | None = None, shaped: Sequence[str] = ()) -> DataFrame:
     """Rows of (doc_id, text, ...) beside ``next_`` columns of the next row, ascending by id; the last meets the first.
 
+    ``shape`` computes more columns from these, and may drop them; those of its columns named by
+    ``shaped`` also go beside the row before, without another shuffle.
+
     Null ids come first, equal ones follow each other by a hash of the text. Rows are dealt
     to parts of the order, and the first row of each part also goes to the part before it as
     a guest: one shuffle, and no part waits for another. The list of first rows, a few numbers
@@ -157,7 +200,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     sent = keyed.join(F.broadcast(firsts), same, "left").select("doc_id", "tie", *columns, F.explode(stays).alias("stay")).select("*", "stay.*")
     follow = W.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
     ahead = [F.lead(c).over(follow).alias(f"next_{c}") for c in columns]
-    return sent.select("doc_id", *columns, "guest", *ahead).where(~F.col("guest")).drop("guest")
+    met = sent.select("doc_id", "part", "tie", "guest", *columns, *ahead)
+    if shape:
+        met = shape(met)
+        met = met.select("*", *[F.lead(c).over(follow).alias(f"next_{c}") for c in shaped])
+    return met.where(~F.col("guest")).drop("guest", "part", "tie")
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -171,14 +218,18 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     character. An empty table gives an empty one. Only doc_id and text are read.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(rows.withColumn("sketches", signature("text")), ["text", "sketches"])
-    size = F.length("text").cast("long")
-    quarter = F.floor(size / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (size - quarter).cast("int")), F.substring("next_text", F.lit(1), quarter))
-    rows = pairs.select("doc_id", size.alias("n_chars"), "sketches", "next_sketches", edited.alias("edited"))
-    rows = rows.select("*", signature("edited").alias("edited_sketches"))
+
+    def shape(pairs: DataFrame) -> DataFrame:
+        size = F.length("text")
+        quarter = F.floor(size / 4).cast("int")
+        sized = pairs.select("*", size.cast("long").alias("n_chars"), (size - quarter).alias("kept"))
+        edited = F.concat(F.substring("text", F.lit(1), F.col("kept")), F.substring("next_text", F.lit(1), quarter))
+        edits = sized.select("doc_id", "part", "tie", "guest", "n_chars", "kept", "text", edited.alias("edited"))
+        return with_signatures(edits.withColumn("edited_sha256", F.sha2("edited", 256)))
+
+    rows = with_next(rows, ["text"], shape, ["sketches"])
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketches")).alias("fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketches")).alias("fingerprint"),
         as_text(F.col("edited_sketches")).alias("edited_fingerprint"), likeness(F.col("sketches"), F.col("edited_sketches")).alias("near_edited"),
         likeness(F.col("sketches"), F.col("next_sketches")).alias("near_next"),
     )

@@ -90,6 +90,19 @@ def test_every_place_of_a_text_counts(spark):
     assert len(a) == len(b) == fingerprints.SKETCHES and len(a & b) < 0.5 * fingerprints.SKETCHES
 
 
+def test_edited_texts_share_the_k_mers_they_keep(spark):
+    """Every fingerprint is that of its text by itself, and hashes are sorted outside of lambdas."""
+    texts = [words(20, n) for n in (1, 2, 3, 60, 400, 3000)] + ["", "abc", "abcdefghij", "a" * 13, "é" * 39 + "😀x" * 20, "ab" * 700, "", "z"]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    result = fingerprints.document_fingerprints(docs)
+    edited = [t[:len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][:len(t) // 4] for i, t in enumerate(texts)]
+    alone = spark.createDataFrame(list(zip(texts, edited)), "text string, edited string")
+    want = alone.select(*[fingerprints.as_text(fingerprints.signature(c)) for c in ("text", "edited")]).collect()
+    assert [tuple(r) for r in want] == [(r["fingerprint"], r["edited_fingerprint"]) for r in sorted(result.collect())]
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text") == 1 and "regexp_extract_all(edited" not in plan and "sort_array(_hashes" in plan
+
+
 def test_all_are_sorted_where_the_low_hashes_do_not_fill_the_sketches(spark, monkeypatch):
     texts = [words(7, 400), "ab" * 3000, words(8, 30) + " x" * 2000, words(9, 5000)]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
