@@ -56,6 +56,8 @@ class Encoder:
         self.starts = np.zeros(1 << 12, np.int64)  # of a piece's ids, by number; one more than pieces
         self.pieces = 0
         self.opens = self._opening() if keeps_space else None
+        self.between = None if keeps_space or self.whole else self._separator()
+        self.closes = self._closing() if self.between else None
 
     def _opening(self) -> np.ndarray:
         """By id, whether a token begins with a space."""
@@ -64,17 +66,55 @@ class Encoder:
             opens[i] = token[:1] in "\u0120\u2581 "
         return opens
 
+    def _closing(self) -> np.ndarray | None:
+        """By id, whether a token ends a word, if the vocabulary marks that."""
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not mark:
+            return None
+        closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            closes[i] = token.endswith(mark)
+        return closes
+
+    def _kind(self, piece: str) -> int:
+        """2 for what can't stand beside others, 0 for letters alone if words' ends are marked, 1 for the rest."""
+        if self.closes is not None and piece.isalpha():
+            return 0
+        return 2 if not piece or piece[0].isspace() or piece[-1].isspace() else 1
+
+    def _separator(self) -> tuple[str, int] | None:
+        """A word that is one token, of the rarest there are, and its id."""
+        for token, i in sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: -x[1]):
+            word = re.match(r"[A-Za-z]*", token).group()  # less the mark of a word's end
+            if word and self.tokenizer.encode(word, add_special_tokens=False).ids == [i]:
+                return word, i
+        return None
+
     def _encoded(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after the other, and how many each has.
 
-        Words behind a space go to the tokenizer as one text: a token that begins with a space
-        begins a word, and none other does.
+        They go to the tokenizer as one text where the ids say where a piece begins. Words behind a
+        space: a token that begins with a space begins a word, and none other does. Letters alone end
+        with a token that is marked so, and where one makes two words there are too many. Others have
+        a separator in between; if it is in a piece too, there are too many of it.
         """
         if space:
             ids = np.array(self.tokenizer.encode_batch_fast([space + space.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
             first = np.flatnonzero(self.opens[ids])
             if len(first) == len(pieces) and first[0] == 0:
                 return ids, np.diff(first, append=len(ids))
+        kind = max(map(self._kind, pieces)) if self.between and len(pieces) > 1 else 2
+        if kind == 0:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+            last = np.flatnonzero(self.closes[ids])
+            if len(last) == len(pieces) and last[-1] == len(ids) - 1:
+                return ids, np.diff(last, prepend=-1)
+        if kind < 2:
+            word, separator = self.between
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {word} ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+            first = np.flatnonzero(ids == separator)
+            if len(first) == len(pieces) - 1:
+                return np.delete(ids, first), np.diff(first, prepend=-1, append=len(ids)) - 1
         found = [e.ids for e in self.tokenizer.encode_batch_fast([space + p for p in pieces], add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], np.int64)
         return np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())), sizes
@@ -86,8 +126,12 @@ class Encoder:
         """
         found = list(map(known.get, pieces))
         new = [i for i, number in enumerate(found) if number is None]
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
+        if self.between:
+            kinds = [self._kind(pieces[i]) for i in new]
+            groups = [[i for i, kind in zip(new, kinds) if kind == k] for k in range(3)]
+        else:
+            groups = [new]
+        for part in (group[at:at + 4096] for group in groups for at in range(0, len(group), 4096)):
             own = [pieces[i] for i in part]
             ids, sizes = self._encoded(own, space)
             ends = self.starts[self.pieces] + np.cumsum(sizes)

@@ -38,6 +38,25 @@ def test_pieces_encode_as_the_whole_text(name, spaces):
         assert ids.tolist() == encode(text), text
 
 
+def test_pieces_go_to_the_tokenizer_together():
+    """One text for thousands of pieces; those that make several words, or hold the separator, still get their own ids."""
+    coder, handed = Encoder(vocabulary("word_bpe_49k.json"), False), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.append(len(texts))
+            return own.encode_batch_fast(texts, **options)
+
+    own, coder.tokenizer = coder.tokenizer, Counting()
+    encode, rng = plain("word_bpe_49k.json"), random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() + rng.choice(["", "", ".", "'s", "1"]) for _ in range(200)) for _ in range(20)]
+    assert [x.tolist() for x in coder.encode(texts)] == [encode(t) for t in texts]
+    assert sum(handed) <= 4 < 1000 < coder.pieces
+    odd = [coder.between[0], f"{coder.between[0]}. x, y", "İx aİ b", "\na b.c\n d\t", "é e\u0301f", "x" * 60 + " y"]
+    assert [x.tolist() for x in coder.encode(odd + texts)] == [encode(t) for t in odd + texts]
+
+
 def test_files_hold_all_ids_in_order(spark):
     encode = plain("byte_bpe_50k.json")
     manifest = tokenfile.write_tokens(frame(spark, TEXTS), vocabulary("byte_bpe_50k.json"), end_id=0)
