@@ -8,16 +8,17 @@ of the corpus. Four passes find all of them:
    of the bytes. Equal windows have equal anchors, so windows of an anchor gram that is
    unique in the corpus are unique, and nothing of them goes further.
 2. Where all units of a gram are the same string, each of their windows is repeated.
-3. What is left are units that agree in part. Each task sorts the suffixes that start at
-   their anchors into a run, with the common prefix of each with the one before, folds equal
-   ones, and sends the run front-coded: only what follows the common prefix. A range is
+3. What is left are units that agree in part. Each task folds units of one string, which are
+   repeated and whose spans are known with that, and sorts the suffixes that start at the others'
+   and one of each string's anchors into a run, with the common prefix of each with the one
+   before. The run goes out front-coded: only what follows the common prefix. A range is
    received as sorted runs and merged by a loser tree that keeps, for each run's head, its
    common prefix with the last suffix put out, and never compares those bytes again. The
    merged order's common prefixes say which units agree from the anchor on for how long; a
    window that starts before the anchor is then repeated if a unit of its class has the same
    bytes to the left.
    A gram of more units than ranges are made for is not merged: its windows meet by digests,
-   equal ones of a run folded to one.
+   equal ones of a run folded to one. Spans leave a run and a range joined, as few a text.
 4. The windows found are taken off the texts as spans of bytes.
 
 Suffixes are ordered by the hash of their first gram, mixed again, and then by their bytes, so
@@ -180,17 +181,11 @@ def _common(a: bytes, b: bytes, at: int) -> int:
     return at
 
 
-_RUNS = "part int, heads binary, tails binary, lefts binary, refs binary"
-_HEAD = np.dtype([("prefix", "<u2"), ("tail", "<u2"), ("left", "<u2"), ("first", "<u2"), ("refs", "<u4")])
+_RUNS = "part int, heads binary, tails binary, lefts binary, refs binary, known binary"
+_HEAD = np.dtype([("prefix", "<u2"), ("tail", "<u2"), ("left", "<u2"), ("first", "<u2"), ("known", "u1")])
 _DIGEST = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def _runs_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(c), t) for c, t in zip(
-        list(zip(*rows)) or [()] * 5, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))],
-        names=["part", "heads", "tails", "lefts", "refs"])
-
-
 def _equal(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order in which equal digests lie side by side, and by it which are the first of equals, and which have equals."""
     order = np.lexsort((digests["b"], digests["a"]))
@@ -201,55 +196,82 @@ def _equal(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, ~alone
 
 
-def _fold_windows(digests: list[bytes], refs: list[tuple[int, int]], parts: int, hot_parts: int) -> pa.RecordBatch:
-    """Windows of one run by range, behind the first ``parts``.
-
-    ``heads`` are the distinct digests, ``refs`` a row and a start for each. Windows that meet
-    an equal one here are repeated and go as they are, in ``tails``, to ranges by their rows.
-    """
-    found, at = np.frombuffer(b"".join(digests), _DIGEST), np.array(refs, "<i8").reshape(-1, 2)
-    order, first, many = _equal(found)
-    first, known = order[first], at[order[many]]
-    place, known_place = found["a"][first] % np.uint64(hot_parts), known[:, 0] % hot_parts
-    rows = []
-    for i in np.union1d(place, known_place.astype(np.uint64)).tolist():
-        here = first[place == i]
-        rows.append((parts + i, found[here].tobytes(), known[known_place == i].tobytes(), b"", at[here].tobytes()))
-    return _runs_batch(rows)
+def joined_spans(spans: np.ndarray) -> np.ndarray:
+    """Spans of (row, start, stop), ascending, those of a row that overlap or touch as one."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    if not len(spans):
+        return spans
+    row, start, stop = spans.T
+    apart = np.concatenate([[0], np.cumsum(row[1:] != row[:-1])]) << 32  # a text is shorter than that
+    reach = np.maximum.accumulate(stop + apart)
+    first = np.flatnonzero(np.concatenate([[True], (start + apart)[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(row)) - 1
+    return np.stack([row[first], start[first], (reach - apart)[last]], axis=1)
 
 
 def _sort_runs(length: int, parts: int, hot_parts: int = 1):
-    """Sort the suffixes of a task's units into runs and front-code them by range; fold the windows of hot grams."""
+    """Sort the suffixes of a task's units into runs and front-code them by range; fold the windows of hot grams.
+
+    Units of one string are repeated, all of them: one goes on for others to meet it, marked as known, and their
+    spans go along joined, to ranges by their rows. So do windows of hot grams that meet an equal one here. Ranges
+    of windows lie behind the first ``parts``: ``heads`` are the distinct digests, ``refs`` a row and a start for
+    each, the row -1 if the window is known.
+    """
     width = -(-(1 << 64) // parts)
 
-    def code(units: list[tuple]) -> pa.RecordBatch:
-        units.sort(key=lambda u: u[:3])
-        rows, part, last, head, tails, lefts, refs = [], None, b"", [], [], [], []
+    def code(units: dict[tuple, list]) -> pa.RecordBatch:
+        ranges: dict[int, tuple[bytes, ...]] = {}
+        part, last, head, tails, lefts, refs, known = None, b"", [], [], [], [], []
 
         def close():
             if head:
-                rows.append((part, np.array(head, _HEAD).tobytes(), b"".join(tails), b"".join(lefts), np.array(refs, "<i8").tobytes()))
-
-        previous = None
-        for suffix, left, first, row, anchor in units:
+                ranges[part] = (np.array(head, _HEAD).tobytes(), b"".join(tails), b"".join(lefts), np.array(refs, "<i8").tobytes())
+
+        windows, places = [], []
+        for (suffix, left, hot), found in sorted(units.items()):
+            first = length + 8 - len(suffix)  # from the last window's start to the anchor
+            if len(found) > 1:
+                known.extend((row, anchor - len(left), anchor - first + length) for row, anchor in found)
+            row, anchor = found[0]
+            if hot:
+                text, low = left + suffix[8:], anchor - len(left)
+                count = len(text) - length + 1
+                windows.extend(hashlib.blake2b(text[i:i + length], digest_size=_DIGEST.itemsize).digest() for i in range(count))
+                places.extend((row if len(found) == 1 else -1, low + i) for i in range(count))
+                continue
             place = int.from_bytes(suffix[:8], "big") // width
             if place != part:
                 close()
-                part, last, head, tails, lefts, refs, previous = place, b"", [], [], [], [], None
-            if previous == (suffix, left, first):
-                head[-1] = (*head[-1][:4], head[-1][4] + 1)
-            else:
-                prefix = _common(last, suffix, 0)
-                head.append((prefix, len(suffix) - prefix, len(left), first, 1))
-                tails.append(suffix[prefix:])
-                lefts.append(left)
-                last, previous = suffix, (suffix, left, first)
+                part, last, head, tails, lefts, refs = place, b"", [], [], [], []
+            prefix = _common(last, suffix, 0)
+            head.append((prefix, len(suffix) - prefix, len(left), first, len(found) > 1))
+            tails.append(suffix[prefix:])
+            lefts.append(left)
             refs.append((row, anchor))
+            last = suffix
         close()
-        return _runs_batch(rows)
+        met = np.array(known, "<i8").reshape(-1, 3)
+        if windows:
+            digests, at = np.frombuffer(b"".join(windows), _DIGEST), np.array(places, "<i8").reshape(-1, 2)
+            order, first, many = _equal(digests)
+            same = at[order[many]]
+            same = same[same[:, 0] >= 0]
+            met = np.concatenate([met, np.column_stack([same, same[:, 1] + length])])
+            at[order[many], 0] = -1
+            order = order[first]
+            place = digests["a"][order] % np.uint64(hot_parts)
+            for i in np.unique(place).tolist():
+                here = order[place == i]
+                ranges[parts + i] = (digests[here].tobytes(), b"", b"", at[here].tobytes())
+        met = joined_spans(met)
+        place = met[:, 0] % (parts + hot_parts)
+        spans = {i: met[place == i].tobytes() for i in np.unique(place).tolist()}
+        rows = [(i, *ranges.get(i, (b"",) * 4), spans.get(i, b"")) for i in sorted(ranges.keys() | spans.keys())]
+        return pa.record_batch([pa.array(list(c), t) for c, t in zip(
+            list(zip(*rows)) or [()] * 6, (pa.int32(), *[pa.binary()] * 5))], names=["part", "heads", "tails", "lefts", "refs", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, units, digests, refs = zstandard.ZstdDecompressor(), [], [], []
+        unpack, units, held, windows = zstandard.ZstdDecompressor(), {}, 0, 0
         for batch in batches:
             found = batch.column("found")
             flat = found.flatten()
@@ -259,21 +281,14 @@ def _sort_runs(length: int, parts: int, hot_parts: int = 1):
             for row, packed, a, b in zip(batch.column("row").to_pylist(), batch.column("packed"), [0, *ends[:-1]], ends):
                 text = unpack.decompress(packed.as_py())
                 for gram, low, high, anchor, hot in zip(*[f[a:b].tolist() for f in fields]):
-                    if hot:
-                        digests.extend(hashlib.blake2b(text[i:i + length], digest_size=_DIGEST.itemsize).digest() for i in range(low, high + 1))
-                        refs.extend((row, i) for i in range(low, high + 1))
-                    else:
-                        suffix = gram.to_bytes(8, "big") + text[anchor:high + length]
-                        units.append((suffix, text[low:anchor], anchor - high, row, anchor))
-                if len(units) >= RUN_UNITS:
+                    same = units.setdefault((gram.to_bytes(8, "big") + text[anchor:high + length], text[low:anchor], hot), [])
+                    windows += hot and not same and high - low + 1
+                    same.append((row, anchor))
+                held += b - a
+                if held >= RUN_UNITS or windows >= RUN_WINDOWS:
                     yield code(units)
-                    units = []
-                if len(digests) >= RUN_WINDOWS:
-                    yield _fold_windows(digests, refs, parts, hot_parts)
-                    digests, refs = [], []
+                    units, held, windows = {}, 0, 0
         yield code(units)
-        if digests:
-            yield _fold_windows(digests, refs, parts, hot_parts)
     return run
 
 
@@ -332,7 +347,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
     return order, prefixes
 
 
-def _repeated(prefix: np.ndarray, lefts: list[bytes], first: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
+def _repeated(prefix: np.ndarray, lefts: list[bytes], first: np.ndarray, length: int) -> np.ndarray:
     """Per unit and distance of a window's start before the anchor, whether it is repeated.
 
     ``prefix`` has the bytes from the anchor on that a unit shares with the one before in
@@ -343,7 +358,7 @@ def _repeated(prefix: np.ndarray, lefts: list[bytes], first: np.ndarray, many: n
     sizes = np.array([len(x) for x in lefts])
     reach = np.arange(most)
     valid = (reach >= first[:, None]) & (reach <= sizes[:, None])
-    found = valid & many[:, None]
+    found = np.zeros_like(valid)
     left = np.zeros(n, np.uint64)
     flat = np.frombuffer(b"".join(lefts) + b"\0", np.uint8)
     ends = np.cumsum(sizes)
@@ -367,22 +382,15 @@ _SPANS = "row long, start long, stop long"
 
 
 def _merge_range(length: int, parts: int):
-    def spans(*columns: list[np.ndarray]) -> pa.Table:
-        whole = [pa.array(np.concatenate(c) if c else np.empty(0), pa.int64()) for c in columns]
-        return pa.Table.from_arrays(whole, ["row", "start", "stop"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        heads, tails, refs = (b"".join(x.as_py() for x in group.column(c)) for c in ("heads", "tails", "refs"))
+    def meet(heads: bytes, refs: bytes) -> np.ndarray:
         order, _, many = _equal(np.frombuffer(heads, _DIGEST))
         found = np.frombuffer(refs, "<i8").reshape(-1, 2)[order[many]]
-        found = np.concatenate([found, np.frombuffer(tails, "<i8").reshape(-1, 2)])
-        return spans([found[:, 0]], [found[:, 1]], [found[:, 1] + length])
+        found = found[found[:, 0] >= 0]
+        return np.column_stack([found, found[:, 1] + length])
 
-    def merge(group: pa.Table) -> pa.Table:
-        if group.column("part")[0].as_py() >= parts:
-            return meet(group)
-        runs, lefts, firsts, refs = [], [], [], []
-        for heads, tails, left, ref in zip(*[(x.as_py() for x in group.column(c)) for c in ("heads", "tails", "lefts", "refs")]):
+    def sorted_runs(columns: list[list[bytes]]) -> list[np.ndarray]:
+        runs, lefts, firsts, known, refs = [], [], [], [], []
+        for heads, tails, left, ref in zip(*columns):
             head, strings, last, at = np.frombuffer(heads, _HEAD), [], b"", 0
             for prefix, tail in zip(head["prefix"].tolist(), head["tail"].tolist()):
                 last = last[:prefix] + tails[at:at + tail]
@@ -392,12 +400,13 @@ def _merge_range(length: int, parts: int):
             cuts = np.concatenate([[0], np.cumsum(head["left"], dtype=np.int64)]).tolist()
             lefts.append([left[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
             firsts.append(head["first"])
-            refs.append(np.split(np.frombuffer(ref, "<i8").reshape(-1, 2), np.cumsum(head["refs"], dtype=np.int64)[:-1]))
+            known.append(head["known"])
+            refs.append(np.frombuffer(ref, "<i8").reshape(-1, 2))
         order, prefix = merge_runs(runs)
         if not order:
-            return spans([], [], [])
+            return []
         prefix = np.array(prefix) - 8  # the hash in front is no part of the text
-        rows, starts, stops = [], [], []
+        spans = []
         borders = np.flatnonzero(prefix < GRAM)  # no window is shared across
         cuts = [0]
         for border in borders[1:].tolist():
@@ -405,23 +414,25 @@ def _merge_range(length: int, parts: int):
                 cuts.append(border)
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             part = order[a:b]
-            ref = [refs[r][i] for r, i in part]
-            found = _repeated(
-                prefix[a:b], [lefts[r][i] for r, i in part], np.array([firsts[r][i] for r, i in part], np.int64),
-                np.array([len(x) > 1 for x in ref]), length,
-            )
+            found = _repeated(prefix[a:b], [lefts[r][i] for r, i in part], np.array([firsts[r][i] for r, i in part], np.int64), length)
+            found[np.array([known[r][i] for r, i in part], bool)] = False  # their spans are there
             step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             unit, begin = np.nonzero(step == 1)
             end = np.nonzero(step == -1)[1] - 1
-            count = np.array([len(x) for x in ref])
-            each = np.repeat(np.arange(len(unit)), count[unit])
-            if not len(each):
-                continue
-            at = np.concatenate([ref[u] for u in unit.tolist()])
-            rows.append(at[:, 0])
-            starts.append(at[:, 1] - end[each])
-            stops.append(at[:, 1] - begin[each] + length)
-        return spans(rows, starts, stops)
+            if len(unit):
+                at = np.array([refs[r][i] for r, i in part])[unit]
+                spans.append(np.column_stack([at[:, 0], at[:, 1] - end, at[:, 1] - begin + length]))
+        return spans
+
+    def merge(group: pa.Table) -> pa.Table:
+        """The spans found in a range, and those that came along, joined."""
+        *columns, known = [[x.as_py() for x in group.column(c)] for c in ("heads", "tails", "lefts", "refs", "known")]
+        spans = [np.frombuffer(b"".join(known), "<i8").reshape(-1, 3)]
+        if group.column("part")[0].as_py() >= parts:
+            spans.append(meet(b"".join(columns[0]), b"".join(columns[3])))
+        else:
+            spans.extend(sorted_runs(columns))
+        return pa.Table.from_arrays([pa.array(c) for c in joined_spans(np.concatenate(spans)).T.copy()], ["row", "start", "stop"])
     return merge
 
 

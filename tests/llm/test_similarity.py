@@ -8,6 +8,7 @@ import sys
 import brute
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import zstandard
 from freshet.llm import minhash_dedup, suffix_dedup
@@ -146,6 +147,30 @@ def test_ranges_are_even():
     assert sum(sizes) == len(found) and max(sizes) < 2 * len(found) / 16
 
 
+@pytest.mark.parametrize("hot", [True, False])
+@pytest.mark.parametrize("units", [50_000, 40])
+def test_spans_of_a_text_leave_a_range_joined(monkeypatch, hot, units):
+    """A passage that ends all texts, behind one of three beginnings: before, a span a window left the merge, or one a unit."""
+    monkeypatch.setattr(suffix_dedup, "RUN_UNITS", units)
+    rng = random.Random(3)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(900))
+    texts = [bytes([rng.choice(b"xyz")]) * 90 + passage for _ in range(200)] + [b"w" * 90 + passage]
+    batches = []
+    for row, text in enumerate(texts):
+        gram, _, low, high, anchor = suffix_dedup.units_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 200)
+        found = [{"gram": g, "low": a, "high": b, "anchor": c, "hot": hot} for g, a, b, c in zip(gram.view(np.int64).tolist(), low.tolist(), high.tolist(), anchor.tolist())]
+        batches.append(pa.RecordBatch.from_pylist([{"row": row, "packed": zstandard.compress(text), "found": found}]))
+    runs = pa.Table.from_batches(suffix_dedup._sort_runs(200, 2, 2)(iter(batches)))
+    spans = []
+    for part in set(runs.column("part").to_pylist()):
+        spans += suffix_dedup._merge_range(200, 2)(runs.filter(pc.field("part") == part)).to_pylist()
+    assert len(spans) <= 2 * len(texts)
+    covered = [set() for _ in texts]
+    for s in spans:
+        covered[s["row"]].update(range(s["start"], s["stop"]))
+    assert all(c == set(range(0 if t[:1] != b"w" else 90, len(t))) for c, t in zip(covered, texts))
+
+
 def test_kept_text_drops_cut_characters(spark):
     texts = ["é" * 150 + "x", "z" + "é" * 150, None]
     found = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(frame(spark, texts)).select("rest.doc_id", "kept").collect()}
