@@ -21,8 +21,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 #: Characters of a k-mer, sketches, and minimal k-mers of a sketch.
 KMER, SKETCHES, TUPLE = 10, 32, 2
 
-#: A numbered k-mer as one long: its sketch, its hash, what decides between equal hashes, its place among the k-mers.
-SKETCH_AT, HASH_AT, PLACE_BITS = 57, 29, 28
+#: A k-mer's hash as one long that is never negative: what orders it, one more bit, its sketch; below these its place.
+ORDER_AT, DEAL_AT, PLACE_BITS = 33, 27, 27
+
+#: A numbered k-mer as one long: its sketch, its order, what decides between equal ones, its place among the k-mers.
+SKETCH_AT, HASH_AT = 58, 28
+
+#: The bits of a hash that count: k-mers alike in these 36 are taken as equal.
+HASH_BITS = (1 << 63) - (1 << PLACE_BITS)
 
 #: Numbered k-mers of a text that are sorted at first, on average.
 SORTED = 12 * SKETCHES
@@ -33,6 +39,10 @@ PARTS = 4
 #: All k-mers of a text. None starts inside a character that takes two units of the pattern matcher's text.
 ALL = rf"(?s)(?=(.{{{KMER}}}))(?![\\x{{DC00}}-\\x{{DFFF}}])"
 
+#: K-mers that start in a window, and all windows of a text, each long enough for its k-mers.
+WINDOW = 16
+WINDOWS = f"(?s)(?=(.{{{KMER},{WINDOW + KMER - 1}}})).{{1,{WINDOW}}}"
+
 
 def _let(value: str, name: str, body: str) -> str:
     """``body`` with ``value`` under a name. A lambda's variable is computed once, whatever the
@@ -40,9 +50,21 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _hashes(kmers: str, before: str = "0") -> str:
-    """The hashes of k-mers with their places in the low bits, behind so many ``before``. Sorted, equal k-mers lie next to each other."""
-    return f"transform({kmers}, (x, i) -> (xxhash64(x) & {-1 << PLACE_BITS}) | (i + {before}))"
+def _hashes(kmers: str) -> str:
+    """The hashes of k-mers with their places in the low bits. Sorted, low ones come first and equal k-mers lie next to each other."""
+    return f"transform({kmers}, (x, i) -> (xxhash64(x) & {HASH_BITS}) | i)"
+
+
+def _window_hashes(windows: str, before: str = "0") -> str:
+    """:func:`_hashes` by the text's windows, behind so many k-mers ``before``. Few strings are cut out of the text by pattern."""
+    hashes = [f"(xxhash64(substring(x, {at + 1}, {KMER})) & {HASH_BITS}) | (i * {WINDOW} + {f'{before} + {at}' if before != '0' else at})" for at in range(WINDOW)]
+    last = f"greatest(length(get({windows}, size({windows}) - 1)) - {KMER - 1}, 1)"  # k-mers of the last window; less than all of it are wanted
+    return f"slice(flatten(transform({windows}, (x, i) -> array({', '.join(hashes)}))), 1, greatest((size({windows}) - 1) * {WINDOW} + {last}, 0))"
+
+
+def _in_windows(windows: str, at: str) -> str:
+    """The k-mer at a place of a text, by the text's windows."""
+    return f"substring(get({windows}, cast({at} div {WINDOW} AS int)), cast({at} % {WINDOW} AS int) + 1, {KMER})"
 
 
 def _minimal(kmers: str, late: str = "", hashes: str = "") -> str:
@@ -52,53 +74,62 @@ def _minimal(kmers: str, late: str = "", hashes: str = "") -> str:
     ``hashes`` names a column of the k-mers' sorted hashes, if there is one.
     """
     place_mask = (1 << PLACE_BITS) - 1
-    span = 1 << (SKETCH_AT - HASH_AT)
-    hash_mask = (span - 1) << HASH_AT
-    own = ((SKETCHES - 1) << SKETCH_AT) | hash_mask | place_mask
+    sketch_mask, hash_mask = (SKETCHES - 1) << SKETCH_AT, ((1 << (SKETCH_AT - HASH_AT)) - 1) << HASH_AT
+
+    def same(x: str, before: str) -> str:
+        return f"({x} ^ {before}) <= {place_mask}"
 
     def decided(x: str) -> str:
         return f" | shiftleft(cast({late.format(x=f'get({kmers}, cast({x} & {place_mask} as int))')} as bigint), {PLACE_BITS})" if late else ""
 
-    def apart(x: str, before: str) -> str:
-        return f"shiftright({x} ^ {before}, {PLACE_BITS})"
+    def single(sorted_hashes: str, also: str = "") -> str:
+        return f"filter({sorted_hashes}, (x, j) -> {also}coalesce(NOT {same('x', f'get({sorted_hashes}, j - 1)')}, true))"
+
+    def numbered(x: str, number: str) -> str:
+        return f"(xxhash64(shiftright({x}, {PLACE_BITS}), {number}) & {HASH_BITS}) | ({x} & {place_mask})"
 
-    def single(sorted_hashes: str) -> str:
-        return f"transform(filter({sorted_hashes}, (x, j) -> coalesce({apart('x', f'get({sorted_hashes}, j - 1)')} <> 0, true)), x -> (x & {own}){decided('x')})"
+    def repeated(sorted_hashes: str) -> str:
+        return f"filter({sorted_hashes}, (x, j) -> {same('x', f'get({sorted_hashes}, j - 1)')})"
 
-    # Once sorted, places in a run of equal k-mers are their numbers. One pass over all finds those that
-    # may be minimal: low ones, and ones equal to the one before, whose numbers give them other hashes.
-    maybe = f"filter(s, (x, j) -> (x & {hash_mask}) < limit OR {apart('x', 'get(s, j - 1)')} = 0)"
-    again = f"filter(c, (x, j) -> (x & {hash_mask}) >= limit OR {apart('x', 'get(c, j - 1)')} = 0)"
-    starts = f"filter(sequence(0, size(d) - 1), j -> j = 0 OR {apart('get(d, j)', 'get(d, j - 1)')} <> 0)"
-    run = "sequence(f, coalesce(get(r, t + 1), size(d)) - 1)"
-    number = f"(xxhash64(shiftright(get(d, j), {PLACE_BITS}), o + 1) & {own - place_mask}) | (get(d, j) & {place_mask}){decided('get(d, j)')}"
-    numbered = _let(starts, "r", f"flatten(transform(r, (f, t) -> transform({run}, (j, o) -> {number})))")
+    # Once sorted, places in a run of equal k-mers are their numbers, which give the repeated ones other hashes.
+    # One pass over all finds these. Most are second ones; what is repeated among them again is numbered run by run.
     none = "cast(array() AS array<bigint>)"
-    repeats = _let(again, "d", f"CASE WHEN size(d) = 0 THEN {none} ELSE {numbered} END")
+    seconds = f"transform({single('d')}, x -> {numbered('x', '1')})"
+    starts = f"filter(sequence(0, size(e) - 1), j -> coalesce(NOT {same('get(e, j)', 'get(e, j - 1)')}, true))"
+    run = "sequence(f, coalesce(get(r, t + 1), size(e)) - 1)"
+    runs = _let(starts, "r", f"flatten(transform(r, (f, t) -> transform({run}, (j, o) -> {numbered('get(e, j)', 'o + 2')})))")
+    later = _let(repeated("d"), "e", f"CASE WHEN size(e) = 0 THEN {none} ELSE {runs} END")
+    repeats = _let(repeated("s"), "d", f"CASE WHEN size(d) = 0 THEN {none} ELSE concat({seconds}, {later}) END")
 
     def first(of_all: str) -> str:
-        return _let(f"sort_array({of_all})", "m", f"filter(m, (x, j) -> j < {TUPLE} OR shiftright(get(m, j - {TUPLE}), {SKETCH_AT}) <> shiftright(x, {SKETCH_AT}))")
-
-    below = f"x -> (x & {hash_mask}) < limit"
-    low = _let(f"filter(c, {below})", "l", first(f"concat({single('l')}, filter(a, {below}))"))
-    tried = f"CASE WHEN size(s) > {SORTED} THEN {low} ELSE {none} END"
+        by_sketch = f"x -> (shiftleft(x, {SKETCH_AT - DEAL_AT}) & {sketch_mask}) | (shiftright(x, {ORDER_AT - HASH_AT}) & {hash_mask}) | (x & {place_mask}){decided('x')}"
+        return _let(
+            f"sort_array(transform({of_all}, {by_sketch}))", "m",
+            f"filter(m, (x, j) -> j < {TUPLE} OR (x ^ get(m, j - {TUPLE})) >= {1 << SKETCH_AT})")
+
+    # The first hashes up to the order of the next one, which is left out with all that are as high.
+    limit = f"get(s, {SORTED}) & {-1 << ORDER_AT}"
+    low = _let(f"slice(s, 1, {SORTED})", "l", first(f"concat({single('l', 'x < limit AND ')}, filter(a, x -> x < limit))"))
+    tried = f"CASE WHEN size(s) > {SORTED} THEN {_let(limit, 'limit', low)} ELSE {none} END"
     minimal = _let(tried, "z", f"CASE WHEN size(z) = {SKETCHES * TUPLE} THEN z ELSE {first('concat(' + single('s') + ', a)')} END")
-    limit = f"CASE WHEN size(s) > {SORTED} THEN shiftleft({SORTED * span} div size(s), {HASH_AT}) ELSE {span << HASH_AT} END"
-    value = _let(limit, "limit", _let(maybe, "c", _let(repeats, "a", minimal)))
-    return _let(hashes or f"sort_array({_hashes(kmers)})", "s", value)
+    return _let(hashes or f"sort_array({_hashes(kmers)})", "s", _let(repeats, "a", minimal))
+
 
+def _sketches(minimal: str, kmers: str, kmer: str = "") -> str:
+    """Per sketch that has any, its number and the hash of its tuple in text order, as one long.
 
-def _sketches(minimal: str, kmers: str) -> str:
-    """Per sketch that has any, its number and the hash of its tuple in text order, as one long."""
+    ``kmer`` tells the k-mer at place ``at``, where it isn't to be found in an array ``kmers``.
+    """
     starts = f"filter(sequence(0, size(v) - 1), j -> j = 0 OR shiftright(get(v, j), {SKETCH_AT}) <> shiftright(get(v, j - 1), {SKETCH_AT}))"
     run = "sequence(f, coalesce(get(w, t + 1), size(v)) - 1)"
     places = f"array_sort(transform({run}, j -> get(v, j) & {(1 << PLACE_BITS) - 1}))"
-    tuples = f"xxhash64(transform({places}, at -> get({kmers}, cast(at AS int))))"
+    tuples = f"xxhash64(transform({places}, at -> {kmer or f'get({kmers}, cast(at AS int))'}))"
     return _let(minimal, "v", _let(starts, "w", f"transform(w, (f, t) -> shiftleft(shiftright(get(v, f), {SKETCH_AT}), 32) | ({tuples} & 4294967295))"))
 
 
-def _every(text: str) -> str:
-    return f"CASE WHEN length({text}) < {KMER} THEN array({text}) ELSE regexp_extract_all({text}, '{ALL}', 1) END"
+def _every(text: str, pattern: str = ALL) -> str:
+    """All k-mers or windows of a text, which is one if it is shorter than a k-mer."""
+    return f"CASE WHEN length({text}) < {KMER} THEN array({text}) ELSE regexp_extract_all({text}, '{pattern}', 1) END"
 
 
 def signature(text: str) -> Column:
@@ -112,9 +143,9 @@ def signature(text: str) -> Column:
     return F.expr(f"CASE WHEN {text} = '' THEN {none} ELSE {value} END")
 
 
-def _signature_of(text: str, kmers: str, hashes: str) -> Column:
-    """:func:`signature` by columns of the text's k-mers and their sorted hashes."""
-    value = _sketches(_minimal(kmers, hashes=hashes), kmers)
+def _signature_of(text: str, hashes: str, kmer: str) -> Column:
+    """:func:`signature` by a column of the sorted hashes of the text's k-mers, and the k-mer at place ``at``."""
+    value = _sketches(_minimal("", hashes=hashes), "", kmer)
     return F.expr(f"CASE WHEN size({hashes}) = 0 OR {text} = '' THEN cast(array() AS array<bigint>) ELSE {value} END")
 
 
@@ -122,22 +153,24 @@ def with_signatures(rows: DataFrame) -> DataFrame:
     """Rows of (text, edited, kept, ...) with ``sketches`` and ``edited_sketches``, less the two texts.
 
     The first ``kept`` characters of the edited text are the text's own, and so are its k-mers there and their
-    hashes. K-mers and hashes are columns of inner selects, each used more than once, so that Spark keeps them
-    apart and sorts longs in generated code; in a lambda they are sorted as objects.
+    hashes. K-mers are not kept as strings but cut from windows when they are asked for. Windows and hashes are
+    columns of inner selects, each used more than once, so that Spark keeps them apart and sorts longs in
+    generated code; in a lambda they are sorted as objects.
     """
     others = [c for c in rows.columns if c not in ("text", "edited", "kept")]
     own = F.greatest(F.col("kept") - (KMER - 1), F.lit(0)).alias("_own")  # k-mers of the text that stay
-    rows = rows.select(*others, "text", "edited", own, F.expr(_every("text")).alias("_kmers"))
+    rows = rows.select(*others, "text", "edited", own, F.expr(_every("text", WINDOWS)).alias("_windows"))
     rows = rows.withColumn("_end", F.expr("substring(edited, _own + 1)"))
-    end = f"CASE WHEN _own > 0 AND length(_end) < {KMER} THEN cast(array() AS array<string>) ELSE {_every('_end')} END"
-    rows = rows.select(*others, "text", "edited", "_own", "_kmers", F.expr(_hashes("_kmers")).alias("_hashes"), F.expr(end).alias("_end"))
-    joined = "sort_array(concat(slice(_hashes, 1, _own), {}))".format(_hashes("_end", "_own"))
+    end = f"CASE WHEN _own > 0 AND length(_end) < {KMER} THEN cast(array() AS array<string>) ELSE {_every('_end', WINDOWS)} END"
+    rows = rows.select(*others, "text", "edited", "_own", "_windows", F.expr(_window_hashes("_windows")).alias("_hashes"), F.expr(end).alias("_end"))
+    joined = f"sort_array(concat(slice(_hashes, 1, _own), {_window_hashes('_end', '_own')}))"
     rows = rows.select(
-        *others, "text", "edited", "_kmers", F.expr("sort_array(_hashes)").alias("_sorted"),
-        F.expr("concat(slice(_kmers, 1, _own), _end)").alias("_edited_kmers"), F.expr(joined).alias("_edited_sorted"))
+        *others, "text", "edited", "_own", "_windows", "_end",
+        F.expr("sort_array(_hashes)").alias("_sorted"), F.expr(joined).alias("_edited_sorted"))
+    kept_or_new = f"CASE WHEN at < _own THEN {_in_windows('_windows', 'at')} ELSE {_in_windows('_end', '(at - _own)')} END"
     return rows.select(
-        *others, _signature_of("text", "_kmers", "_sorted").alias("sketches"),
-        _signature_of("edited", "_edited_kmers", "_edited_sorted").alias("edited_sketches"))
+        *others, _signature_of("text", "_sorted", _in_windows("_windows", "at")).alias("sketches"),
+        _signature_of("edited", "_edited_sorted", kept_or_new).alias("edited_sketches"))
 
 
 def as_text(sketches: Column) -> Column:

@@ -111,3 +111,33 @@ def test_all_are_sorted_where_the_low_hashes_do_not_fill_the_sketches(spark, mon
         monkeypatch.setattr(fingerprints, "SORTED", few)
         found[few] = [r["s"] for r in rows.select(fingerprints.signature("text").alias("s")).collect()]
     assert len({str(v) for v in found.values()}) == 1 and len(found[1 << 20][0]) == fingerprints.SKETCHES
+
+
+def test_windows_give_every_k_mer_and_its_number(spark):
+    """Both signatures against k-mers cut and numbered one by one; few strings are cut by pattern."""
+    def plain(text):
+        size = fingerprints.KMER
+        kmers = [text[j:j + size] for j in range(len(text) - size + 1)] or [text][:len(text)]
+        return [(j, x, kmers[:j].count(x)) for j, x in enumerate(kmers)]
+
+    texts = [words(31, 300), "ab" * 90 + words(32, 20), "a" * 60, "é😀" * 25 + words(33, 12), words(34, 4), "abcdefghij", "abc", "", "b" * 26, "c" * 25]
+    kept = [len(t) - len(t) // 4 for t in texts]
+    edited = [t[:n] + texts[(i + 1) % len(texts)][:len(t) - n] for i, (t, n) in enumerate(zip(texts, kept))]
+    rows = spark.createDataFrame(list(zip(range(len(texts)), texts, edited, kept)), "i int, text string, edited string, kept int")
+    result = fingerprints.with_signatures(rows)
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert f",{fingerprints.WINDOW + fingerprints.KMER - 1}}})).{{1,{fingerprints.WINDOW}}}, 1)" in plan and fingerprints.ALL not in plan
+    found = {(r["i"], k): r[c] for r in result.collect() for k, c in enumerate(("sketches", "edited_sketches"))}
+
+    kmers = [(i, k, *at) for i, pair in enumerate(zip(texts, edited)) for k, t in enumerate(pair) for at in plain(t)]
+    bits, place = fingerprints.HASH_BITS, fingerprints.PLACE_BITS
+    of_number = f"CASE WHEN o = 0 THEN xxhash64(x) ELSE xxhash64(shiftright(xxhash64(x) & {bits}, {place}), o) END & {bits}"
+    sketches = {}
+    for r in spark.createDataFrame(kmers, "i int, k int, j int, x string, o int").selectExpr("*", f"{of_number} AS h").collect():
+        sketch = r["h"] >> fingerprints.DEAL_AT & (fingerprints.SKETCHES - 1)
+        sketches.setdefault((r["i"], r["k"], sketch), []).append((r["h"] >> fingerprints.ORDER_AT, r["j"], r["x"]))
+    tuples = [(*at, [x for _, x in sorted((j, x) for _, j, x in sorted(v)[:fingerprints.TUPLE])]) for at, v in sketches.items()]
+    want = {at: [] for at in found}
+    for r in spark.createDataFrame(tuples, "i int, k int, q int, xs array<string>").selectExpr("*", "xxhash64(xs) & 4294967295 AS h").collect():
+        want[r["i"], r["k"]].append(r["q"] << 32 | r["h"])
+    assert found == {at: sorted(v) for at, v in want.items()}
